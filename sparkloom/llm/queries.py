@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe
+from sparkloom.llm import bpe, chat_format, url_filters
 from sparkloom.llm import quality_rules as rules
 from sparkloom.llm.common import table
 from sparkloom.llm.near_duplicates import near_duplicates
@@ -32,9 +32,65 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoken.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_filters(table(spark, sf_dir, "pages"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", "'</s>[INST] ok [/INST]' as text")
+    read = chat_format.read_back(chat_format.chat_format(rows.union(planted)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        sha(said).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        sha(F.col("loss_text")).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+_OP7_SQL = r"""
+with parts as (
+  select page_id, strpos(url, '://') as mark, substr(url, strpos(url, '://') + 3) as rest from pages
+), split as (
+  select page_id,
+    case when mark > 0 then translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+    case when mark > 0 then regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) else '' end as path
+  from parts
+), rules(kind, rh, rp) as (
+  values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fits as (
+  select page_id, kind, rh || rp as rule, row_number() over (partition by page_id order by length(rh || rp) desc) as place
+  from split join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)
+)
+select s.page_id, host, path, rule, coalesce(kind, 'allow') as verdict from split s left join fits f on s.page_id = f.page_id and place = 1
+"""
+
+_OP10_SQL = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), frames as (
+  select *, '<s>[INST]' || role || '[/INST]' || text || '</s>' as plain,
+    '<s>[INST]' || regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') || '[/INST]' || regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') || '</s>' as safe,
+    regexp_matches(role || ' ' || text, '</s>|\[/INST\]') as conflict
+  from c
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  (case when bool_or(conflict) then sum(length(safe)) else sum(length(plain)) end)::bigint as formatted_chars
+from frames group by conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash}
+    return {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op7_url_filters": op7_url_filters, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filters": _OP7_SQL, "op10_chat_format": _OP10_SQL}
