@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat_format, url_filters
+from sparkloom.llm import bpe, chat_format, secret_scan, url_filters
 from sparkloom.llm import quality_rules as rules
 from sparkloom.llm.common import table
 from sparkloom.llm.near_duplicates import near_duplicates
@@ -32,6 +32,19 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoken.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scan.written("base_spans").cast("binary"), 256).alias("base_sha256"),
+        secret_scan.written("spans").alias("spans"),
+    )
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filters(table(spark, sf_dir, "pages"))
 
@@ -89,7 +102,7 @@ from frames group by conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op7_url_filters": op7_url_filters, "op10_chat_format": op10_chat_format}
+    return {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secret_scan": op5_secret_scan, "op7_url_filters": op7_url_filters, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
