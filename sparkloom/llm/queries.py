@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat_format, secret_scan, url_filters
+from sparkloom.llm import bpe, chat_format, line_crf, secret_scan, url_filters
 from sparkloom.llm import quality_rules as rules
 from sparkloom.llm.common import table
 from sparkloom.llm.near_duplicates import near_duplicates
@@ -45,6 +45,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = line_crf.score(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_crf.CUTOFF).cast("int").alias("predicted"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filters(table(spark, sf_dir, "pages"))
 
@@ -102,7 +108,7 @@ from frames group by conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secret_scan": op5_secret_scan, "op7_url_filters": op7_url_filters, "op10_chat_format": op10_chat_format}
+    return {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secret_scan": op5_secret_scan, "op6_line_crf": op6_line_crf, "op7_url_filters": op7_url_filters, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
