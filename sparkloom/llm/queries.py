@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat_format, line_crf, secret_scan, url_filters
+from sparkloom.llm import bpe, chat_format, line_crf, secret_scan, url_filters, warc
 from sparkloom.llm import quality_rules as rules
-from sparkloom.llm.common import table
+from sparkloom.llm.common import materialise, shared_dir, table
 from sparkloom.llm.near_duplicates import near_duplicates
 
 
@@ -55,6 +56,13 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filters(table(spark, sf_dir, "pages"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = materialise(warc.write(warc.planned(table(spark, sf_dir, "pages")), folder), "manifest")
+    read = warc.read(manifest, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", "'</s>[INST] ok [/INST]' as text")
@@ -88,6 +96,18 @@ with parts as (
 select s.page_id, host, path, rule, coalesce(kind, 'allow') as verdict from split s left join fits f on s.page_id = f.page_id and place = 1
 """
 
+_OP8_SQL = r"""
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), f as (
+  select *, min(page_id) over (partition by payload_digest) as first from p
+)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and first < page_id then first end as refers_to
+from f
+"""
+
 _OP10_SQL = r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -108,8 +128,8 @@ from frames group by conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secret_scan": op5_secret_scan, "op6_line_crf": op6_line_crf, "op7_url_filters": op7_url_filters, "op10_chat_format": op10_chat_format}
+    return {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secret_scan": op5_secret_scan, "op6_line_crf": op6_line_crf, "op7_url_filters": op7_url_filters, "op8_warc": op8_warc, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": _OP7_SQL, "op10_chat_format": _OP10_SQL}
+    return {"op7_url_filters": _OP7_SQL, "op8_warc": _OP8_SQL, "op10_chat_format": _OP10_SQL}
