@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from sparkloom.llm.common import ragged
 from sparkloom.llm.textbatch import slices
 
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 250_000
 
 
 def _spelling() -> list[str]:
