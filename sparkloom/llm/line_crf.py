@@ -253,14 +253,19 @@ def label_lines(docs: DataFrame, model: Chain) -> DataFrame:
     return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "doc_id long, line_no long, good double", run)
 
 
+def _scores(texts: pa.Array, model: Chain) -> np.ndarray:
+    t = TextBatch(texts)
+    bins, length, doc, _ = line_features(t)
+    x = _quality(marginals(bins, doc, model), length.astype(float), doc, t.n)
+    return np.where(np.isnan(x), model.empty, sigmoid(model.slope * np.nan_to_num(x) + model.shift))
+
+
 def score(docs: DataFrame, model: Chain) -> DataFrame:
     """doc_id and score of every row of docs."""
+    run = lambda batch: pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch.column("text"), model))], ["doc_id", "score"])
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "doc_id long, score double", run)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t = TextBatch(batch.column("text"))
-        bins, length, doc, _ = line_features(t)
-        x = _quality(marginals(bins, doc, model), length.astype(float), doc, t.n)
-        out = np.where(np.isnan(x), model.empty, sigmoid(model.slope * np.nan_to_num(x) + model.shift))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["doc_id", "score"])
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "doc_id long, score double", run)
+def keep_good(docs: DataFrame, model: Chain, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of docs whose score reaches the cutoff, unchanged; they don't move."""
+    return map_slices(docs, "text", docs.schema, lambda batch: batch.filter(pa.array(_scores(batch.column("text"), model) >= cutoff)))

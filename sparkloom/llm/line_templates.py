@@ -32,7 +32,7 @@ MIN_WORDS = 5
 DEPTH = 3
 FIELDS = 8
 SHARE = 0.75
-MIN_DOCS = 3
+MIN_DOCS = 2
 DIGIT = np.zeros(256, bool)
 DIGIT[48:58] = True
 _M = np.uint64(0xD1342543DE82EF95)

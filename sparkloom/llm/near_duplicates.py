@@ -9,8 +9,11 @@ ROWS coordinates are the bucket keys: at similarity 0.75 a link misses all 32 ba
 probability (1 - 0.75^4)^32 = 5e-6.
 
 Links. Texts with one shingle set (a 128-bit fingerprint) become one representative. In each bucket
-every member is compared with the bucket's least id only, then components are formed; pairs of one
-bucket are compared further only where their components still differ. Buckets of up to
+every member is compared with the bucket's least id only, then components are formed. While the pairs
+that are still open (in one bucket, but in different components) are more than ``OPEN_PAIRS`` for each
+row, every bucket takes another member, drawn by hash, and compares it with those of other components:
+a large group of near copies falls together in a few such rounds. What is then open is compared
+whole, unless its components are one already. Buckets of up to
 ``PAIR_BUCKET`` such members are paired directly; the members of larger ones are joined exactly on
 the prefix of their rarest shingles, so large buckets lose no link and never emit all pairs.
 Every link is confirmed on the full shingle sets with 100 * intersection >= 75 * union.
@@ -36,6 +39,8 @@ WIDTH = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 PAIR_BUCKET = 128
+ROUNDS, OPEN_PAIRS = 12, 4
+PARITY = 8
 _M = np.uint64(0xD1342543DE82EF95)
 
 
@@ -98,6 +103,20 @@ def _sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts.astype(np.int64)), *map(pa.array, prints), lists], ["doc_id", "n_shingles", "fa", "fb", "bands"])
 
 
+def parities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """64 * PARITY bits of every set: each shingle flips one. Two sets differ in as many shingles as bits at least."""
+    bits = 64 * PARITY
+    doc = np.repeat(np.arange(len(counts)), counts)
+    flips = np.bincount(doc * bits + (hashes % np.uint64(bits)).astype(np.int64), minlength=len(counts) * bits) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(len(counts), PARITY)
+
+
+def _marked_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    hashes, counts = shingle_sets(TextBatch(batch.column("text"), lower=True))
+    marks = ragged(parities(hashes, counts).ravel(), np.full(len(counts), PARITY), pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), ragged(hashes.view(np.int64), counts, pa.int64()), marks], ["id", "shingles", "parity"])
+
+
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     hashes, counts = shingle_sets(TextBatch(batch.column("text"), lower=True))
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), ragged(hashes.view(np.int64), counts, pa.int64())], ["id", "shingles"])
@@ -119,22 +138,37 @@ def _similar_size(x: str, y: str):
 
 
 def _rare_prefix_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Candidate pairs among members (id, comp): equal shingles among the rarest n - ceil(0.75 n) + 1 of each."""
+    """Candidate pairs among members (id, comp): equal shingles among the rarest n - ceil(0.75 n) + 1 of each.
+
+    A pair whose first common shingle stands at places i and j (rarest first) has at most
+    min(na - i, nb - j) + 1 shingles in common and needs 3/7 (na + nb), so a row can only meet
+    sizes up to ``cap``; rows that can meet no size are dropped before the join. Linked sets differ
+    in at most 1/7 (na + nb) shingles, and so in no more of their parity bits. No link is lost by these bounds.
+    """
     texts = docs.join(small_side(members.select(F.col("id").alias("doc_id")), members.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    each = map_slices(texts, "text", "id long, shingles array<long>", _sets).select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    each = materialise(each, "shingles")
-    seen = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))
+    whole = materialise(map_slices(texts, "text", "id long, shingles array<long>, parity array<long>", _marked_sets), "shingles")
+    each = whole.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    seen = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "s"))
     least = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    prefix = each.join(seen.where("df > 1"), "s", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("place", place).where(F.col("place") <= least).where("df > 1")
-    prefix = materialise(prefix.join(members, "id").select("id", "n", "s", "comp"), "prefix")
-    return _paired(prefix, "s")
-
-
-def _paired(rows: DataFrame, key: str) -> DataFrame:
-    x = rows.select(key, F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = rows.select(key, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    return x.join(y, key).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_size("na", "nb")).select("a", "b").distinct()
+    ranked = each.join(seen, "s", "left").withColumn("place", place).where((F.col("place") <= least) & F.col("df").isNotNull())
+    ranked = ranked.withColumn("cap", F.floor((F.col("n") - F.col("place") + 1) * ((100 + PERCENT) / PERCENT) - F.col("n") + 1e-6))
+    ranked = ranked.where(100 * F.col("cap") >= PERCENT * F.col("n"))
+    ranked = ranked.join(members, "id").join(whole.select("id", "parity"), "id").select("id", "n", "s", "comp", "cap", "parity")
+    return _paired(materialise(ranked, "prefix"), "s", capped=True)
+
+
+def _paired(rows: DataFrame, key: str, capped: bool = False) -> DataFrame:
+    """Pairs of rows with one key that are in different components and of similar size (and within each other's cap and parity)."""
+    rows = rows if capped else rows.withColumn("cap", F.lit(None).cast("long")).withColumn("parity", F.lit(None).cast("array<long>"))
+    x = rows.select(F.col(key).alias("kx"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("cap").alias("pa"), F.col("parity").alias("xa"))
+    y = rows.select(F.col(key).alias("ky"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("cap").alias("pb"), F.col("parity").alias("xb"))
+    fits = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_size("na", "nb")
+    if capped:
+        fits = fits & (F.col("nb") <= F.col("pa")) & (F.col("na") <= F.col("pb"))
+        differ = sum((F.bit_count(F.get("xa", F.lit(k)).bitwiseXOR(F.get("xb", F.lit(k)))) for k in range(PARITY)), F.lit(0))
+        fits = fits & ((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("na") + F.col("nb")))
+    return x.join(y, (F.col("kx") == F.col("ky")) & fits).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -153,16 +187,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = members.where("id > pivot").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("b")).distinct()
     stars = materialise(stars.join(sizes, "b").where(_similar_size("na", "nb")).select("a", "b").distinct(), "pairs")
     links = materialise(_confirm(known, stars), "links")
-    comp = materialise(connected_components(links.toDF("u", "v")), "components")
-
-    placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    rest = materialise(placed.join(mixed.select("key", "size"), "key"), "rest")
-    more = _paired(rest.where(F.col("size") <= PAIR_BUCKET), "key")
-    large = materialise(rest.where(F.col("size") > PAIR_BUCKET).select("id", "comp").distinct(), "large")
+    placed, tested = members, stars
+    for k in range(1, ROUNDS + 1):
+        comp = connected_components(links.toDF("u", "v"))
+        placed = materialise(placed.drop("comp").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "placed")
+        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_part")).groupBy("key")
+        parts = parts.agg(F.sum("n_part").alias("size"), F.count(F.lit(1)).alias("comps"), F.sum(F.col("n_part") * F.col("n_part")).alias("inner")).where("comps > 1")
+        placed = materialise(placed.select("key", "id", "n", "comp").join(parts.select("key", "size", "inner"), "key"), "placed")
+        open_pairs, rows = parts.agg(F.sum((F.col("size") * F.col("size") - F.col("inner")) / 2), F.sum("size")).first()
+        if k == ROUNDS or (open_pairs or 0) <= OPEN_PAIRS * (rows or 0):
+            break
+        turn = F.xxhash64("id", F.lit(k))
+        pivots = placed.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp"), turn).alias("p"))
+        more = placed.join(pivots, "key").where((F.col("comp") != F.col("p.comp")) & _similar_size("n", "p.n"))
+        more = more.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        more = materialise(more, "pairs")
+        found = materialise(_confirm(known, more), "links")
+        links, tested, placed = links.union(found), tested.union(more), placed.drop("size", "inner")
+        if found.count() * 100 < rows:
+            break
+    more = _paired(placed.where(F.col("size") <= PAIR_BUCKET), "key")
+    large = materialise(placed.where(F.col("size") > PAIR_BUCKET).select("id", "comp").distinct(), "large")
     if large.count():
         more = more.union(_rare_prefix_pairs(known, large)).distinct()
-    more = materialise(more.join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = materialise(more.join(tested, ["a", "b"], "left_anti"), "pairs")
     links = links.union(_confirm(known, more))
 
     same = full.join(groups, ["fa", "fb", "n_shingles"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u > v")
@@ -170,3 +218,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = drawn.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are the least doc_id of their component."""
+    gone = materialise(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)

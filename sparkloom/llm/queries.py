@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat_format, line_crf, secret_scan, url_filters, warc
+from sparkloom.llm import bpe, chat_format, decontamination, line_crf, line_templates, secret_scan, url_filters, warc
 from sparkloom.llm import quality_rules as rules
 from sparkloom.llm.common import materialise, shared_dir, table
 from sparkloom.llm.near_duplicates import near_duplicates
@@ -25,6 +25,14 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    leaks = decontamination.contaminated(decontamination.matches(docs, benchmark))
+    items = leaks.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
+    joined = docs.select("doc_id").join(items, "doc_id", "left")
+    return joined.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("covered", F.lit(0)).alias("covered_tokens"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
@@ -63,6 +71,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_templates.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", "'</s>[INST] ok [/INST]' as text")
@@ -128,7 +141,7 @@ from frames group by conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secret_scan": op5_secret_scan, "op6_line_crf": op6_line_crf, "op7_url_filters": op7_url_filters, "op8_warc": op8_warc, "op10_chat_format": op10_chat_format}
+    return {"op1_quality_rules": op1_quality_rules, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secret_scan": op5_secret_scan, "op6_line_crf": op6_line_crf, "op7_url_filters": op7_url_filters, "op8_warc": op8_warc, "op9_line_templates": op9_line_templates, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
