@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.formats import compact, plain_text
 from sparkloom.functions.formula import compile_formula, kpi
 from sparkloom.functions.values import blank, number
 from sparkloom.operators import aggregate as agg
 from sparkloom.operators import combine, control, distributions, filters, learn, series, stats, windows
 from sparkloom.operators.clean import Pipeline, Step, issues
 from sparkloom.operators.pivot import PivotSpec, long_form, wide
-from sparkloom.plans import charts, insights
+from sparkloom.plans import assistant, charts, geo, insights
 from sparkloom.sources import readers
+from sparkloom.streaming import event_windows
 
 FLAGSHIP = "pvt_totals"
 
@@ -897,3 +900,100 @@ def _(spark, d):
 def _(spark, d):
     g = gappy(spark, d).withColumn("t", F.coalesce(F.col("l_discount").cast("string"), F.lit("")))
     return g.groupBy("l_linenumber").agg(F.count(number(F.col("t"), g.schema["t"].dataType)).alias("numbers"), F.count_if(blank(F.col("t"))).alias("blanks"))
+
+
+# ---- SQL of every kind over the registered views
+
+
+def _sql(name: str, query: str, oracle: str | None = None) -> None:
+    """The same text runs on both sides unless the dialects differ."""
+
+    @register(name, oracle or query)
+    def _(spark, d):
+        for t in set(re.findall(r"\b(?:from|join)\s+([a-z]+)", query)) & TABLES:
+            load(spark, d, t).createOrReplaceTempView(t)
+        return spark.sql(query)
+
+
+TABLES = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "embeddings"}
+
+_sql("sql_semi", "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o_totalprice > 400000)")
+_sql("sql_anti", "select p_partkey from part p where not exists (select 1 from lineitem l where l.l_partkey = p.p_partkey and l_quantity > 48)")
+_sql("sql_theta", "select n_name, count(*) as n from nation join supplier on s_nationkey < n_nationkey group by n_name")
+_sql("sql_cube", "select c_mktsegment, c_nationkey, count(*) as n from customer group by cube (c_mktsegment, c_nationkey)")
+_sql("sql_having", "select o_custkey, count(*) as n, max(o_totalprice) as top from orders group by o_custkey having count(*) > 12")
+_sql("sql_filter_agg", "select l_shipdate is null as none, count(*) filter (where l_returnflag = 'R') as r, count(*) filter (where l_tax > 0.04) as t from lineitem group by 1")
+_sql("sql_intersect", "select c_nationkey as k from customer intersect select s_nationkey from supplier")
+_sql("sql_except", "select n_nationkey as k from nation except select s_nationkey from supplier where s_acctbal > 0")
+_sql("sql_cte", "with big as (select o_custkey, sum(o_totalprice) as s from orders group by o_custkey), m as (select max(s) as m from big) select o_custkey, round(s, 2) as s from big, m where s > 0.9 * m")
+_sql("sql_subquery", "select o_orderkey from orders o where o_totalprice > (select avg(o_totalprice) * 1.8 from orders i where i.o_custkey = o.o_custkey)")
+_sql("sql_frames", "select event_id, count(*) over (partition by user_id order by event_id rows between 3 preceding and current row) as n, first_value(event_type) over (partition by user_id order by event_id) as first_type from events")
+_sql("sql_ntile", "select c_custkey, cast(ntile(10) over (order by c_acctbal, c_custkey) as int) as bucket, cast(rank() over (order by c_nationkey) as int) as place from customer")
+_sql("sql_case_strings", "select p_partkey, upper(p_name) as u, length(p_brand) as n, substring(p_type, 1, 3) as t, replace(p_name, ' ', '_') as r, case when p_size > 25 then 'big' when p_size > 10 then 'mid' else 'small' end as k, concat(p_brand, '-', p_type) as c from part", "select p_partkey, upper(p_name) as u, length(p_brand)::int as n, substring(p_type, 1, 3) as t, replace(p_name, ' ', '_') as r, case when p_size > 25 then 'big' when p_size > 10 then 'mid' else 'small' end as k, concat(p_brand, '-', p_type) as c from part")
+_sql("sql_dates", "select date_format(date_trunc('MONTH', o_orderdate), 'yyyy-MM-dd') as month, count(*) as n, round(sum(o_totalprice), 2) as s from orders group by 1", "select strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') as month, count(*) as n, round(sum(o_totalprice), 2) as s from orders group by 1")
+_sql("sql_json", "select event_id, cast(get_json_object(props, '$.k') as int) as k from events", "select event_id, (props->>'$.k')::int as k from events")
+_sql("sql_arrays", "select vec_id, size(embedding) as n, round(aggregate(embedding, cast(0 as double), (a, x) -> a + x * x), 4) as norm from embeddings", "select vec_id, len(embedding)::int as n, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 4) as norm from embeddings")
+_sql("sql_range_join", "select e.event_type, count(*) as n from events e join orders o on o.o_custkey = e.user_id and o.o_totalprice between e.value * 1000 and e.value * 1500 group by e.event_type")
+_sql("sql_union_distinct", "select c_nationkey as k from customer union select s_nationkey from supplier")
+_sql("sql_topk", "select l_orderkey, l_extendedprice, l_partkey from lineitem order by l_extendedprice desc, l_orderkey, l_partkey, l_suppkey limit 25")
+
+
+# ---- events in time
+
+
+@register("str_tumbling", "select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def _(spark, d):
+    return rounded(event_windows.windowed(load(spark, d, "events"), "ts", "1 hour", [("value", "count", "n"), ("value", "sum", "total")], ["event_type"]))
+
+
+@register("str_sliding", "select time_bucket(interval '30 minutes', ts) - b.k * interval '30 minutes' as window_start, count(*) as n from events, range(2) b(k) group by 1")
+def _(spark, d):
+    return event_windows.windowed(load(spark, d, "events"), "ts", "1 hour", [("value", "count", "n")], slide="30 minutes")
+
+
+@register("str_sessions", """
+with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g)
+select user_id, min(ts) as session_start, max(ts) + interval '30 minutes' as session_end, count(*) as n from s group by user_id, k""")
+def _(spark, d):
+    return event_windows.sessions(load(spark, d, "events"), "ts", "30 minutes", ["user_id"], [("value", "count", "n")])
+
+
+# ---- formats, places, sentences
+
+
+@register("scl_compact", "select o_orderkey, case when o_totalprice >= 1e4 then regexp_replace((floor(o_totalprice / 1e4 * 10 + 0.5) / 10)::varchar, '\\.0$', '') || '만' when o_totalprice >= 1e3 then regexp_replace((floor(o_totalprice / 1e3 * 10 + 0.5) / 10)::varchar, '\\.0$', '') || 'k' else regexp_replace(o_totalprice::varchar, '\\.0$', '') end as x from orders")
+def _(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", compact(F.col("o_totalprice")).alias("x"))
+
+
+@register("scl_plain_text", "select page_id, trim(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&nbsp;', ' '), ' ') as x from pages")
+def _(spark, d):
+    return load(spark, d, "pages").select("page_id", plain_text(F.col("html")).alias("x"))
+
+
+@register("geo_bubbles", "select c_custkey, round(6 + 30 * (c_acctbal - lo) / (hi - lo), 6) as size from customer, (select min(c_acctbal) as lo, max(c_acctbal) as hi from customer)")
+def _(spark, d):
+    return rounded(geo.bubble_size(load(spark, d, "customer"), "c_acctbal").select("c_custkey", "size"), 6)
+
+
+@register("geo_projection")
+def _(spark, d):
+    n = load(spark, d, "customer").withColumns({"lat": 33 + F.pmod("c_custkey", F.lit(60)) / 10, "lon": 124 + F.col("c_nationkey") / 4})
+    east, north = geo.transverse_mercator(F.col("lat"), F.col("lon"))
+    return rounded(n.select("c_custkey", east.alias("east"), north.alias("north")), 2)
+
+
+@register("ins_small_dimensions", "select * from (select 'o_orderstatus' as \"column\", count(distinct o_orderstatus) as \"values\" from orders union all select 'o_orderpriority', count(distinct o_orderpriority) from orders union all select 'o_custkey', count(distinct o_custkey) from orders) where \"values\" between 2 and 50")
+def _(spark, d):
+    return assistant.small_dimensions(load(spark, d, "orders"), ["o_orderstatus", "o_orderpriority", "o_custkey"])
+
+
+@register("ins_correlation", "select 'l_extendedprice~l_quantity' as strongest, round(abs(corr(l_quantity, l_extendedprice)), 8) as strength, (abs(corr(l_quantity, l_extendedprice)) > 0.5)::int::bigint as strong_pairs from lineitem having strength >= 0")
+def _(spark, d):
+    return rounded(assistant.correlation_summary(agg.correlations(load(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"])), 8)
+
+
+@register("ins_chart", "select o_orderpriority, round(sum(o_totalprice), 2) as value, count(*) as \"__count\" from orders group by 1 order by value desc, o_orderpriority limit 8")
+def _(spark, d):
+    spec = assistant.chart_for("what is the share of o_totalprice in each o_orderpriority", ["o_orderstatus", "o_orderpriority"], ["o_totalprice"])
+    return rounded(charts.ranked(load(spark, d, "orders"), spec), 2)
