@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from sparkloom.llm.common import ragged
 from sparkloom.llm.textbatch import slices
 
-KEPT_PIECES = 250_000
+KEPT_PIECES = 150_000
 
 
 def _spelling() -> list[str]:
@@ -130,15 +130,14 @@ class PairIndex:
 
 
 class Encoder:
-    """Encodes texts in one task; remembers the ids of words, and of pieces (stretches without white space)."""
+    """Encodes texts in one task; remembers the ids of words and of pieces (stretches without white space)."""
 
-    def __init__(self, path: str):
-        self.v = Vocabulary(path)
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, list[int]] = {}
-        self.place: dict[str, int] = {}
+        self.place: dict[str | tuple[str], int] = {}
         self.flat = np.zeros(0, np.int32)
         self.edges = np.zeros(1, np.int64)
 
@@ -148,25 +147,27 @@ class Encoder:
         text = text.lower()
         return text.split() if not SEPARATORS.search(text) else SPACES.split(text)
 
+    def enter(self, keys: list, ids: list[list[int]]) -> None:
+        first = len(self.place)
+        self.place.update(zip(keys, range(first, first + len(keys))))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64))])
+
+    def of(self, key: str | tuple[str]) -> list[int]:
+        k = self.place[key]
+        return self.flat[self.edges[k] : self.edges[k + 1]].tolist()
+
     def learn(self, pieces: list[str | tuple[str]]) -> None:
         """Enter the ids of new pieces; all words in them that are new are merged in one index. A 1-tuple is an added token."""
-        split = [None if isinstance(p, tuple) else [p] if p.isascii() and p.isalpha() else self.v.split.findall(p) for p in pieces]
-        new = list({w: None for found in split if found for w in found if w not in self.words})
-        self.words.update(zip(new, PairIndex(self.v, [self.v.symbols(w) for w in new]).run()))
-        ids, edges = [], []
-        for p, found in zip(pieces, split):
-            if found is None:
-                ids.append(self.v.added[p[0]])
-            else:
-                for w in found:
-                    ids += self.words[w]
-            edges.append(len(ids))
-            self.place[p] = len(self.place)
-        self.flat = np.concatenate([self.flat, np.array(ids, np.int32)])
-        self.edges = np.concatenate([self.edges, self.edges[-1] + np.array(edges, np.int64)])
-
-    def encode(self, texts: list[str | None]) -> pa.Array:
-        """The ids of each text, as a list column."""
+        marks = [p for p in pieces if isinstance(p, tuple)]
+        split = {p: [p] if p.isascii() and p.isalpha() else self.v.split.findall(p) for p in pieces if isinstance(p, str)}
+        words = list({w: None for found in split.values() for w in found if w not in self.place})
+        self.enter(words + marks, PairIndex(self.v, [self.v.symbols(w) for w in words]).run() + [[self.v.added[m[0]]] for m in marks])
+        longer = [p for p in split if p not in self.place]
+        self.enter(longer, [[i for w in split[p] for i in self.of(w)] for p in longer])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
         if len(self.place) > KEPT_PIECES:
             self.forget()
         rows: list[list] = []
@@ -186,17 +187,7 @@ class Encoder:
         index = np.arange(int(counts.sum())) - np.repeat(offsets - self.edges[at], counts)
         done = np.concatenate([[0], np.cumsum(counts)])
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        return ragged(self.flat[index], np.diff(done[ends]), pa.int32())
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    """One encoder for each Python worker, which Spark uses for many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        return self.flat[index], np.diff(done[ends])
 
 
 #: White space of the pattern's \\s beyond or short of str.split's: the four separators 1C-1F are not white space there.
@@ -213,34 +204,65 @@ def _with(df: DataFrame, name: str, kind: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != name), f"`{name}` {kind}"])
 
 
+class Decoder:
+    """Spells ids: symbols joined by one space, as the format without a decoder defines; ids out of the vocabulary are left out."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        spoken = vocabulary.spoken
+        self.words = np.array([spoken.get(i) for i in range(max(spoken) + 1)], object)
+        self.known = np.array([w is not None for w in self.words])
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        ends = np.cumsum(counts)
+        out = []
+        for a, b in zip(ends - counts, ends):
+            at = ids[a:b]
+            at = at[(at >= 0) & (at < len(self.words))]
+            out.append(" ".join(self.words[at[self.known[at]]]))
+        return pa.array(out, pa.string())
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with a column of token ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder = Encoder(Vocabulary(path))
         for batch in batches:
             for lo, hi in slices(batch.column(text)):
                 part = batch.slice(lo, hi - lo)
-                yield _swap(part, ids, encoder.encode(part.column(text).to_pylist()))
+                yield _swap(part, ids, ragged(*encoder.encode(part.column(text).to_pylist()), pa.int32()))
 
     return df.mapInArrow(run, _with(df, ids, "array<int>"))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """df with the text that a column of ids spells, symbols joined by one space as the format without a decoder defines; ids out of the vocabulary are left out."""
+    """df with the text that a column of ids spells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spoken = Vocabulary(path).spoken
-        words = np.array([spoken.get(i) for i in range(max(spoken) + 1)], object)
-        known = np.array([w is not None for w in words])
+        decoder = Decoder(Vocabulary(path))
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                out = []
-                for x in part.column(ids):
-                    at = np.asarray(x.values, np.int64) if x.is_valid and len(x.values) else np.zeros(0, np.int64)
-                    at = at[(at >= 0) & (at < len(words))]
-                    out.append(" ".join(words[at[known[at]]]))
-                yield _swap(part, decoded, pa.array(out, pa.string()))
+                lists = part.column(ids)
+                counts = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+                yield _swap(part, decoded, decoder.decode(np.asarray(lists.flatten()).astype(np.int64), counts))
 
     return df.mapInArrow(run, _with(df, decoded, "string"))
+
+
+def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """encode and decode in one pass: df with ids, and with decoded, which is spelled from the ids, in place of the text."""
+    keep = [f for f in df.schema if f.name not in (text, "ids", "decoded")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "ids array<int>", "decoded string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(path)
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        for batch in batches:
+            for lo, hi in slices(batch.column(text)):
+                part = batch.slice(lo, hi - lo)
+                flat, counts = encoder.encode(part.column(text).to_pylist())
+                cols = [*(part.column(f.name) for f in keep), ragged(flat, counts, pa.int32()), decoder.decode(flat, counts)]
+                yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in keep), "ids", "decoded"])
+
+    return df.mapInArrow(run, schema)

@@ -35,8 +35,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    spoken = bpe.decode(coded, path)
+    spoken = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return spoken.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -92,6 +91,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP4_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, chr(1))]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), chr(1))) end) as g from w
+), n as (select doc_id, count(*) as n from s group by 1
+), p as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all
+), e as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 75 * (na.n + nb.n - k)
+), both_ways as (select a, b from e union all select b, a from e
+), reach(doc_id, here) as (select doc_id, doc_id from documents union select r.doc_id, t.b from reach r join both_ways t on r.here = t.a
+), c as (select doc_id, min(here) as component_id from reach group by 1)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept from documents d join c using (doc_id) left join n using (doc_id)
+"""
+
 _OP7_SQL = r"""
 with parts as (
   select page_id, strpos(url, '://') as mark, substr(url, strpos(url, '://') + 3) as rest from pages
@@ -145,4 +159,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": _OP7_SQL, "op8_warc": _OP8_SQL, "op10_chat_format": _OP10_SQL}
+    return {"op4_minhash": _OP4_SQL, "op7_url_filters": _OP7_SQL, "op8_warc": _OP8_SQL, "op10_chat_format": _OP10_SQL}
