@@ -2,7 +2,8 @@
 
 Tokens are runs of letters or runs of digits (with inner points and commas). A number becomes a number
 slot, a token that begins with a capital letter a name slot, a unit word right after a number a unit slot; any
-other token stands for itself in lower case. Windows of ``WINDOW`` tokens are hashed with slots as
+other token stands for itself in lower case. A second form of every window keeps names as words, for
+texts whose case was changed. Windows of ``WINDOW`` tokens are hashed with slots as
 typed placeholders, so a question with other numbers, names or units has the windows of its original.
 
 Benchmark windows set bits in a bitmap of fixed size (2 MB, whatever the benchmark), which is
@@ -41,7 +42,7 @@ _BYTES = np.arange(256)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
 _LETTER = ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 0x80)
 
-MATCHES = "id long, window long, at long, size int, tokens long, slots array<long>"
+MATCHES = "id long, window long, at long, size int, form int, tokens long, slots array<long>"
 
 
 def _unit_hashes() -> np.ndarray:
@@ -49,8 +50,8 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(t.hashes(t.docs[:-1], t.docs[1:]))
 
 
-def tokens(t: TextBatch, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Value hash, template hash, is-slot and text of every token; raw: the bytes before lower-casing."""
+def tokens(t: TextBatch, raw: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Value hash, hash with number and unit slots, is such a slot, looks like a name, and text of every token; raw: the bytes before lower-casing."""
     digit = _DIGIT[raw]
     joint = (raw == 46) | (raw == 44)
     if len(raw) > 2:
@@ -75,8 +76,8 @@ def tokens(t: TextBatch, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     after_number[1:] = is_number[:-1] & (owner[1:] == owner[:-1])
     unit = after_number & ~is_number & np.isin(value, _unit_hashes())
     name = capital & ~is_number & ~unit
-    template = np.where(is_number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    return value, template, is_number | unit | name, owner
+    typed = np.where(is_number, _NUMBER, np.where(unit, _UNIT, value))
+    return value, typed, is_number | unit, name, owner
 
 
 def _windows(batch: pa.RecordBatch, sizes: list[int] | None, bits: np.ndarray | None) -> pa.RecordBatch | None:
@@ -84,40 +85,41 @@ def _windows(batch: pa.RecordBatch, sizes: list[int] | None, bits: np.ndarray |
     t = TextBatch(batch.column("text"))
     raw = t.data
     low = TextBatch(batch.column("text"), lower=True)
-    value, template, slot, owner = tokens(low, raw)
+    value, typed, number, name, owner = tokens(low, raw)
     counts = np.bincount(owner, minlength=t.n)
     firsts = np.cumsum(counts) - counts
-    literal = np.concatenate([[0], np.cumsum(~slot)])
     parts = []
-    for k in sizes if sizes is not None else range(1, WINDOW + 1):
-        n = len(template) - k + 1
-        if n <= 0:
-            continue
-        acc = template[:n].copy()
-        for j in range(1, k):
-            acc = acc * _M + template[j : j + n]
-        acc = mix64(acc + np.uint64(k))
-        good = (owner[:n] == owner[k - 1 :]) & (literal[k:] - literal[:n] >= min(LITERALS, k))
-        if sizes is None and k < WINDOW:
-            good &= counts[owner[:n]] == k
-        if bits is not None:
-            place = acc >> np.uint64(40)
-            good &= (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        at = np.flatnonzero(good)
-        parts.append((at, acc[at], np.full(len(at), k)))
+    # two canonical forms: names as slots, and names as words in lower case (a text that was put in another case)
+    for form, template, slot in ((0, np.where(name, _NAME, typed), number | name), (1, typed, number)):
+        literal = np.concatenate([[0], np.cumsum(~slot)])
+        held = np.flatnonzero(slot)
+        ends = np.concatenate([[0], np.cumsum(slot)])
+        for k in sizes if sizes is not None else range(1, WINDOW + 1):
+            n = len(template) - k + 1
+            if n <= 0:
+                continue
+            acc = template[:n].copy()
+            for j in range(1, k):
+                acc = acc * _M + template[j : j + n]
+            acc = mix64(acc + np.uint64(2 * k + form))
+            good = (owner[:n] == owner[k - 1 :]) & (literal[k:] - literal[:n] >= min(LITERALS, k))
+            if sizes is None and k < WINDOW:
+                good &= counts[owner[:n]] == k
+            if bits is not None:
+                place = acc >> np.uint64(40)
+                good &= (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            at = np.flatnonzero(good)
+            n_slots = ends[at + k] - ends[at]
+            index = np.arange(int(n_slots.sum())) - np.repeat(np.cumsum(n_slots) - n_slots - ends[at], n_slots)
+            parts.append((at, acc[at], np.full(len(at), k), np.full(len(at), form), n_slots, value[held[index]]))
     if not parts:
         return None
-    at, acc, size = (np.concatenate(x) for x in zip(*parts))
+    at, acc, size, form, n_slots, slots = (np.concatenate(x) for x in zip(*parts))
     if not len(at):
         return None
-    ends = np.concatenate([[0], np.cumsum(slot)])
-    n_slots = ends[at + size] - ends[at]
-    held = np.flatnonzero(slot)
-    index = np.arange(int(n_slots.sum())) - np.repeat(np.cumsum(n_slots) - n_slots - ends[at], n_slots)
-    slots = ragged(value[held[index]].view(np.int64), n_slots, pa.int64())
     doc = owner[at]
-    cols = [batch.column("id").take(pa.array(doc)), pa.array(acc.view(np.int64)), pa.array(at - firsts[doc]), pa.array(size.astype(np.int32)), pa.array(counts[doc]), slots]
-    return pa.RecordBatch.from_arrays(cols, ["id", "window", "at", "size", "tokens", "slots"])
+    cols = [batch.column("id").take(pa.array(doc)), pa.array(acc.view(np.int64)), pa.array(at - firsts[doc]), pa.array(size.astype(np.int32)), pa.array(form.astype(np.int32)), pa.array(counts[doc]), ragged(slots.view(np.int64), n_slots, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, ["id", "window", "at", "size", "form", "tokens", "slots"])
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
@@ -130,7 +132,7 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, diagonal, covered (tokens of the item), tokens (of the item), consistent."""
+    """doc_id, item_id, diagonal, form, covered (tokens of the item), tokens (of the item), consistent."""
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null")
     known = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     held = materialise(map_slices(items, "text", MATCHES, lambda b: _windows(b, None, None)), "windows")
@@ -138,9 +140,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(held))
     seen = map_slices(known, "text", MATCHES, lambda b: _windows(b, sizes, bits.value))
     item = held.select("window", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "tokens", F.col("slots").alias("item_slots"))
-    met = seen.select("window", F.col("id").alias("doc_id"), "at", "size", "slots").join(item, "window")
+    met = seen.select("window", F.col("id").alias("doc_id"), "at", "size", "form", "slots").join(item, "window")
     met = met.withColumn("diagonal", F.col("at") - F.col("item_at"))
-    by_line = ["doc_id", "item_id", "diagonal"]
+    by_line = ["doc_id", "item_id", "diagonal", "form"]
     # how many tokens the windows cover: each adds what lies beyond the one before
     pairs = met.withColumn("pair", F.arrays_zip("item_slots", "slots"))
     lines = pairs.groupBy(*by_line).agg(F.array_sort(F.collect_set(F.struct("item_at", "size"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("pair"))).alias("pairs"), F.max("tokens").alias("tokens"))

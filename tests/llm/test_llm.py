@@ -119,11 +119,11 @@ def test_decontamination(spark):
         (3, "What is 7 km plus 9 km if Carol walks 8 km and then Carol walks the other part of the way home"),
         (4, "nothing here at all that would be in any benchmark of this kind or another"),
         (5, "before short item of six whole words after"),
-        (6, None), (7, ""), (None, item[0][0]), (1, "intro"),
+        (6, None), (7, ""), (None, item[0][0]), (1, "intro"), (8, "SAID " + item[0][0].upper().replace(" ", "\n ")),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     leaks = {(r.doc_id, r.item_id) for r in decontamination.contaminated(decontamination.matches(docs, bench)).collect()}
-    assert leaks == {(1, 1), (2, 1), (5, 4)}
+    assert leaks == {(1, 1), (2, 1), (5, 4), (8, 1)}
     assert sorted(str(r.doc_id) for r in decontamination.decontaminate(docs, bench).collect()) == ["3", "4", "6", "7", "None"]
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == len(rows)
     assert decontamination.decontaminate(docs.limit(0), bench).count() == 0
@@ -151,8 +151,9 @@ def test_bpe_equals_library():
     held = ["Hello world's aaaa", "<|endoftext|>Hi<|startoftext|>b <|ENDOFTEXT|>", "", " \n", None, "a\x1cb\x85c\xa0d", "aaaa bbbb abababab", "'S 've we'LL 12x3"]
     held += ["".join(rng.choice(alpha) for _ in range(rng.randint(1, 120))) for _ in range(1500)]
     held += ["".join(c for _ in range(40) if unicodedata.category(c := chr(rng.randint(32, 0x700))) not in ("Cn", "Cs", "Mn")) for _ in range(500)]
-    got = bpe.Encoder(PATH).encode(held).to_pylist()
-    for x, ids in zip(held, got):
+    flat, counts = bpe.Encoder(bpe.Vocabulary(PATH)).encode(held)
+    for x, ids in zip(held, np.split(flat, np.cumsum(counts)[:-1])):
+        ids = ids.tolist()
         assert ids == lib.encode(x or "", add_special_tokens=False).ids
 
 
@@ -164,10 +165,10 @@ def test_pair_index_takes_ranks_in_order():
 
 
 def test_bpe_forgets_without_harm(monkeypatch):
-    e = bpe.Encoder(PATH)
-    first = e.encode(["some words here", "and more"]).to_pylist()
+    e = bpe.Encoder(bpe.Vocabulary(PATH))
+    first = e.encode(["some words here", "and more"])[0].tolist()
     monkeypatch.setattr(bpe, "KEPT_PIECES", 0)
-    assert e.encode(["some words here", "and more"]).to_pylist() == first
+    assert e.encode(["some words here", "and more"])[0].tolist() == first
 
 
 def test_bpe_round(spark, odd, none):
@@ -179,7 +180,9 @@ def test_bpe_round(spark, odd, none):
     for r in got.collect():
         ids = lib.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == (lib.decode(ids, skip_special_tokens=False) if ids else "")
-    assert bpe.decode(bpe.encode(none, PATH), PATH).count() == 0
+    both = {(r.doc_id, r.decoded) for r in bpe.encode_decode(odd, PATH).collect()}
+    assert both == {(r.doc_id, r.decoded) for r in got.collect()}
+    assert bpe.decode(bpe.encode(none, PATH), PATH).count() == 0 and bpe.encode_decode(none, PATH).count() == 0
 
 
 def test_op3_digests(spark, sf, docs):
