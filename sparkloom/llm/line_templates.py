@@ -125,6 +125,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     base = docs.drop("n_lines", "n_dropped", "drop")
     drops = recurring_lines(docs, min_docs).distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("drop"))
     drops = materialise(drops.select(F.col("doc_id").alias("_id"), "drop"), "drops")
-    joined = base.join(drops, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    # always one shuffle by document, so that the plan is the same at every size; the build side is line numbers, never text
+    joined = base.join(drops.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "n_lines long", "n_dropped long"])
     return map_slices(joined, "text", schema, _without)
