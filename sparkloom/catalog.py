@@ -351,11 +351,11 @@ def _(spark, d):
 
 @register("pvt_totals", """
 select o_orderstatus, o_orderpriority, case grouping(o_orderstatus, o_orderpriority) when 0 then 'cell' when 1 then 'row' when 2 then 'column' else 'grand' end as level,
-  round(sum(o_totalprice), 2) as o_totalprice__sum, round(median(o_totalprice), 2) as o_totalprice__median, count(distinct o_custkey) as o_custkey__countd
+  round(sum(o_totalprice), 4) as o_totalprice__sum, round(median(o_totalprice), 4) as o_totalprice__median, count(distinct o_custkey) as o_custkey__countd
 from orders group by cube (o_orderstatus, o_orderpriority)""")
 def _(spark, d):
     spec = PivotSpec(("o_orderstatus",), ("o_orderpriority",), (("o_totalprice", "sum"), ("o_totalprice", "median"), ("o_custkey", "countd")))
-    return rounded(long_form(load(spark, d, "orders"), spec), 2)
+    return rounded(long_form(load(spark, d, "orders"), spec))
 
 
 @register("pvt_wide", """
