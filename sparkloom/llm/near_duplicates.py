@@ -12,8 +12,7 @@ Links. Texts with one shingle set (a 128-bit fingerprint) become one representat
 every member is compared with the bucket's least id only, then components are formed. While the pairs
 that are still open (in one bucket, but in different components) are more than ``OPEN_PAIRS`` for each
 row, every bucket takes another member, drawn by hash, and compares it with those of other components:
-a large group of near copies falls together in a few such rounds. What is then open is compared
-whole, unless its components are one already. Buckets of up to
+a large group of near copies falls together in a few such rounds. Of what is then open, buckets of up to
 ``PAIR_BUCKET`` such members are paired directly; the members of larger ones are joined exactly on
 the prefix of their rarest shingles, so large buckets lose no link and never emit all pairs.
 Every link is confirmed on the full shingle sets with 100 * intersection >= 75 * union.
@@ -38,9 +37,9 @@ from sparkloom.llm.textbatch import TextBatch, mix64, windows
 WIDTH = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
-PAIR_BUCKET = 128
+PAIR_BUCKET = 8
 ROUNDS, OPEN_PAIRS = 12, 4
-PARITY = 8
+PARITY = 16
 _M = np.uint64(0xD1342543DE82EF95)
 
 
@@ -154,21 +153,20 @@ def _rare_prefix_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
     ranked = each.join(seen, "s", "left").withColumn("place", place).where((F.col("place") <= least) & F.col("df").isNotNull())
     ranked = ranked.withColumn("cap", F.floor((F.col("n") - F.col("place") + 1) * ((100 + PERCENT) / PERCENT) - F.col("n") + 1e-6))
     ranked = ranked.where(100 * F.col("cap") >= PERCENT * F.col("n"))
-    ranked = ranked.join(members, "id").join(whole.select("id", "parity"), "id").select("id", "n", "s", "comp", "cap", "parity")
+    marks = [F.col("parity")[k].alias(f"m{k}") for k in range(PARITY)]
+    ranked = ranked.join(members, "id").join(whole.select("id", "parity"), "id").select("id", "n", "s", "comp", "cap", *marks)
     return _paired(materialise(ranked, "prefix"), "s", capped=True)
 
 
 def _paired(rows: DataFrame, key: str, capped: bool = False) -> DataFrame:
     """Pairs of rows with one key that are in different components and of similar size (and within each other's cap and parity)."""
-    rows = rows if capped else rows.withColumn("cap", F.lit(None).cast("long")).withColumn("parity", F.lit(None).cast("array<long>"))
-    x = rows.select(F.col(key).alias("kx"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("cap").alias("pa"), F.col("parity").alias("xa"))
-    y = rows.select(F.col(key).alias("ky"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("cap").alias("pb"), F.col("parity").alias("xb"))
-    fits = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_size("na", "nb")
+    side = lambda x: rows.select(*[F.col(c).alias(f"{x}_{c}") for c in rows.columns])
+    fits = (F.col("x_id") > F.col("y_id")) & (F.col("x_comp") != F.col("y_comp")) & _similar_size("x_n", "y_n")
     if capped:
-        fits = fits & (F.col("nb") <= F.col("pa")) & (F.col("na") <= F.col("pb"))
-        differ = sum((F.bit_count(F.get("xa", F.lit(k)).bitwiseXOR(F.get("xb", F.lit(k)))) for k in range(PARITY)), F.lit(0))
-        fits = fits & ((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("na") + F.col("nb")))
-    return x.join(y, (F.col("kx") == F.col("ky")) & fits).select("a", "b").distinct()
+        differ = sum((F.bit_count(F.col(f"x_m{k}").bitwiseXOR(F.col(f"y_m{k}"))) for k in range(PARITY)), F.lit(0))
+        fits = fits & (F.col("y_n") <= F.col("x_cap")) & (F.col("x_n") <= F.col("y_cap"))
+        fits = fits & ((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("x_n") + F.col("y_n")))
+    return side("x").join(side("y"), (F.col(f"x_{key}") == F.col(f"y_{key}")) & fits).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
