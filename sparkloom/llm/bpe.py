@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from sparkloom.llm.common import ragged
 from sparkloom.llm.textbatch import slices
 
-KEPT_PIECES = 150_000
+KEPT_PIECES = 600_000
 
 
 def _spelling() -> list[str]:
@@ -162,9 +162,11 @@ class Encoder:
         marks = [p for p in pieces if isinstance(p, tuple)]
         split = {p: [p] if p.isascii() and p.isalpha() else self.v.split.findall(p) for p in pieces if isinstance(p, str)}
         words = list({w: None for found in split.values() for w in found if w not in self.place})
-        self.enter(words + marks, PairIndex(self.v, [self.v.symbols(w) for w in words]).run() + [[self.v.added[m[0]]] for m in marks])
+        merged = PairIndex(self.v, [self.v.symbols(w) for w in words]).run()
+        self.enter(words + marks, merged + [[self.v.added[m[0]]] for m in marks])
+        fresh = dict(zip(words, merged))
         longer = [p for p in split if p not in self.place]
-        self.enter(longer, [[i for w in split[p] for i in self.of(w)] for p in longer])
+        self.enter(longer, [[i for w in split[p] for i in (fresh.get(w) or self.of(w))] for p in longer])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
