@@ -1,13 +1,15 @@
 """Line dedup by a log-template tree.
 
-A line's words are masked where they are variable by their look (they hold a digit). The tree has a
-fixed depth: first the number of words, then the first ``DEPTH`` masked words; a leaf is what shares
-those. Inside a leaf the remaining words are cut into ``FIELDS`` fields (one word each in short lines,
-stretches of words in long ones). A field's value that fewer than ``MIN_DOCS`` documents have in that
-leaf is variable and becomes a wildcard; a line's template is its leaf with the fields that are left.
-A template stands only if at least ``SHARE`` of its fields are constant, else the line is its own
-template. A template found in ``MIN_DOCS`` documents or more recurs: its lines are dropped everywhere but
-in the least doc_id that has it, and a repeated line inside that document stays.
+A line's words are masked where they are variable by their look (they hold a digit). The tree starts
+with the number of words, then the first ``DEPTH`` masked words; a leaf is what shares those. Each
+remaining word of a line is a field. A field's value is constant if at least ``CONSTANT`` of the leaf's
+documents (and ``MIN_DOCS``) have it, so the verdict is a share and the same at every size; any other
+value is variable and becomes a wildcard. A line's template is its leaf with the constants that are left; it
+stands only if at least ``SHARE`` of the fields are constant. Lines for which it does not stand are split
+by the most frequent value that each has and not all share (lines of one template have the same one), and judged
+again inside these smaller leaves, ``LEVELS`` times in all; then a line is its own template. A template found in
+``MIN_DOCS`` documents or more recurs: its lines are dropped everywhere but in the least doc_id that has it,
+and a repeated line inside that document stays.
 
 Everything is counted over all documents by grouped sums of hashed values (leaf, field, value);
 no leaf is ever gathered in one task. Only lines of at least ``MIN_WORDS`` words are judged; shorter
@@ -20,18 +22,21 @@ table gives no rows; extra columns stay, a column named as an output is replaced
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_slices, materialise
+from sparkloom.llm.common import map_slices, materialise, ragged
 from sparkloom.llm.textbatch import TextBatch, count_in, mix64
 
 MIN_WORDS = 5
 DEPTH = 3
-FIELDS = 8
 SHARE = 0.75
+CONSTANT = 0.1
+LEVELS = 4
 MIN_DOCS = 2
 DIGIT = np.zeros(256, bool)
 DIGIT[48:58] = True
@@ -42,7 +47,7 @@ LINES = "doc_id long, line_no int, leaf long, line long, fields array<int>"
 
 
 def line_signatures(t: TextBatch) -> tuple[np.ndarray, ...]:
-    """Of judged lines: text, line number, leaf, whole masked line, and the hash of each field (lines by FIELDS)."""
+    """Of judged lines: text, line number, leaf, whole masked line, number of fields, and the hashes of all fields."""
     ls, le, doc = t.lines()
     number = np.arange(len(ls)) - np.searchsorted(doc, doc)
     ws, we = t.words()
@@ -62,22 +67,36 @@ def line_signatures(t: TextBatch) -> tuple[np.ndarray, ...]:
     first = np.cumsum(n) - n
     leaf = mix64(sums[first + DEPTH] - sums[first] + mix64(n.astype(np.uint64)))
     whole = mix64(sums[first + n] - sums[first] + mix64(n.astype(np.uint64)))
-    rest = n - DEPTH
-    cuts = [first + DEPTH + (rest * k) // FIELDS for k in range(FIELDS + 1)]
-    fields = np.stack([(mix64(sums[cuts[k + 1]] - sums[cuts[k]]) >> np.uint64(33)).astype(np.int32) for k in range(FIELDS)], axis=1) if total else np.zeros((0, FIELDS), np.int32)
-    empty = np.stack([cuts[k + 1] == cuts[k] for k in range(FIELDS)], axis=1) if total else np.zeros((0, FIELDS), bool)
-    fields[empty] = -1  # lines with fewer words than fields have none there
-    return doc, number, leaf, whole, fields
+    fields = (h[word[place >= DEPTH]] >> np.uint64(33)).astype(np.int32)
+    return doc, number, leaf, whole, n - DEPTH, fields
 
 
 def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
     t = TextBatch(batch.column("text"))
-    doc, number, leaf, whole, fields = line_signatures(t)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * FIELDS), pa.array(fields.ravel()))
-    cols = [batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(whole.view(np.int64)), lists]
+    doc, number, leaf, whole, n, fields = line_signatures(t)
+    cols = [batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(whole.view(np.int64)), ragged(fields, n, pa.int32())]
     return pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", "leaf", "line", "fields"])
 
 
+def templates(mixed: DataFrame, min_docs: int) -> DataFrame:
+    """leaf, line and template of the lines of mixed (leaf, line, docs, fields) whose template stands."""
+    left, done = mixed.withColumn("node", F.col("leaf")), []
+    for _ in range(LEVELS):
+        values = left.select("node", "leaf", "line", "docs", F.posexplode("fields").alias("k", "value"))
+        held = left.groupBy("node").agg(F.sum("docs").alias("all"))
+        common = values.groupBy("node", "k", "value").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs).join(held, "node")
+        constant = F.col("support") >= F.col("all") * CONSTANT
+        anchor = F.when(F.col("support") < F.col("all"), F.struct("support", (-F.col("k")).alias("k"), "value"))
+        met = values.join(common, ["node", "k", "value"]).groupBy("node", "leaf", "line").agg(F.bit_xor(F.when(constant, F.xxhash64("k", "value"))).alias("constant"), F.count_if(constant).alias("n"), F.max(anchor).alias("anchor"))
+        stands = F.col("n") >= F.size("fields") * SHARE
+        judged = materialise(left.join(met, ["node", "leaf", "line"]).withColumn("stands", stands), "judged")
+        done.append(judged.where("stands").select("leaf", "line", F.xxhash64("node", "constant", "n").alias("template")))
+        left = judged.where("not stands and anchor is not null").select("leaf", "line", "docs", "fields", F.xxhash64("node", "anchor.k", "anchor.value").alias("node"))
+        if left.isEmpty():
+            break
+    return functools.reduce(DataFrame.union, done)
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and line_no of every line to drop."""
     lines = materialise(map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), "text", LINES, _lines), "lines")
@@ -86,15 +105,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     held = materialise(held, "templates")
     # leaves in which a template may recur beyond equal lines: several lines, enough documents
     leaves = held.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds")).where((F.col("all") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
-    mixed = materialise(lines.join(leaves, "leaf").groupBy("leaf", "line").agg(F.min("fields").alias("fields")).join(held, ["leaf", "line"]), "mixed")
-    values = mixed.select("leaf", "line", "docs", F.posexplode("fields").alias("k", "value")).where("value >= 0")
-    common = values.groupBy("leaf", "k", "value").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs).select("leaf", "k", "value")
-    kept = values.join(common, ["leaf", "k", "value"]).groupBy("leaf", "line").agg(F.bit_xor(F.xxhash64("k", "value")).alias("constant"), F.count(F.lit(1)).alias("n"))
-    size = F.size(F.filter("fields", lambda x: x >= 0))
-    shaped = mixed.select("leaf", "line", "docs", "first", size.alias("size")).join(kept, ["leaf", "line"], "left")
-    enough = F.coalesce(F.col("n"), F.lit(0)) >= F.col("size") * SHARE
+    mixed = materialise(lines.join(leaves, "leaf").groupBy("leaf", "line").agg(F.min("fields").alias("fields")).join(held.drop("first"), ["leaf", "line"]), "mixed")
     # templates with wildcards: their documents are counted over distinct (template, document)
-    shaped = materialise(shaped.where(enough).select("leaf", "line", F.xxhash64("leaf", "constant", "n").alias("template")), "shaped")
+    shaped = templates(mixed, min_docs)
     named = lines.select("leaf", "line", "doc_id").join(shaped, ["leaf", "line"]).select("template", "doc_id").distinct()
     general = named.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
     by_template = shaped.join(general.select("template", "first"), "template").select("leaf", "line", "first")

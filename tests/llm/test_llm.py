@@ -446,6 +446,20 @@ def test_line_templates_drop_equal_lines(docs):
     assert lonely <= 0.02 * sum(map(len, have.values()))
 
 
+@pytest.mark.parametrize("n", [200, 6000])
+def test_line_templates_wildcards_at_every_size(spark, n):
+    """Values that recur in a large corpus are variable all the same, also where other lines share the leaf."""
+    name, city = (F.concat(F.lit(x), F.translate((F.xxhash64("id", F.lit(x)) % 100).cast("string"), "-0123456789", "mabcdefghij")) for x in ("n", "c"))
+    line = F.format_string("Posted on behalf of %s in %s about the weekly market news and more", name, city)
+    other = F.concat(F.lit("Posted on behalf"), *[F.concat(F.lit(" o"), F.translate(F.abs(F.xxhash64("id", F.lit(k)) % 5000).cast("string"), "0123456789", "abcdefghij")) for k in range(11)])
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 20 == 0, line).otherwise(other).alias("text"))
+    alone = spark.range(n).select(F.col("id").alias("doc_id"), line.alias("text"))
+    assert line_templates.dedup_lines(alone).agg(F.sum("n_dropped")).first()[0] >= n - 12
+    got = line_templates.dedup_lines(df).groupBy((F.col("doc_id") % 20 == 0).alias("t")).agg(F.sum("n_dropped")).collect()
+    dropped = dict(map(tuple, got))
+    assert dropped[True] >= 0.9 * n / 20 - 1 and dropped[False] == 0
+
+
 # ---- 10
 
 
