@@ -12,8 +12,9 @@ again inside these smaller leaves, ``LEVELS`` times in all; then a line is its o
 and a repeated line inside that document stays.
 
 Everything is counted over all documents by grouped sums of hashed values (leaf, field, value);
-no leaf is ever gathered in one task. Only lines of at least ``MIN_WORDS`` words are judged; shorter
-ones, among them blank lines, always stay.
+no leaf is ever gathered in one task. Lines under ``MIN_WORDS`` words have no wildcards: one whose words are
+to at least ``SHARE`` without a digit is its masked words, any other its exact words. As short lines also meet
+by chance, one recurs if at least ``SHORT_SHARE`` of all documents (and ``SHORT_DOCS``) have it. Blank lines always stay.
 
 Defined cases: null and empty texts have one blank line, which stays; rows without a doc_id keep all
 lines; rows that share a doc_id count as one document; ties go to the least doc_id; an empty
@@ -38,44 +39,49 @@ SHARE = 0.75
 CONSTANT = 0.1
 LEVELS = 4
 MIN_DOCS = 2
+SHORT_SHARE = 0.001
+SHORT_DOCS = 3
 DIGIT = np.zeros(256, bool)
 DIGIT[48:58] = True
 _M = np.uint64(0xD1342543DE82EF95)
 _MASK = np.uint64(0x9E3779B97F4A7C15)
 
-LINES = "doc_id long, line_no int, leaf long, line long, fields array<int>"
+LINES = "doc_id long, line_no int, leaf long, line long, short boolean, fields array<int>"
 
 
 def line_signatures(t: TextBatch) -> tuple[np.ndarray, ...]:
-    """Of judged lines: text, line number, leaf, whole masked line, number of fields, and the hashes of all fields."""
+    """Of lines with a word: text, line number, leaf, whole masked line, number of fields, and the hashes of all fields."""
     ls, le, doc = t.lines()
     number = np.arange(len(ls)) - np.searchsorted(doc, doc)
     ws, we = t.words()
     a, b = np.searchsorted(ws, ls), np.searchsorted(ws, le)
-    some = b - a >= MIN_WORDS
+    some = b > a
     ls, le, doc, number, a, b = ls[some], le[some], doc[some], number[some], a[some], b[some]
-    h = t.hashes(ws, we)
-    h = np.where(count_in(DIGIT[t.data], ws, we) > 0, _MASK, h)
     n = b - a
+    masked = count_in(DIGIT[t.data], ws, we) > 0
+    exact = (n < MIN_WORDS) & (count_in(~masked, a, b) < n * SHARE)
     # a stretch's hash: sum of word hash times a power of its place in the line, by differences of running sums
     total = int(n.sum())
     place = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
     word = np.repeat(a, n) + place
+    h = t.hashes(ws, we)[word]
+    h = np.where(masked[word] & ~np.repeat(exact, n), _MASK, h)
     power = mix64(place.astype(np.uint64) + np.uint64(77)) | np.uint64(1)
     sums = np.zeros(total + 1, np.uint64)
-    np.cumsum(mix64(h[word] * power), out=sums[1:])
+    np.cumsum(mix64(h * power), out=sums[1:])
     first = np.cumsum(n) - n
-    leaf = mix64(sums[first + DEPTH] - sums[first] + mix64(n.astype(np.uint64)))
+    depth = np.where(n < MIN_WORDS, n, DEPTH)
+    leaf = mix64(sums[first + depth] - sums[first] + mix64(n.astype(np.uint64)))
     whole = mix64(sums[first + n] - sums[first] + mix64(n.astype(np.uint64)))
-    fields = (h[word[place >= DEPTH]] >> np.uint64(33)).astype(np.int32)
-    return doc, number, leaf, whole, n - DEPTH, fields
+    fields = (h[place >= np.repeat(depth, n)] >> np.uint64(33)).astype(np.int32)
+    return doc, number, leaf, whole, n - depth, fields
 
 
 def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
     t = TextBatch(batch.column("text"))
     doc, number, leaf, whole, n, fields = line_signatures(t)
-    cols = [batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(whole.view(np.int64)), ragged(fields, n, pa.int32())]
-    return pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", "leaf", "line", "fields"])
+    cols = [batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(n == 0), ragged(fields, n, pa.int32())]
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", "leaf", "line", "short", "fields"])
 
 
 def templates(mixed: DataFrame, min_docs: int) -> DataFrame:
@@ -101,17 +107,19 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and line_no of every line to drop."""
     lines = materialise(map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), "text", LINES, _lines), "lines")
     # one row for each leaf and line, with the documents that have it
-    held = lines.select("leaf", "line", "doc_id").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
+    held = lines.select("leaf", "line", "short", "doc_id").distinct().groupBy("leaf", "line", "short").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
     held = materialise(held, "templates")
     # leaves in which a template may recur beyond equal lines: several lines, enough documents
-    leaves = held.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds")).where((F.col("all") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
-    mixed = materialise(lines.join(leaves, "leaf").groupBy("leaf", "line").agg(F.min("fields").alias("fields")).join(held.drop("first"), ["leaf", "line"]), "mixed")
+    leaves = held.where("not short").groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds")).where((F.col("all") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
+    mixed = materialise(lines.where("not short").join(leaves, "leaf").groupBy("leaf", "line").agg(F.min("fields").alias("fields")).join(held.drop("first", "short"), ["leaf", "line"]), "mixed")
     # templates with wildcards: their documents are counted over distinct (template, document)
     shaped = templates(mixed, min_docs)
     named = lines.select("leaf", "line", "doc_id").join(shaped, ["leaf", "line"]).select("template", "doc_id").distinct()
     general = named.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
     by_template = shaped.join(general.select("template", "first"), "template").select("leaf", "line", "first")
-    equal = held.where(F.col("docs") >= min_docs).select("leaf", "line", "first")
+    known = docs.select("doc_id").where("doc_id is not null").distinct().count()
+    enough = F.when(F.col("short"), max(SHORT_DOCS, min_docs, SHORT_SHARE * known)).otherwise(min_docs)
+    equal = held.where(F.col("docs") >= enough).select("leaf", "line", "first")
     drop = equal.union(by_template).groupBy("leaf", "line").agg(F.min("first").alias("first"))
     return lines.join(drop, ["leaf", "line"]).where("doc_id != first").select("doc_id", "line_no")
 

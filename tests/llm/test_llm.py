@@ -460,6 +460,13 @@ def test_line_templates_wildcards_at_every_size(spark, n):
     assert dropped[True] >= 0.9 * n / 20 - 1 and dropped[False] == 0
 
 
+def test_line_templates_short_lines(spark):
+    rows = [(k, f"All rights reserved.\n\nLes.\nSee page {k} below\n{k} {k % 3}\nKey: {k}" + "\nrare" * (k < 2)) for k in range(6)]
+    got = {r.doc_id: r.text for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[k] == f"\n{k} {k % 3}\nKey: {k}" + "\nrare" * (k < 2) for k in range(1, 6))
+
+
 # ---- 10
 
 
