@@ -2,8 +2,9 @@
 
 Tokens are runs of letters or runs of digits (with inner points and commas). A number becomes a number
 slot, a token that begins with a capital letter a name slot, a unit word right after a number a unit slot; any
-other token stands for itself in lower case. A second form of every window keeps names as words, for
-texts whose case was changed. Windows of ``WINDOW`` tokens are hashed with slots as
+other token stands for itself in lower case. Other forms of every window keep names as words, for
+texts whose case was changed; fold a run of names into one slot whose value is the whole run, as a name may have
+any number of words; or keep every token, numbers and units too, so that exact copies match whatever they are made of. Windows of ``WINDOW`` tokens are hashed with slots as
 typed placeholders, so a question with other numbers, names or units has the windows of its original.
 
 Benchmark windows set bits in a bitmap of fixed size (2 MB, whatever the benchmark), which is
@@ -12,8 +13,8 @@ the only thing sent to the tasks; document windows whose bit is set go into an e
 diagonal (place in the document minus place in the item) belong together; there the slots must be
 consistent: one value in the item corresponds to one value in the document and the other way round.
 A document is contaminated if some diagonal is consistent and covers ``COVER`` tokens of the item, or
-the whole item if that is shorter. Windows with fewer than ``LITERALS`` tokens that are no slots say nothing
-and are left out; items shorter than a window are one window of their own length.
+the whole item if that is shorter. In the forms with slots, windows with fewer than
+``LITERALS`` tokens that are no slots say nothing and are left out; the form that keeps every token has no such bound. Items shorter than a window are one window of their own length.
 
 Defined cases: null and empty texts have no tokens and match nothing; rows without an id are left
 out of the matches and are clean; rows that share a doc_id share their matches; equal items all
@@ -86,11 +87,24 @@ def _windows(batch: pa.RecordBatch, sizes: list[int] | None, bits: np.ndarray |
     raw = t.data
     low = TextBatch(batch.column("text"), lower=True)
     value, typed, number, name, owner = tokens(low, raw)
-    counts = np.bincount(owner, minlength=t.n)
-    firsts = np.cumsum(counts) - counts
+    # a run of names as one token
+    heads = np.ones(len(owner), bool)
+    heads[1:] = ~(name[1:] & name[:-1] & (owner[1:] == owner[:-1]))
+    at = np.flatnonzero(heads)
+    place = np.arange(len(owner)) - at[np.cumsum(heads) - 1] if len(at) else at
+    run = np.add.reduceat(mix64(value + place.astype(np.uint64) * _M), at) if len(at) else value
+    names = np.where(name, _NAME, typed)
     parts = []
-    # two canonical forms: names as slots, and names as words in lower case (a text that was put in another case)
-    for form, template, slot in ((0, np.where(name, _NAME, typed), number | name), (1, typed, number)):
+    # canonical forms: names as slots, names as words in lower case (a text that was put in another case), all as words, runs of names as slots
+    forms = (
+        (names, number | name, value, owner, LITERALS),
+        (typed, number, value, owner, LITERALS),
+        (value, np.zeros(len(value), bool), value, owner, 0),
+        (names[at], (number | name)[at], np.where(name[at], run, value[at]), owner[at], LITERALS),
+    )
+    for form, (template, slot, value, owner, bound) in enumerate(forms):
+        counts = np.bincount(owner, minlength=t.n)
+        firsts = np.cumsum(counts) - counts
         literal = np.concatenate([[0], np.cumsum(~slot)])
         held = np.flatnonzero(slot)
         ends = np.concatenate([[0], np.cumsum(slot)])
@@ -101,8 +115,8 @@ def _windows(batch: pa.RecordBatch, sizes: list[int] | None, bits: np.ndarray |
             acc = template[:n].copy()
             for j in range(1, k):
                 acc = acc * _M + template[j : j + n]
-            acc = mix64(acc + np.uint64(2 * k + form))
-            good = (owner[:n] == owner[k - 1 :]) & (literal[k:] - literal[:n] >= min(LITERALS, k))
+            acc = mix64(acc + np.uint64(4 * k + form))
+            good = (owner[:n] == owner[k - 1 :]) & (literal[k:] - literal[:n] >= min(bound, k))
             if sizes is None and k < WINDOW:
                 good &= counts[owner[:n]] == k
             if bits is not None:
@@ -111,14 +125,14 @@ def _windows(batch: pa.RecordBatch, sizes: list[int] | None, bits: np.ndarray |
             at = np.flatnonzero(good)
             n_slots = ends[at + k] - ends[at]
             index = np.arange(int(n_slots.sum())) - np.repeat(np.cumsum(n_slots) - n_slots - ends[at], n_slots)
-            parts.append((at, acc[at], np.full(len(at), k), np.full(len(at), form), n_slots, value[held[index]]))
+            doc = owner[at]
+            parts.append((doc, at - firsts[doc], counts[doc], acc[at], np.full(len(at), k), np.full(len(at), form), n_slots, value[held[index]]))
     if not parts:
         return None
-    at, acc, size, form, n_slots, slots = (np.concatenate(x) for x in zip(*parts))
+    doc, at, counts, acc, size, form, n_slots, slots = (np.concatenate(x) for x in zip(*parts))
     if not len(at):
         return None
-    doc = owner[at]
-    cols = [batch.column("id").take(pa.array(doc)), pa.array(acc.view(np.int64)), pa.array(at - firsts[doc]), pa.array(size.astype(np.int32)), pa.array(form.astype(np.int32)), pa.array(counts[doc]), ragged(slots.view(np.int64), n_slots, pa.int64())]
+    cols = [batch.column("id").take(pa.array(doc)), pa.array(acc.view(np.int64)), pa.array(at), pa.array(size.astype(np.int32)), pa.array(form.astype(np.int32)), pa.array(counts), ragged(slots.view(np.int64), n_slots, pa.int64())]
     return pa.RecordBatch.from_arrays(cols, ["id", "window", "at", "size", "form", "tokens", "slots"])
 
 

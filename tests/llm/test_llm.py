@@ -137,6 +137,19 @@ def test_decontamination_finds_every_13_gram(spark, sf, docs):
     assert want <= got and len(got - want) <= 2
 
 
+def test_decontamination_numbers_and_names_of_several_words(spark):
+    sums = "12 + 7 = 19, 3 * 4 = 12, 8 + 8 = 16, 5 * 9 = 45, 6 / 2 = 3"
+    trip = "If {0} drives to {1} and back then how far is it for {0} when {1} lies so near to {0} as we said"
+    bench = spark.createDataFrame([(1, sums), (2, trip.format("John", "Paris")), (3, "7 8 15")], "item_id long, text string")
+    rows = [
+        (1, f"before {sums} after"), (2, sums.replace("45", "46")), (3, trip.format("Mary Ann", "New York")), (4, trip.format("Mary Ann", "Mary Ann")),
+        (5, trip.format("John", "Paris").lower()), (6, "so 7 + 8 = 15 it is"), (7, trip.format("Eve", "Rome")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    leaks = {(r.doc_id, r.item_id) for r in decontamination.contaminated(decontamination.matches(docs, bench)).collect()}
+    assert leaks == {(1, 1), (3, 2), (5, 2), (6, 3), (7, 2)}
+
+
 # ---- 3
 
 
