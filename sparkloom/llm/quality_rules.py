@@ -6,9 +6,8 @@ over the trusted target. A document's ratio is the mean over its 4-grams of log
 so equal texts get equal verdicts.
 
 Raw counts cover all documents. They leave each task already added up, so the shuffle and the table
-on the driver are at most ``buckets`` rows whatever the corpus. The target is fitted on labelled
-rows: all of them up to about ``target_rows``, else those whose hashed id falls under a share that
-keeps about so many (a documented bound, so that only ids of bounded number are broadcast).
+on the driver are at most ``buckets`` rows whatever the corpus. The target is counted on every row
+labelled good: documents meet the labels in a shuffled join on doc_id at every size, no ids are broadcast.
 
 Defined cases: null and empty texts have no words, fail the base rule and have ratio 0; texts under
 four bytes have ratio 0; an empty target or corpus gives ratio 0 everywhere; repeated ids are scored
@@ -22,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_slices, small_side
+from sparkloom.llm.common import map_slices
 from sparkloom.llm.textbatch import TextBatch, count_in, mix64, windows
 
 BUCKETS = 1 << 14
-TARGET_ROWS = 20_000
 THRESHOLD = -0.2
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -62,13 +60,10 @@ def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """Documents labelled good: all, or about ``rows`` of them chosen by hashed id."""
+def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All documents labelled good."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    n = good.count()
-    if n > rows:
-        good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
-    return docs.select("doc_id", "text").join(small_side(good, min(n, rows)), "doc_id", "left_semi")
+    return docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left_semi")
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:

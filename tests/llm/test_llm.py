@@ -107,6 +107,12 @@ def test_quality_rules_odd(odd, none):
     assert quality_rules.quality_rules(none, quality_rules.fit(none, none)).count() == 0
 
 
+def test_trusted_target_has_all_good_rows(spark):
+    docs = spark.range(50_000).selectExpr("id as doc_id", "'some text' as text")
+    labels = spark.range(100_000).selectExpr("id % 50000 as doc_id", "cast(id % 50000 < 30000 as int) as quality")
+    assert quality_rules.trusted_rows(docs, labels).count() == 30_000
+
+
 # ---- 2
 
 
