@@ -1,7 +1,8 @@
 """URL filters with redirect equivalence: block decisions spread over aliases, an explicit allow goes first.
 
 Aliases are urls joined by redirect edges (a table of the caller's, and ``<meta http-equiv=refresh>``
-in the html) and canonical-link edges (``<link rel=canonical>``). A node is a url without its
+in the html) and canonical-link edges (``<link rel=canonical>``), all that a page has. Their targets are resolved
+against the page's own url (``<base>`` is not read). A node is a url without its
 fragment, host in lower case; connected components of these edges are formed by joins. A url's own
 rule decides first (the longest that fits). Else its component does: allow if any of its urls has an
 allow rule, block if any has a block rule, allow otherwise.
@@ -26,7 +27,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>]+)"
+_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def _rest(url: Column) -> Column:
@@ -49,6 +50,31 @@ def node(url: Column) -> Column:
     return F.when(F.locate("://", url) > 0, F.concat(scheme, F.lit("://"), host(url), tail))
 
 
+def _without_dots(p: Column) -> Column:
+    """A path (and what follows it) with its . and .. segments taken out."""
+    body = F.regexp_extract(p, r"^([^?#]*)", 1)
+    parts = F.split(body, "/")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.array_append(done, x))
+    kept = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(body.contains("/."), F.concat(kept, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""), F.substring(p, F.length(body) + F.lit(1), F.length(p)))).otherwise(p)
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """A link's target as a whole url; null where it leads to no other page (fragments, mailto: and the like)."""
+    t = F.regexp_replace(target, r"(?i)&(amp|#0*38|#x0*26);", "&")
+    scheme = F.concat(F.substring_index(base, "://", 1), F.lit(":"))
+    site = F.concat(scheme, F.lit("//"), host(base))
+    folder = F.concat(F.lit("/"), F.regexp_extract(path(base), r"^/(.*/)?", 1))
+    return (
+        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when(t.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#|$)"), F.lit(None).cast("string"))
+        .when(t.startswith("//"), F.concat(scheme, t))
+        .when(t.startswith("/"), F.concat(site, _without_dots(t)))
+        .when(t.startswith("?"), F.concat(site, path(base), t))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, t))))
+    )
+
+
 def rule_of(h: Column, p: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     """The text and the verdict of the longest rule that fits; nulls if none does."""
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -59,11 +85,12 @@ def rule_of(h: Column, p: Column, rules: Sequence[tuple[str, str, str]] = RULES)
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """Edges (u, v) between nodes: a page and its canonical link or refresh target."""
+    """Edges (u, v) between nodes: a page and its canonical links and refresh targets."""
     html = F.coalesce("html", F.lit(""))
-    targets = F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))
-    marked = pages.where(html.rlike(r"(?i)\b(canonical|refresh)\b"))
-    return marked.select(node(F.col("url")).alias("u"), F.explode(targets).alias("t")).select("u", node(F.col("t")).alias("v")).where("u is not null and v is not null")
+    targets = F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
+    marked = pages.where(html.rlike(r"(?i)\b(canonical|refresh)\b") & (F.locate("://", F.col("url")) > 0))
+    linked = marked.select("url", F.explode(targets).alias("t"))
+    return linked.select(node(F.col("url")).alias("u"), node(resolve(F.col("t"), F.col("url"))).alias("v")).where("v is not null")
 
 
 def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -402,6 +402,17 @@ def test_url_filters_spread(spark):
     assert url_filters.url_filters(df.limit(0)).count() == 0 and url_filters.url_filters(df, ()).where("rule is not null").count() == 0
 
 
+def test_url_filters_resolve_targets(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    targets = ["/de/1", "//x.com/de/1", "1", "../de/./1", "?a=1&amp;b=2", "1#top", "#top", "mailto:a@b.c", "/go?u=http://y.net/"]
+    want = ["http://x.com/de/1", "http://x.com/de/1", "http://x.com/de/1", "http://x.com/de/1", "http://x.com/de/0?a=1&b=2", "http://x.com/de/1#top", None, None, "http://x.com/go?u=http://y.net/"]
+    df = spark.createDataFrame([(t,) for t in targets], "t string")
+    assert [r[0] for r in df.select(url_filters.resolve(F.col("t"), F.lit("http://X.com/de/0?q#f"))).collect()] == want
+    pages = [(1, "http://a.net/p/old", link("/q/new")), (2, "http://a.net/q/new", link("http://b.net/") + link("http://x.com/de/1")), (3, "http://c.net/x/y", """<meta http-equiv=refresh content="0; url='z?a&amp;b'">"""), (4, "http://c.net/x/z?a&b", link("//x.com/de/2"))]
+    got = {r.page_id: r.verdict for r in url_filters.url_filters(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == dict.fromkeys((1, 2, 3, 4), "block")
+
+
 # ---- 8
 
 
