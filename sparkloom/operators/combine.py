@@ -118,3 +118,14 @@ def diagnostics(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, st
     blanks = lambda df, n, out: df.where("blank").agg(F.coalesce(F.sum(n), F.lit(0)).alias(out))
     both = total.join(blanks(a, "nl", "bl")).join(blanks(b, "nr", "br"))
     return both.select("inner_rows", (F.col("left_unmatched") + F.col("bl")).alias("left_unmatched"), (F.col("right_unmatched") + F.col("br")).alias("right_unmatched"), "many_to_many")
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], by: str, how: str = "inner", parts: int = 32) -> DataFrame:
+    """rows joined with keyed, which has one row for each key; a key that a third of the rows share is dealt to ``parts`` tasks.
+
+    Rows are split by a hash of ``by``; keyed first goes to those (key, part) that occur, at most ``parts`` copies of a
+    key, so neither join has a key with more rows than that. Null keys match nothing and are spread in the same way.
+    """
+    split = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(parts)))
+    there = split.select(*keys, "__part").distinct().join(keyed, list(keys))
+    return split.join(there, [*keys, "__part"], how).drop("__part")

@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star rounds: joins and grouped minima only.
 
-Each round is written to the shared folder, so lineage stays short and a lost executor costs one
-round. Every grouping is a minimum, which Spark adds up before the shuffle, so a hub with a third of
+Each round is written to the shared folder and takes the place of the one before, so lineage stays
+short and a lost executor costs one round. Every grouping is a minimum, which Spark adds up before the shuffle, so a hub with a third of
 all edges is one row per task; the joins back to a hub's edges are plain equi-joins that adaptive
 execution can split. Rounds grow with the logarithm of the longest chain.
 """
@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == mark or state[0] == 0:
             break
         mark = state
-        now = materialise(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        now = materialise(_small_star(_large_star(now).distinct()).distinct(), "edges", instead_of=(now,))
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

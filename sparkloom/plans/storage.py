@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where the tables of this session lie that ``materialise`` wrote and nobody has given back.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where that is unset and the session is local (tests)."""
@@ -19,8 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{where}/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back; a lost executor then loses nothing before it."""
+def materialise(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: the lineage ends there and a lost executor loses nothing before it.
+
+    Tables that the new one takes the place of (``instead_of``) are deleted once it stands.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    release(*instead_of)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that no plan reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if (path := _written.pop(df, None)) is not None:
+            delete_folder(df.sparkSession, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any file system that Spark can write to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
