@@ -1,18 +1,19 @@
-"""Helpers that several operators share: reading tables, cutting lineage, checked broadcasts."""
+"""Helpers that several operators share: reading tables, checked broadcasts, slices of texts, sums along arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sparkloom.llm.textbatch import slices
+from sparkloom.plans.storage import delete_folder, materialise, release, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "delete_folder", "let", "map_slices", "materialise", "ragged", "release", "running_starts", "shared_dir", "small_side", "table"]
 
 #: A side of a join is broadcast by hand only after its rows were counted and are at most this many (a few MB of ids).
 BROADCAST_ROWS = 200_000
@@ -22,25 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where}/{spark.sparkContext.applicationId}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends there and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df
@@ -64,3 +46,29 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running_starts(sizes: Column) -> Column:
+    """Where each of a list of neighbouring stretches begins: the sum of the sizes before it.
+
+    Summed in blocks of about sqrt(n) entries, so n stretches cost n * sqrt(n) additions and no list is copied per entry.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+
+    def blocks(a: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int")
+        return let(width, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / w).cast("int") - 1), lambda i: F.slice(a, i * w + 1, w)))
+
+    def within(b: Column, first: Column) -> Column:
+        return F.transform(b, lambda _, j: first + total(F.slice(b, F.lit(1), j)))
+
+    def spread(parts: Column) -> Column:
+        return let(F.transform(parts, total), lambda sums: F.flatten(F.transform(parts, lambda b, i: within(b, total(F.slice(sums, F.lit(1), i))))))
+
+    found = let(sizes, lambda a: F.when(F.size(a) > 0, let(blocks(a), spread)))
+    return F.coalesce(found, F.array().cast("array<int>"))

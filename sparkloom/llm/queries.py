@@ -107,20 +107,60 @@ select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = componen
 """
 
 _OP7_SQL = r"""
-with parts as (
-  select page_id, strpos(url, '://') as mark, substr(url, strpos(url, '://') + 3) as rest from pages
-), split as (
-  select page_id,
-    case when mark > 0 then translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
-    case when mark > 0 then regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) else '' end as path
-  from parts
-), rules(kind, rh, rp) as (
+with recursive rules(kind, rh, rp) as (
   values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
-), fits as (
-  select page_id, kind, rh || rp as rule, row_number() over (partition by page_id order by length(rh || rp) desc) as place
-  from split join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)
+), tags as (
+  select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag from pages where strpos(url, '://') > 0
+), written as (
+  select url, regexp_replace(case
+      when regexp_matches(tag, '(?is)^<link\b.*[\s"'']rel\s*=\s*("[^"]*\bcanonical\b[^"]*"|''[^'']*\bcanonical\b[^'']*''|canonical\b)')
+        then regexp_extract(tag, '(?is)[\s"'']href\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1)
+      when regexp_matches(tag, '(?is)^<meta\b.*[\s"'']http-equiv\s*=\s*["'']?\s*refresh\b')
+        then regexp_extract(regexp_extract(tag, '(?is)[\s"'']content\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1), '(?is)\burl\s*=\s*(.*)$', 1)
+      else '' end, '^[\s"'']+|[\s"'']+$', '', 'g') as t
+  from tags
+), based as (
+  select url, regexp_replace(t, '(?i)&(amp|#0*38|#x0*26);', '&', 'g') as t, split_part(url, '://', 1) || ':' as scheme,
+    translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as h,
+    regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) as p
+  from written
+), dotted as (
+  select *, case when t like '/%' then t else '/' || regexp_extract(p, '^/(.*/)?', 1) || t end as q from based
+), plain as (
+  select *, regexp_extract(q, '^([^?#]*)', 1) as body, substr(q, length(regexp_extract(q, '^([^?#]*)', 1)) + 1) as more from dotted
+), cleaned as (
+  select *, case when contains(body, '/.') then
+      list_reduce(string_split(body, '/'), lambda done, x: case when x = '.' then done when x = '..' then regexp_replace(done, '/[^/]*$', '') else done || '/' || x end)
+      || case when string_split(body, '/')[-1] in ('.', '..') then '/' else '' end || more else q end as whole
+  from plain
+), resolved as (
+  select url, case
+      when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t
+      when regexp_matches(t, '^([A-Za-z][A-Za-z0-9+.-]*:|#|$)') then null
+      when t like '//%' then scheme || t
+      when t like '?%' then scheme || '//' || h || p || t
+      else scheme || '//' || h || whole end as target
+  from cleaned
+), named as (
+  select u, translate(split_part(u, '://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as scheme,
+    translate(regexp_extract(substr(u, strpos(u, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(u, strpos(u, '://') + 3), '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(substr(u, strpos(u, '://') + 3), '^[^/?#]*([^#]*)', 1) as tail
+  from (select url as u from pages union select target from resolved) where strpos(u, '://') > 0
+), judged as (
+  select u, host, path, scheme || '://' || host || tail as node, arg_max(kind, length(rh || rp)) as kind, arg_max(rh || rp, length(rh || rp)) as rule
+  from named left join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by all
+), edges as (
+  select a.node as x, b.node as y from resolved r join judged a on a.u = r.url join judged b on b.u = r.target
+), both_ways as (
+  select x, y from edges union select y, x from edges
+), reach(node, here) as (
+  select x, x from both_ways union select r.node, b.y from reach r join both_ways b on r.here = b.x
+), told as (
+  select r.node, bool_or(j.kind = 'allow') as any_allow, bool_or(j.kind = 'block') as any_block from reach r join judged j on j.node = r.here group by 1
 )
-select s.page_id, host, path, rule, coalesce(kind, 'allow') as verdict from split s left join fits f on s.page_id = f.page_id and place = 1
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule,
+  coalesce(kind, case when any_allow then 'allow' when any_block then 'block' end, 'allow') as verdict
+from pages left join judged on u = url left join told using (node)
 """
 
 _OP8_SQL = r"""
@@ -139,18 +179,15 @@ _OP10_SQL = r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
-), frames as (
-  select *, '<s>[INST]' || role || '[/INST]' || text || '</s>' as plain,
-    '<s>[INST]' || regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') || '[/INST]' || regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') || '</s>' as safe,
-    regexp_matches(role || ' ' || text, '</s>|\[/INST\]') as conflict
-  from c
+), marked as (
+  select *, len(regexp_extract_all(role || ' ' || text, '[<\[]\\*(/?s>|/?INST\])')) as n_controls from c
 )
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  (case when bool_or(conflict) then sum(length(safe)) else sum(length(plain)) end)::bigint as formatted_chars
-from frames group by conv_id
+  sum(length('<s>[INST]') + length(role) + length('[/INST]') + length(text) + length('</s>') + n_controls)::bigint as formatted_chars
+from marked group by conv_id
 """
 
 

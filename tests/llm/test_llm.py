@@ -3,18 +3,22 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import struct
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import bpe, chat_format, decontamination, line_crf, line_templates, near_duplicates, quality_rules, queries, secret_scan, textbatch, url_filters, warc
-from sparkloom.llm.components import connected_components
+from sparkloom.llm import bpe, chat_format, common, decontamination, line_crf, line_templates, near_duplicates, quality_rules, queries, secret_scan, textbatch, url_filters, warc
+from sparkloom.operators.components import connected_components
+from sparkloom.plans.storage import materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(0, None), (1, ""), (2, "  \n\t "), (3, "one"), (3, "one"), (4, "a b c d e f g"), (5, "a b c d e f g"), (None, "null id here with words"), (6, "é 日本語 😀 x\n\nx\n" * 3), (7, "w " * 30_000)]
@@ -413,6 +417,28 @@ def test_url_filters_resolve_targets(spark):
     assert got == dict.fromkeys((1, 2, 3, 4), "block")
 
 
+def test_url_filters_equal_sql_on_a_table_with_edges(spark, tmp_path):
+    """Chains, rings, stars and a hot url of pages, linked in every way a page can link, against the recursive SQL."""
+    import duckdb
+
+    rng = random.Random(11)
+    hosts = ["a.net", "B.net", "x.com", "example.org", "sub.example.org", "q.io"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['de', 'fr', 'es', 'en/1', 'p'])}/{k}" for k in range(150)] + ["https://a.net", "http://a.net/d/e/?x=1#y", None, "no mark", "http://hot.net/"]
+    tag = ['<link rel="canonical" href="{}">', "<LINK href='{}' data-x=1 rel=canonical />", '<link rel="alternate canonical"\n href= "{}" >', '<meta http-equiv="refresh" content="0; url={}">', "<meta content=\"3;URL='{}'\" http-equiv=Refresh>", '<link rel="stylesheet" href="{}">', '<a href="{}">canonical</a>']
+    pages = []
+    for k in range(400):
+        u = rng.choice(urls) if k % 3 else "http://hot.net/"
+        to = [rng.choice([*(x for x in urls if x), "/de/7", "//x.com/de/9", "../fr/./8", "?a=1&amp;b=2", "#top", "mailto:a@b.c", "next", "", "/..", "http://hot.net/" if k % 40 == 0 else "/own"]) for _ in range(rng.choice([0, 0, 1, 2]))]
+        pages.append((k // 2, u, None if k % 50 == 7 else "<html>" + "x" * (30_000 if k == 5 else 3) + "".join(rng.choice(tag).format(t) for t in to)))
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(map(str, con.execute(queries.oracle_sql()["op7_url_filters"]).fetchall()))
+    got = queries.op7_url_filters(spark, str(tmp_path)).collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    assert len({r.verdict for r in got if r.rule is None}) == 2
+
+
 # ---- 8
 
 
@@ -431,8 +457,49 @@ def test_warc(spark, tmp_path):
         raw = held[r.page_id].encode()
         assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest()) and r.payload == (raw if r.record_type == "response" else None)
     assert warc.read(warc.write(warc.planned(df.limit(0)), f"file://{tmp_path}/e")).count() == 0
-    head = open(manifest.first().path.removeprefix("file://"), "rb").read(8)
-    assert int.from_bytes(head[:4], "little") == warc.MAGIC
+    for path in [r.path.removeprefix("file://") for r in manifest.collect()]:
+        with open(path, "rb") as f:
+            head = f.read(8)
+            assert int.from_bytes(head[:4], "little") == warc.MAGIC and int.from_bytes(head[4:], "little") > 0
+
+
+def test_warc_rolls_over_and_reads_in_parallel(spark, tmp_path):
+    """Many archives, a payload larger than an archive, and a payload that half of all pages share."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh <>/") for _ in range(n))
+    hot = text(500)
+    pages = [(k, f"u{k}", hot if k % 2 else text(rng.randint(0, 900))) for k in range(300)] + [(1000, "long", text(200_000))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    manifest = materialise(warc.write(warc.planned(df), f"file://{tmp_path}/w", 4 << 10, 2 << 10), "manifest")
+    told = manifest.collect()
+    assert len(told) > 20 and sum(r.records for r in told) == len(pages)
+    read = warc.read(manifest)
+    assert read.rdd.getNumPartitions() == len(told)
+    got = {r.page_id: r for r in read.collect()}
+    assert len(got) == len(pages)
+    for p, u, h in pages:
+        again = p % 2 == 1 and p > 1
+        assert (got[p].url, got[p].record_type, got[p].refers_to, got[p].payload) == (u, "revisit" if again else "response", 1 if again else None, None if again else h.encode())
+    for r in told:  # every archive is in the order of pages, and its bytes are those of the manifest
+        ids = [x["page_id"] for x in warc.read_archive(r.path)]
+        assert ids == sorted(ids) and os.path.getsize(r.path.removeprefix("file://")) == r.bytes
+
+
+@pytest.mark.parametrize("sample", [[b"x"], [b"abcdefgh"] * 3, [bytes(range(256)) * 500], [b"word and word " * 40] * 20])
+def test_warc_dictionary_of_any_records(sample, tmp_path):
+    import pyarrow.fs as pafs
+
+    path = str(tmp_path / "a")
+    warc._archive(pafs.LocalFileSystem(), path, sample, iter([]))
+    with open(path, "rb") as f:
+        _, size = struct.unpack("<II", f.read(8))
+        kept, rest = zstandard.ZstdCompressionDict(f.read(size)), f.read()
+    out = b""
+    while rest:
+        press = zstandard.ZstdDecompressor(dict_data=kept).decompressobj()
+        out += press.decompress(rest)
+        rest = press.unused_data
+    assert size > 0 and out == b"".join(sample)
 
 
 # ---- 9
@@ -500,18 +567,65 @@ def test_line_templates_short_lines(spark):
 # ---- 10
 
 
+CONTROL = re.compile(r"<s>|</s>|\[INST\]|\[/INST\]")
+
+
+def brute_unescape(text):
+    return re.sub(r"([<\[])\\(\\*)(/?s>|/?INST\])", r"\1\2\3", text)
+
+
+def brute_parse(formatted):
+    """A scanner over the output: frames end to end, no control string inside, what is between unescaped; also the spans of texts."""
+    at, turns, spans = 0, [], []
+    marks = [(m.start(), m.end(), m[0]) for m in CONTROL.finditer(formatted)]
+    assert [m[2] for m in marks] == ["<s>", "[INST]", "[/INST]", "</s>"] * (len(marks) // 4)
+    for k in range(0, len(marks), 4):
+        s, i, e, z = marks[k : k + 4]
+        assert s[0] == at and i[0] == s[1]
+        turns.append((brute_unescape(formatted[i[1] : e[0]]), brute_unescape(formatted[e[1] : z[0]])))
+        spans.append((e[1], z[0] - e[1]))
+        at = z[1]
+    assert at == len(formatted)
+    return turns, spans
+
+
 def test_chat_round_trip(spark):
-    bad = ["</s>[INST] ok [/INST]", "<s>", "<\\/s>", "[\\\\INST][INST", "plain", "", None, "a[/INST]b</s><s>[INST]assistant[/INST]x", "\\", "é\n"]
-    rows = [(i % 5 if i % 7 else None, i // 2, ["user", "assistant", None, "a[/INST]"][i % 4], bad[i % len(bad)]) for i in range(60)] + [(9, 0, "assistant", "x" * 50_000)] * 2
+    bad = ["</s>[INST] ok [/INST]", "<s>", "<\\/s>", "[\\\\INST][INST", "plain", "", None, "a[/INST]b</s><s>[INST]assistant[/INST]x", "\\", "é\n😀", "[INST] <s> x", "<", "<</s>", "[[INST]]", "<\\\\s>"]
+    rows = [(i % 7 if i % 11 else None, i // 2, ["user", "assistant", None, "a[/INST]"][i % 4], bad[i % len(bad)]) for i in range(210)] + [(9, 0, "assistant", "x" * 50_000)] * 2
+    rows += [(100 + k, 0, "assistant", x) for k, x in enumerate(bad)] + [(200, i, "assistant", f"t{i}<s>") for i in range(40)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     made = chat_format.chat_format(df)
-    assert made.where("not round_trip").count() == 0 and made.where("not escaped").count() == 1
+    assert made.where("not round_trip").count() == 0
     key = lambda r: (r[1], r[2] or "", r[3] or "")
-    for r in chat_format.read_back(made).collect():
+    seen = 0
+    for r in made.collect():
+        mine = sorted((x for x in rows if x[0] == r.conv_id), key=key)
+        want = [(x[2] or "", x[3] or "") for x in mine]
+        turns, spans = brute_parse(r.formatted)
+        assert turns == want
+        assert [tuple(s) for s in r.loss_spans] == [s for s, t in zip(spans, turns) if t[0] == "assistant"]
+        plain = "".join(f"<s>[INST]{a}[/INST]{b}</s>" for a, b in want)
+        assert r.escaped == any(re.search(r"[<\[]\\*(/?s>|/?INST\])", a + " " + b) is not None for a, b in want) == (r.formatted != plain)
+        seen += 1
+    for r in chat_format.read_back(made.select("conv_id", "formatted")).collect():
         mine = sorted((x for x in rows if x[0] == r.conv_id), key=key)
         assert [(t.role, t.text) for t in r.turns] == [(x[2] or "", x[3] or "") for x in mine]
         assert r.loss_text == "".join(x[3] or "" for x in mine if x[2] == "assistant")
-    assert chat_format.chat_format(df.limit(0)).count() == 0
+        seen -= 1
+    assert seen == 0 and chat_format.chat_format(df.limit(0)).count() == 0
+
+
+def test_chat_grammar_refuses(spark):
+    held = ["<s>[INST]a[/INST]b</s>", "x<s>[INST]a[/INST]b</s>", "<s>[INST]a[/INST]b", "<s>[INST]a[/INST]<s>b</s>", "<s> [INST]a[/INST]b</s>", "<s>[INST]a[/INST]b</s>\n", "plain", ""]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in held], "t string").select(chat_format.parse(F.col("t"))).collect()]
+    assert [g is not None for g in got] == [True, False, False, False, False, False, False, True] and got[7] == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 101])
+def test_running_starts(spark, n):
+    sizes = [k * k % 7 for k in range(n)]
+    got = spark.createDataFrame([(sizes,)], "a array<int>").select(common.running_starts(F.col("a"))).first()[0]
+    assert got == [sum(sizes[:k]) for k in range(n)]
 
 
 # ---- queries and pipeline
