@@ -7,10 +7,13 @@ fragment, host in lower case; connected components of these edges are formed by
 rule decides first (the longest that fits). Else its component does: allow if any of its urls has an
 allow rule, block if any has a block rule, allow otherwise.
 
+A url that very many pages have, and all pages that ask no component, are dealt to several tasks by page_id.
+
 DataFrame functions only. The rules are a short list of the caller's and become literals. Defined
 cases: a null url or one without ``://`` has an empty host and path, no rule, no aliases and is
-allowed; null html has no edges; repeated pages are judged row by row; an empty table or an empty
-rule list is fine; extra columns are ignored.
+allowed; null html has no edges; very long html is read whole (a tag ends at its first ``>``); repeated
+pages are judged row by row; of rules of one length the later in (verdict, host, path) order decides; an
+empty table or an empty rule list is fine; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +23,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.components import connected_components
+from sparkloom.operators.combine import spread_join
+from sparkloom.operators.components import connected_components
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'\s>]+)"
+_VALUE = r"""[\s"']%s\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+_CANONICAL = r"""(?is)^<link\b.*[\s"']rel\s*=\s*("[^"]*\bcanonical\b[^"]*"|'[^']*\bcanonical\b[^']*'|canonical\b)"""
+_REFRESH = r"""(?is)^<meta\b.*[\s"']http-equiv\s*=\s*["']?\s*refresh\b"""
 
 
 def _rest(url: Column) -> Column:
@@ -84,12 +90,19 @@ def rule_of(h: Column, p: Column, rules: Sequence[tuple[str, str, str]] = RULES)
     return text, verdict
 
 
+def link_target(tag: Column) -> Column:
+    """What a canonical link or a refresh names, as written but for quotes; the empty text for any other tag."""
+    refresh = F.regexp_extract(F.regexp_extract(tag, "(?is)" + _VALUE % "content", 1), r"(?is)\burl\s*=\s*(.*)$", 1)
+    found = F.when(tag.rlike(_CANONICAL), F.regexp_extract(tag, "(?is)" + _VALUE % "href", 1)).when(tag.rlike(_REFRESH), refresh).otherwise("")
+    return F.regexp_replace(found, r"""^[\s"']+|[\s"']+$""", "")
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """Edges (u, v) between nodes: a page and its canonical links and refresh targets."""
     html = F.coalesce("html", F.lit(""))
-    targets = F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
-    marked = pages.where(html.rlike(r"(?i)\b(canonical|refresh)\b") & (F.locate("://", F.col("url")) > 0))
-    linked = marked.select("url", F.explode(targets).alias("t"))
+    marked = pages.where(html.rlike(r"(?i)canonical|refresh") & (F.locate("://", F.col("url")) > 0))
+    tags = marked.select("url", F.explode(F.regexp_extract_all(html, F.lit(_TAG), F.lit(0))).alias("tag"))
+    linked = tags.select("url", link_target(F.col("tag")).alias("t"))
     return linked.select(node(F.col("url")).alias("u"), node(resolve(F.col("t"), F.col("url"))).alias("v")).where("v is not null")
 
 
@@ -104,7 +117,9 @@ def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     inside = groups.withColumn("host", host(F.col("node"))).withColumn("path", path(F.col("node"))).withColumn("own", verdict)
     said = inside.groupBy("component").agg(F.max(F.col("own") == "allow").alias("any_allow"), F.max(F.col("own") == "block").alias("any_block"))
     said = said.withColumn("spread", F.when(F.col("any_allow"), "allow").when(F.col("any_block"), "block")).where("spread is not null").select("component", "spread")
-    by_node = groups.join(said, "component").select("node", "spread")
-    judged = pages.select("page_id", node(url).alias("node"), host(url).alias("host"), path(url).alias("path")).withColumn("rule", text).withColumn("own", verdict)
-    joined = judged.join(by_node, "node", "left")
+    by_node = spread_join(groups, said, ["component"], by="node").select("node", "spread")
+    judged = pages.select("page_id", url, host(url).alias("host"), path(url).alias("path")).withColumn("rule", text).withColumn("own", verdict)
+    # only pages without a rule of their own ask their component; all others have no key and are dealt evenly
+    asking = judged.select("page_id", "host", "path", "rule", "own", F.when(F.col("own").isNull(), node(url)).alias("node"))
+    joined = spread_join(asking, by_node, ["node"], by="page_id", how="left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("own", "spread", F.lit("allow")).alias("verdict"))
