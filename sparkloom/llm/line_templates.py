@@ -11,19 +11,26 @@ again inside these smaller leaves, ``LEVELS`` times in all; then a line is its o
 ``MIN_DOCS`` documents or more recurs: its lines are dropped everywhere but in the least doc_id that has it,
 and a repeated line inside that document stays.
 
+Lines are equal if the 128-bit BLAKE2 digests of their masked words are; before a line is taken out, its
+digest is made again from the text and compared. Fields are 64-bit hashes of words, templates are told
+apart by their node and by their constants (64 bits each).
+
 Everything is counted over all documents by grouped sums of hashed values (leaf, field, value);
-no leaf is ever gathered in one task. Lines under ``MIN_WORDS`` words have no wildcards: one whose words are
+no leaf is ever gathered in one task: joins on a leaf or node are split further by line or value. Lines under ``MIN_WORDS`` words have no wildcards: one whose words are
 to at least ``SHARE`` without a digit is its masked words, any other its exact words. As short lines also meet
 by chance, one recurs if at least ``SHORT_SHARE`` of all documents (and ``SHORT_DOCS``) have it. Blank lines always stay.
 
 Defined cases: null and empty texts have one blank line, which stays; rows without a doc_id keep all
-lines; rows that share a doc_id count as one document; ties go to the least doc_id; an empty
+lines; rows that share a doc_id count as one document, of each row the lines that it has itself are taken out; ties go to the least doc_id; an empty
 table gives no rows; extra columns stay, a column named as an output is replaced.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +48,31 @@ LEVELS = 4
 MIN_DOCS = 2
 SHORT_SHARE = 0.001
 SHORT_DOCS = 3
+PARTS = 32
 DIGIT = np.zeros(256, bool)
 DIGIT[48:58] = True
 _M = np.uint64(0xD1342543DE82EF95)
 _MASK = np.uint64(0x9E3779B97F4A7C15)
 
-LINES = "doc_id long, line_no int, leaf long, line long, short boolean, fields array<int>"
+_HOLDS_DIGIT = re.compile(rb"\S*[0-9]\S*")
+
+#: A line is named by its leaf and the two halves of its digest.
+LINE = ["leaf", "line", "check"]
+LINES = "doc_id long, line_no int, leaf long, line long, check long, short boolean, fields array<long>"
+
+
+def line_digest(raw: bytes) -> bytes:
+    """The digest of a line's words, those with a digit masked (in short lines only if enough words have none)."""
+    words = raw.split()
+    if _HOLDS_DIGIT.search(raw) is not None:
+        masked = [b"\0" if _HOLDS_DIGIT.fullmatch(w) else w for w in words]
+        if len(words) >= MIN_WORDS or sum(w != b"\0" for w in masked) >= len(words) * SHARE:
+            words = masked
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def line_signatures(t: TextBatch) -> tuple[np.ndarray, ...]:
-    """Of lines with a word: text, line number, leaf, whole masked line, number of fields, and the hashes of all fields."""
+    """Of lines with a word: text, line number, leaf, digest (two words of 64 bits), number of fields, and the hashes of all fields."""
     ls, le, doc = t.lines()
     number = np.arange(len(ls)) - np.searchsorted(doc, doc)
     ws, we = t.words()
@@ -72,80 +94,94 @@ def line_signatures(t: TextBatch) -> tuple[np.ndarray, ...]:
     first = np.cumsum(n) - n
     depth = np.where(n < MIN_WORDS, n, DEPTH)
     leaf = mix64(sums[first + depth] - sums[first] + mix64(n.astype(np.uint64)))
-    whole = mix64(sums[first + n] - sums[first] + mix64(n.astype(np.uint64)))
-    fields = (h[place >= np.repeat(depth, n)] >> np.uint64(33)).astype(np.int32)
-    return doc, number, leaf, whole, n - depth, fields
+    raw = t.data.tobytes()
+    digests = b"".join(line_digest(raw[x:y]) for x, y in zip(ls.tolist(), le.tolist()))
+    return doc, number, leaf, np.frombuffer(digests, np.int64).reshape(-1, 2), n - depth, h[place >= np.repeat(depth, n)]
 
 
 def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
     t = TextBatch(batch.column("text"))
-    doc, number, leaf, whole, n, fields = line_signatures(t)
-    cols = [batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(n == 0), ragged(fields, n, pa.int32())]
-    return pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", "leaf", "line", "short", "fields"])
+    doc, number, leaf, digest, n, fields = line_signatures(t)
+    cols = [batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(n == 0), ragged(fields.view(np.int64), n, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", *LINE, "short", "fields"])
+
+
+def _part(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(PARTS)).cast("int")
 
 
 def templates(mixed: DataFrame, min_docs: int) -> DataFrame:
-    """leaf, line and template of the lines of mixed (leaf, line, docs, fields) whose template stands."""
+    """leaf, line, check and template (node, constant, n) of the lines of mixed (these, docs, fields) whose template stands."""
     left, done = mixed.withColumn("node", F.col("leaf")), []
     for _ in range(LEVELS):
-        values = left.select("node", "leaf", "line", "docs", F.posexplode("fields").alias("k", "value"))
-        held = left.groupBy("node").agg(F.sum("docs").alias("all"))
-        common = values.groupBy("node", "k", "value").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs).join(held, "node")
+        values = left.select("node", *LINE, "docs", F.posexplode("fields").alias("k", "value"))
+        held = left.groupBy("node").agg(F.sum("docs").alias("all")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        common = values.groupBy("node", "k", "value").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
+        common = common.withColumn("part", _part("value")).join(held, ["node", "part"]).drop("part")
         constant = F.col("support") >= F.col("all") * CONSTANT
         anchor = F.when(F.col("support") < F.col("all"), F.struct("support", (-F.col("k")).alias("k"), "value"))
-        met = values.join(common, ["node", "k", "value"]).groupBy("node", "leaf", "line").agg(F.bit_xor(F.when(constant, F.xxhash64("k", "value"))).alias("constant"), F.count_if(constant).alias("n"), F.max(anchor).alias("anchor"))
+        met = values.join(common, ["node", "k", "value"]).groupBy("node", *LINE).agg(F.bit_xor(F.when(constant, F.xxhash64("k", "value"))).alias("constant"), F.count_if(constant).alias("n"), F.max(anchor).alias("anchor"))
         stands = F.col("n") >= F.size("fields") * SHARE
-        judged = materialise(left.join(met, ["node", "leaf", "line"]).withColumn("stands", stands), "judged")
-        done.append(judged.where("stands").select("leaf", "line", F.xxhash64("node", "constant", "n").alias("template")))
-        left = judged.where("not stands and anchor is not null").select("leaf", "line", "docs", "fields", F.xxhash64("node", "anchor.k", "anchor.value").alias("node"))
+        judged = materialise(left.join(met, ["node", *LINE]).withColumn("stands", stands), "judged")
+        done.append(judged)
+        left = judged.where("not stands and anchor is not null").select(*LINE, "docs", "fields", F.xxhash64("node", "anchor.k", "anchor.value").alias("node"))
         if left.isEmpty():
             break
-    return functools.reduce(DataFrame.union, done)
+    stood = [judged.where("stands").select(*LINE, "node", F.coalesce("constant", F.lit(0)).alias("constant"), "n") for judged in done]
+    return materialise(functools.reduce(DataFrame.union, stood), "shaped", instead_of=tuple(done))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id and line_no of every line to drop."""
+    """doc_id, line_no and digest (line, check) of every line to drop; a written table."""
     lines = materialise(map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), "text", LINES, _lines), "lines")
-    # one row for each leaf and line, with the documents that have it
-    held = lines.select("leaf", "line", "short", "doc_id").distinct().groupBy("leaf", "line", "short").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
-    held = materialise(held, "templates")
+    # one row for each line, with the number of documents that have it
+    held = lines.select(*LINE, "short", "doc_id").distinct().groupBy(*LINE, "short").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
+    held = materialise(held, "held")
     # leaves in which a template may recur beyond equal lines: several lines, enough documents
-    leaves = held.where("not short").groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds")).where((F.col("all") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
-    mixed = materialise(lines.where("not short").join(leaves, "leaf").groupBy("leaf", "line").agg(F.min("fields").alias("fields")).join(held.drop("first", "short"), ["leaf", "line"]), "mixed")
+    bits = F.bit_or(F.expr("shiftleft(1L, part)"))
+    leaves = held.where("not short").withColumn("part", _part("line")).groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds"), bits.alias("parts"))
+    there = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.getbit("parts", k) == 1)
+    leaves = leaves.where((F.col("all") >= min_docs) & (F.col("kinds") > 1)).select("leaf", F.explode(there).alias("part"))
+    of_leaves = lines.where("not short").withColumn("part", _part("line")).join(leaves, ["leaf", "part"])
+    mixed = materialise(of_leaves.groupBy(*LINE).agg(F.min("fields").alias("fields")).join(held.drop("first", "short"), LINE), "mixed")
     # templates with wildcards: their documents are counted over distinct (template, document)
     shaped = templates(mixed, min_docs)
-    named = lines.select("leaf", "line", "doc_id").join(shaped, ["leaf", "line"]).select("template", "doc_id").distinct()
-    general = named.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    by_template = shaped.join(general.select("template", "first"), "template").select("leaf", "line", "first")
+    template = ["node", "constant", "n"]
+    named = lines.select(*LINE, "doc_id").join(shaped, LINE).select(*template, "doc_id").distinct()
+    general = named.groupBy(*template).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
+    by_template = shaped.join(general.drop("docs"), template).select(*LINE, "first")
     known = docs.select("doc_id").where("doc_id is not null").distinct().count()
     enough = F.when(F.col("short"), max(SHORT_DOCS, min_docs, SHORT_SHARE * known)).otherwise(min_docs)
-    equal = held.where(F.col("docs") >= enough).select("leaf", "line", "first")
-    drop = equal.union(by_template).groupBy("leaf", "line").agg(F.min("first").alias("first"))
-    return lines.join(drop, ["leaf", "line"]).where("doc_id != first").select("doc_id", "line_no")
+    equal = held.where(F.col("docs") >= enough).select(*LINE, "first")
+    drop = equal.union(by_template).groupBy(*LINE).agg(F.min("first").alias("first"))
+    out = lines.join(drop, LINE).where("doc_id != first").select("doc_id", "line_no", "line", "check")
+    return materialise(out, "drops", instead_of=(lines, held, mixed, shaped))
 
 
 def _without(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The text without the lines in column drop."""
+    """The text without the lines in column drop whose digests are those named there."""
     texts, drops = batch.column("text").to_pylist(), batch.column("drop").to_pylist()
-    out, n_lines = [], []
+    out, n_lines, n_dropped = [], [], []
     for text, drop in zip(texts, drops):
         parts = (text or "").split("\n")
+        gone = set()
+        for d in drop or ():
+            if (k := d["line_no"]) < len(parts) and line_digest(parts[k].encode()) == struct.pack("=qq", d["line"], d["check"]):
+                gone.add(k)
+        out.append("\n".join(x for k, x in enumerate(parts) if k not in gone) if gone else text)
         n_lines.append(len(parts))
-        if drop:
-            gone = set(drop)
-            text = "\n".join(x for k, x in enumerate(parts) if k not in gone)
-        out.append(text)
-    names = batch.schema.names
-    cols = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names if n != "drop"]
-    cols += [pa.array(n_lines, pa.int64()), pa.array([len(set(d or [])) for d in drops], pa.int64())]
-    return pa.RecordBatch.from_arrays(cols, [*(n for n in names if n != "drop"), "n_lines", "n_dropped"])
+        n_dropped.append(len(gone))
+    names = [n for n in batch.schema.names if n != "drop"]
+    cols = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with text rewritten, and n_lines (before) and n_dropped."""
     base = docs.drop("n_lines", "n_dropped", "drop")
-    drops = recurring_lines(docs, min_docs).distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("drop"))
-    drops = materialise(drops.select(F.col("doc_id").alias("_id"), "drop"), "drops")
+    found = recurring_lines(docs, min_docs)
+    drops = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("line_no", "line", "check")).alias("drop"))
+    drops = materialise(drops, "drops", instead_of=(found,))
     # always one shuffle by document, so that the plan is the same at every size; the build side is line numbers, never text
     joined = base.join(drops.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "n_lines long", "n_dropped long"])

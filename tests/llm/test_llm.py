@@ -526,21 +526,66 @@ def test_line_templates(spark, odd, none):
     assert line_templates.dedup_lines(odd).count() == len(ODD) and line_templates.dedup_lines(none).count() == 0
 
 
-def test_line_templates_drop_equal_lines(docs):
-    """Of each line of enough words that several documents have, one document keeps it; lines of other documents stay unless generalised."""
-    held = texts(docs)
-    have = collections.defaultdict(set)
-    for i, x in held.items():
-        for line in x.split("\n"):
-            have[line].add(i)
-    dropped = collections.defaultdict(set)
-    for r in line_templates.recurring_lines(docs).collect():
-        dropped[held[r.doc_id].split("\n")[r.line_no]].add(r.doc_id)
-    for line, ids in have.items():
-        if len(ids) > 1 and len(WORD.findall(line)) >= line_templates.MIN_WORDS:
-            assert ids - dropped[line] <= {min(ids)}
-    lonely = sum(len(ids) for line, ids in dropped.items() if len(have[line]) == 1)
-    assert lonely <= 0.02 * sum(map(len, have.values()))
+def brute_drops(rows, min_docs=2):
+    """(doc_id, line_no) of the lines to drop, by the rules of the tree on words themselves."""
+    held, at = collections.defaultdict(set), []
+    for i, text in rows:
+        for k, line in enumerate((text or "").split("\n")):
+            if i is not None and (words := WORD.findall(line)):
+                masked = tuple("\0" if re.search("[0-9]", w) else w for w in words)
+                exact = len(words) < 5 and sum(w != "\0" for w in masked) < len(words) * line_templates.SHARE
+                key = tuple(words) if exact else masked
+                held[key].add(i)
+                at.append((i, k, key))
+    need = max(line_templates.SHORT_DOCS, min_docs, line_templates.SHORT_SHARE * len({i for i, _ in rows if i is not None}))
+    first = {key: min(ids) for key, ids in held.items() if len(ids) >= (need if len(key) < 5 else min_docs)}
+    nodes = collections.defaultdict(list)
+    for key in held:
+        if len(key) >= 5:
+            nodes[len(key), key[:3]].append(key)
+    nodes = {leaf: keys for leaf, keys in nodes.items() if len(keys) > 1 and sum(len(held[k]) for k in keys) >= min_docs}
+    of = collections.defaultdict(list)
+    for _ in range(line_templates.LEVELS):
+        below = collections.defaultdict(list)
+        for node, keys in nodes.items():
+            every, support = sum(len(held[k]) for k in keys), collections.Counter()
+            for key in keys:
+                for p, w in enumerate(key[3:]):
+                    support[p, w] += len(held[key])
+            for key in keys:
+                common = [(p, w) for p, w in enumerate(key[3:]) if support[p, w] >= min_docs]
+                constant = frozenset(x for x in common if support[x] >= every * line_templates.CONSTANT)
+                anchors = [(support[x], -x[0], x[1]) for x in common if support[x] < every]
+                if common and len(constant) >= (len(key) - 3) * line_templates.SHARE:
+                    of[node, constant].append(key)
+                elif anchors:
+                    below[node, max(anchors)[1:]].append(key)
+        nodes = below
+    for keys in of.values():
+        ids = set().union(*(held[k] for k in keys))
+        if len(ids) >= min_docs:
+            for key in keys:
+                first[key] = min(first.get(key, min(ids)), min(ids))
+    return {(i, k) for i, k, key in at if key in first and first[key] != i}
+
+
+def test_line_templates_equal_brute_force(spark, docs):
+    rng, rows = random.Random(8), [(r.doc_id, r.text) for r in docs.collect()]
+    vocab = [f"w{chr(97 + k)}" for k in range(12)]
+    made = [(1000 + i // 3, "\n".join(" ".join(rng.choice(vocab[: rng.choice([2, 4, 12])]) if rng.random() < 0.5 else f"c{chr(97 + p)}" for p in range(rng.choice([1, 3, 5, 6, 9]))) for _ in range(6))) for i in range(300)]
+    made += [(None, "no id\nhere with a line of five words"), (2000, None), (2001, ""), (2002, "x " * 20_000), (2003, "x " * 20_000), (2004, " \n\t\x0b")]
+    for held in (rows, made, rows + made):
+        df = spark.createDataFrame(held, "doc_id long, text string")
+        got = {(r.doc_id, r.line_no) for r in line_templates.recurring_lines(df).collect()}
+        assert got == brute_drops(held) and (got or held is rows)
+
+
+def test_line_templates_of_repeated_ids(spark):
+    """Rows of one doc_id lose their own recurring lines, not those that stand at another row's place."""
+    same = "a line of enough words that others have"
+    rows = [(1, same), (2, f"{same}\nkept here as the only one of all"), (2, f"kept there as the first of two lines\n{same}"), (2, "short")]
+    got = sorted(r.text for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([same, "kept here as the only one of all", "kept there as the first of two lines", "short"])
 
 
 @pytest.mark.parametrize("n", [200, 6000])
