@@ -16,9 +16,15 @@ a large group of near copies falls together in a few such rounds. Of what is the
 ``PAIR_BUCKET`` such members are paired directly; the members of larger ones are joined exactly on
 the prefix of their rarest shingles, so large buckets lose no link and never emit all pairs.
 Every link is confirmed on the full shingle sets with 100 * intersection >= 75 * union.
+Shingles are told apart by 64-bit hashes of their words (words over 255 bytes by BLAKE2).
+
+Hot keys. A pivot that very many pairs name, and a fingerprint that very many texts have, are dealt to
+several tasks; components are formed over representatives only and handed on by fingerprint.
+Tables of a round are deleted when those of the next stand.
 
 Defined cases: null or empty texts have an empty set and link with nothing; texts under five words
-are one shingle; rows that share a doc_id are one node; rows without a doc_id link with nothing,
+are one shingle; very long texts are hashed whole; rows that share a doc_id are one node, and if their
+sets differ, the one with the least fingerprint stands for it; rows without a doc_id link with nothing,
 have no component and are kept; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -30,9 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.llm.common import map_slices, materialise, ragged, small_side
-from sparkloom.operators.components import connected_components
+from sparkloom.llm.common import map_slices, materialise, ragged, release, small_side
 from sparkloom.llm.textbatch import TextBatch, mix64, windows
+from sparkloom.operators.combine import spread_join
+from sparkloom.operators.components import connected_components
 
 WIDTH = 5
 PERCENT = 75
@@ -85,6 +92,15 @@ def sketch(hashes: np.ndarray, counts: np.ndarray, size: int = BANDS * ROWS) ->
     return out.reshape(-1, size)
 
 
+def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit words for every set: sums of mixed shingle hashes."""
+    ends, prints = np.cumsum(counts), []
+    for seed in (11, 12):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes ^ mix64(np.array([seed], np.uint64))))])
+        prints.append((sums[ends] - sums[ends - counts]).view(np.int64))
+    return prints
+
+
 def _sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
     t = TextBatch(batch.column("text"), lower=True)
     hashes, counts = shingle_sets(t)
@@ -93,11 +109,7 @@ def _sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
     for j in range(ROWS):
         keys = keys * _M + bins[:, :, j]
     keys = mix64(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    ends = np.cumsum(counts)
-    prints = []
-    for seed in (11, 12):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes ^ mix64(np.array([seed], np.uint64))))])
-        prints.append((sums[ends] - sums[ends - counts]).view(np.int64))
+    prints = fingerprints(hashes, counts)
     lists = ragged(keys[counts > 0].reshape(-1).view(np.int64), np.where(counts > 0, BANDS, 0), pa.int64())
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts.astype(np.int64)), *map(pa.array, prints), lists], ["doc_id", "n_shingles", "fa", "fb", "bands"])
 
@@ -110,26 +122,30 @@ def parities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(len(counts), PARITY)
 
 
-def _marked_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _set_rows(batch: pa.RecordBatch, marked: bool) -> pa.RecordBatch:
     hashes, counts = shingle_sets(TextBatch(batch.column("text"), lower=True))
-    marks = ragged(parities(hashes, counts).ravel(), np.full(len(counts), PARITY), pa.int64())
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), ragged(hashes.view(np.int64), counts, pa.int64()), marks], ["id", "shingles", "parity"])
+    cols = [batch.column("doc_id"), *map(pa.array, fingerprints(hashes, counts)), ragged(hashes.view(np.int64), counts, pa.int64())]
+    if marked:
+        cols.append(ragged(parities(hashes, counts).ravel(), np.full(len(counts), PARITY), pa.int64()))
+    return pa.RecordBatch.from_arrays(cols, ["id", "fa", "fb", "shingles", "parity"][: len(cols)])
 
 
-def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    hashes, counts = shingle_sets(TextBatch(batch.column("text"), lower=True))
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), ragged(hashes.view(np.int64), counts, pa.int64())], ["id", "shingles"])
+def _sets(docs: DataFrame, ids: DataFrame, marked: bool = False) -> DataFrame:
+    """id and shingles (and parity) of the documents in ids (doc_id), one row each; a written table."""
+    texts = docs.join(small_side(ids, ids.count()), "doc_id", "left_semi")
+    held = ["fa", "fb", "shingles", *(["parity"] if marked else [])]
+    rows = map_slices(texts, "text", "id long, fa long, fb long, shingles array<long>" + (", parity array<long>" if marked else ""), lambda b: _set_rows(b, marked))
+    least = rows.where(F.size("shingles") > 0).groupBy("id").agg(F.min(F.struct(*held)).alias("s"))
+    return materialise(least.select("id", *[f"s.{c}" for c in held[2:]]), "sets")
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those that reach the similarity on full sets."""
+    """Of pairs (a, b), those that reach the similarity on full sets; a written table."""
     ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
-    texts = docs.join(small_side(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialise(map_slices(texts, "text", "id long, shingles array<long>", _sets), "sets")
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    sets = _sets(docs, ids)
     both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    joined = spread_join(pairs.join(sets.toDF("a", "sa"), "a"), sets.toDF("b", "sb"), ["b"], by="a")
+    return materialise(joined.where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links", instead_of=(ids, sets))
 
 
 def _similar_size(x: str, y: str):
@@ -144,8 +160,7 @@ def _rare_prefix_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
     sizes up to ``cap``; rows that can meet no size are dropped before the join. Linked sets differ
     in at most 1/7 (na + nb) shingles, and so in no more of their parity bits. No link is lost by these bounds.
     """
-    texts = docs.join(small_side(members.select(F.col("id").alias("doc_id")), members.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    whole = materialise(map_slices(texts, "text", "id long, shingles array<long>, parity array<long>", _marked_sets), "shingles")
+    whole = _sets(docs, members.select(F.col("id").alias("doc_id")), marked=True)
     each = whole.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     seen = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "s"))
@@ -155,7 +170,8 @@ def _rare_prefix_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
     ranked = ranked.where(100 * F.col("cap") >= PERCENT * F.col("n"))
     marks = [F.col("parity")[k].alias(f"m{k}") for k in range(PARITY)]
     ranked = ranked.join(members, "id").join(whole.select("id", "parity"), "id").select("id", "n", "s", "comp", "cap", *marks)
-    return _paired(materialise(ranked, "prefix"), "s", capped=True)
+    prefix = materialise(ranked, "prefix", instead_of=(whole,))
+    return materialise(_paired(prefix, "s", capped=True), "pairs", instead_of=(prefix,))
 
 
 def _paired(rows: DataFrame, key: str, capped: bool = False) -> DataFrame:
@@ -175,24 +191,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     drawn = materialise(map_slices(docs, "text", "doc_id long, n_shingles long, fa long, fb long, bands array<long>", _sketches), "sketches")
     known = docs.where("doc_id is not null")
     full = drawn.where("n_shingles > 0 and doc_id is not null")
-    groups = full.groupBy("fa", "fb", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    firsts = full.join(groups.select(F.col("rep").alias("doc_id"), "fa", "fb"), ["doc_id", "fa", "fb"])
-    spread = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
+    nodes = full.groupBy("doc_id").agg(F.min(F.struct("fa", "fb", "n_shingles")).alias("p")).select("doc_id", "p.*")
+    prints = ["fa", "fb", "n_shingles"]
+    groups = materialise(nodes.groupBy(*prints).agg(F.min("doc_id").alias("rep")), "groups")
+    firsts = full.join(groups.withColumnRenamed("rep", "doc_id"), ["doc_id", *prints])
+    spread = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
+    shared = spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.max("id").alias("last")).where("pivot.id < last")
     members = materialise(spread.join(shared.select("key", "pivot"), "key"), "buckets")
 
-    sizes = firsts.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
-    stars = members.where("id > pivot").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("b")).distinct()
-    stars = materialise(stars.join(sizes, "b").where(_similar_size("na", "nb")).select("a", "b").distinct(), "pairs")
-    links = materialise(_confirm(known, stars), "links")
-    placed, tested = members, stars
+    stars = members.where("id > pivot.id").where(_similar_size("n", "pivot.n"))
+    stars = materialise(stars.select(F.col("id").alias("a"), F.col("pivot.id").alias("b")).distinct(), "pairs")
+    links = _confirm(known, stars)
+    placed, tested, spent = members.drop("pivot"), stars, [groups, members, stars, links]
     for k in range(1, ROUNDS + 1):
         comp = connected_components(links.toDF("u", "v"))
-        placed = materialise(placed.drop("comp").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "placed")
-        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_part")).groupBy("key")
+        marked = placed.drop("comp").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        marked = materialise(marked, "placed", instead_of=(placed,))
+        parts = marked.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_part")).groupBy("key")
         parts = parts.agg(F.sum("n_part").alias("size"), F.count(F.lit(1)).alias("comps"), F.sum(F.col("n_part") * F.col("n_part")).alias("inner")).where("comps > 1")
-        placed = materialise(placed.select("key", "id", "n", "comp").join(parts.select("key", "size", "inner"), "key"), "placed")
+        parts = materialise(parts, "parts")
+        placed = materialise(marked.select("key", "id", "n", "comp").join(parts.select("key", "size"), "key"), "placed", instead_of=(marked,))
         open_pairs, rows = parts.agg(F.sum((F.col("size") * F.col("size") - F.col("inner")) / 2), F.sum("size")).first()
+        release(parts)
         if k == ROUNDS or (open_pairs or 0) <= OPEN_PAIRS * (rows or 0):
             break
         turn = F.xxhash64("id", F.lit(k))
@@ -200,20 +220,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         more = placed.join(pivots, "key").where((F.col("comp") != F.col("p.comp")) & _similar_size("n", "p.n"))
         more = more.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         more = materialise(more, "pairs")
-        found = materialise(_confirm(known, more), "links")
-        links, tested, placed = links.union(found), tested.union(more), placed.drop("size", "inner")
+        found = _confirm(known, more)
+        links, tested = links.union(found), tested.union(more)
+        spent += [more, found]
         if found.count() * 100 < rows:
             break
     more = _paired(placed.where(F.col("size") <= PAIR_BUCKET), "key")
     large = materialise(placed.where(F.col("size") > PAIR_BUCKET).select("id", "comp").distinct(), "large")
     if large.count():
         more = more.union(_rare_prefix_pairs(known, large)).distinct()
-    more = materialise(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = materialise(more.join(tested, ["a", "b"], "left_anti"), "pairs", instead_of=(placed, large))
     links = links.union(_confirm(known, more))
 
-    same = full.join(groups, ["fa", "fb", "n_shingles"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u > v")
-    comp = connected_components(links.toDF("u", "v").union(same)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    out = drawn.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
+    # components of representatives go to all texts by fingerprint
+    comp = connected_components(links.toDF("u", "v"))
+    by_print = groups.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*prints, F.coalesce("component", "rep").alias("component_id"))
+    placed = materialise(spread_join(nodes, by_print, prints, by="doc_id").select("doc_id", "component_id"), "components", instead_of=(*spent, more))
+    out = drawn.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

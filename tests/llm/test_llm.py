@@ -288,6 +288,24 @@ def test_near_duplicates_odd(odd, none):
     assert near_duplicates.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_near_duplicates_of_repeated_ids_and_hot_copies(spark):
+    """A third of all rows are one text; a doc_id with two texts has the links of one of them, in any order of rows."""
+    text = lambda k: " ".join(f"w{k}_{i}" for i in range(30))
+    rows = [(i, text(0)) for i in range(200)] + [(1000 + i, text(i)) for i in range(1, 300)] + [(5000, text(7)), (5000, text(8)), (5000, text(7)), (5001, ""), (5001, text(9))]
+    rows += [(6000 + i, text(0) + " " + " ".join(f"t{i}_{j}" for j in range(i % 7))) for i in range(60)]
+    seen = set()
+    for order in (rows, rows[::-1]):
+        got = near_duplicates.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(5)).collect()
+        assert len(got) == len(rows)
+        by = collections.defaultdict(set)
+        for r in got:
+            by[r.doc_id].add(r.component_id)
+        assert all(by[i] == {0} for i in range(200)) and all(by[6000 + i] == {0} for i in range(60)) and by[5000] in ({1007}, {1008}) and by[5001] == {1009}
+        assert all(by[1000 + i] == {1000 + i} for i in range(1, 300))
+        seen.add(frozenset((k, *v) for k, v in by.items()))
+    assert len(seen) == 1
+
+
 @pytest.mark.parametrize("n", [1, 2, 50])
 def test_components_of_a_chain(spark, n):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 100), (200, 201), (201, 200), (None, 3)], "u long, v long")
