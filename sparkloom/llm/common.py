@@ -53,22 +53,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def running_starts(sizes: Column) -> Column:
-    """Where each of a list of neighbouring stretches begins: the sum of the sizes before it.
+def running_before(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each entry of an array, all entries before it folded by an associative merge with zero as its neutral value.
 
-    Summed in blocks of about sqrt(n) entries, so n stretches cost n * sqrt(n) additions and no list is copied per entry.
+    Folded in blocks of about sqrt(n) entries, so n entries cost n * sqrt(n) merges and no list is copied per entry.
     """
-    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+    fold = lambda a: F.aggregate(a, zero, merge)
 
     def blocks(a: Column) -> Column:
         width = F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int")
         return let(width, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / w).cast("int") - 1), lambda i: F.slice(a, i * w + 1, w)))
 
     def within(b: Column, first: Column) -> Column:
-        return F.transform(b, lambda _, j: first + total(F.slice(b, F.lit(1), j)))
+        return F.transform(b, lambda _, j: merge(first, fold(F.slice(b, F.lit(1), j))))
 
     def spread(parts: Column) -> Column:
-        return let(F.transform(parts, total), lambda sums: F.flatten(F.transform(parts, lambda b, i: within(b, total(F.slice(sums, F.lit(1), i))))))
+        return let(F.transform(parts, fold), lambda sums: F.flatten(F.transform(parts, lambda b, i: let(fold(F.slice(sums, F.lit(1), i)), lambda first: within(b, first)))))
+
+    return let(values, lambda a: F.coalesce(F.when(F.size(a) > 0, let(blocks(a), spread)), F.slice(a, F.lit(1), F.lit(0))))
 
-    found = let(sizes, lambda a: F.when(F.size(a) > 0, let(blocks(a), spread)))
-    return F.coalesce(found, F.array().cast("array<int>"))
+
+def running_starts(sizes: Column) -> Column:
+    """Where each of a list of neighbouring stretches begins: the sum of the sizes before it."""
+    return running_before(sizes, F.lit(0), lambda a, b: a + b)

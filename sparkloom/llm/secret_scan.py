@@ -1,14 +1,19 @@
 """Secret scans: three fixed patterns, and the entropy of sliding windows over candidate strings.
 
-Candidates are maximal runs of key-like characters of at least ``WINDOW``. A candidate's class is hex
-(hexadecimal digits only) or mixed (letters and digits both); strings of one kind alone are words or
-numbers and have no class. A window of ``WINDOW`` characters slides over it: the counts of its characters
-and the sum of c * log2(c) are changed by the character that enters and the one that leaves, so each step
-costs the same, and the Shannon entropy is log2(W) - sum / W. The stretch from the first to the last
-window at or over the class's threshold is a span of kind ``entropy``, unless the candidate matches an
-allow-list pattern (placeholders, identifiers, runs of the alphabet) or a pattern span holds it already.
-
-DataFrame functions only; positions are code points, end exclusive, in the whole text. Defined
+Candidates are maximal runs of key-like characters of at least ``WINDOW`` (with up to two ``=`` at the
+end). A candidate's class follows from the kinds of characters in it: digits, lower or upper case
+alone, letters of both cases, hex (digits and letters up to f), base64 (letters, digits and one of
+``+/=``), or letters and digits otherwise; names of letters with ``_`` and ``-`` have no class. A window of
+``WINDOW`` characters slides over it: the counts of its characters, kept over the candidate's own
+alphabet, change at two places (the character that enters and the one that leaves), as does the sum of
+c * log2(c), and the Shannon entropy is log2(W) - sum / W. Windows at or over the class's threshold that
+overlap or touch form a stretch, which is a span of kind ``entropy`` unless the allow-list clears it or a
+pattern span holds it already. Of the allow-list, whole patterns (identifiers, paths of words) are asked of
+the candidate and partial ones (placeholders, runs of the alphabet) of the stretch alone, so that a
+placeholder beside a secret doesn't hide it.
+
+DataFrame functions only; positions are code points, end exclusive, in the whole text. Positions are
+sums of lengths in blocks, so a very long text with n matches costs n * sqrt(n). Defined
 cases: a null or empty text has no spans; repeated rows are scanned row by row; an empty table gives
 no rows; extra columns are ignored.
 """
@@ -20,20 +25,34 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import let, running_before, running_starts
+
 WINDOW = 20
-THRESHOLDS = {"hex": 3.0, "mixed": 3.6}
+#: Class, pattern of its strings, least entropy of a window (log2(20) = 4.32 is the most); the first that fits is taken.
+CLASSES = (
+    ("digits", r"^[0-9]+$", 3.0),
+    ("lower", r"^[a-z]+$", 3.7),
+    ("upper", r"^[A-Z]+$", 3.7),
+    ("letters", r"^[A-Za-z]+$", 3.8),
+    ("hex", r"^[0-9a-fA-F]+$", 3.0),
+    ("base64", r"^(?=.*[0-9])(?=.*[A-Za-z])(?=.*[+/=])", 3.8),
+    ("mixed", r"^(?=.*[0-9])(?=.*[A-Za-z])", 3.6),
+)
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
-#: A candidate that any of these finds is not a secret.
-ALLOW = (
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|redacted|lorem",
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}"
+#: A candidate that any of these fits as a whole is not a secret.
+ALLOW_WHOLE = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+    r"^/?([a-z]+[/_-])+[a-z]+$",
+)
+#: A stretch in which any of these is found is not a secret.
+ALLOW_PART = (
+    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|redacted|lorem",
     r"(?i)abcdefghij|0123456789|qwertyuiop",
     r"(.)\1{7}",
-    r"^/?([a-z]+[/_-])+[a-z]+$",
 )
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -45,15 +64,9 @@ def _none() -> Column:
 
 def _located(found: Column, pieces: Column) -> Column:
     """Start and text of each match, from the matches and the stretches between them."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
-    pairs = F.transform(found, lambda m, i: F.struct(F.length(F.element_at(pieces, i + 1)).alias("gap"), m.alias("text")))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.struct(start.cast("int").alias("start"), x["text"].alias("text"))
-        return F.struct((start + F.length(x["text"])).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    gap = lambda i: F.length(F.get(pieces, i))
+    starts = running_starts(F.transform(found, lambda m, i: gap(i) + F.length(m)))
+    return let(starts, lambda s: F.transform(found, lambda m, i: F.struct((F.get(s, i) + gap(i)).cast("int").alias("start"), m.alias("text"))))
 
 
 def _with_matches(df: DataFrame, name: str, pattern: str) -> DataFrame:
@@ -69,43 +82,63 @@ def _spans(located: str, kind: int) -> Column:
     return F.coalesce(F.transform(located, one), _none())
 
 
-def hot_stretch(text: Column, threshold: Column, window: int = WINDOW) -> Column:
-    """(first, last) of the windows of an ASCII string whose entropy reaches the threshold; first is -1 if none does."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c))
+def hot_stretches(text: Column, threshold: Column, window: int = WINDOW) -> Column:
+    """(first, last) of every stretch of touching windows whose entropy reaches the threshold, in order."""
     weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-
-    def step(acc: Column, i: Column) -> Column:
-        enters = F.get(codes, i)
-        leaves = F.when(i >= window, F.get(codes, i - window)).otherwise(-1)
-        c_in, c_out = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
-        change = F.get(weight, c_in + 1) - F.get(weight, c_in) + F.when(leaves >= 0, F.get(weight, c_out - 1) - F.get(weight, c_out)).otherwise(0.0)
-        change = F.when(enters == leaves, 0.0).otherwise(change)
-        total = acc["sum"] + change
-        hot = (i >= window - 1) & (F.lit(math.log2(window)) - total / window >= threshold)
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("sum"),
-            F.when(hot & (acc["first"] < 0), i - (window - 1)).otherwise(acc["first"]).cast("int").alias("first"),
-            F.when(hot, i + 1).otherwise(acc["last"]).cast("int").alias("last"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.length(text) - 1), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
-
-
-def _threshold(text: Column) -> Column:
-    both = text.rlike("[0-9]") & text.rlike("[A-Za-z]")
-    return F.when(both & text.rlike("^[0-9a-fA-F]+$"), THRESHOLDS["hex"]).when(both, THRESHOLDS["mixed"])
+    span = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
+    put = lambda a, p, v: F.concat(F.slice(a, F.lit(1), p), F.array(v), F.slice(a, p + 2, F.size(a)))
+
+    def slide(codes: Column, kinds: Column) -> Column:
+        zero = F.struct(F.array_repeat(F.lit(0), kinds).alias("counts"), F.lit(0.0).alias("sum"), span(F.lit(-1), F.lit(-1)).alias("open"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
+
+        def step(acc: Column, i: Column) -> Column:
+            enters, leaves = F.get(codes, i), F.get(codes, i - window)
+            c_in, c_out = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
+            grown = F.get(weight, c_in + 1) - F.get(weight, c_in)
+            same = F.coalesce(enters == leaves, F.lit(False))
+            change = F.when(same, 0.0).when(leaves.isNull(), grown).otherwise(grown + F.get(weight, c_out - 1) - F.get(weight, c_out))
+            more = put(acc["counts"], enters, c_in + 1)
+            counts = F.when(same, acc["counts"]).when(leaves.isNull(), more).otherwise(put(more, leaves, c_out - 1))
+            return F.struct(counts.alias("counts"), (acc["sum"] + change).alias("sum"), acc["open"].alias("open"), acc["done"].alias("done"))
+
+        def note(acc: Column, i: Column) -> Column:
+            hot = (i >= window - 1) & (F.lit(math.log2(window)) - acc["sum"] / window >= threshold - 1e-9)
+            first, now = i - (window - 1), acc["open"]
+            joins = (now["first"] >= 0) & (first <= now["last"])
+            fresh = F.when(joins, span(now["first"], i + 1)).otherwise(span(first, i + 1))
+            done = F.when(hot & ~joins & (now["first"] >= 0), F.concat(acc["done"], F.array(now))).otherwise(acc["done"])
+            return F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum"), F.when(hot, fresh).otherwise(now).alias("open"), done.alias("done"))
+
+        finish = lambda acc: F.when(acc["open"]["first"] >= 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, lambda acc, i: let(step(acc, i), lambda now: note(now, i)), finish)
+
+    def over(chars: Column) -> Column:
+        return let(F.array_distinct(chars), lambda alphabet: let(F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int") - 1), lambda codes: slide(codes, F.size(alphabet))))
+
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), over)
+
+
+def threshold(text: Column) -> Column:
+    """The least entropy of a candidate's class; null without a class."""
+    out = F.lit(None).cast("double")
+    for _, pattern, least in reversed(CLASSES):
+        out = F.when(text.rlike(pattern), least).otherwise(out)
+    return out
 
 
-def _allowed(text: Column) -> Column:
+def _allowed(text: Column, patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
-    for pattern in ALLOW:
+    for pattern in patterns:
         out = out | text.rlike(pattern)
     return out
 
 
+def _uncovered(spans: Column) -> Column:
+    """Spans in order without those of kind entropy that lie within one of another kind."""
+    ends = running_before(F.transform(spans, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+    return let(ends, lambda reach: F.filter(spans, lambda s, i: (s["kind"] < 3) | (F.get(reach, i) < s["end"])))
+
+
 def secret_scan(docs: DataFrame) -> DataFrame:
     """doc_id, base_spans and spans (arrays of start, kind as an index of KINDS, end, in that order) of every row."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -114,15 +147,16 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     df = df.drop("text")
     df = df.withColumn("_assign", F.filter("_assign", lambda m: F.length(F.regexp_extract(m["text"], ASSIGN, 2)) >= 6))
     df = df.withColumn("base_spans", F.array_sort(F.concat(_spans("_assign", 0), _spans("_access", 1), _spans("_hex", 2))))
-    outside = lambda m: ~F.exists("base_spans", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["start"] + F.length(m["text"])))
-    df = df.withColumn("_cand", F.filter("_cand", lambda m: _threshold(m["text"]).isNotNull() & ~_allowed(m["text"]) & outside(m)))
-    hot = F.transform("_cand", lambda m: F.struct(m["start"].alias("start"), hot_stretch(m["text"], _threshold(m["text"])).alias("hot")))
-    added = F.transform(
-        F.filter(hot, lambda h: h["hot"]["first"] >= 0),
-        lambda h: F.struct((h["start"] + h["hot"]["first"]).cast("int").alias("start"), F.lit(3).alias("kind"), (h["start"] + h["hot"]["last"]).cast("int").alias("end")),
-    )
-    df = df.withColumn("_added", F.coalesce(added, _none()))
-    return df.select("doc_id", "base_spans", F.array_sort(F.concat("base_spans", "_added")).alias("spans"))
+    df = df.withColumn("_cand", F.filter("_cand", lambda m: threshold(m["text"]).isNotNull() & ~_allowed(m["text"], ALLOW_WHOLE)))
+
+    def hot(m: Column) -> Column:
+        piece = lambda s: F.substring(m["text"], s["first"] + F.lit(1), s["last"] - s["first"])
+        found = F.filter(hot_stretches(m["text"], threshold(m["text"])), lambda s: ~_allowed(piece(s), ALLOW_PART))
+        return F.transform(found, lambda s: F.struct((m["start"] + s["first"]).cast("int").alias("start"), F.lit(3).alias("kind"), (m["start"] + s["last"]).cast("int").alias("end")))
+
+    df = df.withColumn("_added", F.coalesce(F.flatten(F.transform("_cand", hot)), _none()))
+    every = let(F.array_sort(F.concat("base_spans", "_added")), _uncovered)
+    return df.select("doc_id", "base_spans", F.when(F.size("_added") > 0, every).otherwise(F.col("base_spans")).alias("spans"))
 
 
 def written(spans: str) -> Column:

@@ -326,17 +326,23 @@ def brute_spans(text):
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     base, more, w = sorted(out), [], secret_scan.WINDOW
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % w, text):
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % w, text):
         s = m[0]
-        if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) or any(re.search(a, s) for a in secret_scan.ALLOW):
+        least = next((t for _, p, t in secret_scan.CLASSES if re.search(p, s)), None)
+        if least is None or any(re.search(a, s) for a in secret_scan.ALLOW_WHOLE):
             continue
-        if any(b[0] <= m.start() and b[2] >= m.end() for b in base):
-            continue
-        least = secret_scan.THRESHOLDS["hex" if re.fullmatch("[0-9a-fA-F]+", s) else "mixed"]
         entropy = lambda x: -sum(c / w * math.log2(c / w) for c in collections.Counter(x).values())
-        hot = [i for i in range(len(s) - w + 1) if entropy(s[i : i + w]) >= least]
-        if hot:
-            more.append((m.start() + hot[0], 3, m.start() + hot[-1] + w))
+        stretches = []
+        for i in range(len(s) - w + 1):
+            if entropy(s[i : i + w]) >= least - 1e-9:
+                if stretches and i <= stretches[-1][1]:
+                    stretches[-1][1] = i + w
+                else:
+                    stretches.append([i, i + w])
+        for i, k in stretches:
+            held = any(b[0] <= m.start() + i and b[2] >= m.start() + k for b in base)
+            if not held and not any(re.search(a, s[i:k]) for a in secret_scan.ALLOW_PART):
+                more.append((m.start() + i, 3, m.start() + k))
     return base, sorted(base + more)
 
 
@@ -348,13 +354,18 @@ def test_secret_scan(spark, odd, none):
         "123e4567-e89b-12d3-a456-426614174000", "example" + "aB3" * 9, "😀 " + "".join(rng.choice(alnum) for _ in range(60)), "aaaaaaaaaaaaaaaaaaaaaaaaa1", "AAAA1111AAAA1111AAAA1111" + "".join(rng.choice(alnum) for _ in range(44)) + "0" * 60,
     ]
     held += ["".join(rng.choice(alnum + " .:'\n") for _ in range(rng.randint(0, 300))) for _ in range(150)]
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    one_class = [pick("0123456789", 40), pick(lower, 60), pick(lower.upper(), 60), pick(lower + lower.upper(), 60), pick("0123456789abcdefABCDEF", 40), pick(alnum.replace("_", "").replace("=", ""), 60) + "=="]
+    held += [*one_class, "SAMPLE_DB_PW=" + pick(alnum[:62], 40), pick(alnum[:62], 40) + "A" * 30 + pick(alnum[:62], 40), "some-words_of-a_name-with_letters", "secret = " + pick(alnum[:62], 40)]
+    held += ["\n".join(f"token: {pick(alnum[:62], 30)} {pick(alnum[:62], 24)}é" for _ in range(400))]
     df = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
     found = 0
     for r in secret_scan.secret_scan(df).collect():
         base, every = brute_spans(held[r.doc_id])
         assert [tuple(s) for s in r.base_spans] == base and [tuple(s) for s in r.spans] == every
         found += len(every) - len(base)
-    assert found > 5
+    assert found > 5 and all(len(brute_spans(x)[1]) > 0 for x in one_class) and brute_spans(held[-4])[1] and len(brute_spans(held[-5])[1])
     assert secret_scan.secret_scan(odd).count() == len(ODD) and secret_scan.secret_scan(none).count() == 0
 
 
