@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 Tokens are runs of letters or runs of digits (with inner points and commas). A number becomes a number
-slot, a token that begins with a capital letter a name slot, a unit word right after a number a unit slot; any
-other token stands for itself in lower case. Other forms of every window keep names as words, for
-texts whose case was changed; fold a run of names into one slot whose value is the whole run, as a name may have
-any number of words; or keep every token, numbers and units too, so that exact copies match whatever they are made of. Windows of ``WINDOW`` tokens are hashed with slots as
+slot, a token that begins with a capital letter (of any alphabet up to U+07FF) a name slot, unit words after a
+number (``km``, ``km/h``, ``km per hour``) unit slots; any other token stands for itself in lower case. Other forms of every
+window keep names as words, for texts whose case was changed; fold a run of names, numbers or units into one slot whose
+value is the whole run, as a name may have any number of words and a unit several parts; or keep every token, numbers
+and units too, so that exact copies match whatever they are made of. Windows of ``WINDOW`` tokens are hashed with slots as
 typed placeholders, so a question with other numbers, names or units has the windows of its original.
 
 Benchmark windows set bits in a bitmap of fixed size (2 MB, whatever the benchmark), which is
@@ -16,7 +17,10 @@ A document is contaminated if some diagonal is consistent and covers ``COVER`` t
 the whole item if that is shorter. In the forms with slots, windows with fewer than
 ``LITERALS`` tokens that are no slots say nothing and are left out; the form that keeps every token has no such bound. Items shorter than a window are one window of their own length.
 
-Defined cases: null and empty texts have no tokens and match nothing; rows without an id are left
+The join has a row for each window of a document and each item that has it; what leaves it is one row for each
+document, item, diagonal and form.
+
+Defined cases: null and empty texts have no tokens and match nothing; very long texts are cut into windows whole; rows without an id are left
 out of the matches and are clean; rows that share a doc_id share their matches; equal items all
 match; an empty benchmark leaves every document clean; extra columns are ignored.
 """
@@ -35,24 +39,57 @@ WINDOW = 10
 LITERALS = 5
 COVER = 13
 BITS = 1 << 24
-UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "inches", "feet", "miles", "pounds", "dollars", "euros", "percent", "degrees", "meters", "metres", "kilometers", "grams", "liters", "watts", "volts", "hz", "mph")
+UNITS = (
+    "mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "min", "h", "hz", "mph", "kph", "percent", "inch", "inches", "foot", "feet",
+    *(word + end for word in ("hour", "minute", "second", "day", "week", "month", "year", "mile", "pound", "dollar", "euro", "degree", "meter", "metre", "kilometer", "gram", "liter", "litre", "watt", "volt") for end in ("", "s")),
+)
 
-_NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1111, 0x2222, 0x3333))
+#: What stands for a number, a unit and a name in a template (by kind; kind 0 is a word).
+_SLOT = np.array([0, 0x1111, 0x3333, 0x2222], np.uint64)
 _M = np.uint64(0xD1342543DE82EF95)
 _BYTES = np.arange(256)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
+_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
 _LETTER = ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 0x80)
 
 MATCHES = "id long, window long, at long, size int, form int, tokens long, slots array<long>"
 
 
-def _unit_hashes() -> np.ndarray:
-    t = TextBatch(pa.array(UNITS), lower=True)
+def _two_byte_case() -> tuple[np.ndarray, np.ndarray]:
+    """Of letters of two bytes in UTF-8, by those bytes: is it a capital, and the bytes of its lower case."""
+    capital, lower = np.zeros(1 << 16, bool), np.arange(1 << 16, dtype=np.uint16)
+    for c in map(chr, range(0x80, 0x800)):
+        code, small = int.from_bytes(c.encode(), "big"), c.lower()
+        capital[code] = c.isupper()
+        if len(small) == 1 and 0x80 <= ord(small) < 0x800:
+            lower[code] = int.from_bytes(small.encode(), "big")
+    return capital, lower
+
+
+CAPITAL, SMALL = _two_byte_case()
+
+
+def _pairs(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The two bytes at each place as one number."""
+    return raw[at].astype(np.uint16) << np.uint16(8) | raw[np.minimum(at + 1, len(raw) - 1)]
+
+
+def lowered(t: TextBatch) -> TextBatch:
+    """A batch whose capitals of one byte are small already, with those of two bytes made small too."""
+    at = np.flatnonzero((t.data >= 0xC2) & (t.data <= 0xDF))
+    if len(at):
+        small = SMALL[_pairs(t.data, at)]
+        t.data[at], t.data[at + 1] = small >> np.uint16(8), small & np.uint16(255)
+    return t
+
+
+def _word_hashes(words: tuple[str, ...]) -> np.ndarray:
+    t = TextBatch(pa.array(words), lower=True)
     return np.sort(t.hashes(t.docs[:-1], t.docs[1:]))
 
 
 def tokens(t: TextBatch, raw: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Value hash, hash with number and unit slots, is such a slot, looks like a name, and text of every token; raw: the bytes before lower-casing."""
+    """Value hash, kind (0 word, 1 number, 2 unit), looks like a name, and text of every token; raw: the bytes before lower-casing."""
     digit = _DIGIT[raw]
     joint = (raw == 46) | (raw == 44)
     if len(raw) > 2:
@@ -61,46 +98,55 @@ def tokens(t: TextBatch, raw: np.ndarray) -> tuple[np.ndarray, ...]:
         joint[[0, -1]] = False
     border = t.docs[(t.docs > 0) & (t.docs < len(raw))]
     joint[border] = joint[border - 1] = False
-    number = digit | joint
     ls, le = t.runs(_LETTER[raw])
-    ds, de = t.runs(number)
+    ds, de = t.runs(digit | joint)
     starts, ends = np.concatenate([ls, ds]), np.concatenate([le, de])
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], ends[order]
-    is_number = order >= len(ls)
+    number = order >= len(ls)
     value = t.hashes(starts, ends)
     owner = t.owner(starts)
-    first = raw[starts] if len(starts) else np.zeros(0, np.uint8)
-    second = raw[np.minimum(starts + 1, len(raw) - 1)] if len(starts) else first
-    capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    after_number = np.zeros(len(starts), bool)
-    after_number[1:] = is_number[:-1] & (owner[1:] == owner[:-1])
-    unit = after_number & ~is_number & np.isin(value, _unit_hashes())
-    name = capital & ~is_number & ~unit
-    typed = np.where(is_number, _NUMBER, np.where(unit, _UNIT, value))
-    return value, typed, is_number | unit, name, owner
+    capital = _UPPER[raw[starts]] | CAPITAL[_pairs(raw, starts)] if len(starts) else np.zeros(0, bool)
+    same = owner[1:] == owner[:-1]
+
+    def after(flag: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(flag), bool)
+        out[1:] = flag[:-1] & same
+        return out
+
+    word = ~number & np.isin(value, _word_hashes(UNITS))
+    unit = word & after(number)
+    for _ in range(2):  # km/h, kg m s
+        unit |= word & after(unit)
+    per = ~number & (value == _word_hashes(("per",))[0]) & after(unit)
+    per[:-1] &= word[1:] & same
+    per[-1:] = False
+    unit |= per | (word & after(per))
+    return value, np.where(number, 1, np.where(unit, 2, 0)), capital & ~number & ~unit, owner
 
 
 def _windows(batch: pa.RecordBatch, sizes: list[int] | None, bits: np.ndarray | None) -> pa.RecordBatch | None:
     """Windows of the given sizes, or (for items) of WINDOW and, in shorter texts, of the whole text."""
     t = TextBatch(batch.column("text"))
     raw = t.data
-    low = TextBatch(batch.column("text"), lower=True)
-    value, typed, number, name, owner = tokens(low, raw)
-    # a run of names as one token
+    value, kind, name, owner = tokens(lowered(TextBatch(batch.column("text"), lower=True)), raw)
+    typed = np.where(kind > 0, _SLOT[kind], value)
+    names = np.where(name, _SLOT[3], typed)
+    number = kind > 0
+    # a run of names, of numbers or of units as one token
+    kinds = np.where(name, 3, kind)
     heads = np.ones(len(owner), bool)
-    heads[1:] = ~(name[1:] & name[:-1] & (owner[1:] == owner[:-1]))
+    heads[1:] = (kinds[1:] == 0) | (kinds[1:] != kinds[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(heads)
     place = np.arange(len(owner)) - at[np.cumsum(heads) - 1] if len(at) else at
     run = np.add.reduceat(mix64(value + place.astype(np.uint64) * _M), at) if len(at) else value
-    names = np.where(name, _NAME, typed)
     parts = []
-    # canonical forms: names as slots, names as words in lower case (a text that was put in another case), all as words, runs of names as slots
+    # canonical forms: names as slots, names as words in lower case (a text that was put in another case), all as words, runs as slots
     forms = (
         (names, number | name, value, owner, LITERALS),
         (typed, number, value, owner, LITERALS),
         (value, np.zeros(len(value), bool), value, owner, 0),
-        (names[at], (number | name)[at], np.where(name[at], run, value[at]), owner[at], LITERALS),
+        (names[at], (number | name)[at], np.where(kinds[at] > 0, run, value[at]), owner[at], LITERALS),
     )
     for form, (template, slot, value, owner, bound) in enumerate(forms):
         counts = np.bincount(owner, minlength=t.n)
