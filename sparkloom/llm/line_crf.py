@@ -7,11 +7,13 @@ quality is the mean of its lines' forward-backward marginals, weighted by their
 probability scale by a logistic fit over the training documents.
 
 The model is fitted on labelled rows: all of them up to about ``TRAIN_ROWS``, else those whose hashed
-id falls under a share that keeps about so many (the documented bound on what reaches the driver). All
-documents are scored, whole, in one pass without a shuffle. Scores depend on the text alone.
+id falls under a share that keeps about so many; of these, texts of over ``TEXT_LINES`` lines are left
+out, and if the lines of the rest are more than ``TRAIN_LINES``, a share of the texts by another hash is
+taken again (the documented bounds on what reaches the driver). All documents are scored, whole, in one pass without a shuffle. Scores depend on the text alone.
 
 Defined cases: null and empty texts and texts of white space have no lines and get one score, the
-smoothed share of good labels among such training rows; without labels of both kinds every score
+smoothed share of good labels among such training rows; a null doc_id counts as the empty text in the
+choice of held-out rows; very long texts are scored whole; without labels of both kinds every score
 is 0.5; repeated rows are scored row by row; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_slices, ragged, small_side
+from sparkloom.llm.common import map_slices, materialise, ragged, release, small_side
 from sparkloom.llm.textbatch import TextBatch, count_in, mix64
 
 TRAIN_ROWS = 6_000
+TRAIN_LINES = 200_000
+TEXT_LINES = 20_000
 STEPS = 120
 L2 = 1e-3
 CUTOFF = 0.3
@@ -216,24 +220,34 @@ def train(bins: np.ndarray, length: np.ndarray, doc: np.ndarray, label: np.ndarr
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
+def _share(column: str, seed: int, share: float) -> Column:
+    """Is a row among the given share by the hash of its column?"""
+    return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES) -> Chain:
     """A model from documents with a quality label that aren't held out."""
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
     if n > rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
-    chosen = docs.select("doc_id", "text").join(small_side(known, min(n, rows)), "doc_id").select("quality", "text")
+        known = known.where(_share("doc_id", 1, rows / n))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
+    chosen = docs.select("doc_id", "text").join(small_side(known, min(n, rows)), "doc_id").where(F.coalesce(breaks, F.lit(0)) < TEXT_LINES)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = TextBatch(batch.column("text"))
         bins, length, doc, _ = line_features(t)
         counts = np.bincount(doc, minlength=t.n)
-        return pa.RecordBatch.from_arrays([batch.column("quality"), ragged(bins.ravel(), counts * len(BINS), pa.int8()), ragged(length, counts, pa.int64())], ["quality", "bins", "length"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), ragged(bins.ravel(), counts * len(BINS), pa.int8()), ragged(length, counts, pa.int64())], ["doc_id", "quality", "bins", "length"])
 
-    got = map_slices(chosen.select(F.col("quality").cast("int").alias("quality"), "text"), "text", "quality int, bins array<tinyint>, length array<long>", features).toArrow()
+    found = map_slices(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text"), "text", "doc_id long, quality int, bins array<tinyint>, length array<long>", features)
+    held = materialise(found, "features")
+    total = held.agg(F.sum(F.size("length"))).first()[0] or 0
+    got = (held.where(_share("doc_id", 2, lines / total)) if total > lines else held).drop("doc_id").orderBy("quality", "bins", "length").toArrow()
+    release(held)
     got = got.combine_chunks()
     flat = lambda c: np.concatenate([np.asarray(x.flatten()) for x in got.column(c).chunks] or [np.zeros(0)])
     counts = np.concatenate([np.asarray(x.value_lengths()) for x in got.column("length").chunks] or [np.zeros(0, np.int64)]).astype(np.int64)
