@@ -18,7 +18,7 @@ from sparkloom.llm.near_duplicates import near_duplicates
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = rules.fit(docs, rules.trusted_rows(docs, labels))
-    return rules.quality_rules(docs, weights).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rules.quality_rules(docs, weights).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

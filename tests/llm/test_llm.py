@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -160,6 +161,75 @@ def test_decontamination_numbers_and_names_of_several_words(spark):
     assert leaks == {(1, 1), (3, 2), (5, 2), (6, 3), (7, 2)}
 
 
+def brute_tokens(text):
+    """(value, kind) of every token by the rules themselves: word, number, unit, name."""
+    small = lambda c: c.lower() if c < "\x80" or (c < "\u0800" and len(c.lower()) == 1 and "\x80" <= c.lower() < "\u0800") else c
+    found = re.findall(r"[A-Za-z\u0080-\U0010ffff]+|[0-9]+(?:[.,][0-9]+)*", text or "")
+    value = ["".join(map(small, x)) for x in found]
+    number = [x[0] in "0123456789" for x in found]
+    unit = [False] * len(found)
+    word = [not n and v in decontamination.UNITS for n, v in zip(number, value)]
+    for reach in range(3):
+        unit = [unit[i] or (i > 0 and word[i] and (number[i - 1] if reach == 0 else unit[i - 1])) for i in range(len(found))]
+    per = [0 < i < len(found) - 1 and value[i] == "per" and unit[i - 1] and word[i + 1] for i in range(len(found))]
+    unit = [unit[i] or per[i] or (i > 0 and word[i] and per[i - 1]) for i in range(len(found))]
+    kinds = ["number" if n else "unit" if u else "name" if x[0] < "\u0800" and x[0].isupper() else "word" for x, n, u in zip(found, number, unit)]
+    return list(zip(value, kinds))
+
+
+def brute_forms(text):
+    """Of each form: (template, value or None for a literal) of its tokens, and its least number of literals."""
+    t = brute_tokens(text)
+    slot = lambda v, k, kinds: (f"<{k}>", v) if k in kinds else (v, None)
+    folded = [("<" + k + ">", tuple(v for v, _ in g)) if k != "word" else (v, None) for k, g in ((k, list(g)) for k, g in itertools.groupby(t, lambda x: x[1])) for v, _ in (g if k == "word" else g[:1])]
+    least = decontamination.LITERALS
+    return [([slot(v, k, ("number", "unit", "name")) for v, k in t], least), ([slot(v, k, ("number", "unit")) for v, k in t], least), ([(v, None) for v, _ in t], 0), (folded, least)]
+
+
+def brute_leaks(docs, items):
+    w, table, sizes = decontamination.WINDOW, collections.defaultdict(list), set()
+    for item, text in items:
+        for form, (t, least) in enumerate(brute_forms(text)):
+            k = min(w, len(t))
+            for at in range(len(t) - k + 1 if k else 0):
+                part = t[at : at + k]
+                if sum(v is None for _, v in part) >= min(least, k):
+                    table[form, tuple(x for x, _ in part)].append((item, at, len(t), [v for _, v in part if v is not None]))
+                    sizes.add(k)
+    out = {}
+    for doc, text in docs:
+        lines = collections.defaultdict(list)
+        for form, (t, _) in enumerate(brute_forms(text)):
+            for k in sizes:
+                for at in range(len(t) - k + 1):
+                    part = t[at : at + k]
+                    for item, there, n, slots in table.get((form, tuple(x for x, _ in part)), ()):
+                        lines[item, at - there, form].append((there, k, n, list(zip(slots, [v for _, v in part if v is not None]))))
+        for (item, _, _), met in lines.items():
+            covered = len({p for there, k, _, _ in met for p in range(there, there + k)})
+            pairs = {p for *_, ps in met for p in ps}
+            if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}) and covered >= min(decontamination.COVER, met[0][2]):
+                out[doc, item] = max(out.get((doc, item), 0), covered)
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, sf, docs):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    rng = random.Random(12)
+    made = ["The train of {n} leaves {p} at {a} km/h and {n} waits {b} hours until the next one to {q} comes in again", "Add {a} and {b} then take {c} from it, so {a} + {b} - {c} = {d}", "Élodie and {n} share {a} kg per day of flour for {b} weeks while Жанна only looks on from {p}", "{a} {b} {c}", "{n} {p} {q}"]
+    fill = lambda x: x.format(n=rng.choice(["Ann", "Mary Ann Smith", "Bob", "Øystein"]), p=rng.choice(["Rome", "New York", "Łódź"]), q=rng.choice(["Rome", "Oslo"]), **{k: rng.choice(["1", "2", "3.5", "1,000", "17"]) for k in "abcd"})
+    items = [(r.item_id, r.text) for r in bench.collect()] + [(900 + i, fill(made[i % 5])) for i in range(25)] + [(990, None), (991, ""), (992, fill(made[0])), (993, "one")]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for i in range(150):
+        body = "\n".join(["before it", *(rng.choice([fill(rng.choice(made)), fill(rng.choice(made)).upper(), fill(rng.choice(made)).replace("km/h", "mph"), "something else"]) for _ in range(rng.randint(0, 3))), "after it 7"])
+        rows.append((10_000 + i, body))
+    rows += [(20_000, None), (20_001, ""), (20_002, "x " * 30_000 + items[0][1]), (20_003, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = decontamination.contaminated(decontamination.matches(df, spark.createDataFrame(items, "item_id long, text string")))
+    want = brute_leaks(rows, items)
+    assert {(r.doc_id, r.item_id): r.covered for r in got.collect()} == want and len(want) > 100
+
+
 # ---- 3
 
 
@@ -410,6 +480,8 @@ def test_line_crf_odd(spark, odd, none):
     model = line_crf.fit(odd, labels)
     got = line_crf.score(odd, model).collect()
     assert len(got) == len(ODD) and len({r.score for r in got if r.doc_id in (0, 1, 2)}) == 1
+    few = line_crf.fit(spark.createDataFrame([(i, "a b\n" * (i % 5 + 1)) for i in range(400)], "doc_id long, text string"), spark.range(400).selectExpr("id as doc_id", "cast(id % 2 as int) as quality"), lines=200)
+    assert few.weights.shape == (line_crf.SIZE,) and queries.line_crf.score(odd, few).count() == len(ODD)
     blank = line_crf.fit(none, labels)
     assert {r.score for r in line_crf.score(odd, blank).collect()} == {0.5} and line_crf.score(none, model).count() == 0
     assert {(r.doc_id, r.line_no) for r in line_crf.label_lines(odd, model).where("doc_id = 6").collect()} == {(6, k) for k in (0, 2, 3, 5, 6, 8)}
