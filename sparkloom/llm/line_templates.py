@@ -158,31 +158,31 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return materialise(out, "drops", instead_of=(lines, held, mixed, shaped))
 
 
-def _without(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The text without the lines in column drop whose digests are those named there."""
-    texts, drops = batch.column("text").to_pylist(), batch.column("drop").to_pylist()
-    out, n_lines, n_dropped = [], [], []
-    for text, drop in zip(texts, drops):
-        parts = (text or "").split("\n")
-        gone = set()
-        for d in drop or ():
-            if (k := d["line_no"]) < len(parts) and line_digest(parts[k].encode()) == struct.pack("=qq", d["line"], d["check"]):
-                gone.add(k)
-        out.append("\n".join(x for k, x in enumerate(parts) if k not in gone) if gone else text)
-        n_lines.append(len(parts))
-        n_dropped.append(len(gone))
-    names = [n for n in batch.schema.names if n != "drop"]
-    cols = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with text rewritten, and n_lines (before) and n_dropped."""
-    base = docs.drop("n_lines", "n_dropped", "drop")
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text rewritten, and how many lines it had and has lost, in columns named by counts."""
+    base = docs.drop(*counts)
     found = recurring_lines(docs, min_docs)
-    drops = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("line_no", "line", "check")).alias("drop"))
+    drops = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("line_no", "line", "check")).alias("__drop"))
     drops = materialise(drops, "drops", instead_of=(found,))
     # always one shuffle by document, so that the plan is the same at every size; the build side is line numbers, never text
-    joined = base.join(drops.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "n_lines long", "n_dropped long"])
-    return map_slices(joined, "text", schema, _without)
+    joined = base.join(drops.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+
+    def without(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The text without the lines in column __drop whose digests are those named there."""
+        texts, drops = batch.column("text").to_pylist(), batch.column("__drop").to_pylist()
+        out, n_lines, n_dropped = [], [], []
+        for text, drop in zip(texts, drops):
+            parts = (text or "").split("\n")
+            gone = set()
+            for d in drop or ():
+                if (k := d["line_no"]) < len(parts) and line_digest(parts[k].encode()) == struct.pack("=qq", d["line"], d["check"]):
+                    gone.add(k)
+            out.append("\n".join(x for k, x in enumerate(parts) if k not in gone) if gone else text)
+            n_lines.append(len(parts))
+            n_dropped.append(len(gone))
+        names = [n for n in batch.schema.names if n != "__drop"]
+        cols = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, *counts])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"`{n}` long" for n in counts)])
+    return map_slices(joined, "text", schema, without)

@@ -791,23 +791,63 @@ def test_queries_equal_sql(spark, sf, name):
     assert sorted(str(tuple(r[c] for c in names)) for r in df.collect()) == sorted(map(str, cur.fetchall()))
 
 
-def test_pipeline(spark, sf, docs):
-    now = docs
-    for name, stage in corpus_pipeline.STAGES:
-        before = now
-        now = corpus_pipeline.materialise(stage(spark, before, sf), name)
-        assert 0 < now.count() <= before.count()
-        if name != "encode":
-            assert now.columns == docs.columns
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    assert now.join(labels, "doc_id").where("quality = 0").count() <= 2
+def test_pipeline_equals_brute_force(spark, sf, docs):
+    """Every stage against the brute-force versions above; the classifier against its own scores, row by row."""
+    from tokenizers import Tokenizer
+
+    stages, now = dict(corpus_pipeline.STAGES), docs
+    assert list(stages) == ["quality", "line_dedup", "near_dedup", "decontaminate", "encode"]
+    model = line_crf.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    before = {r.doc_id: tuple(r) for r in docs.collect()}
+    now = materialise(stages["quality"](spark, now, sf), "quality")
+    kept = {r.doc_id: tuple(r) for r in now.collect()}
+    assert kept == {r.doc_id: before[r.doc_id] for r in line_crf.score(docs, model).where(F.col("score") >= line_crf.CUTOFF).collect()} and 0 < len(kept) < len(before)
+
+    held = {i: row[docs.columns.index("text")] for i, row in kept.items()}
+    gone = brute_drops(list(held.items()))
+    want = {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in held.items()}
+    want = {i: t for i, t in want.items() if WORD.search(t) or t == (held[i] or "")}
+    now = materialise(stages["line_dedup"](spark, now, sf), "line_dedup")
+    assert now.columns == docs.columns and texts(now) == want
+    assert now.where(F.coalesce(F.length("text"), F.lit(0)) != F.col("n_chars")).count() == docs.where(F.coalesce(F.length("text"), F.lit(0)) != F.col("n_chars")).join(now.select("doc_id"), "doc_id").count()
+
+    want = {i: want[i] for i, (_, c) in brute_components(want).items() if c == i}
+    now = materialise(stages["near_dedup"](spark, now, sf), "near_dedup")
+    assert now.columns == docs.columns and texts(now) == want
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaks = {i for i, _ in brute_leaks(list(want.items()), items)}
+    want = {i: t for i, t in want.items() if i not in leaks}
+    now = materialise(stages["decontaminate"](spark, now, sf), "decontaminate")
+    assert now.columns == docs.columns and texts(now) == want and leaks
+
+    lib, rows = Tokenizer.from_file(PATH), stages["encode"](spark, now, sf).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        ids = lib.encode(want[r.doc_id], add_special_tokens=False).ids
+        assert (r.ids, r.n_tokens) == (ids, len(ids)) and r.decoded_sha256 == hashlib.sha256((lib.decode(ids, skip_special_tokens=False) if ids else "").encode()).hexdigest()
 
 
 def test_pipeline_odd(spark, tmp_path, sf):
-    rows = [(0, None, "en", "s", 0), (1, "", None, None, None), (2, "a b c d e", "en", "s", 9), (2, "a b c d e", "en", "s", 9), (None, "x " * 9000, "en", "s", 9)]
+    """Nulls, empty and very long texts, copies, repeated ids, no id, clashing extra columns; then no rows at all."""
+    prose = "The house by the river stood there for many years and nobody knew who had built it. "
+    own = [prose + f"Only text {w} says this about the garden and the old trees behind the wall." for w in ("one", "two")]
+    rows = [(0, None), (1, ""), (2, own[0]), (3, own[0]), (4, own[1] + "\nand more of it"), (4, own[1] + "\nand more of it"), (None, own[0]), (5, " \n "), (6, "word " * 60_000)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
+    full = [(i, t, "en", None, len(t or "")) for i, t in rows]
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
-    for k, held in enumerate((rows, [])):
-        spark.createDataFrame(held, schema).write.parquet(f"{tmp_path}/documents.parquet", mode="overwrite")
-        assert corpus_pipeline.run(spark, str(tmp_path)).count() <= len(held)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet", mode="overwrite")  # all have 0.5 and stay
+    for held in (full, []):
+        df = spark.createDataFrame(held, schema).withColumns({"score": F.lit("x"), "drop": F.lit(1), "ids": F.lit("y"), "component_id": F.lit(2), "n_lines": F.lit(3), "id": F.lit(4)})
+        df.write.parquet(f"{tmp_path}/documents.parquet", mode="overwrite")
+        now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = materialise(stage(spark, now, str(tmp_path)), name)
+            assert now.columns == df.columns
+        got = sorted(((r.doc_id if r.doc_id is not None else -1), r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+        ids = [i for i, _ in got]
+        if not held:
+            assert got == []
+        else:  # the copy in row 3 goes (as a line), the repeated row stays with its twin, the row without an id stays
+            assert ids == [-1, 0, 1, 2, 4, 4, 5, 6] and dict(got)[0] == dict(got)[1] == 0 and dict(got)[6] == 60_000
