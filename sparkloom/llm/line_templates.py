@@ -12,11 +12,12 @@ again inside these smaller leaves, ``LEVELS`` times in all; then a line is its o
 and a repeated line inside that document stays.
 
 Lines are equal if the 128-bit BLAKE2 digests of their masked words are; before a line is taken out, its
-digest is made again from the text and compared. Fields are 64-bit hashes of words, templates are told
-apart by their node and by their constants (64 bits each).
+digest is made again from the text and compared. Fields are compared by 64-bit hashes of their words, templates
+are told apart by their node and by their constants (64 bits each).
 
-Everything is counted over all documents by grouped sums of hashed values (leaf, field, value);
-no leaf is ever gathered in one task: joins on a leaf or node are split further by line or value. Lines under ``MIN_WORDS`` words have no wildcards: one whose words are
+Everything is counted over all documents by grouped sums (node, field, value); no leaf is ever gathered
+in one task: the few leaves or nodes with over 1 / ``HOT`` of all weight, at most ``HOT`` rows, are
+broadcast, the others joined by a shuffle. Lines under ``MIN_WORDS`` words have no wildcards: one whose words are
 to at least ``SHARE`` without a digit is its masked words, any other its exact words. As short lines also meet
 by chance, one recurs if at least ``SHORT_SHARE`` of all documents (and ``SHORT_DOCS``) have it. Blank lines always stay.
 
@@ -32,13 +33,11 @@ import hashlib
 import re
 import struct
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_slices, materialise, ragged
-from sparkloom.llm.textbatch import TextBatch, count_in, mix64
+from sparkloom.llm.common import map_slices, materialise
 
 MIN_WORDS = 5
 DEPTH = 3
@@ -48,76 +47,67 @@ LEVELS = 4
 MIN_DOCS = 2
 SHORT_SHARE = 0.001
 SHORT_DOCS = 3
-PARTS = 32
-DIGIT = np.zeros(256, bool)
-DIGIT[48:58] = True
-_M = np.uint64(0xD1342543DE82EF95)
-_MASK = np.uint64(0x9E3779B97F4A7C15)
-
+HOT = 500
 _HOLDS_DIGIT = re.compile(rb"\S*[0-9]\S*")
 
 #: A line is named by its leaf and the two halves of its digest.
 LINE = ["leaf", "line", "check"]
-LINES = "doc_id long, line_no int, leaf long, line long, check long, short boolean, fields array<long>"
+LINES = "doc_id long, line_no int, leaf long, line long, check long, short boolean, words string"
 
 
-def line_digest(raw: bytes) -> bytes:
-    """The digest of a line's words, those with a digit masked (in short lines only if enough words have none)."""
+def masked_words(raw: bytes) -> list[bytes]:
+    """A line's words, those with a digit masked (in short lines only if enough words have none)."""
     words = raw.split()
     if _HOLDS_DIGIT.search(raw) is not None:
         masked = [b"\0" if _HOLDS_DIGIT.fullmatch(w) else w for w in words]
         if len(words) >= MIN_WORDS or sum(w != b"\0" for w in masked) >= len(words) * SHARE:
-            words = masked
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+            return masked
+    return words
 
 
-def line_signatures(t: TextBatch) -> tuple[np.ndarray, ...]:
-    """Of lines with a word: text, line number, leaf, digest (two words of 64 bits), number of fields, and the hashes of all fields."""
-    ls, le, doc = t.lines()
-    number = np.arange(len(ls)) - np.searchsorted(doc, doc)
-    ws, we = t.words()
-    a, b = np.searchsorted(ws, ls), np.searchsorted(ws, le)
-    some = b > a
-    ls, le, doc, number, a, b = ls[some], le[some], doc[some], number[some], a[some], b[some]
-    n = b - a
-    masked = count_in(DIGIT[t.data], ws, we) > 0
-    exact = (n < MIN_WORDS) & (count_in(~masked, a, b) < n * SHARE)
-    # a stretch's hash: sum of word hash times a power of its place in the line, by differences of running sums
-    total = int(n.sum())
-    place = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-    word = np.repeat(a, n) + place
-    h = t.hashes(ws, we)[word]
-    h = np.where(masked[word] & ~np.repeat(exact, n), _MASK, h)
-    power = mix64(place.astype(np.uint64) + np.uint64(77)) | np.uint64(1)
-    sums = np.zeros(total + 1, np.uint64)
-    np.cumsum(mix64(h * power), out=sums[1:])
-    first = np.cumsum(n) - n
-    depth = np.where(n < MIN_WORDS, n, DEPTH)
-    leaf = mix64(sums[first + depth] - sums[first] + mix64(n.astype(np.uint64)))
-    raw = t.data.tobytes()
-    digests = b"".join(line_digest(raw[x:y]) for x, y in zip(ls.tolist(), le.tolist()))
-    return doc, number, leaf, np.frombuffer(digests, np.int64).reshape(-1, 2), n - depth, h[place >= np.repeat(depth, n)]
+def line_digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
-    t = TextBatch(batch.column("text"))
-    doc, number, leaf, digest, n, fields = line_signatures(t)
-    cols = [batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(n == 0), ragged(fields.view(np.int64), n, pa.int64())]
-    return pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", *LINE, "short", "fields"])
-
-
-def _part(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(PARTS)).cast("int")
+    """A row for every line with a word; words holds its fields, joined by one space, and is null in short lines."""
+    row, number, leaf, digest, short, fields = [], [], [], [], [], []
+    for i, text in enumerate(batch.column("text").to_pylist()):
+        for k, raw in enumerate((text or "").encode().split(b"\n")):
+            if words := masked_words(raw):
+                few = len(words) < MIN_WORDS
+                row.append(i)
+                number.append(k)
+                leaf.append(hashlib.blake2b(b"%d " % len(words) + b" ".join(words[: MIN_WORDS if few else DEPTH]), digest_size=8).digest())
+                digest.append(line_digest(words))
+                short.append(few)
+                fields.append(None if few else b" ".join(words[DEPTH:]))
+    long = lambda x: pa.Array.from_buffers(pa.int64(), len(row) * (len(x[0]) // 8 if x else 1), [None, pa.py_buffer(b"".join(x))])
+    halves = long(digest)
+    cols = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), long(leaf), halves.take(pa.array(range(0, 2 * len(row), 2), pa.int64())), halves.take(pa.array(range(1, 2 * len(row), 2), pa.int64())), pa.array(short, pa.bool_()), pa.array(fields, pa.binary()).cast(pa.string())]
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", *LINE, "short", "words"])
+
+
+def _weighed_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows joined with keyed, one row for each key with its weight; total is the sum of weights.
+
+    Keys of at least total / HOT are at most HOT rows whatever the data, so they are broadcast; the others meet in a shuffle.
+    """
+    hot, least = F.broadcast(keyed.where(F.col(weight) >= total / HOT)), keyed.where(F.col(weight) < total / HOT)
+    cold = rows.join(hot.select(key), key, "left_anti").join(least, key)
+    return rows.join(hot, key).select(*cold.columns).union(cold)
 
 
 def templates(mixed: DataFrame, min_docs: int) -> DataFrame:
     """leaf, line, check and template (node, constant, n) of the lines of mixed (these, docs, fields) whose template stands."""
     left, done = mixed.withColumn("node", F.col("leaf")), []
     for _ in range(LEVELS):
+        if (total := left.agg(F.sum("docs")).first()[0]) is None and done:
+            break
         values = left.select("node", *LINE, "docs", F.posexplode("fields").alias("k", "value"))
-        held = left.groupBy("node").agg(F.sum("docs").alias("all")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        held = left.groupBy("node").agg(F.sum("docs").alias("all"))
         common = values.groupBy("node", "k", "value").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
-        common = common.withColumn("part", _part("value")).join(held, ["node", "part"]).drop("part")
+        common = _weighed_join(common, held, "node", "all", total or 0)
         constant = F.col("support") >= F.col("all") * CONSTANT
         anchor = F.when(F.col("support") < F.col("all"), F.struct("support", (-F.col("k")).alias("k"), "value"))
         met = values.join(common, ["node", "k", "value"]).groupBy("node", *LINE).agg(F.bit_xor(F.when(constant, F.xxhash64("k", "value"))).alias("constant"), F.count_if(constant).alias("n"), F.max(anchor).alias("anchor"))
@@ -125,8 +115,6 @@ def templates(mixed: DataFrame, min_docs: int) -> DataFrame:
         judged = materialise(left.join(met, ["node", *LINE]).withColumn("stands", stands), "judged")
         done.append(judged)
         left = judged.where("not stands and anchor is not null").select(*LINE, "docs", "fields", F.xxhash64("node", "anchor.k", "anchor.value").alias("node"))
-        if left.isEmpty():
-            break
     stood = [judged.where("stands").select(*LINE, "node", F.coalesce("constant", F.lit(0)).alias("constant"), "n") for judged in done]
     return materialise(functools.reduce(DataFrame.union, stood), "shaped", instead_of=tuple(done))
 
@@ -138,12 +126,13 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     held = lines.select(*LINE, "short", "doc_id").distinct().groupBy(*LINE, "short").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
     held = materialise(held, "held")
     # leaves in which a template may recur beyond equal lines: several lines, enough documents
-    bits = F.bit_or(F.expr("shiftleft(1L, part)"))
-    leaves = held.where("not short").withColumn("part", _part("line")).groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds"), bits.alias("parts"))
-    there = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.getbit("parts", k) == 1)
-    leaves = leaves.where((F.col("all") >= min_docs) & (F.col("kinds") > 1)).select("leaf", F.explode(there).alias("part"))
-    of_leaves = lines.where("not short").withColumn("part", _part("line")).join(leaves, ["leaf", "part"])
-    mixed = materialise(of_leaves.groupBy(*LINE).agg(F.min("fields").alias("fields")).join(held.drop("first", "short"), LINE), "mixed")
+    leaves = held.where("not short").groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds"))
+    leaves = materialise(leaves.where((F.col("all") >= min_docs) & (F.col("kinds") > 1)).select("leaf", "all"), "leaves")
+    total = leaves.agg(F.sum("all")).first()[0] or 0
+    of_leaves = _weighed_join(lines.where("not short"), leaves, "leaf", "all", total)
+    worded = of_leaves.groupBy(*LINE).agg(F.min("words").alias("words")).join(held.drop("first", "short"), LINE)
+    fields = F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
+    mixed = materialise(worded.select(*LINE, "docs", fields.alias("fields")), "mixed")
     # templates with wildcards: their documents are counted over distinct (template, document)
     shaped = templates(mixed, min_docs)
     template = ["node", "constant", "n"]
@@ -155,7 +144,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     equal = held.where(F.col("docs") >= enough).select(*LINE, "first")
     drop = equal.union(by_template).groupBy(*LINE).agg(F.min("first").alias("first"))
     out = lines.join(drop, LINE).where("doc_id != first").select("doc_id", "line_no", "line", "check")
-    return materialise(out, "drops", instead_of=(lines, held, mixed, shaped))
+    return materialise(out, "drops", instead_of=(lines, held, leaves, mixed, shaped))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
@@ -175,7 +164,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, st
             parts = (text or "").split("\n")
             gone = set()
             for d in drop or ():
-                if (k := d["line_no"]) < len(parts) and line_digest(parts[k].encode()) == struct.pack("=qq", d["line"], d["check"]):
+                if (k := d["line_no"]) < len(parts) and line_digest(masked_words(parts[k].encode())) == struct.pack("=qq", d["line"], d["check"]):
                     gone.add(k)
             out.append("\n".join(x for k, x in enumerate(parts) if k not in gone) if gone else text)
             n_lines.append(len(parts))
