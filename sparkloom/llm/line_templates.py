@@ -16,8 +16,9 @@ digest is made again from the text and compared. Fields are compared by 64-bit h
 are told apart by their node and by their constants (64 bits each).
 
 Everything is counted over all documents by grouped sums (node, field, value); no leaf is ever gathered
-in one task: the few leaves or nodes with over 1 / ``HOT`` of all weight, at most ``HOT`` rows, are
-broadcast, the others joined by a shuffle. Lines under ``MIN_WORDS`` words have no wildcards: one whose words are
+in one task: the few leaves, nodes, lines or templates with over 1 / ``HOT`` of all weight, at most
+``HOT`` rows, are broadcast, the others joined by a shuffle. Before lines meet the leaves with several
+kinds of lines, a bitmap of fixed size (2 MB) keeps those of most other leaves out of that shuffle. Lines under ``MIN_WORDS`` words have no wildcards: one whose words are
 to at least ``SHARE`` without a digit is its masked words, any other its exact words. As short lines also meet
 by chance, one recurs if at least ``SHORT_SHARE`` of all documents (and ``SHORT_DOCS``) have it. Blank lines always stay.
 
@@ -34,6 +35,7 @@ import re
 import struct
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ MIN_DOCS = 2
 SHORT_SHARE = 0.001
 SHORT_DOCS = 3
 HOT = 500
-_HOLDS_DIGIT = re.compile(rb"\S*[0-9]\S*")
+_HOLDS_DIGIT = re.compile(rb"[0-9]").search
 
 #: A line is named by its leaf and the two halves of its digest.
 LINE = ["leaf", "line", "check"]
@@ -58,8 +60,8 @@ LINES = "doc_id long, line_no int, leaf long, line long, check long, short boole
 def masked_words(raw: bytes) -> list[bytes]:
     """A line's words, those with a digit masked (in short lines only if enough words have none)."""
     words = raw.split()
-    if _HOLDS_DIGIT.search(raw) is not None:
-        masked = [b"\0" if _HOLDS_DIGIT.fullmatch(w) else w for w in words]
+    if _HOLDS_DIGIT(raw):
+        masked = [b"\0" if _HOLDS_DIGIT(w) else w for w in words]
         if len(words) >= MIN_WORDS or sum(w != b"\0" for w in masked) >= len(words) * SHARE:
             return masked
     return words
@@ -88,63 +90,73 @@ def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", *LINE, "short", "words"])
 
 
-def _weighed_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """rows joined with keyed, one row for each key with its weight; total is the sum of weights.
+def _weighed_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined with keyed, a written table with one row for each key and its weight.
 
-    Keys of at least total / HOT are at most HOT rows whatever the data, so they are broadcast; the others meet in a shuffle.
+    Keys of at least 1 / HOT of all weight are at most HOT rows whatever the data, so they are broadcast; the others meet in a shuffle.
     """
-    hot, least = F.broadcast(keyed.where(F.col(weight) >= total / HOT)), keyed.where(F.col(weight) < total / HOT)
-    cold = rows.join(hot.select(key), key, "left_anti").join(least, key)
-    return rows.join(hot, key).select(*cold.columns).union(cold)
+    least = (keyed.agg(F.sum(weight)).first()[0] or 0) / HOT
+    hot = F.broadcast(keyed.where(F.col(weight) >= least))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(keyed.where(F.col(weight) < least), keys)
+    return rows.join(hot, keys).select(*cold.columns).union(cold)
+
+
+def _maybe_in(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows whose leaf has its bit set in a bitmap of 2^24 bits over leaves; the broadcast side is at most 2^18 words of 64 bits."""
+    word, bit = F.shiftrightunsigned("leaf", 46), F.expr("shiftleft(1L, cast(shiftrightunsigned(leaf, 40) & 63 as int))")
+    bitmap = leaves.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    held = rows.join(F.broadcast(bitmap), word == F.col("__word")).where(F.col("__bits").bitwiseAND(bit) != 0)
+    return held.drop("__word", "__bits")
 
 
 def templates(mixed: DataFrame, min_docs: int) -> DataFrame:
     """leaf, line, check and template (node, constant, n) of the lines of mixed (these, docs, fields) whose template stands."""
     left, done = mixed.withColumn("node", F.col("leaf")), []
     for _ in range(LEVELS):
-        if (total := left.agg(F.sum("docs")).first()[0]) is None and done:
+        if done and left.isEmpty():
             break
         values = left.select("node", *LINE, "docs", F.posexplode("fields").alias("k", "value"))
-        held = left.groupBy("node").agg(F.sum("docs").alias("all"))
+        held = materialise(left.groupBy("node").agg(F.sum("docs").alias("all")), "nodes")
         common = values.groupBy("node", "k", "value").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
-        common = _weighed_join(common, held, "node", "all", total or 0)
+        common = _weighed_join(common, held, ["node"], "all")
         constant = F.col("support") >= F.col("all") * CONSTANT
         anchor = F.when(F.col("support") < F.col("all"), F.struct("support", (-F.col("k")).alias("k"), "value"))
         met = values.join(common, ["node", "k", "value"]).groupBy("node", *LINE).agg(F.bit_xor(F.when(constant, F.xxhash64("k", "value"))).alias("constant"), F.count_if(constant).alias("n"), F.max(anchor).alias("anchor"))
         stands = F.col("n") >= F.size("fields") * SHARE
-        judged = materialise(left.join(met, ["node", *LINE]).withColumn("stands", stands), "judged")
+        judged = materialise(left.join(met, ["node", *LINE]).withColumn("stands", stands), "judged", instead_of=(held,))
         done.append(judged)
-        left = judged.where("not stands and anchor is not null").select(*LINE, "docs", "fields", F.xxhash64("node", "anchor.k", "anchor.value").alias("node"))
-    stood = [judged.where("stands").select(*LINE, "node", F.coalesce("constant", F.lit(0)).alias("constant"), "n") for judged in done]
+        left = judged.where("not stands and anchor is not null").select(*LINE, "docs", "rows", "fields", F.xxhash64("node", "anchor.k", "anchor.value").alias("node"))
+    stood = [judged.where("stands").select(*LINE, "rows", "node", F.coalesce("constant", F.lit(0)).alias("constant"), "n") for judged in done]
     return materialise(functools.reduce(DataFrame.union, stood), "shaped", instead_of=tuple(done))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, line_no and digest (line, check) of every line to drop; a written table."""
     lines = materialise(map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), "text", LINES, _lines), "lines")
-    # one row for each line, with the number of documents that have it
-    held = lines.select(*LINE, "short", "doc_id").distinct().groupBy(*LINE, "short").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
+    # one row for each line, with the number of documents that have it and of its rows
+    by_doc = lines.groupBy(*LINE, "short", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    held = by_doc.groupBy(*LINE, "short").agg(F.count(F.lit(1)).alias("docs"), F.sum("rows").alias("rows"), F.min("doc_id").alias("first"))
     held = materialise(held, "held")
     # leaves in which a template may recur beyond equal lines: several lines, enough documents
-    leaves = held.where("not short").groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds"))
-    leaves = materialise(leaves.where((F.col("all") >= min_docs) & (F.col("kinds") > 1)).select("leaf", "all"), "leaves")
-    total = leaves.agg(F.sum("all")).first()[0] or 0
-    of_leaves = _weighed_join(lines.where("not short"), leaves, "leaf", "all", total)
-    worded = of_leaves.groupBy(*LINE).agg(F.min("words").alias("words")).join(held.drop("first", "short"), LINE)
+    leaves = held.where("not short").groupBy("leaf").agg(F.sum("docs").alias("docs"), F.sum("rows").alias("weight"), F.count(F.lit(1)).alias("kinds"))
+    leaves = materialise(leaves.where((F.col("docs") >= min_docs) & (F.col("kinds") > 1)).select("leaf", "weight"), "leaves")
+    of_leaves = _weighed_join(_maybe_in(lines.where("not short").select(*LINE, "words"), leaves), leaves, ["leaf"], "weight")
+    worded = of_leaves.groupBy(*LINE).agg(F.min("words").alias("words")).join(_maybe_in(held.where("not short"), leaves), LINE)
     fields = F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
-    mixed = materialise(worded.select(*LINE, "docs", fields.alias("fields")), "mixed")
+    mixed = materialise(worded.select(*LINE, "docs", "rows", fields.alias("fields")), "mixed", instead_of=(leaves,))
     # templates with wildcards: their documents are counted over distinct (template, document)
     shaped = templates(mixed, min_docs)
     template = ["node", "constant", "n"]
-    named = lines.select(*LINE, "doc_id").join(shaped, LINE).select(*template, "doc_id").distinct()
-    general = named.groupBy(*template).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    by_template = shaped.join(general.drop("docs"), template).select(*LINE, "first")
+    named = _weighed_join(lines.select(*LINE, "doc_id"), shaped, LINE, "rows").groupBy(*template, "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    general = named.groupBy(*template).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.sum("rows").alias("weight"))
+    general = materialise(general.where(F.col("docs") >= min_docs).drop("docs"), "general")
+    by_template = _weighed_join(shaped, general, template, "weight").select(*LINE, "rows", "first")
     known = docs.select("doc_id").where("doc_id is not null").distinct().count()
     enough = F.when(F.col("short"), max(SHORT_DOCS, min_docs, SHORT_SHARE * known)).otherwise(min_docs)
-    equal = held.where(F.col("docs") >= enough).select(*LINE, "first")
-    drop = equal.union(by_template).groupBy(*LINE).agg(F.min("first").alias("first"))
-    out = lines.join(drop, LINE).where("doc_id != first").select("doc_id", "line_no", "line", "check")
-    return materialise(out, "drops", instead_of=(lines, held, leaves, mixed, shaped))
+    equal = held.where(F.col("docs") >= enough).select(*LINE, "rows", "first")
+    drop = materialise(equal.union(by_template).groupBy(*LINE).agg(F.min("first").alias("first"), F.max("rows").alias("rows")), "recurring")
+    out = _weighed_join(lines.select(*LINE, "doc_id", "line_no"), drop, LINE, "rows").where("doc_id != first").select("doc_id", "line_no", "line", "check")
+    return materialise(out, "drops", instead_of=(lines, held, mixed, shaped, general, drop))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
@@ -157,21 +169,23 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, st
     joined = base.join(drops.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
 
     def without(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """The text without the lines in column __drop whose digests are those named there."""
-        texts, drops = batch.column("text").to_pylist(), batch.column("__drop").to_pylist()
-        out, n_lines, n_dropped = [], [], []
-        for text, drop in zip(texts, drops):
-            parts = (text or "").split("\n")
-            gone = set()
-            for d in drop or ():
+        """The text without the lines in column __drop whose digests are those named there; texts that lose none are handed on as they are."""
+        names = [n for n in batch.schema.names if n != "__drop"]
+        texts, drops = batch.column("text"), batch.column("__drop")
+        n_lines = pc.add(pc.cast(pc.count_substring(texts.fill_null(""), "\n"), pa.int64()), 1)
+        n_dropped, new = [0] * len(texts), {}
+        for i in pc.indices_nonzero(drops.is_valid()).to_pylist():
+            parts, gone = (texts[i].as_py() or "").split("\n"), set()
+            for d in drops[i].as_py():
                 if (k := d["line_no"]) < len(parts) and line_digest(masked_words(parts[k].encode())) == struct.pack("=qq", d["line"], d["check"]):
                     gone.add(k)
-            out.append("\n".join(x for k, x in enumerate(parts) if k not in gone) if gone else text)
-            n_lines.append(len(parts))
-            n_dropped.append(len(gone))
-        names = [n for n in batch.schema.names if n != "__drop"]
-        cols = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, *counts])
+            if gone:
+                new[i], n_dropped[i] = "\n".join(x for k, x in enumerate(parts) if k not in gone), len(gone)
+        if new:
+            changed = pa.array([i in new for i in range(len(texts))])
+            texts = pc.replace_with_mask(texts, changed, pa.array([new[i] for i in sorted(new)], texts.type))
+        cols = [texts if n == "text" else batch.column(n) for n in names]
+        return pa.RecordBatch.from_arrays([*cols, n_lines, pa.array(n_dropped, pa.int64())], [*names, *counts])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"`{n}` long" for n in counts)])
     return map_slices(joined, "text", schema, without)
