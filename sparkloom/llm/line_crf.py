@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int =
     found = map_slices(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text"), "text", "doc_id long, quality int, bins array<tinyint>, length array<long>", features)
     held = materialise(found, "features")
     total = held.agg(F.sum(F.size("length"))).first()[0] or 0
-    got = (held.where(_share("doc_id", 2, lines / total)) if total > lines else held).drop("doc_id").orderBy("quality", "bins", "length").toArrow()
+    got = (held.where(_share("doc_id", 2, lines / total)) if total > lines else held).toArrow().sort_by("doc_id")
     release(held)
     got = got.combine_chunks()
     flat = lambda c: np.concatenate([np.asarray(x.flatten()) for x in got.column(c).chunks] or [np.zeros(0)])
