@@ -17,6 +17,7 @@ from sparkloom.operators.clean import Pipeline, Step, issues
 from sparkloom.operators.pivot import PivotSpec, long_form, wide
 from sparkloom.plans import assistant, charts, geo, insights
 from sparkloom.sources import readers
+from sparkloom.sources.registry import Registry
 from sparkloom.streaming import event_windows
 
 FLAGSHIP = "pvt_totals"
@@ -203,9 +204,9 @@ def _(spark, d):
     return rounded(filters.remove_outliers(load(spark, d, "lineitem"), "l_extendedprice").agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("s")), 2)
 
 
-@register("flt_delete_rows", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@register("flt_delete_rows", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
 def _(spark, d):
-    return filters.delete_rows(load(spark, d, "customer"), "c_custkey", load(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")).select("c_custkey")
+    return filters.delete_rows(load(spark, d, "customer"), "c_custkey", load(spark, d, "orders").where("o_totalprice > 300000").withColumnRenamed("o_custkey", "c_custkey")).select("c_custkey")
 
 
 @register("flt_complete", f"select count(*) as n from {GAPPY} where l_discount is not null and l_tax is not null")
@@ -325,25 +326,29 @@ def _(spark, d):
     return combine.join(load(spark, d, "orders").select("o_orderkey", "o_custkey"), c, [("o_custkey", "k")]).select("o_orderkey", "c_name")
 
 
-@register("jn_diagnostics", """
-with o as (select o_custkey as k, count(*) as nl from orders group by 1), c as (select c_custkey as k, count(*) as nr from customer where c_acctbal > 0 group by 1), m as (select coalesce(nl, 0) as nl, coalesce(nr, 0) as nr from o full join c using (k))
-select sum(nl * nr)::bigint as inner_rows, coalesce(sum(nl) filter (nr = 0), 0)::bigint as left_unmatched, coalesce(sum(nr) filter (nl = 0), 0)::bigint as right_unmatched, bool_or(nl > 1 and nr > 1) as many_to_many from m""")
+@register("jn_time_key", """
+with e as (select event_id, ts, strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%g') as k from events)
+select a.event_id as event_id, b.event_id as other, a.event_type as event_type from events a join e b on strftime(date_trunc('millisecond', a.ts), '%Y-%m-%d %H:%M:%S.%g') = b.k""")
 def _(spark, d):
-    return combine.diagnostics(load(spark, d, "orders"), load(spark, d, "customer").where("c_acctbal > 0"), [("o_custkey", "c_custkey")])
+    """Times against texts of times: equal to the millisecond, not to the second."""
+    e = load(spark, d, "events")
+    texts = e.select(F.col("event_id").alias("other"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("k"))
+    return combine.join(e.select("event_id", "ts", "event_type"), texts, [("ts", "k")]).select("event_id", "other", "event_type")
 
 
-@register("sql_join_window", """
-with r as (select n_name, c_custkey, c_acctbal, row_number() over (partition by n_name order by c_acctbal desc, c_custkey) as place from customer join nation on c_nationkey = n_nationkey) select n_name, c_custkey, c_acctbal, place::int as place from r where place <= 3""")
+@register("jn_big_key", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey")
 def _(spark, d):
-    load(spark, d, "customer").createOrReplaceTempView("customer_v")
-    load(spark, d, "nation").createOrReplaceTempView("nation_v")
-    return spark.sql("with r as (select n_name, c_custkey, c_acctbal, row_number() over (partition by n_name order by c_acctbal desc, c_custkey) as place from customer_v join nation_v on c_nationkey = n_nationkey) select * from r where place <= 3")
+    """Whole numbers beyond 2^53 against texts: digit by digit, so neighbours don't meet."""
+    big = lambda c: F.col(c) + F.lit(9007199254740992)
+    c = load(spark, d, "customer").select(F.concat(F.lit("+0"), big("c_custkey").cast("string")).alias("k"), "c_name")
+    return combine.join(load(spark, d, "orders").select("o_orderkey", big("o_custkey").alias("big")), c, [("big", "k")]).select("o_orderkey", "c_name")
 
 
-@register("sql_rollup", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)")
+@register("jn_diagnostics", """
+with o as (select o_custkey as k, count(*) as nl from orders group by 1), c as (select c_custkey as k, count(*) as nr from customer where c_acctbal > 0 group by 1), m as (select coalesce(nl, 0) as nl, coalesce(nr, 0) as nr from o full join c using (k))
+select sum(nl * nr)::bigint as inner_rows, coalesce(sum(nl) filter (nr = 0), 0)::bigint as left_unmatched, coalesce(sum(nr) filter (nl = 0), 0)::bigint as right_unmatched, bool_or(nl > 1 and nr > 1) as many_to_many from m""")
 def _(spark, d):
-    load(spark, d, "orders").createOrReplaceTempView("orders_v")
-    return spark.sql("select o_orderstatus, o_orderpriority, count(*) as n from orders_v group by rollup (o_orderstatus, o_orderpriority)")
+    return combine.diagnostics(load(spark, d, "orders"), load(spark, d, "customer").where("c_acctbal > 0"), [("o_custkey", "c_custkey")])
 
 
 # ---- pivots
@@ -906,13 +911,18 @@ def _(spark, d):
 
 
 def _sql(name: str, query: str, oracle: str | None = None) -> None:
-    """The same text runs on both sides unless the dialects differ."""
+    """The same text runs on both sides unless the dialects differ; here over the views of a registry, after a step and its undoing."""
 
     @register(name, oracle or query)
     def _(spark, d):
-        for t in set(re.findall(r"\b(?:from|join)\s+([a-z]+)", query)) & TABLES:
-            load(spark, d, t).createOrReplaceTempView(t)
-        return spark.sql(query)
+        held = Registry(spark)
+        for t in sorted(set(re.findall(r"\b(?:from|join)\s+([a-z]+)", query)) & TABLES):
+            key = held.add(t, load(spark, d, t), load(spark, d, t).columns[0])
+            held.step(key, Step("drop_col", held.view(key).columns[-1]))
+            held.move(key, -1)
+        found = held.sql(query)
+        held.close()
+        return found
 
 
 TABLES = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "embeddings"}
@@ -924,7 +934,9 @@ _sql("sql_cube", "select c_mktsegment, c_nationkey, count(*) as n from customer
 _sql("sql_having", "select o_custkey, count(*) as n, max(o_totalprice) as top from orders group by o_custkey having count(*) > 12")
 _sql("sql_filter_agg", "select l_shipdate is null as none, count(*) filter (where l_returnflag = 'R') as r, count(*) filter (where l_tax > 0.04) as t from lineitem group by 1")
 _sql("sql_intersect", "select c_nationkey as k from customer intersect select s_nationkey from supplier")
-_sql("sql_except", "select n_nationkey as k from nation except select s_nationkey from supplier where s_acctbal > 0")
+_sql("sql_except", "select n_nationkey as k from nation except select s_nationkey from supplier where s_acctbal > 9000")
+_sql("sql_join_window", "with r as (select n_name, c_custkey, c_acctbal, row_number() over (partition by n_name order by c_acctbal desc, c_custkey) as place from customer join nation on c_nationkey = n_nationkey) select n_name, c_custkey, c_acctbal, cast(place as int) as place from r where place <= 3")
+_sql("sql_rollup", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)")
 _sql("sql_cte", "with big as (select o_custkey, sum(o_totalprice) as s from orders group by o_custkey), m as (select max(s) as m from big) select o_custkey, round(s, 2) as s from big, m where s > 0.9 * m")
 _sql("sql_subquery", "select o_orderkey from orders o where o_totalprice > (select avg(o_totalprice) * 1.8 from orders i where i.o_custkey = o.o_custkey)")
 _sql("sql_frames", "select event_id, count(*) over (partition by user_id order by event_id rows between 3 preceding and current row) as n, first_value(event_type) over (partition by user_id order by event_id) as first_type from events")

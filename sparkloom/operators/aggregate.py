@@ -1,4 +1,8 @@
-"""Grouped aggregation, quantiles, modes, histograms and profiles. Every statistic is one grouped pass; nothing is collected."""
+"""Grouped aggregation, quantiles, modes, histograms and profiles by grouped passes; nothing is collected.
+
+Medians and other quantiles are exact and have passes of their own (``order.exact_quantiles``), so that no task holds the
+distinct values of a group; all other statistics of a call are one pass.
+"""
 
 from __future__ import annotations
 
@@ -7,24 +11,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.values import blank, group_text, number, safe_divide
+from sparkloom.functions.values import all_of, blank, group_text, number, safe_divide
+from sparkloom.operators.order import exact_quantiles
 
 
 def measure(df: DataFrame, column: str, how: str) -> Column:
-    """The aggregate of a column: sum avg min max median count countd std missing, or a quantile as ``q0.25``; sum where unknown.
+    """The aggregate of a column: sum avg min max count countd std missing, median or ``q0.25``; sum where unknown.
+
+    As a column, a quantile is Spark's, which holds a group's distinct values (windows of events use it); see ``summarise``.
 
     Sums of nothing are 0, counts count rows, distinct counts leave blanks out, everything else ignores what is no number.
     """
     kind = df.schema[column].dataType
     value = number(F.col(column), kind)
-    if how.startswith("q") and how[1:].replace(".", "", 1).isdigit():
-        return F.percentile(value, float(how[1:]))
+    if (p := quantile_of(how)) is not None:
+        return F.percentile(value, p)
     return {
         "avg": lambda: F.avg(value),
         "mean": lambda: F.avg(value),
         "min": lambda: F.min(value),
         "max": lambda: F.max(value),
-        "median": lambda: F.median(value),
         "count": lambda: F.count(F.lit(1)),
         "countd": lambda: F.count_distinct(F.when(~blank(F.col(column)), F.col(column))),
         "std": lambda: F.stddev_samp(value),
@@ -32,12 +38,30 @@ def measure(df: DataFrame, column: str, how: str) -> Column:
     }.get(how, lambda: F.coalesce(F.sum(value), F.lit(0.0)))()
 
 
+def quantile_of(how: str) -> float | None:
+    """The share that a measure of kind ``median`` or ``q0.25`` stands for; None for other measures."""
+    if how == "median":
+        return 0.5
+    return float(how[1:]) if how.startswith("q") and how[1:].replace(".", "", 1).isdigit() else None
+
+
+def summarise(df: DataFrame, keys: Sequence[str], measures: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """keys (nulls are keys), the measures (column, how, name; quantiles too) and __count, one row for each key tuple."""
+    ranks = [(name, number(F.col(c), df.schema[c].dataType), quantile_of(how)) for c, how, name in measures if quantile_of(how) is not None]
+    plain = df.groupBy(*keys).agg(*[measure(df, c, how).alias(name) for c, how, name in measures if quantile_of(how) is None], F.count(F.lit(1)).alias("__count"))
+    if not ranks:
+        return plain
+    found = exact_quantiles(df, keys, ranks).withColumnsRenamed({k: f"__q_{k}" for k in keys})
+    met = plain.join(found, all_of([F.col(k).eqNullSafe(F.col(f"__q_{k}")) for k in keys]), "left") if keys else plain.crossJoin(F.broadcast(found))  # without keys, one row
+    return met.select(*keys, *[name for _, _, name in measures], "__count")
+
+
 def group_by(df: DataFrame, keys: Sequence[str], measures: Sequence[tuple[str, str, str]]) -> DataFrame:
     """One row for each key tuple (as text), the measures (column, how, name), and __count."""
     texts = [group_text(F.col(k), df.schema[k].dataType).alias(k) for k in keys]
-    aggs = [measure(df, c, how).alias(name) for c, how, name in measures]
-    held = df.select(*[F.col(c) for c in df.columns if c not in keys], *texts)
-    grouped = held.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("__count"))
+    asked = list(dict.fromkeys(c for c, _, _ in measures))
+    held = df.select(*[F.col(c).alias(f"__m_{c}") for c in asked], *texts)
+    grouped = summarise(held, keys, [(f"__m_{c}", how, name) for c, how, name in measures])
     return grouped if keys else grouped.where("__count > 0")
 
 
@@ -89,15 +113,17 @@ def skew_kurtosis(value: Column) -> tuple[Column, Column]:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A row for each column: n, mean, median, std, min, q1, q3, max, skewness, kurtosis; one pass for all columns."""
-    rows = []
-    for c in columns:
-        v = number(F.col(c), df.schema[c].dataType)
+    """A row for each column: n, mean, median, std, min, q1, q3, max, skewness, kurtosis; one pass for all columns, and those of the quantiles."""
+    rows, ranks, value = [], [], {c: number(F.col(c), df.schema[c].dataType) for c in columns}
+    for i, (c, v) in enumerate(value.items()):
         skew, kurt = skew_kurtosis(v)
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        stats = [F.lit(c).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"), q[1].alias("median"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q[0].alias("q1"), q[2].alias("q3"), F.max(v).alias("max"), skew.alias("skewness"), kurt.alias("kurtosis")]
-        rows.append(F.struct(*stats))
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+        rows.append(F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), skew.alias("skewness"), kurt.alias("kurtosis")))
+        ranks += [(f"{name}_{i}", v, p) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    plain = df.agg(F.array(*rows).alias("rows"))
+    sides = F.array(*[F.struct(*[F.col(f"{name}_{i}").alias(name) for name in ("q1", "median", "q3")]) for i in range(len(value))])
+    both = plain.crossJoin(F.broadcast(exact_quantiles(df, (), ranks).select(sides.alias("sides"))))  # one row each
+    found = both.select("sides", F.inline("rows"))
+    return found.select("column", "n", "mean", F.get("sides", "i")["median"].alias("median"), "std", "min", F.get("sides", "i")["q1"].alias("q1"), F.get("sides", "i")["q3"].alias("q3"), "max", "skewness", "kurtosis")
 
 
 def profile(df: DataFrame) -> DataFrame:

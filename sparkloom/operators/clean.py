@@ -11,12 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.formula import compile_formula
 from sparkloom.functions.values import blank, number, round_half_up, text
 from sparkloom.operators import aggregate, filters
+from sparkloom.operators.order import exact_quantiles, numbered
 
 
 @dataclass(frozen=True)
@@ -77,7 +78,8 @@ def fill_mean(df: DataFrame, col: str, params: dict, order: str) -> DataFrame:
 
 
 def fill_median(df: DataFrame, col: str, params: dict, order: str) -> DataFrame:
-    return _with_stats(df, {"m": F.median(_value(df, col))}, lambda d: _fill(d, col, F.col("__m")))
+    middle = F.broadcast(exact_quantiles(df, (), [("__m", _value(df, col), 0.5)]))  # one row
+    return _fill(df.join(middle), col, F.col("__m")).drop("__m")
 
 
 def fill_mode(df: DataFrame, col: str, params: dict, order: str) -> DataFrame:
@@ -111,7 +113,7 @@ def label_encode(df: DataFrame, col: str, params: dict, order: str) -> DataFrame
     name = params.get("new", f"{col}_enc")
     word = text(F.col(col), df.schema[col].dataType)
     levels = df.where(~blank(F.col(col))).select(word.alias("__w")).distinct()
-    codes = levels.withColumn(name, (F.dense_rank().over(Window.orderBy("__w")) - 1).cast("int"))
+    codes = numbered(levels, ["__w"], name).withColumn(name, (F.col(name) - 1).cast("int"))
     return df.withColumn("__w", word).join(codes, "__w", "left").drop("__w")
 
 
@@ -144,14 +146,14 @@ def log_transform(df: DataFrame, col: str, params: dict, order: str) -> DataFram
 
 
 def rank_transform(df: DataFrame, col: str, params: dict, order: str) -> DataFrame:
-    """1..n over the whole column, nulls first: one global order, which Spark sorts by range before it is numbered."""
-    return df.withColumn(col, F.row_number().over(Window.orderBy(F.col(col).asc_nulls_first(), order)))
+    """1..n over the whole column, nulls first, ties in order: rows are dealt to ranges of the order and numbered inside them."""
+    return numbered(df, [F.col(col).asc_nulls_first(), order], "__rank").withColumn(col, F.col("__rank").cast("int")).drop("__rank").select(df.columns)
 
 
 def winsorize(df: DataFrame, col: str, params: dict, order: str) -> DataFrame:
     p, v = params.get("p", 5) / 100, _value(df, col)
-    clipped = F.when(v.isNotNull(), F.greatest(F.least(v, F.col("__q")[1]), F.col("__q")[0]))
-    return _with_stats(df, {"q": F.percentile(v, F.array(F.lit(p), F.lit(1 - p)))}, lambda d: d.withColumn(col, clipped))
+    ends = F.broadcast(exact_quantiles(df, (), [("__lo", v, p), ("__hi", v, 1 - p)]))  # one row
+    return df.join(ends).withColumn(col, F.when(v.isNotNull(), F.greatest(F.least(v, F.col("__hi")), F.col("__lo")))).drop("__lo", "__hi")
 
 
 def binning(df: DataFrame, col: str, params: dict, order: str) -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, DateType, DoubleType, FractionalType, IntegralType, LongType, NumericType, StringType, TimestampType
+from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, DoubleType, FractionalType, IntegralType, LongType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from sparkloom.functions.values import all_of, blank_trimmed, text
 
+TIMES = (TimestampType, TimestampNTZType, DateType)
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full"}
 
 
@@ -46,24 +47,37 @@ def source_counts(united: DataFrame, source: str = "__source") -> DataFrame:
     return united.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _whole(digits: Column) -> Column:
+    """Text of a whole number: no plus, no leading zeros, no minus zero."""
+    return F.regexp_replace(F.regexp_replace(digits, r"^\+?(-?)0*(\d)", "$1$2"), r"^-0$", "0")
+
+
 def join_key(c: Column, kind: DataType) -> Column:
-    """One text for equal keys of any type: numbers and numeric texts, dates and ISO texts; blank is null, which never matches."""
-    if isinstance(kind, (TimestampType, DateType)):
-        return F.concat(F.lit("d:"), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"))
+    """One text for equal keys of any type: numbers and numeric texts (whole ones digit by digit), times to the millisecond and ISO texts; blank is null, which never matches."""
+    moment = lambda t: F.concat(F.lit("d:"), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    if isinstance(kind, TIMES):
+        return moment(c)
+    if isinstance(kind, IntegralType):
+        return F.concat(F.lit("n:"), c.cast("string"))
+    if isinstance(kind, DecimalType):
+        digits = c.cast("string")
+        return F.concat(F.lit("n:"), _whole(F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)))
     if isinstance(kind, NumericType):
         return F.concat(F.lit("n:"), text(c.cast("double"), DoubleType()))
     word = F.trim(c.cast("string"))
+    as_whole = F.when(word.rlike(r"^[+-]?\d+(\.0+)?$"), F.concat(F.lit("n:"), _whole(F.regexp_replace(word, r"\..*$", ""))))
     as_number = F.when(word.rlike(r"^[+-]?\d+(\.\d+)?$"), F.concat(F.lit("n:"), text(word.try_cast("double"), DoubleType())))
-    as_date = F.when(word.rlike(r"^\d{4}-\d{2}-\d{2}([T ][0-9:.+-]+Z?)?$"), F.concat(F.lit("d:"), F.date_format(word.try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")))
+    as_number = F.coalesce(as_whole, as_number)
+    as_date = F.when(word.rlike(r"^\d{4}-\d{2}-\d{2}([T ][0-9:.+-]+Z?)?$"), moment(word.try_cast("timestamp")))
     return F.when(word != "", F.coalesce(as_number, as_date, F.concat(F.lit("s:"), word)))
 
 
 def _keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> tuple[list[Column], list[Column]]:
-    """Keys to compare; columns of whole numbers are compared as they are, so that bucketing and filters still reach the scan."""
+    """Keys to compare; whole numbers, fractional numbers and times of one type are compared as they are, so that bucketing and filters still reach the scan."""
     ls, rs = [], []
     for a, b in pairs:
         ka, kb = left.schema[a].dataType, right.schema[b].dataType
-        plain = isinstance(ka, IntegralType) and isinstance(kb, IntegralType)
+        plain = (isinstance(ka, IntegralType) and isinstance(kb, IntegralType)) or (ka == kb and isinstance(ka, (*TIMES, FractionalType)))
         ls.append(F.col(a) if plain else join_key(F.col(a), ka))
         rs.append(F.col(b) if plain else join_key(F.col(b), kb))
     return ls, rs

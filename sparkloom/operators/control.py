@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.values import safe_divide
+from sparkloom.operators.order import numbered, with_lags
 
 #: The factors of control charts by subgroup size 2..10.
 FACTORS = {
@@ -30,8 +31,7 @@ def factor(name: str, n: int) -> float:
 def individuals(df: DataFrame, value: str, order: str) -> DataFrame:
     """One row: center, sigma (mean moving range / d2), limits, mean moving range and its upper limit."""
     held = df.where(F.col(value).isNotNull())
-    w = Window.orderBy(order)
-    mr = held.select(F.col(value).alias("v"), F.abs(F.col(value) - F.lag(value).over(w)).alias("mr"))
+    mr = with_lags(held.select(value, order), value, [order], [1]).select(F.col(value).alias("v"), F.abs(F.col(value) - F.col("__lag1")).alias("mr"))
     row = mr.agg(F.avg("v").alias("center"), F.avg("mr").alias("mr_bar"))
     sigma = F.col("mr_bar") / factor("d2", 2)
     return row.select("center", sigma.alias("sigma"), (F.col("center") + 3 * sigma).alias("ucl"), (F.col("center") - 3 * sigma).alias("lcl"), "mr_bar", (F.col("mr_bar") * factor("D4", 2)).alias("mr_ucl"))
@@ -85,8 +85,8 @@ def u_chart(df: DataFrame, counts: str, size: str) -> DataFrame:
 
 def capability(df: DataFrame, value: str, order: str, lsl: float | None = None, usl: float | None = None) -> DataFrame:
     """One row: mean, within and overall deviation, Cp, Cpk, Pp, Ppk; one limit alone gives the k figures, crossed limits nulls."""
-    w = Window.orderBy(order)
-    held = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.abs(F.col(value) - F.lag(value).over(w)).alias("mr"))
+    there = df.where(F.col(value).isNotNull()).select(value, order)
+    held = with_lags(there, value, [order], [1]).select(F.col(value).alias("v"), F.abs(F.col(value) - F.col("__lag1")).alias("mr"))
     row = held.agg(F.avg("v").alias("mean"), (F.avg("mr") / factor("d2", 2)).alias("within"), F.stddev_samp("v").alias("overall"))
     null = F.lit(None).cast("double")
     if lsl is not None and usl is not None and lsl >= usl:
@@ -113,7 +113,7 @@ def pareto(df: DataFrame, category: str, value: str) -> DataFrame:
 
 def violations(df: DataFrame, value: str, order: str, ucl: float, lcl: float) -> DataFrame:
     """Rows beyond the limits with their place from 0."""
-    placed = df.withColumn("index", F.row_number().over(Window.orderBy(order)) - 1)
+    placed = numbered(df, [order], "index").withColumn("index", (F.col("index") - 1).cast("int"))
     return placed.where((F.col(value) > ucl) | (F.col(value) < lcl))
 
 

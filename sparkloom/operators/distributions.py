@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.values import finite, number
 from sparkloom.operators.control import normal_quantile
+from sparkloom.operators.order import numbered
 from sparkloom.operators.stats import invert, moments
 
 #: Coefficients of the rational approximation of the normal quantile (central, its divisor, tail, its divisor).
@@ -39,7 +40,7 @@ def qq(df: DataFrame, value: str) -> DataFrame:
     """theoretical and sample quantiles at (i - 0.5) / n, and the line's slope (deviation) and intercept (mean)."""
     held = df.select(finite(number(F.col(value), df.schema[value].dataType)).alias("sample")).where("sample is not null")
     stats = F.broadcast(held.agg(F.count(F.lit(1)).alias("n"), F.avg("sample").alias("intercept"), F.stddev_samp("sample").alias("slope")))
-    placed = held.withColumn("i", F.row_number().over(Window.orderBy("sample"))).join(stats)
+    placed = numbered(held, ["sample"], "i").withColumn("i", F.col("i").cast("int")).join(stats)
     return placed.select("i", normal_quantile_column((F.col("i") - 0.5) / F.col("n")).alias("theoretical"), "sample", "slope", "intercept")
 
 

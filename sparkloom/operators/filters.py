@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.values import all_of, any_of, blank, finite, number, text
+from sparkloom.operators.order import exact_quantiles
 
 
 def _word(df: DataFrame, column: str) -> Column:
@@ -48,8 +49,9 @@ def drop_missing(df: DataFrame, column: str) -> DataFrame:
 
 def iqr_bounds(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """One row: lo and hi at k interquartile ranges beyond the exact quartiles."""
-    q = F.percentile(number(F.col(column), df.schema[column].dataType), F.array(F.lit(0.25), F.lit(0.75)))
-    return df.agg(q.alias("q")).select((F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).alias("lo"), (F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("hi"))
+    v = number(F.col(column), df.schema[column].dataType)
+    reach = k * (F.col("q3") - F.col("q1"))
+    return exact_quantiles(df, (), [("q1", v, 0.25), ("q3", v, 0.75)]).select((F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi"))
 
 
 def remove_outliers(df: DataFrame, column: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.values import all_of, number, round_half_up
+from sparkloom.operators.order import hash_rank
 from sparkloom.operators.stats import moments, ols
 from sparkloom.plans.storage import materialise
 
@@ -18,13 +19,17 @@ from sparkloom.plans.storage import materialise
 def holdout(df: DataFrame, key: str, share: float = 0.3, seed: int = 7) -> DataFrame:
     """df with test: true for the share of rows that comes last by hashed key; the same rows every time, an exact count."""
     n = df.count()
-    placed = df.withColumn("__n", F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)))
+    placed = hash_rank(df, key, seed)
     return placed.withColumn("test", F.col("__n") > math.floor(n * (1 - share))).drop("__n")
 
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int = 7) -> DataFrame:
     """df with fold 0..k-1, contiguous in hashed order and of equal size but for one row."""
-    return df.withColumn("fold", F.ntile(k).over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)) - 1)
+    n = df.count()
+    size, more = n // k, n % k  # the first `more` folds have one row more
+    at = F.col("__n") - 1
+    fold = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / max(size, 1)))
+    return hash_rank(df, key, seed).withColumn("fold", fold.cast("int")).drop("__n")
 
 
 def linear_predict(model: dict, name: str = "prediction") -> Column:

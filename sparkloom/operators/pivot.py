@@ -1,4 +1,4 @@
-"""Cross tables. One grouping-sets pass gives cells, row totals, column totals and the grand total from the source rows."""
+"""Cross tables. One grouping-sets pass gives cells, row totals, column totals and the grand total from the source rows; quantiles have passes of their own."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.values import group_text
-from sparkloom.operators.aggregate import measure
+from sparkloom.functions.values import all_of, group_text
+from sparkloom.operators.aggregate import measure, quantile_of, summarise
 
 #: Aggregates whose empty cell is 0; those of all others is null.
 ZERO = ("sum", "count", "countd")
@@ -40,8 +40,15 @@ def long_form(df: DataFrame, spec: PivotSpec) -> DataFrame:
     held = df.select("*", *[group_text(F.col(d), df.schema[d].dataType).alias(k) for d, k in zip(dims, keys)])
     r, c = keys[: len(spec.rows)], keys[len(spec.rows) :]
     sets = list(dict.fromkeys([tuple(keys), tuple(r), tuple(c), ()]))
-    aggs = [measure(df, v, how).alias(f"{v}__{how}") for v, how in spec.values]
+    aggs = [measure(df, v, how).alias(f"{v}__{how}") for v, how in spec.values if quantile_of(how) is None] or [F.count(F.lit(1)).alias("__n")]
     out = held.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("__g"), *aggs)
+    ranks = [(v, how, f"{v}__{how}") for v, how in spec.values if quantile_of(how) is not None]
+    mask = lambda s: sum(0 if k in s else 1 << (len(keys) - 1 - i) for i, k in enumerate(keys))
+    if ranks:  # every row once for each grouping set, as the plain pass expands it too
+        cases = [F.struct(F.lit(mask(s)).cast("long").alias("__g"), *[(F.col(k) if k in s else F.lit(None).cast("string")).alias(f"__s{k}") for k in keys]) for s in sets]
+        spread = held.select(*dict.fromkeys(v for v, _, _ in ranks), F.inline(F.array(*cases)))
+        same = [F.col("__g") == F.col("__h"), *[F.col(k).eqNullSafe(F.col(f"__s{k}")) for k in keys]]
+        out = out.join(summarise(spread, ["__g", *[f"__s{k}" for k in keys]], ranks).drop("__count").withColumnRenamed("__g", "__h"), all_of(same), "left")
     bits = lambda s: sum(0 if k in s else 1 << (len(keys) - 1 - i) for i, k in enumerate(keys))
     level = F.when(F.col("__g") == bits(keys), "cell").when(F.col("__g") == bits(()), "grand").when(F.col("__g") == bits(r), "row").otherwise("column")
     return out.select(*[F.col(k).alias(d) for k, d in zip(keys, dims)], level.alias("level"), *[f"{v}__{how}" for v, how in spec.values])

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.order import with_lags
 from sparkloom.operators.windows import centered_average
 
 
@@ -69,10 +70,9 @@ def acf(df: DataFrame, value: str, order: str, max_lag: int = 20) -> DataFrame:
     """lag, r: sums of products over the pairs that are both there, by place, over the sum of squares; without spread 0."""
     mean = df.agg(F.avg(value).alias("__m"))
     held = df.join(F.broadcast(mean)).withColumn("__d", F.col(value) - F.col("__m"))
-    w = Window.orderBy(order)
-    lags = held.select("__d", *[F.lag("__d", k).over(w).alias(f"__{k}") for k in range(1, max_lag + 1)])
+    lags = with_lags(held.select("__d", order), "__d", [order], range(1, max_lag + 1))
     cells = [F.struct(F.lit(0).alias("lag"), F.sum(F.col("__d") * F.col("__d")).alias("s"))]
-    cells += [F.struct(F.lit(k).alias("lag"), F.sum(F.col("__d") * F.col(f"__{k}")).alias("s")) for k in range(1, max_lag + 1)]
+    cells += [F.struct(F.lit(k).alias("lag"), F.sum(F.col("__d") * F.col(f"__lag{k}")).alias("s")) for k in range(1, max_lag + 1)]
     row = lags.agg(F.array(*cells).alias("c"))
     zero = F.col("c")[0]["s"]
     return row.select(zero.alias("__z"), F.inline("c")).select("lag", F.when(F.col("lag") == 0, 1.0).when(F.coalesce("__z", F.lit(0.0)) == 0, 0.0).otherwise(F.coalesce("s", F.lit(0.0)) / F.col("__z")).alias("r"))

@@ -1,6 +1,7 @@
 """Ordered transforms. A series is named by its partition columns (any number of series run side by side) and its order.
 
-A single series without partition columns is one sequence by nature; with partition columns the work spreads.
+Ranks and samples over whole tables are numbered by ranges of the order; a frame over a single series without partition
+columns (moving averages, running totals) is worked in one task: name partition columns where there are many rows.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from sparkloom.functions.values import all_of
+from sparkloom.operators.order import numbered
 
 
 def _over(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -20,6 +22,8 @@ def _over(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
 
 def ordinal_rank(df: DataFrame, column: str, order: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """1..n, nulls first, ties in the given order."""
+    if not by:
+        return numbered(df, [F.col(column).asc_nulls_first(), order], name).withColumn(name, F.col(name).cast("int"))
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.col(column).asc_nulls_first(), order)))
 
 
@@ -79,7 +83,7 @@ def systematic_sample(df: DataFrame, order: Sequence[str], most: int) -> DataFra
     """Every k-th row in order, with k so that at most ``most`` rows are left."""
     n = df.count()
     step = max(1, -(-n // most))
-    return df.withColumn("__n", F.row_number().over(_over((), order))).where((F.col("__n") - 1) % step == 0).drop("__n")
+    return numbered(df, order).where((F.col("__n") - 1) % step == 0).drop("__n")
 
 
 def spearman(df: DataFrame, x: str, y: str, order: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.formula import compile_kpi
 from sparkloom.functions.values import group_text, number, text
-from sparkloom.operators.aggregate import group_by, measure
+from sparkloom.operators.aggregate import group_by, summarise
 
 
 @dataclass(frozen=True)
@@ -49,9 +49,9 @@ def colored(df: DataFrame, spec: ChartSpec, most: int = 16) -> DataFrame:
     c = group_text(F.col(spec.color), df.schema[spec.color].dataType)
     colors = [r[0] for r in df.groupBy(c.alias("c")).count().orderBy(F.desc("count"), "c").limit(most).collect()]
     column, how, name = spec.measures[0]
-    held = df.withColumn("__c", c).where(F.col("__c").isin(*colors))
-    key = group_text(F.col(spec.dims[0]), df.schema[spec.dims[0]].dataType).alias(spec.dims[0])
-    cells = held.groupBy(key, "__c").agg(measure(held, column, how).alias(name))
+    key = group_text(F.col(spec.dims[0]), df.schema[spec.dims[0]].dataType)
+    held = df.withColumns({"__c": c, "__key": key}).where(F.col("__c").isin(*colors))
+    cells = summarise(held, ["__key", "__c"], [(column, how, name)]).withColumnRenamed("__key", spec.dims[0])
     return cells.groupBy(spec.dims[0]).pivot("__c", colors).agg(F.first(name)).fillna(0.0)
 
 
@@ -79,8 +79,8 @@ def boxplot(df: DataFrame, dim: str, value: str) -> DataFrame:
     v = number(F.col(value), df.schema[value].dataType)
     g = group_text(F.col(dim), df.schema[dim].dataType)
     held = df.select(g.alias(dim), v.alias("v")).where("v is not null")
-    box = held.groupBy(dim).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("v").alias("hi"))
-    box = box.select(dim, "n", "lo", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "hi")
+    box = summarise(held, [dim], [("v", "min", "lo"), ("v", "q0.25", "q1"), ("v", "median", "median"), ("v", "q0.75", "q3"), ("v", "max", "hi")])
+    box = box.select(dim, F.col("__count").alias("n"), "lo", "q1", "median", "q3", "hi")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     far = held.join(box, dim).where((F.col("v") < F.col("q1") - reach) | (F.col("v") > F.col("q3") + reach)).groupBy(dim).agg(F.count(F.lit(1)).alias("outliers"))
     return box.join(far, dim, "left").fillna(0, ["outliers"])
@@ -146,8 +146,9 @@ def kpi_widget(df: DataFrame, value: tuple[str, str] | str, cross: tuple[str, st
         part = df.where(inside).agg(whole.alias("value"))
         return part.join(df.agg(whole.alias("whole"))).withColumn("pct", _percent())
     column, how = value
-    part = F.count_if(inside) if how == "count" else measure(held, f"__{column}", how)
-    return held.agg(part.alias("value"), measure(held, column, how).alias("whole")).withColumn("pct", _percent())
+    if how == "count":
+        return held.agg(F.count_if(inside).alias("value"), F.count(F.lit(1)).alias("whole")).withColumn("pct", _percent())
+    return summarise(held, (), [(f"__{column}", how, "value"), (column, how, "whole")]).drop("__count").withColumn("pct", _percent())
 
 
 def _percent() -> Column:

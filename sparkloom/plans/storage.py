@@ -43,6 +43,23 @@ def release(*tables: DataFrame) -> None:
             delete_folder(df.sparkSession, path)
 
 
+def move_folder(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file or folder, if it is there, on any file system that Spark can write to."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(source)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return False
+    if not files.rename(where, hadoop.Path(target)):
+        raise OSError(f"{source} could not be renamed to {target}")
+    return True
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder on any file system that Spark can write to."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import uuid
 import zlib
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators.clean import Pipeline, Step
+from sparkloom.plans.storage import delete_folder, exists, move_folder
 from sparkloom.sources.readers import slug
 
 SCHEMA_VERSION = 1
@@ -59,21 +61,43 @@ class Registry:
         out.createOrReplaceTempView(key)
         return out
 
+    def close(self) -> None:
+        """Take the views out of the session; DataFrames made from them stay."""
+        for key in self.sets:
+            self.spark.catalog.dropTempView(key)
+
     def sql(self, query: str) -> DataFrame:
         return self.spark.sql(query)
 
     def save(self, folder: str) -> None:
-        """A Parquet table for each dataset and a manifest of the pipelines (one row)."""
-        held = []
+        """A Parquet table for each dataset and a manifest of the pipelines (one row).
+
+        The tables of a save go into a folder of their own, then the manifest is switched, then the tables of the save before
+        are deleted: a project may be saved over the one it was loaded from, and a save that breaks off leaves the old one whole.
+        The datasets of this registry read the new tables afterwards; other DataFrames over the old ones end with them.
+        """
+        before, version, held = _manifest(self.spark, folder), uuid.uuid4().hex, []
         for key, (df, order, p) in self.sets.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{key}.parquet")
+            df.write.parquet(f"{folder}/{version}/{key}.parquet")
             held.append({"id": key, "order": order, "cursor": p.cursor, "steps": [s.__dict__ for s in p.steps]})
-        text = json.dumps({"schemaVersion": SCHEMA_VERSION, "datasets": held})
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+        text = json.dumps({"schemaVersion": SCHEMA_VERSION, "tables": version, "datasets": held})
+        delete_folder(self.spark, f"{folder}/manifest.new")
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/manifest.new")
+        delete_folder(self.spark, f"{folder}/manifest.old")
+        move_folder(self.spark, f"{folder}/manifest", f"{folder}/manifest.old")
+        move_folder(self.spark, f"{folder}/manifest.new", f"{folder}/manifest")
+        for key, (_, order, p) in list(self.sets.items()):
+            self.sets[key] = (self.spark.read.parquet(f"{folder}/{version}/{key}.parquet"), order, p)
+            self._publish(key)
+        delete_folder(self.spark, f"{folder}/manifest.old")
+        if before is not None:
+            delete_folder(self.spark, f"{folder}/{before['tables']}")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Registry:
-        told = json.loads(spark.read.text(f"{folder}/manifest").first().value)
+        told = _manifest(spark, folder)
+        if told is None:
+            raise ValueError(f"no project in {folder}")
         if told["schemaVersion"] > SCHEMA_VERSION:
             raise ValueError("the project is of a newer version")
         ids = [d["id"] for d in told["datasets"]]
@@ -82,11 +106,19 @@ class Registry:
         out = cls(spark)
         for d in told["datasets"]:
             steps = tuple(Step(s["op"], s["col"], s["params"]) for s in d["steps"])
-            out.sets[d["id"]] = (spark.read.parquet(f"{folder}/{d['id']}.parquet"), d["order"], Pipeline(steps, d["cursor"]))
+            out.sets[d["id"]] = (spark.read.parquet(f"{folder}/{told['tables']}/{d['id']}.parquet"), d["order"], Pipeline(steps, d["cursor"]))
             out._publish(d["id"])
         return out
 
 
+def _manifest(spark: SparkSession, folder: str) -> dict | None:
+    """What the manifest says; the one before if a save broke off between the two; None where nothing was saved."""
+    for name in ("manifest", "manifest.old"):
+        if exists(spark, f"{folder}/{name}"):
+            return json.loads(spark.read.text(f"{folder}/{name}").first().value)
+    return None
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
 

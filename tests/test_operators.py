@@ -240,8 +240,35 @@ def test_registry(spark, tmp_path):
     r.move(key, 1)
     r.save(f"file://{tmp_path}/p")
     assert Registry.load(spark, f"file://{tmp_path}/p").view(key).count() == 1
+    again = Registry.load(spark, f"file://{tmp_path}/p")  # load, step, save over itself, load: nothing is lost
+    before = again.view(key).collect()
+    again.step(key, Step("add_col", "note", {"default": "x"}))
+    again.save(f"file://{tmp_path}/p")
+    assert "note" in again.view(key).columns and again.view(key).count() == len(before)
+    last = Registry.load(spark, f"file://{tmp_path}/p")
+    assert last.view(key).drop("note").collect() == before and last.move(key, -1).collect() == before
+    last.sets["other"] = last.sets[key]
+    last.remove("other")
+    last.save(f"file://{tmp_path}/p")
+    assert Registry.load(spark, f"file://{tmp_path}/p").view(key).collect() == before
+    assert sorted(x.name for x in (tmp_path / "p").iterdir() if x.name.startswith("manifest")) == ["manifest"] and sum(1 for x in (tmp_path / "p").iterdir()) == 2
+    (tmp_path / "p" / "manifest").rename(tmp_path / "p" / "manifest.old")  # a save that broke off between the two renames
+    assert Registry.load(spark, f"file://{tmp_path}/p").view(key).collect() == before
     with pytest.raises(ValueError):
         r.remove(key)
+    with pytest.raises(ValueError):
+        Registry.load(spark, f"file://{tmp_path}/none")
+
+
+def test_join_keys_of_times_and_large_numbers(spark):
+    key = lambda kind, *xs: [r[0] for r in spark.createDataFrame([(x,) for x in xs], "k string").select(combine.join_key(F.col("k").cast(kind), spark.sql(f"select cast(null as {kind}) as k").schema[0].dataType)).collect()]
+    a, b = key("timestamp", "2024-01-01 00:00:00.100", "2024-01-01 00:00:00.900")
+    assert a != b and key("string", "2024-01-01T00:00:00.100", "2024-01-01 00:00:00.9") == [a, b]
+    assert key("date", "2024-01-01") == key("timestamp", "2024-01-01 00:00:00") == key("string", "2024-01-01")
+    assert key("bigint", "9007199254740993") == key("string", "+09007199254740993") == key("decimal(20,2)", "9007199254740993") == ["n:9007199254740993"]
+    assert key("string", "9007199254740992") == ["n:9007199254740992"]
+    assert key("string", "5", "5.0", " 5 ", "-0", "1.50", "", "0010", "a1") == ["n:5", "n:5", "n:5", "n:0", "n:1.5", None, "n:10", "s:a1"]
+    assert key("double", "5", "1.5") == key("decimal(5,3)", "5", "1.5") == ["n:5", "n:1.5"]
 
 
 def test_share_link():
