@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.combine import spread_join
 from sparkloom.operators.components import connected_components
+from sparkloom.plans.storage import materialise
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -112,12 +113,13 @@ def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     edges = alias_edges(pages)
     if redirects is not None:
         edges = edges.union(redirects.select(node(F.col("source")).alias("u"), node(F.col("target")).alias("v")))
-    groups = connected_components(edges)
+    edges = materialise(edges, "aliases")  # html is read for links once
+    groups = materialise(connected_components(edges), "groups", instead_of=(edges,))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     inside = groups.withColumn("host", host(F.col("node"))).withColumn("path", path(F.col("node"))).withColumn("own", verdict)
     said = inside.groupBy("component").agg(F.max(F.col("own") == "allow").alias("any_allow"), F.max(F.col("own") == "block").alias("any_block"))
     said = said.withColumn("spread", F.when(F.col("any_allow"), "allow").when(F.col("any_block"), "block")).where("spread is not null").select("component", "spread")
-    by_node = spread_join(groups, said, ["component"], by="node").select("node", "spread")
+    by_node = materialise(spread_join(groups, said, ["component"], by="node").select("node", "spread"), "verdicts", instead_of=(groups,))
     judged = pages.select("page_id", url, host(url).alias("host"), path(url).alias("path")).withColumn("rule", text).withColumn("own", verdict)
     # only pages without a rule of their own ask their component; all others have no key and are dealt evenly
     asking = judged.select("page_id", "host", "path", "rule", "own", F.when(F.col("own").isNull(), node(url)).alias("node"))
