@@ -143,3 +143,20 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], by: str,
     split = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(parts)))
     there = split.select(*keys, "__part").distinct().join(keyed, list(keys))
     return split.join(there, [*keys, "__part"], how).drop("__part")
+
+
+#: Keys with at least 1 / HOT of all weight are broadcast by ``weighed_join``; there are at most HOT of them.
+HOT = 500
+
+
+def weighed_join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """rows joined with keyed, a written table with one row for each key and its weight (how many rows have it).
+
+    Keys of at least 1 / HOT of all weight are at most HOT rows whatever the data, so they are broadcast; the others, none
+    of which is hot, meet in a shuffle.
+    """
+    keys = list(keys)
+    least = (keyed.agg(F.sum(weight)).first()[0] or 0) / HOT
+    hot = F.broadcast(keyed.where(F.col(weight) >= least))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(keyed.where(F.col(weight) < least), keys)
+    return rows.join(hot, keys).select(*cold.columns).union(cold)
