@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import map_slices, materialise
+from sparkloom.operators.combine import weighed_join
 
 MIN_WORDS = 5
 DEPTH = 3
@@ -49,7 +50,6 @@ LEVELS = 4
 MIN_DOCS = 2
 SHORT_SHARE = 0.001
 SHORT_DOCS = 3
-HOT = 500
 _HOLDS_DIGIT = re.compile(rb"[0-9]").search
 
 #: A line is named by its leaf and the two halves of its digest.
@@ -90,17 +90,6 @@ def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", *LINE, "short", "words"])
 
 
-def _weighed_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """rows joined with keyed, a written table with one row for each key and its weight.
-
-    Keys of at least 1 / HOT of all weight are at most HOT rows whatever the data, so they are broadcast; the others meet in a shuffle.
-    """
-    least = (keyed.agg(F.sum(weight)).first()[0] or 0) / HOT
-    hot = F.broadcast(keyed.where(F.col(weight) >= least))
-    cold = rows.join(hot.select(*keys), keys, "left_anti").join(keyed.where(F.col(weight) < least), keys)
-    return rows.join(hot, keys).select(*cold.columns).union(cold)
-
-
 def _maybe_in(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     """rows whose leaf has its bit set in a bitmap of 2^24 bits over leaves; the broadcast side is at most 2^18 words of 64 bits."""
     word, bit = F.shiftrightunsigned("leaf", 46), F.expr("shiftleft(1L, cast(shiftrightunsigned(leaf, 40) & 63 as int))")
@@ -118,7 +107,7 @@ def templates(mixed: DataFrame, min_docs: int) -> DataFrame:
         values = left.select("node", *LINE, "docs", F.posexplode("fields").alias("k", "value"))
         held = materialise(left.groupBy("node").agg(F.sum("docs").alias("all")), "nodes")
         common = values.groupBy("node", "k", "value").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
-        common = _weighed_join(common, held, ["node"], "all")
+        common = weighed_join(common, held, ["node"], "all")
         constant = F.col("support") >= F.col("all") * CONSTANT
         anchor = F.when(F.col("support") < F.col("all"), F.struct("support", (-F.col("k")).alias("k"), "value"))
         met = values.join(common, ["node", "k", "value"]).groupBy("node", *LINE).agg(F.bit_xor(F.when(constant, F.xxhash64("k", "value"))).alias("constant"), F.count_if(constant).alias("n"), F.max(anchor).alias("anchor"))
@@ -140,22 +129,22 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # leaves in which a template may recur beyond equal lines: several lines, enough documents
     leaves = held.where("not short").groupBy("leaf").agg(F.sum("docs").alias("docs"), F.sum("rows").alias("weight"), F.count(F.lit(1)).alias("kinds"))
     leaves = materialise(leaves.where((F.col("docs") >= min_docs) & (F.col("kinds") > 1)).select("leaf", "weight"), "leaves")
-    of_leaves = _weighed_join(_maybe_in(lines.where("not short").select(*LINE, "words"), leaves), leaves, ["leaf"], "weight")
+    of_leaves = weighed_join(_maybe_in(lines.where("not short").select(*LINE, "words"), leaves), leaves, ["leaf"], "weight")
     worded = of_leaves.groupBy(*LINE).agg(F.min("words").alias("words")).join(_maybe_in(held.where("not short"), leaves), LINE)
     fields = F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
     mixed = materialise(worded.select(*LINE, "docs", "rows", fields.alias("fields")), "mixed", instead_of=(leaves,))
     # templates with wildcards: their documents are counted over distinct (template, document)
     shaped = templates(mixed, min_docs)
     template = ["node", "constant", "n"]
-    named = _weighed_join(lines.select(*LINE, "doc_id"), shaped, LINE, "rows").groupBy(*template, "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    named = weighed_join(lines.select(*LINE, "doc_id"), shaped, LINE, "rows").groupBy(*template, "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     general = named.groupBy(*template).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.sum("rows").alias("weight"))
     general = materialise(general.where(F.col("docs") >= min_docs).drop("docs"), "general")
-    by_template = _weighed_join(shaped, general, template, "weight").select(*LINE, "rows", "first")
+    by_template = weighed_join(shaped, general, template, "weight").select(*LINE, "rows", "first")
     known = docs.select("doc_id").where("doc_id is not null").distinct().count()
     enough = F.when(F.col("short"), max(SHORT_DOCS, min_docs, SHORT_SHARE * known)).otherwise(min_docs)
     equal = held.where(F.col("docs") >= enough).select(*LINE, "rows", "first")
     drop = materialise(equal.union(by_template).groupBy(*LINE).agg(F.min("first").alias("first"), F.max("rows").alias("rows")), "recurring")
-    out = _weighed_join(lines.select(*LINE, "doc_id", "line_no"), drop, LINE, "rows").where("doc_id != first").select("doc_id", "line_no", "line", "check")
+    out = weighed_join(lines.select(*LINE, "doc_id", "line_no"), drop, LINE, "rows").where("doc_id != first").select("doc_id", "line_no", "line", "check")
     return materialise(out, "drops", instead_of=(lines, held, mixed, shaped, general, drop))
 
 

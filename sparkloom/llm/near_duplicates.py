@@ -19,7 +19,7 @@ Every link is confirmed on the full shingle sets with 100 * intersection >= 75 *
 Shingles are told apart by 64-bit hashes of their words (words over 255 bytes by BLAKE2).
 
 Hot keys. A pivot that very many pairs name, and a fingerprint that very many texts have, are dealt to
-several tasks; components are formed over representatives only and handed on by fingerprint.
+several tasks; the few buckets with over 1/500 of all rows, at most 500, are broadcast when they meet their members; components are formed over representatives only and handed on by fingerprint.
 Tables of a round are deleted when those of the next stand.
 
 Defined cases: null or empty texts have an empty set and link with nothing; texts under five words
@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.llm.common import map_slices, materialise, ragged, release, small_side
 from sparkloom.llm.textbatch import TextBatch, mix64, windows
-from sparkloom.operators.combine import spread_join
+from sparkloom.operators.combine import spread_join, weighed_join
 from sparkloom.operators.components import connected_components
 
 WIDTH = 5
@@ -210,16 +210,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         parts = marked.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_part")).groupBy("key")
         parts = parts.agg(F.sum("n_part").alias("size"), F.count(F.lit(1)).alias("comps"), F.sum(F.col("n_part") * F.col("n_part")).alias("inner")).where("comps > 1")
         parts = materialise(parts, "parts")
-        placed = materialise(marked.select("key", "id", "n", "comp").join(parts.select("key", "size"), "key"), "placed", instead_of=(marked,))
+        placed = materialise(weighed_join(marked.select("key", "id", "n", "comp"), parts.select("key", "size"), ["key"], "size"), "placed", instead_of=(marked,))
         open_pairs, rows = parts.agg(F.sum((F.col("size") * F.col("size") - F.col("inner")) / 2), F.sum("size")).first()
         release(parts)
         if k == ROUNDS or (open_pairs or 0) <= OPEN_PAIRS * (rows or 0):
             break
         turn = F.xxhash64("id", F.lit(k))
-        pivots = placed.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp"), turn).alias("p"))
-        more = placed.join(pivots, "key").where((F.col("comp") != F.col("p.comp")) & _similar_size("n", "p.n"))
+        pivots = materialise(placed.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp"), turn).alias("p"), F.count(F.lit(1)).alias("rows")), "pivots")
+        more = weighed_join(placed, pivots, ["key"], "rows").where((F.col("comp") != F.col("p.comp")) & _similar_size("n", "p.n"))
         more = more.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = materialise(more, "pairs")
+        more = materialise(more, "pairs", instead_of=(pivots,))
         found = _confirm(known, more)
         links, tested = links.union(found), tested.union(more)
         spent += [more, found]
