@@ -601,7 +601,13 @@ def _(spark, d):
     return rounded(series.exponential(days(spark, d), "value", "day").select("day", "smooth"))
 
 
-@register("tsr_holt")
+@register("tsr_holt", f"""
+with recursive s as (select day, value, row_number() over (order by day) as k from {DAYS}), e as (
+  select k, day, value, value as level, null::double as trend, null::double as fitted from s where k = 1
+  union all
+  select k, day, value, 0.3 * value + 0.7 * f as level, 0.1 * (0.3 * value + 0.7 * f - before) + 0.9 * t as trend, f as fitted from (
+    select s.k, s.day, s.value, e.level as before, coalesce(e.trend, s.value - e.level) as t, e.level + coalesce(e.trend, s.value - e.level) as f from e join s on s.k = e.k + 1))
+select day, round(value, 4) as value, round(level, 4) as level, round(trend, 4) as trend, round(fitted, 4) as fitted from e""")
 def _(spark, d):
     return rounded(series.holt(days(spark, d), "value", "day"))
 
@@ -881,6 +887,11 @@ def _(spark, d):
     return rounded(charts.region_totals(c, "label", n, "n_name", "c_acctbal"), 2)
 
 
+@register("geo_unmatched", "select r_name as label from region where r_name not in (select n_name from nation)")
+def _(spark, d):
+    return charts.unmatched(load(spark, d, "region"), "r_name", load(spark, d, "nation"), "n_name")
+
+
 @register("geo_match", "select count(*) as total, count(*) filter (r_name in (select n_name from nation)) as matched, (count(*) filter (r_name in (select n_name from nation)) / count(*))::double as rate from region")
 def _(spark, d):
     return charts.match_rate(load(spark, d, "region"), "r_name", load(spark, d, "nation"), "n_name")
@@ -988,7 +999,14 @@ def _(spark, d):
     return rounded(geo.bubble_size(load(spark, d, "customer"), "c_acctbal").select("c_custkey", "size"), 6)
 
 
-@register("geo_projection")
+@register("geo_projection", """
+with p as (
+  select c_custkey, radians(33 + c_custkey % 60 / 10) as phi, radians(124 + c_nationkey / 4 - 129) as dl, 6378137.0 as a, 1 / 298.257223563 as f from customer
+), q as (select *, f * (2 - f) as e2, f * (2 - f) / (1 - f * (2 - f)) as ep, pow(tan(phi), 2) as t2 from p
+), r as (select *, ep * pow(cos(phi), 2) as c2, a / sqrt(1 - e2 * pow(sin(phi), 2)) as n, dl * cos(phi) as x,
+  a * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * pow(e2, 3) / 256) * phi - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * phi) + (15 * e2 * e2 / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * phi) - 35 * pow(e2, 3) / 3072 * sin(6 * phi)) as m from q)
+select c_custkey, round(500000 + 0.9996 * n * (x + (1 - t2 + c2) * pow(x, 3) / 6 + (5 - 18 * t2 + t2 * t2 + 72 * c2 - 58 * ep) * pow(x, 5) / 120), 2) as east,
+  round(0.9996 * (m + n * tan(phi) * (x * x / 2 + (5 - t2 + 9 * c2 + 4 * c2 * c2) * pow(x, 4) / 24 + (61 - 58 * t2 + t2 * t2 + 600 * c2 - 330 * ep) * pow(x, 6) / 720)), 2) as north from r""")
 def _(spark, d):
     n = load(spark, d, "customer").withColumns({"lat": 33 + F.pmod("c_custkey", F.lit(60)) / 10, "lon": 124 + F.col("c_nationkey") / 4})
     east, north = geo.transverse_mercator(F.col("lat"), F.col("lon"))

@@ -65,18 +65,26 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
 }
 
 
+_MEMBER = re.compile(r"\brow\s*\.\s*([^\W\d][\w$]*)")
+_QUOTED = re.compile(r'"[^"]*"')
+#: Words and signs that only Python's grammar knows.
+_PYTHON_ONLY = re.compile(r"\b(and|or|not|if|else|in|is|lambda|for|while|await|async|yield|import|None|True|False)\b|//|:=|[@~]")
+
+
 def _python(source: str) -> ast.expr:
     """Python's tree of a formula; operators outside quotes are spelled the Python way."""
     parts = re.split(r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')""", source)
     for k in range(0, len(parts), 2):
-        p = parts[k]
+        p = _MEMBER.sub(r'row["\1"]', parts[k])  # a column may be named by any word, and no word is folded to another form
+        if found := _PYTHON_ONLY.search(_QUOTED.sub("", p)):
+            raise FormulaError(f"not allowed in a formula: {found[0]}")
         p = p.replace("===", "==").replace("!==", "!=").replace("&&", " and ").replace("||", " or ")
         p = re.sub(r"!(?!=)", " not ", p)
         p = re.sub(r"\btrue\b", "True", p)
         p = re.sub(r"\bfalse\b", "False", p)
         parts[k] = re.sub(r"\bnull\b", "None", p)
     joined = "".join(parts)
-    if "?" in "".join(parts[::2]):
+    if "?" in "".join(_QUOTED.sub("", p) for p in parts[::2]):
         joined = _ternary(joined)
     try:
         return ast.parse(joined.strip(), mode="eval").body

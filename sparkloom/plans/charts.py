@@ -183,15 +183,47 @@ def sorted_page(df: DataFrame, column: str, tie: str, page: int, size: int = 100
     return df.orderBy(order, tie).offset(page * size).limit(size)
 
 
-#: Names that stand for one region.
-REGION_ALIASES = {"usa": "united states", "us": "united states", "united states of america": "united states", "uk": "united kingdom", "great britain": "united kingdom", "south korea": "korea", "republic of korea": "korea", "russian federation": "russia", "viet nam": "vietnam", "iran islamic republic of": "iran"}
+#: Other names of a region and the name it is matched by.
+REGION_ALIASES = {
+    "seoul": "서울", "서울특별시": "서울", "서울시": "서울",
+    "busan": "부산", "부산광역시": "부산",
+    "daegu": "대구", "대구광역시": "대구",
+    "incheon": "인천", "인천광역시": "인천",
+    "gwangju": "광주", "광주광역시": "광주",
+    "daejeon": "대전", "대전광역시": "대전",
+    "ulsan": "울산", "울산광역시": "울산",
+    "sejong": "세종", "세종특별자치시": "세종",
+    "gyeonggi": "경기", "경기도": "경기",
+    "gangwon": "강원", "강원도": "강원", "강원특별자치도": "강원",
+    "north chungcheong": "충북", "충청북도": "충북",
+    "south chungcheong": "충남", "충청남도": "충남",
+    "north jeolla": "전북", "전라북도": "전북", "전북특별자치도": "전북",
+    "south jeolla": "전남", "전라남도": "전남",
+    "north gyeongsang": "경북", "경상북도": "경북",
+    "south gyeongsang": "경남", "경상남도": "경남",
+    "jeju": "제주", "제주도": "제주", "제주특별자치도": "제주",
+    "대한민국": "south korea", "한국": "south korea", "korea": "south korea", "republic of korea": "south korea",
+    "미국": "united states", "usa": "united states", "us": "united states", "united states of america": "united states",
+    "일본": "japan", "중국": "china", "영국": "united kingdom", "uk": "united kingdom",
+    "독일": "germany", "프랑스": "france", "이탈리아": "italy", "스페인": "spain",
+    "캐나다": "canada", "호주": "australia", "인도": "india", "브라질": "brazil",
+    "러시아": "russia", "멕시코": "mexico", "인도네시아": "indonesia",
+}
+#: Endings of Korean administrative names; the short ones go only if two characters are left.
+REGION_ENDINGS = ("(특별자치도|특별자치시|특별시|광역시|자치구|자치시|자치도)$", "(특별시|광역시|도|시|군|구)$")
 
 
 def region_name(c: Column) -> Column:
-    """Lower case, punctuation and white space collapsed, aliases resolved."""
-    plain = F.trim(F.regexp_replace(F.lower(c), r"[\s\p{Punct}]+", " "))
-    pairs = F.create_map(*[F.lit(x) for kv in REGION_ALIASES.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, plain), plain)
+    """What a label is matched by: its alias; a Korean name without its administrative ending and spaces; else lower case, points, hyphens and spaces one space."""
+    plain = F.trim(c)
+    small = F.lower(plain)
+    aliases = F.create_map(*[F.lit(x) for kv in REGION_ALIASES.items() for x in kv])
+    known = lambda x: F.try_element_at(aliases, x)
+    long = F.regexp_replace(plain, REGION_ENDINGS[0], "")
+    short = F.regexp_replace(long, REGION_ENDINGS[1], "")
+    stem = F.regexp_replace(F.when(F.length(short) >= 2, short).otherwise(long), r"\s+", "")
+    latin = F.trim(F.regexp_replace(F.regexp_replace(small, r"[.\-_]", " "), r"\s+", " "))
+    return F.coalesce(known(small), F.when(plain.rlike("[가-힣]"), F.coalesce(known(stem), stem)), latin)
 
 
 def region_totals(df: DataFrame, label: str, regions: DataFrame, name: str, value: str | None = None) -> DataFrame:
@@ -201,6 +233,12 @@ def region_totals(df: DataFrame, label: str, regions: DataFrame, name: str, valu
     return sums.withColumn("__k", region_name(F.col("__l"))).join(known, "__k").groupBy("region").agg(F.sum("value").alias("value"))
 
 
+def unmatched(df: DataFrame, label: str, regions: DataFrame, name: str) -> DataFrame:
+    """The distinct labels that match no region."""
+    known = regions.select(region_name(F.col(name)).alias("__k")).distinct()
+    return df.select(F.col(label).alias("label")).where("label is not null").distinct().withColumn("__k", region_name(F.col("label"))).join(known, "__k", "left_anti").select("label")
+
+
 def match_rate(df: DataFrame, label: str, regions: DataFrame, name: str) -> DataFrame:
     """One row: distinct labels, those that match a region, and their share."""
     known = regions.select(region_name(F.col(name)).alias("__k")).distinct().withColumn("hit", F.lit(1))

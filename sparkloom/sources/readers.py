@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 import unicodedata
 import zipfile
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, FractionalType, IntegralType, StringType, StructField, StructType, TimestampType
 
 from sparkloom.functions.values import all_of, blank_trimmed
+from sparkloom.operators.order import numbered
 
 TYPES = ("boolean", "integer", "float", "datetime", "category", "string")
 FORMATS = ("csv", "tsv", "json", "xlsx", "parquet")
@@ -101,11 +103,15 @@ def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
             raise ValueError(f"unknown type {kind}")
         c = F.trim(F.col(f"`{name}`"))
         value = F.when(~blank_trimmed(F.col(f"`{name}`")), c)
-        made[name] = {"boolean": F.when(F.lower(value).isin("true", "yes"), True).when(F.lower(value).isin("false", "no"), False), "integer": value.try_cast("long"), "float": value.try_cast("double")}.get(kind, value)
+        made[name] = {"boolean": F.when(F.lower(value).isin("true", "yes"), True).when(F.lower(value).isin("false", "no"), False), "integer": value.try_cast("long"), "float": value.try_cast("double"), "datetime": F.when(value.try_cast("timestamp").isNotNull(), value)}.get(kind, value)
     failed = df.agg(*[F.min(F.when(~blank_trimmed(F.col(f"`{n}`")) & made[n].isNull(), F.col(f"`{n}`"))).alias(n) for n in kinds]).first()
     bad = {n: failed[n] for n in kinds if failed[n] is not None}
     if bad:
-        raise ValueError("Cannot convert: " + ", ".join(f"{n}: {v!r} to {kinds[n]}" for n, v in bad.items()))
+        # only now rows are numbered, in the order in which they were read
+        placed = numbered(df.withColumn("__read", F.monotonically_increasing_id()), ["__read"], "__row")
+        fails = lambda n: ~blank_trimmed(F.col(f"`{n}`")) & made[n].isNull()
+        first = placed.agg(*[F.min(F.when(fails(n), F.struct("__row", F.col(f"`{n}`").alias("v")))).alias(n) for n in bad]).first()
+        raise ValueError("Cannot convert: " + ", ".join(f"{n}, row {first[n]['__row']}: {first[n]['v']!r} to {kinds[n]}" for n in bad))
     return df.select(*[made[n].alias(n) if n in made else F.col(f"`{n}`") for n in df.columns])
 
 
@@ -115,15 +121,21 @@ def _clean_rows(df: DataFrame) -> DataFrame:
     return held.where(~all_of([F.col(f"`{c}`").isNull() for c in held.columns]))
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All columns as text; quotes are doubled inside quoted cells, which may span lines."""
-    first = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("header", False).csv(path)
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bool | None = None) -> DataFrame:
+    """All columns as text; quotes are doubled inside quoted cells, which may span lines.
+
+    A file with cells over several lines can't be split, so that mode is on only where one occurs: a line with an odd number
+    of quotes. One pass over the lines looks for it, unless the caller says.
+    """
+    if multiline is None:
+        multiline = not spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).isEmpty()
+    first = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multiline).option("header", False).csv(path)
     head = first.first()
     if head is None:
         raise ValueError("the file is empty")
     names = header([(x or "").lstrip("﻿") for x in head])
     schema = StructType([StructField(n, StringType()) for n in names])
-    rows = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    rows = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multiline).option("header", True).option("enforceSchema", True).schema(schema).csv(path)
     return _clean_rows(rows)
 
 
@@ -137,23 +149,67 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """The cell styles whose number format shows a date or a time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[.*?\]|\\.', "", f.get("formatCode", "")) for f in root.iter(f"{{{_NS['m']}}}numFmt")}
+    shows = lambda k: 14 <= k <= 22 or 45 <= k <= 47 or re.search("[ymdhs]", own.get(k, ""), re.IGNORECASE) is not None
+    cells = root.find("m:cellXfs", _NS)
+    return {i for i, x in enumerate(cells if cells is not None else ()) if shows(int(x.get("numFmtId", "0")))}
+
+
+def _moment(serial: str, from_1904: bool) -> str:
+    """The ISO text of a day number and its fraction; days before March 1900 are off by one there, as everywhere."""
+    when = datetime.datetime(1904, 1, 1) if from_1904 else datetime.datetime(1899, 12, 30)
+    when += datetime.timedelta(milliseconds=round(float(serial) * 86_400_000))
+    return when.strftime("%Y-%m-%d") if when.time() == datetime.time() else when.isoformat(" ", "milliseconds" if when.microsecond else "seconds")
+
+
+def sheet_names(path: str) -> list[str]:
+    """The names of a workbook's sheets, in order."""
+    with zipfile.ZipFile(path) as z:
+        return [name for name, _ in _sheets(z)]
+
+
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Name and file of each sheet in the workbook's order; by number where the workbook doesn't say."""
+    files = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))
+    if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(z.namelist()):
+        return [(f"Sheet{i}", n) for i, n in enumerate(files, 1)]
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    told = [(s.get("name"), targets.get(s.get(f"{{{_REL}}}id"), "")) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet")]
+    return [(name, t.lstrip("/") if t.startswith("/") else f"xl/{t}") for name, t in told]
+
 
+def read_xlsx(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
+    """One sheet of a workbook, by place or name, on a local or shared path; all columns as text, dates in ISO form.
 
-def read_xlsx(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
-    """One sheet of a workbook on a local or shared path, all columns as text. A workbook holds at most 1,048,576 rows, which bounds what the driver reads."""
+    A workbook holds at most 1,048,576 rows, which bounds what the driver reads.
+    """
     with zipfile.ZipFile(path) as z:
+        dated, book = _date_styles(z), z.read("xl/workbook.xml") if "xl/workbook.xml" in z.namelist() else b""
+        from_1904 = re.search(rb'date1904\s*=\s*"(1|true)"', book) is not None
         strings = []
         if "xl/sharedStrings.xml" in z.namelist():
             strings = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
-        names = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))
+        sheets = _sheets(z)
+        if isinstance(sheet, str) and sheet not in dict(sheets):
+            raise ValueError(f"no sheet named {sheet}")
         rows = []
-        for row in ElementTree.fromstring(z.read(names[sheet])).iter(f"{{{_NS['m']}}}row"):
+        for row in ElementTree.fromstring(z.read(dict(sheets)[sheet] if isinstance(sheet, str) else sheets[sheet][1])).iter(f"{{{_NS['m']}}}row"):
             cells: dict[int, str] = {}
             for c in row.findall("m:c", _NS):
                 at = reduce(lambda n, ch: n * 26 + ord(ch) - 64, re.match(r"[A-Z]+", c.get("r")).group(), 0) - 1
                 value, inline = c.find("m:v", _NS), c.find("m:is", _NS)
                 if c.get("t") == "inlineStr" and inline is not None:
                     cells[at] = "".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t"))
+                elif value is not None and c.get("t", "n") == "n" and int(c.get("s", "0")) in dated:
+                    cells[at] = _moment(value.text, from_1904)
                 elif value is not None:
                     cells[at] = strings[int(value.text)] if c.get("t") == "s" else {"1": "true", "0": "false"}[value.text] if c.get("t") == "b" else value.text
             if any(v.strip() for v in cells.values()):

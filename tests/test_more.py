@@ -1,12 +1,16 @@
 """Streams, maps, formats and sentences."""
 
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions.formats import compact, plain_text, won
+from sparkloom.functions.formula import FormulaError, compile_formula
 from sparkloom.operators import learn, series, stats
 from sparkloom.operators.components import connected_components
 from sparkloom.plans import assistant, charts, geo, insights
+from sparkloom.sources import readers
 from sparkloom.streaming import event_windows
 
 
@@ -43,7 +47,7 @@ def test_places(spark):
     regions = spark.createDataFrame([("United States", 1), ("Korea", 2)], "name string, pos int")
     df = spark.createDataFrame([("USA", "x"), ("South Korea", "y"), ("Mars", "z")], "a string, b string")
     assert geo.best_region_column(df, ["b", "a"], regions, "name") == "a"
-    assert {(r.key, r.region) for r in geo.region_index(regions, "name", "pos").collect()} == {("united states", "United States"), ("korea", "Korea")}
+    assert {(r.key, r.region) for r in geo.region_index(regions, "name", "pos").collect()} == {("united states", "United States"), ("south korea", "Korea")}
     centres = spark.createDataFrame([("Jung", "Seoul", 1.0, 2.0), ("Jung", "Busan", 3.0, 4.0), ("Solo", "Seoul", 5.0, 6.0)], "name string, province string, lat double, lon double")
     asked = spark.createDataFrame([("Jung", "Busan"), ("Solo", "?"), ("Jung", "?")], "m string, p string")
     got = {(r.m, r.p): r.lat for r in geo.centroids(asked, "m", "p", centres).collect()}
@@ -100,3 +104,54 @@ def test_cross_validation(spark):
 def test_components(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "z")], "u string, v string")
     assert {r.node: r.component for r in connected_components(edges).collect()} == {"a": "a", "b": "a", "c": "a", "z": "z"}
+
+
+def test_workbook_dates_and_sheet_names(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    cell = lambda at, v, s=0: f'<c r="{at}" s="{s}"><v>{v}</v></c>'
+    text = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+    sheet = lambda *rows: f"<worksheet {main}><sheetData>" + "".join(f'<row r="{i}">{r}</row>' for i, r in enumerate(rows, 1)) + "</sheetData></worksheet>"
+    path = str(tmp_path / "d.xlsx")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} {rel}><sheets><sheet name="First" sheetId="1" r:id="rId2"/><sheet name="둘째" sheetId="2" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="yyyy&quot;y&quot;mm"/><numFmt numFmtId="165" formatCode="[Red]0.0"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet(text("A1", "only")))
+        z.writestr("xl/worksheets/sheet2.xml", sheet(text("A1", "d") + text("B1", "t") + text("C1", "n"), cell("A2", 45292, 1) + cell("B2", 45292.5000116, 2) + cell("C2", 7.5, 3)))
+    assert readers.sheet_names(path) == ["First", "둘째"]
+    assert [tuple(r) for r in readers.read_xlsx(spark, path).collect()] == [("2024-01-01", "2024-01-01 12:00:01.002", "7.5")]
+    assert readers.read_xlsx(spark, path, "둘째").columns == ["only"] and readers.read_xlsx(spark, path, "First").count() == 1
+    with pytest.raises(ValueError, match="no sheet"):
+        readers.read_xlsx(spark, path, "third")
+
+
+def test_conversion_errors_name_the_row(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,d\n1,2024-01-01\n2,x\nthree,2024-02-30\n")
+    df = readers.read_delimited(spark, str(tmp_path / "a.csv"))
+    with pytest.raises(ValueError, match="n, row 3: 'three' to integer, d, row 2: 'x' to datetime"):
+        readers.typed(df, {"n": "integer", "d": "datetime"})
+
+
+def test_delimited_files_are_split_unless_cells_span_lines(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text('a,b\n1,"x ""y"""\n2,z\n')
+    (tmp_path / "spanning.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    for name, cell in (("plain", 'x "y"'), ("spanning", "x\ny")):
+        assert [tuple(r) for r in readers.read_delimited(spark, str(tmp_path / f"{name}.csv")).collect()] == [("1", cell), ("2", "z")]
+
+
+def test_region_names(spark):
+    pairs = {"서울특별시": "서울", "Seoul ": "서울", "성남시": "성남", "강남구": "강남", "제주도": "제주", "세종": "세종", "경기 도": "경기", "USA": "united states", "대한민국": "south korea", "New-York.": "new york", "  Viet   Nam": "viet nam", "중구": "중구", "": ""}
+    got = spark.createDataFrame([(k,) for k in pairs], "l string").select("l", charts.region_name(F.col("l")).alias("k")).collect()
+    assert {r.l: r.k for r in got} == pairs
+    known = spark.createDataFrame([("서울",), ("South Korea",)], "n string")
+    assert [r.label for r in charts.unmatched(spark.createDataFrame([("Seoul",), ("한국",), ("nowhere",), (None,)], "l string"), "l", known, "n").collect()] == ["nowhere"]
+
+
+def test_formulas_with_words_of_other_languages(spark):
+    df = spark.createDataFrame([(1.0, 2.0, "x?y")], "`class` double, `from` double, `in` string")
+    of = lambda f: df.select(compile_formula(f, df.schema).alias("v")).first().v
+    assert of("row.class + row.from * 2") == 5.0 and of("row.in === 'x?y' ? row . class : 0") == 1.0 and of('row["from"] > 1 && !(row.class > 1)') is True
+    for bad in ("1 if row.class else 2", "row.class and 1", "not 1", "7 // 2", "row.class in [1]", "None", "~1"):
+        with pytest.raises(FormulaError):
+            of(bad)
