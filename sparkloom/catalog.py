@@ -603,7 +603,7 @@ def _(spark, d):
 
 @register("tsr_holt", f"""
 with recursive s as (select day, value, row_number() over (order by day) as k from {DAYS}), e as (
-  select k, day, value, value as level, null::double as trend, null::double as fitted from s where k = 1
+  select k, day, value, value as level, null::double as trend, value as fitted from s where k = 1
   union all
   select k, day, value, 0.3 * value + 0.7 * f as level, 0.1 * (0.3 * value + 0.7 * f - before) + 0.9 * t as trend, f as fitted from (
     select s.k, s.day, s.value, e.level as before, coalesce(e.trend, s.value - e.level) as t, e.level + coalesce(e.trend, s.value - e.level) as f from e join s on s.k = e.k + 1))
