@@ -569,7 +569,19 @@ def _(spark, d):
     return rounded(distributions.fits(load(spark, d, "orders"), "o_totalprice"), 2)
 
 
-@register("dst_qq")
+def _poly(coefficients, x: str) -> str:
+    out = str(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out}) * {x} + ({c})"
+    return f"({out})"
+
+
+_TAIL_OF = lambda p: f"{_poly(distributions.TAIL, f'sqrt(-2 * ln({p}))')} / {_poly(distributions.TAIL_BY, f'sqrt(-2 * ln({p}))')}"
+
+
+@register("dst_qq", f"""
+with f as (select count(*) as n, avg(c_acctbal) as m, stddev_samp(c_acctbal) as s from customer), p as (select row_number() over (order by c_acctbal) as i, c_acctbal as x from customer), q as (select i, x, m, s, (i - 0.5) / n as p, (i - 0.5) / n - 0.5 as d from p, f)
+select i, round(case when p < 0.02425 then {_TAIL_OF('p')} when p > 1 - 0.02425 then -({_TAIL_OF('(1 - p)')}) else {_poly(distributions.CENTRE, '(d * d)')} * d / {_poly(distributions.CENTRE_BY, '(d * d)')} end, 6) as theoretical, round(x, 6) as sample, round(s, 6) as slope, round(m, 6) as intercept from q""")
 def _(spark, d):
     return rounded(distributions.qq(load(spark, d, "customer"), "c_acctbal"), 6)
 
@@ -713,8 +725,8 @@ def _(spark, d):
 
 @register("ml_neighbours")
 def _(spark, d):
-    e = load(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
-    return learn.nearest_neighbours(e, "label", [f"e{i}" for i in range(4)], "vec_id")
+    e = load(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return learn.nearest_neighbours(e, "label", [f"e{i}" for i in range(64)], "vec_id")
 
 
 @register("ml_naive_bayes", """

@@ -14,10 +14,10 @@ from sparkloom.operators.order import numbered
 from sparkloom.operators.stats import invert, moments
 
 #: Coefficients of the rational approximation of the normal quantile (central, its divisor, tail, its divisor).
-_CENTRE = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
-_CENTRE_BY = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
-_TAIL = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
-_TAIL_BY = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+CENTRE = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+CENTRE_BY = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+TAIL = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+TAIL_BY = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
 _EDGE = 0.02425
 
 
@@ -30,9 +30,9 @@ def _poly(coefficients: Sequence[float], x: Column) -> Column:
 
 def normal_quantile_column(p: Column) -> Column:
     """The standard normal quantile as a column expression."""
-    tail = lambda q: _poly(_TAIL, F.sqrt(-2 * F.log(q))) / _poly(_TAIL_BY, F.sqrt(-2 * F.log(q)))
+    tail = lambda q: _poly(TAIL, F.sqrt(-2 * F.log(q))) / _poly(TAIL_BY, F.sqrt(-2 * F.log(q)))
     q = p - 0.5
-    centre = _poly(_CENTRE, q * q) * q / _poly(_CENTRE_BY, q * q)
+    centre = _poly(CENTRE, q * q) * q / _poly(CENTRE_BY, q * q)
     return F.when((p <= 0) | (p >= 1), F.when(p <= 0, -math.inf).otherwise(math.inf)).when(p < _EDGE, tail(p)).when(p > 1 - _EDGE, -tail(1 - p)).otherwise(centre)
 
 

@@ -51,11 +51,11 @@ def linear_regression(df: DataFrame, target: str, inputs: Sequence[str], key: st
 
 def scaled(df: DataFrame, columns: Sequence[str], sample: bool = False) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Complete rows with the z-score of each column as z0, z1, ...; means and deviations (population unless sample)."""
-    n, mean, cross = moments(df, columns)
-    sd = np.sqrt(np.diag(cross) / max(n - sample, 1))
-    sd[sd == 0] = 1.0
     v = [number(F.col(c), df.schema[c].dataType) for c in columns]
     held = df.where(all_of([x.isNotNull() for x in v]))
+    row = held.agg(*[F.avg(x) for x in v], *[(F.stddev_samp if sample else F.stddev_pop)(x) for x in v]).first()
+    mean, sd = (np.array([x or 0.0 for x in part]) for part in (row[: len(v)], row[len(v) :]))
+    sd[sd == 0] = 1.0
     return held.withColumns({f"z{i}": (x - float(m)) / float(s) for i, (x, m, s) in enumerate(zip(v, mean, sd))}), mean, sd
 
 
