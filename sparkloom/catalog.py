@@ -13,7 +13,7 @@ from sparkloom.functions.formula import compile_formula, kpi
 from sparkloom.functions.values import blank, number
 from sparkloom.operators import aggregate as agg
 from sparkloom.operators import combine, control, distributions, filters, learn, series, stats, windows
-from sparkloom.operators.clean import Pipeline, Step, issues
+from sparkloom.operators.clean import Pipeline, Step, issues, joint_outliers
 from sparkloom.operators.pivot import PivotSpec, long_form, wide
 from sparkloom.plans import assistant, charts, geo, insights
 from sparkloom.sources import readers
@@ -106,6 +106,26 @@ def _(spark, d):
     return rounded(agg.correlations(load(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]), 8)
 
 
+@register("agg_spearman_matrix", """
+with r as (select row_number() over (order by c_acctbal, c_custkey) as x, row_number() over (order by c_nationkey, c_custkey) as y, row_number() over (order by c_mktsegment, c_custkey) as z from customer),
+c as (select corr(x, y) as xy, corr(x, z) as xz, corr(y, z) as yz, count(*) as n from r),
+p as (select unnest(['c_acctbal', 'c_nationkey', 'c_mktsegment']) as a), q as (select a as b from p)
+select a, b, case when a = b then 1.0 when 'c_mktsegment' not in (a, b) then round(xy, 8) when 'c_acctbal' in (a, b) then round(xz, 8) else round(yz, 8) end::double as rho, n from p, q, c""")
+def _(spark, d):
+    return rounded(windows.spearman_matrix(load(spark, d, "customer"), ["c_acctbal", "c_nationkey", "c_mktsegment"], "c_custkey"), 8)
+
+
+@register("agg_value_histogram", """
+with e as (select min(o_totalprice) as lo, (max(o_totalprice) - min(o_totalprice)) / 8 as w from orders),
+h as (select least(floor((o_totalprice - lo) / w), 7)::int as bin, count(*) as n from orders, e group by 1)
+select 'price' as what, b.bin::int as bin, round(lo + w * b.bin, 4) as lo, round(lo + w * (b.bin + 1), 4) as hi, coalesce(n, 0)::bigint as n from e, range(8) b(bin) left join h on h.bin = b.bin
+union all select 'constant', 0, 7.0, 7.0, count(*) from orders""")
+def _(spark, d):
+    o = load(spark, d, "orders")
+    both = [agg.value_histogram(df, "o_totalprice", 8).select(F.lit(w).alias("what"), "*") for w, df in (("price", o), ("constant", o.withColumn("o_totalprice", F.lit(7.0))))]
+    return rounded(both[0].unionAll(both[1]))
+
+
 @register("agg_histogram", """
 with e as (select min(o_totalprice) as lo, (max(o_totalprice) - min(o_totalprice)) / 20 as w from orders),
 h as (select least(floor((o_totalprice - lo) / w), 19)::int as bin, count(*) as n from orders, e group by 1)
@@ -156,7 +176,9 @@ def _(spark, d):
 
 
 @register("dsc_findings", """
+with q as (select quantile_cont(o_totalprice, 0.25) as a, quantile_cont(o_totalprice, 0.75) as b, quantile_cont(o_custkey, 0.25) as c, quantile_cont(o_custkey, 0.75) as d from orders)
 select 'rows' as kind, '' as subject, count(*)::double as value from orders
+union all select 'outliers', '', (count(*) filter (abs(o_totalprice - (a + b) / 2) > 2 * (b - a)) + count(*) filter (abs(o_custkey - (c + d) / 2) > 2 * (d - c)))::double as far from orders, q having far > 0
 union all select 'correlation', 'o_totalprice~o_custkey', round(corr(o_totalprice, o_custkey), 4) as v from orders having abs(v) > 0.35""")
 def _(spark, d):
     return rounded(insights.findings(load(spark, d, "orders"), ["o_totalprice", "o_custkey"]))
@@ -282,6 +304,16 @@ def _(spark, d):
     return windows.as_of_join(e.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "ts", ["last_purchase"]).select("event_id", "last_purchase")
 
 
+@register("jn_as_of_one_key", """
+with r as (select ts, max(event_id) as event_id from events where event_type = 'purchase' group by 1)
+select e.event_id, r.event_id as last_purchase from events e asof left join r on e.ts >= r.ts""")
+def _(spark, d):
+    """All rows of both sides have one key: no task holds it whole, and ties go to the greatest value."""
+    e = load(spark, d, "events").withColumn("key", F.lit(1))
+    bought = e.where("event_type = 'purchase'").select("key", "ts", F.col("event_id").alias("last_purchase"))
+    return windows.as_of_join(e.select("event_id", "key", "ts"), bought, ["key"], "ts", "ts", ["last_purchase"]).select("event_id", "last_purchase")
+
+
 # ---- set operations and joins
 
 
@@ -482,6 +514,15 @@ def _(spark, d):
     return issues(cleaned(spark, d), ["value"])
 
 
+@register("cln_joint_outliers", """
+with m as (select avg(c_acctbal) as a, avg(c_nationkey) as b, var_samp(c_acctbal) as aa, var_samp(c_nationkey) as bb, covar_samp(c_acctbal, c_nationkey) as ab from customer)
+select c_custkey from customer, m where (power(c_acctbal - a, 2) * bb - 2 * (c_acctbal - a) * (c_nationkey - b) * ab + power(c_nationkey - b, 2) * aa) / (aa * bb - ab * ab) <= 2 * power(1 - 2 / 18.0 + 1.959963984540054 * sqrt(2 / 18.0), 3)""")
+def _(spark, d):
+    c = load(spark, d, "customer")
+    far, _why = joint_outliers(c, ["c_acctbal", "c_nationkey"])
+    return filters.delete_rows(c, "c_custkey", far).select("c_custkey")
+
+
 # ---- formulas
 
 
@@ -549,6 +590,40 @@ def _(spark, d):
     return spark.createDataFrame([(round(m["coef"][0], 4), round(m["coef"][1], 6), round(float(m["r2"]), 8), m["n"])], "intercept double, slope double, r2 double, n long")
 
 
+_TWO = """with m as (select count(*) as n, avg(l_quantity) as m1, avg(l_discount) as m2, avg(l_extendedprice) as my, var_pop(l_quantity) * count(*) as s11, var_pop(l_discount) * count(*) as s22, covar_pop(l_quantity, l_discount) * count(*) as s12,
+  covar_pop(l_quantity, l_extendedprice) * count(*) as s1y, covar_pop(l_discount, l_extendedprice) * count(*) as s2y, var_pop(l_extendedprice) * count(*) as syy from lineitem),
+b as (select *, s11 * s22 - s12 * s12 as det, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) as b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) as b2 from m),
+e as (select *, my - b1 * m1 - b2 * m2 as b0, syy - b1 * s1y - b2 * s2y as sse, (syy - b1 * s1y - b2 * s2y) / (n - 3) as s2 from b),
+f as (select *, sqrt(s2 * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det)) as e0, sqrt(s2 * s22 / det) as e1, sqrt(s2 * s11 / det) as e2 from e)
+"""
+
+
+@register("tst_ols_two", _TWO + """
+select name, round(coef, 4) as coef, round(se, 4) as se, round(coef / se, 4) as t, round(1 - sse / syy, 8) as r2, round(1 - sse / syy * (n - 1) / (n - 3), 8) as adj_r2, round((syy - sse) / 2 / s2, 4) as f, n
+from f, lateral (select unnest(['intercept', 'l_quantity', 'l_discount']) as name, unnest([b0, b1, b2]) as coef, unnest([e0, e1, e2]) as se)""")
+def _(spark, d):
+    m = stats.ols(load(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
+    rows = [(name, round(c, 4), round(se, 4), round(t, 4), round(float(m["r2"]), 8), round(float(m["adj_r2"]), 8), round(float(m["f"]), 4), m["n"]) for name, c, se, t in zip(m["names"], m["coef"], m["se"], m["t"])]
+    return spark.createDataFrame(rows, "name string, coef double, se double, t double, r2 double, adj_r2 double, f double, n long")
+
+
+@register("ml_importance", _TWO + """
+select input, round(coef, 4) as coef, round(abs(coef * sqrt(s / syy)), 8) as importance from f, lateral (select unnest(['l_quantity', 'l_discount']) as input, unnest([b1, b2]) as coef, unnest([s11, s22]) as s)""")
+def _(spark, d):
+    df = load(spark, d, "lineitem")
+    r = learn.importance(df, stats.ols(df, "l_extendedprice", ["l_quantity", "l_discount"]))
+    return r.select("input", F.round("coef", 4).alias("coef"), F.round("importance", 8).alias("importance"))
+
+
+@register("ml_residuals", _TWO + """
+select l_linenumber, count(*) as n, round(avg(abs(l_extendedprice - b0 - b1 * l_quantity - b2 * l_discount)), 4) as size, round(max(l_extendedprice - b0 - b1 * l_quantity - b2 * l_discount), 4) as most from lineitem, f group by 1""")
+def _(spark, d):
+    df = load(spark, d, "lineitem")
+    model = stats.ols(df, "l_extendedprice", ["l_quantity", "l_discount"])
+    r = learn.residuals(df.select("*", learn.linear_predict(model)), "l_extendedprice")
+    return rounded(r.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("residual")).alias("size"), F.max("residual").alias("most")))
+
+
 # ---- distributions and outliers
 
 
@@ -594,6 +669,15 @@ def _(spark, d):
     return r.select("k", F.round("x", 4).alias("x"), F.round("density", 10).alias("density"))
 
 
+@register("dst_pp", """
+with f as (select avg(c_acctbal) as m, stddev_samp(c_acctbal) as s, count(*) as n from customer),
+z as (select row_number() over (order by c_acctbal)::int as i, n, (c_acctbal - m) / s as z from customer, f),
+t as (select *, abs(z) / sqrt(2) as a, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) as t from z)
+select i, round((i - 0.5) / n, 9) as share, round(0.5 * (1 + sign(z) * (1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-a * a))), 9) as theoretical from t""")
+def _(spark, d):
+    return rounded(distributions.pp(load(spark, d, "customer"), "c_acctbal"), 9)
+
+
 @register("out_mahalanobis", """
 with m as (select avg(l_quantity) as a, avg(l_extendedprice) as b, var_samp(l_quantity) as aa, var_samp(l_extendedprice) as bb, covar_samp(l_quantity, l_extendedprice) as ab from lineitem),
 x as (select (power(l_quantity - a, 2) * bb - 2 * (l_quantity - a) * (l_extendedprice - b) * ab + power(l_extendedprice - b, 2) * aa) / (aa * bb - ab * ab) as d2 from lineitem, m)
@@ -786,6 +870,29 @@ def _(spark, d):
     return rounded(learn.class_metrics(df), 8)
 
 
+_SAID = "(select l_returnflag as a, case when l_quantity > 25 then 'R' else 'N' end as p from lineitem)"
+
+
+def said(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "lineitem").select(F.col("l_returnflag").alias("actual"), F.when(F.col("l_quantity") > 25, "R").otherwise("N").alias("predicted"))
+
+
+@register("ml_class_summary", f"""
+with c as {_SAID}, k as (select a as k from c union select p from c),
+m as (select 2 * (select count(*) from c where a = k and p = k) / ((select count(*) from c where a = k) + (select count(*) from c where p = k)) as f1 from k)
+select count(*) as n, round(avg((a = p)::int), 8) as accuracy, round((select avg(f1) from m), 8) as macro_f1 from c""")
+def _(spark, d):
+    return rounded(learn.class_summary(said(spark, d)), 8)
+
+
+@register("ml_binary_metrics", f"""
+with c as (select count(*) filter (a = 'R' and p = 'R') as tp, count(*) filter (a <> 'R' and p = 'R') as fp, count(*) filter (a <> 'R' and p <> 'R') as tn, count(*) filter (a = 'R' and p <> 'R') as fn, count(*) as n from {_SAID})
+select tp, fp, tn, fn, round((tp + tn) / n, 8) as accuracy, round(tp / (tp + fp), 8) as precision, round(tp / (tp + fn), 8) as recall, round(2 * tp / (2 * tp + fp + fn), 8) as f1 from c""")
+def _(spark, d):
+    r = said(spark, d)
+    return rounded(learn.binary_metrics(r.select(*[(F.col(c) == "R").cast("int").alias(c) for c in r.columns])), 8)
+
+
 @register("ml_k_means")
 def _(spark, d):
     placed, _, _ = learn.k_means(load(spark, d, "customer"), ["c_acctbal", "c_nationkey"], "c_custkey")
@@ -835,6 +942,54 @@ def _(spark, d):
     return charts.scatter(load(spark, d, "part"), "p_size", "p_retailprice")
 
 
+@register("viz_scatter_colored", """
+with g as (select p_brand as g, count(*) as n from part group by 1 order by n desc, g limit 12) select p_size::double as x, p_retailprice as y, p_brand as "group" from part join g on p_brand = g""")
+def _(spark, d):
+    return charts.scatter_colored(load(spark, d, "part"), "p_size", "p_retailprice", "p_brand")
+
+
+@register("viz_heatmap", """
+with c as (select o_orderstatus as x, o_orderpriority as y, round(sum(o_totalprice), 2) as value from orders group by all)
+select x, y, (dense_rank() over (order by x) - 1)::int as xi, (dense_rank() over (order by y) - 1)::int as yi, value from c""")
+def _(spark, d):
+    spec = charts.ChartSpec("heatmap", ("o_orderstatus", "o_orderpriority"), (("o_totalprice", "sum", "value"),))
+    return rounded(charts.heatmap(load(spark, d, "orders"), spec), 2)
+
+
+@register("viz_radar", """
+with c as (select c_mktsegment as key, avg(c_acctbal) as balance, count(*)::double as n from customer group by 1), t as (select 1.15 * greatest(max(balance), 1) as tb, 1.15 * greatest(max(n), 1) as tn from c)
+select key, 'balance' as axis, round(balance, 4) as value, round(tb, 4) as top from c, t union all select key, 'n', n, round(tn, 4) from c, t""")
+def _(spark, d):
+    spec = charts.ChartSpec("radar", ("c_mktsegment",), (("c_acctbal", "avg", "balance"), ("c_custkey", "count", "n")))
+    return rounded(charts.radar(load(spark, d, "customer"), spec))
+
+
+_BARS = "(select date_trunc('month', o_orderdate)::date as date, first(o_totalprice order by o_orderdate, o_totalprice) as open, last(o_totalprice order by o_orderdate, o_totalprice) as close, min(o_totalprice) as low, max(o_totalprice) as high, count(*) as volume from orders group by 1)"
+
+
+def monthly(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders").withColumn("one", F.lit(1).cast("long"))
+    return charts.bars_of(o, "o_orderdate", "o_totalprice", "one", "month").withColumn("date", F.to_date("date"))
+
+
+@register("viz_candles", f"select date, open, close, low, high from {_BARS}")
+def _(spark, d):
+    return charts.candles(monthly(spark, d), "date")
+
+
+@register("viz_candles_volume", f"select date, open, close, low, high, volume, close >= open as up from {_BARS}")
+def _(spark, d):
+    return charts.candles_volume(monthly(spark, d), "date")
+
+
+@register("viz_series_table", """
+with c as (select o_orderpriority as category, o_orderstatus as series, round(sum(o_totalprice), 2) as value from orders group by all)
+select a.category, b.series, coalesce(value, 0) as value from (select distinct category from c) a cross join (select distinct series from c) b left join c on c.category = a.category and c.series = b.series""")
+def _(spark, d):
+    spec = charts.ChartSpec("bar", ("o_orderpriority",), (("o_totalprice", "sum", "value"),), color="o_orderstatus")
+    return rounded(charts.series_table(load(spark, d, "orders"), spec), 2)
+
+
 @register("viz_bubble", "select p_partkey as x, p_size as y, p_retailprice as size, round(greatest(6, sqrt(p_retailprice / (select max(p_retailprice) from part)) * 52), 6) as radius from part")
 def _(spark, d):
     return rounded(charts.bubble(load(spark, d, "part"), "p_partkey", "p_size", "p_retailprice"), 6)

@@ -82,12 +82,12 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r) for every ordered pair of columns, all in one pass over the rows."""
     cells = []
-    for a in columns:
-        for b in columns:
+    for i, a in enumerate(columns):
+        for b in columns[i:]:
             ok = F.col(a).isNotNull() & F.col(b).isNotNull()
             x, y = F.when(ok, F.col(a).cast("double")), F.when(ok, F.col(b).cast("double"))
             r = F.lit(1.0) if a == b else F.when((F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y))
-            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
+            cells += [F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), r.alias("r")) for p, q in dict.fromkeys([(a, b), (b, a)])]
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
@@ -104,6 +104,15 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return grid.join(found, "bin", "left").select("bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def value_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
+    """The histogram, but with a single bin from the value to itself where all values are equal."""
+    found = histogram(df, column, bins)
+    ends = df.agg(F.min(number(F.col(column), df.schema[column].dataType)).alias("__a"), F.max(number(F.col(column), df.schema[column].dataType)).alias("__b"))
+    met = found.crossJoin(F.broadcast(ends))  # ends is one row
+    flat = F.col("__a") == F.col("__b")
+    return met.where(~flat | (F.col("bin") == 0)).select("bin", "lo", F.when(flat, F.col("lo")).otherwise(F.col("hi")).alias("hi"), "n")
+
+
 def skew_kurtosis(value: Column) -> tuple[Column, Column]:
     """Sample-corrected skewness and excess kurtosis: null under 3 and 4 values, 0 skewness without spread."""
     n = F.count(value).cast("double")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.formula import compile_formula
 from sparkloom.functions.values import blank, number, round_half_up, text
 from sparkloom.operators import aggregate, filters
+from sparkloom.operators.distributions import mahalanobis
 from sparkloom.operators.order import exact_quantiles, numbered
 
 
@@ -242,13 +243,25 @@ STEPS: dict[str, Callable[[DataFrame, str, dict, str], DataFrame]] = {
 
 
 def issues(df: DataFrame, measures: list[str]) -> DataFrame:
-    """One row: missing cells, duplicate rows, and the measure with most values beyond the quartile bounds."""
+    """One row: rows, missing cells, duplicate rows, and for each measure the values beyond its quartile bounds."""
     lost = sum((F.count_if(blank(F.col(c))) for c in df.columns), F.lit(0))
     base = df.agg(F.count(F.lit(1)).alias("n_rows"), lost.alias("missing_cells"))
     distinct = df.distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
     out = base.join(distinct).select("n_rows", "missing_cells", (F.col("n_rows") - F.col("n_distinct")).alias("duplicate_rows"))
-    for c in measures:
-        bounds = F.broadcast(filters.iqr_bounds(df, c))
-        v = number(F.col(c), df.schema[c].dataType)
-        out = out.join(df.join(bounds).agg(F.count_if((v < F.col("lo")) | (v > F.col("hi"))).alias(f"outliers_{c}")))
-    return out
+    return out.join(filters.outlier_counts(df, measures)) if measures else out  # one row each
+
+
+def joint_outliers(df: DataFrame, measures: list[str]) -> tuple[DataFrame | None, str | None]:
+    """The complete rows that lie far from the rest over all measures together, which a cleaning step may drop by key; or the reason why there are none to find."""
+    try:
+        return mahalanobis(df, measures).where("outlier"), None
+    except ValueError as why:
+        return None, str(why)
+
+
+def free_name(taken: list[str], name: str = "new_col") -> str:
+    """The name, or the first of name_2, name_3, ... that no column has."""
+    k, unique = 2, name
+    while unique in taken:
+        unique, k = f"{name}_{k}", k + 1
+    return unique

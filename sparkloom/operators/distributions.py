@@ -19,6 +19,9 @@ CENTRE_BY = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131
 TAIL = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
 TAIL_BY = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
 _EDGE = 0.02425
+#: Coefficients of the rational approximation of the error function (error under 1.5e-7), and its scale.
+ERROR = (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592, 0.0)
+ERROR_SCALE = 0.3275911
 
 
 def _poly(coefficients: Sequence[float], x: Column) -> Column:
@@ -36,6 +39,21 @@ def normal_quantile_column(p: Column) -> Column:
     return F.when((p <= 0) | (p >= 1), F.when(p <= 0, -math.inf).otherwise(math.inf)).when(p < _EDGE, tail(p)).when(p > 1 - _EDGE, -tail(1 - p)).otherwise(centre)
 
 
+def normal_cdf_column(z: Column) -> Column:
+    """The standard normal distribution function as a column expression."""
+    a = F.abs(z) / math.sqrt(2)
+    erf = F.signum(z) * (1 - _poly(ERROR, 1 / (1 + ERROR_SCALE * a)) * F.exp(-a * a))
+    return 0.5 * (1 + erf)
+
+
+def pp(df: DataFrame, value: str) -> DataFrame:
+    """i, the share (i - 0.5) / n of a value and the fitted normal's probability of it, in the order of the values."""
+    q = qq(df, value)
+    placed = q.withColumn("theoretical", normal_cdf_column((F.col("sample") - F.col("intercept")) / F.col("slope")))
+    n = F.broadcast(df.agg(F.count(finite(number(F.col(value), df.schema[value].dataType))).alias("__n")))  # one row
+    return placed.where("slope > 0").crossJoin(n).select("i", ((F.col("i") - 0.5) / F.col("__n")).alias("share"), "theoretical")
+
+
 def qq(df: DataFrame, value: str) -> DataFrame:
     """theoretical and sample quantiles at (i - 0.5) / n, and the line's slope (deviation) and intercept (mean)."""
     held = df.select(finite(number(F.col(value), df.schema[value].dataType)).alias("sample")).where("sample is not null")

@@ -54,6 +54,18 @@ def iqr_bounds(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     return exact_quantiles(df, (), [("q1", v, 0.25), ("q3", v, 0.75)]).select((F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi"))
 
 
+def outlier_counts(df: DataFrame, measures: Sequence[str], k: float = 1.5) -> DataFrame:
+    """One row: outliers_<measure>, the values beyond the bounds of each; the quartiles of all measures share their passes."""
+    v = {c: number(F.col(c), df.schema[c].dataType) for c in measures}
+    ranks = [(f"__q{p}_{i}", x, p / 4) for i, x in enumerate(v.values()) for p in (1, 3)]
+    met = df.crossJoin(F.broadcast(exact_quantiles(df, (), ranks)))  # one row
+    far = []
+    for i, (c, x) in enumerate(v.items()):
+        q1, q3 = F.col(f"__q1_{i}"), F.col(f"__q3_{i}")
+        far.append(F.count_if((x < q1 - k * (q3 - q1)) | (x > q3 + k * (q3 - q1))).alias(f"outliers_{c}"))
+    return met.agg(*far)
+
+
 def remove_outliers(df: DataFrame, column: str) -> DataFrame:
     """Rows within the bounds; nulls stay. The bounds are one row, which is broadcast."""
     bounds = F.broadcast(iqr_bounds(df, column).select(F.coalesce("lo", F.lit(0.0)).alias("__lo"), F.coalesce("hi", F.lit(0.0)).alias("__hi")))

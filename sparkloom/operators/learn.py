@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.values import all_of, number, round_half_up
 from sparkloom.operators.order import hash_rank
-from sparkloom.operators.stats import moments, ols
+from sparkloom.operators.stats import CollinearError, moments, ols
 from sparkloom.plans.storage import materialise
 
 
@@ -49,6 +49,22 @@ def linear_regression(df: DataFrame, target: str, inputs: Sequence[str], key: st
     return model, regression_metrics(parts.where("test").select("*", linear_predict(model)), target, "prediction")
 
 
+def importance(df: DataFrame, model: dict) -> DataFrame:
+    """input, coef and importance (|coef| times the input's deviation over the target's) of a linear model fitted on df, largest first; one pass."""
+    target, inputs = model["target"], model["names"][1:]
+    # the same complete rows as in the fit
+    v = {c: number(F.col(c), df.schema[c].dataType) for c in [*inputs, target]}
+    held = df.where(all_of([x.isNotNull() for x in v.values()]))
+    share = lambda c, w: F.when(F.stddev_samp(v[target]) > 0, F.abs(w * F.stddev_samp(v[c])) / F.stddev_samp(v[target]))
+    cells = [F.struct(F.lit(c).alias("input"), F.lit(w).alias("coef"), share(c, F.lit(w)).alias("importance")) for c, w in zip(inputs, model["coef"][1:])]
+    return held.agg(F.array(*cells).alias("r")).select(F.inline("r")).orderBy(F.desc("importance"), "input")
+
+
+def residuals(df: DataFrame, target: str, prediction: str = "prediction") -> DataFrame:
+    """df with residual, the target less its prediction."""
+    return df.withColumn("residual", F.col(target) - F.col(prediction))
+
+
 def scaled(df: DataFrame, columns: Sequence[str], sample: bool = False) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Complete rows with the z-score of each column as z0, z1, ...; means and deviations (population unless sample)."""
     v = [number(F.col(c), df.schema[c].dataType) for c in columns]
@@ -99,6 +115,22 @@ def class_metrics(df: DataFrame, actual: str = "actual", predicted: str = "predi
     return m.select("class", "precision", "recall", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0).alias("f1"), "support")
 
 
+def class_summary(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """One row: n, accuracy, and macro_f1, the mean of the classes' f1."""
+    total = confusion(df, actual, predicted).agg(F.sum("n").alias("n"), (F.sum(F.when(F.col(actual) == F.col(predicted), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+    return total.crossJoin(F.broadcast(class_metrics(df, actual, predicted).agg(F.avg("f1").alias("macro_f1"))))  # one row each
+
+
+def binary_metrics(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """One row of two columns of 0 and 1 (anything else is 0): tp, fp, tn, fn, accuracy, precision, recall, f1; ratios of nothing are 0."""
+    yes = [F.coalesce(F.col(c) == 1, F.lit(False)) for c in (actual, predicted)]
+    cell = lambda a, p: F.count_if((yes[0] == a) & (yes[1] == p))
+    counts = df.agg(cell(True, True).alias("tp"), cell(False, True).alias("fp"), cell(False, False).alias("tn"), cell(True, False).alias("fn"))
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return counts.select("*", ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
 def naive_bayes_model(df: DataFrame, target: str, inputs: Sequence[str]) -> DataFrame:
     """class, prior, and mean and variance (floor 1e-9) of each input."""
     v = {c: number(F.col(c), df.schema[c].dataType) for c in inputs}
@@ -295,6 +327,29 @@ def cross_validate(df: DataFrame, key: str, k: int, fit_score: Callable[[DataFra
     return {"scores": got, "mean": float(np.mean(some)) if some else None, "std": float(np.std(some)) if some else None}
 
 
+def linear_score(target: str, inputs: Sequence[str]) -> Callable[[DataFrame, DataFrame], float | None]:
+    """R2 on the held-out rows of a linear model, for ``cross_validate``; None where the inputs depend on each other."""
+
+    def score(train: DataFrame, test: DataFrame) -> float | None:
+        try:
+            model = ols(train, target, inputs)
+        except CollinearError:
+            return None
+        return regression_metrics(test.select("*", linear_predict(model)), target, "prediction").first().r2
+
+    return score
+
+
+def bayes_score(target: str, inputs: Sequence[str]) -> Callable[[DataFrame, DataFrame], float | None]:
+    """Accuracy on the held-out rows of a naive Bayes model, for ``cross_validate``."""
+
+    def score(train: DataFrame, test: DataFrame) -> float | None:
+        said = naive_bayes_predict(test, naive_bayes_model(train, target, inputs), inputs)
+        return said.agg(F.avg((F.col("predicted") == F.col(target).cast("string")).cast("double")).alias("a")).first().a
+
+    return score
+
+
 def eligible_targets(df: DataFrame, columns: Sequence[str], most: int = 20) -> DataFrame:
     """column and classes of those with 2 to ``most`` classes, fewest first."""
     row = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count_distinct(c).alias("classes")) for c in columns]).alias("r"))

@@ -193,10 +193,28 @@ def ols(df: DataFrame, target: str, inputs: Sequence[str]) -> dict:
     r2 = 1 - sse / sst if sst > 0 else 0.0
     f = (sst - sse) / k / s2 if s2 > 0 else math.inf
     return {
-        "names": ["intercept", *inputs], "coef": coef.tolist(), "se": se.tolist(), "t": t.tolist(), "p": [t_p(x, free) for x in t],
+        "target": target, "names": ["intercept", *inputs], "coef": coef.tolist(), "se": se.tolist(), "t": t.tolist(), "p": [t_p(x, free) for x in t],
         "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / free, "f": f, "p_f": 0.0 if math.isinf(f) else f_p(f, k, free), "n": n, "rmse": math.sqrt(sse / n),
     }
 
 
+def analyse(df: DataFrame, target: str, inputs: Sequence[str], kinds: dict[str, str]) -> dict:
+    """The analysis that fits the logical types of the columns, as {"type", "result"}: a regression of a numeric target on its numeric inputs, else an
+    analysis of variance by its first category; a chi-square test of two categories; unavailable where inputs depend on each other, else unsupported."""
+    numeric = [c for c in inputs if kinds.get(c) in ("integer", "float")]
+    groups = [c for c in inputs if kinds.get(c) == "category"]
+    measured = kinds.get(target) in ("integer", "float")
+    if measured and numeric:
+        try:
+            return {"type": "regression", "result": ols(df, target, numeric)}
+        except CollinearError:
+            return {"type": "unavailable", "result": None}
+    if measured and groups:
+        return {"type": "anova", "result": anova(df, target, groups[0])}
+    if kinds.get(target) == "category" and groups:
+        return {"type": "chi_square", "result": chi_square(df, target, groups[0])}
+    return {"type": "unsupported", "result": None}
+
+
 def stars(p: float | None) -> str:
     return "" if p is None else "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else "n.s."

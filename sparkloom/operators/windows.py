@@ -14,6 +14,7 @@ from pyspark.sql.window import WindowSpec
 
 from sparkloom.functions.values import all_of
 from sparkloom.operators.order import numbered
+from sparkloom.plans.storage import materialise
 
 
 def _over(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -93,15 +94,37 @@ def spearman(df: DataFrame, x: str, y: str, order: str) -> DataFrame:
     return ranked.agg(F.corr("__rx", "__ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def spearman_matrix(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
+    """(a, b, rho, n) for every ordered pair of columns; each pair is ranked over its own complete rows, and once for both its orders."""
+    out = None
+    for i, a in enumerate(columns):
+        for b in columns[i:]:
+            names = [(a, b)] if a == b else [(a, b), (b, a)]
+            found = df.where(F.col(a).isNotNull()).agg(F.lit(1.0).alias("rho"), F.count(F.lit(1)).alias("n")) if a == b else spearman(df, a, b, order)
+            cells = found.select(F.inline(F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col("rho"), F.col("n")) for x, y in names])))
+            out = cells if out is None else out.unionAll(cells)
+    return out
+
+
 def as_of_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
-    """Each left row with the values of the last right row of its key at or before its time.
+    """Each left row with the values of the last right row of its key at or before its time; of right rows at one time the greatest values.
 
-    Both sides are united, ordered once by key and time, and the last right row is carried forward; no range join.
+    A null key or time matches nothing. Both sides are united and dealt to ranges of key and time, so a hot key spans
+    several ranges; values are carried forward inside a range, and each range's last right row (one row for each
+    partition) goes on to those that follow.
     """
     l = left.withColumn("__t", F.col(left_time)).withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType))
     keep = [c for c in left.columns]
-    r = right.select(*[F.col(c) for c in on], F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*values).alias("__v"))
-    w = Window.partitionBy(*on).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True).withColumn("__v", F.last("__v", ignorenulls=True).over(w))
-    return both.where("__side = 1").select(*keep, *[F.col(f"__v.{v}").alias(v) for v in values])
-
+    met = right.where(all_of([F.col(c).isNotNull() for c in [*on, right_time]]))
+    r = met.select(*[F.col(c) for c in on], F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*values).alias("__v"))
+    both = l.unionByName(r, allowMissingColumns=True)
+    dealt = materialise(both.repartitionByRange(*on, "__t").withColumn("__range", F.spark_partition_id()), "ranges")
+    ends = dealt.where("__side = 0").groupBy("__range").agg(F.max(F.struct(*on, "__t", "__v")).alias("__end"))
+    past = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    every = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__size")).join(ends, "__range", "left")
+    carried = every.select("__range", F.last("__end", ignorenulls=True).over(past).alias("__past"))  # one row for each partition
+    w = Window.partitionBy("__range", *on).orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    filled = dealt.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").join(F.broadcast(carried), "__range")
+    same = all_of([F.col(c) == F.col(f"__past.{c}") for c in on] + [F.col("__t").isNotNull()])
+    v = F.coalesce("__v", F.when(same, F.col("__past.__v")))
+    return filled.withColumn("__v", v).select(*keep, *[F.col(f"__v.{c}").alias(c) for c in values])

@@ -55,6 +55,49 @@ def colored(df: DataFrame, spec: ChartSpec, most: int = 16) -> DataFrame:
     return cells.groupBy(spec.dims[0]).pivot("__c", colors).agg(F.first(name)).fillna(0.0)
 
 
+def heatmap(df: DataFrame, spec: ChartSpec) -> DataFrame:
+    """A row for each pair of dimension values that occurs: x and y, their places xi and yi by name from 0, and the value (missing ones are 0).
+
+    Places are numbered over the aggregated names, of which a chart has few.
+    """
+    column, how, _ = spec.measures[0]
+    x, y = spec.dims[0], spec.color if spec.color and spec.color != spec.dims[0] else spec.dims[1]
+    cells = group_by(df.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(column).alias("value")), ["x", "y"], [("value", how, "value")])
+    place = lambda c: (F.dense_rank().over(Window.orderBy(c)) - 1).alias(f"{c}i")
+    return cells.select("x", "y", place("x"), place("y"), F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def radar(df: DataFrame, spec: ChartSpec, most: int = 12) -> DataFrame:
+    """A row for each of the first ``most`` keys by name and each measure: key, axis, value, and top, the axis' end: 1.15 times the largest value of all keys, 1 at least."""
+    if len(spec.measures) < 2:
+        raise ValueError("a radar chart needs two measures")
+    names = [name for _, _, name in spec.measures]
+    cells = group_by(df, spec.dims[:1], spec.measures).select(F.col(spec.dims[0]).alias("key"), *[F.coalesce(n, F.lit(0)).cast("double").alias(n) for n in names])
+    ends = F.broadcast(cells.agg(*[(F.greatest(F.max(n), F.lit(1.0)) * 1.15).alias(f"__top_{n}") for n in names]))  # one row
+    chosen = cells.orderBy("key").limit(min(most, spec.top) if spec.top else most)
+    axes = F.array(*[F.struct(F.lit(n).alias("axis"), F.col(n).alias("value"), F.col(f"__top_{n}").alias("top")) for n in names])
+    return chosen.crossJoin(ends).select("key", F.inline(axes))
+
+
+def series_table(df: DataFrame, spec: ChartSpec) -> DataFrame:
+    """What a slide's chart holds: category, series and value, one row for each cell; the colours of a coloured chart are its series, else its measures are."""
+    if spec.color:
+        wide = colored(df, spec)
+        names = wide.columns[1:]
+    else:
+        wide, names = group_by(df, spec.dims[:1], spec.measures), [name for _, _, name in spec.measures]
+    cells = F.array(*[F.struct(F.lit(n).alias("series"), F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)).alias("value")) for n in names])
+    return wide.select(F.col(spec.dims[0]).alias("category"), F.inline(cells))
+
+
+def scatter_colored(df: DataFrame, x: str, y: str, color: str, most: int = 12) -> DataFrame:
+    """x, y and group for the rows of the ``most`` most frequent groups, of ties the first by name; missing groups are one group."""
+    g = group_text(F.col(color), df.schema[color].dataType)
+    held = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), g.alias("group"))
+    chosen = held.groupBy("group").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "group").limit(most).select(F.col("group").alias("__g"))
+    return held.join(F.broadcast(chosen), F.col("group").eqNullSafe(F.col("__g"))).where("x is not null and y is not null").drop("__g")  # at most `most` rows
+
+
 def scatter(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
 
@@ -114,9 +157,22 @@ def sunburst(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
 
 
 def candles(df: DataFrame, date: str) -> DataFrame:
+    """The rows with an opening price, by date."""
     return df.where("open is not null").select(date, "open", "close", "low", "high").orderBy(date)
 
 
+def candles_volume(df: DataFrame, date: str) -> DataFrame:
+    """The same with volume, and up: whether the price closed at its opening or above."""
+    return df.where("open is not null").select(date, "open", "close", "low", "high", "volume", (F.col("close") >= F.col("open")).alias("up")).orderBy(date)
+
+
+def bars_of(df: DataFrame, time: str, price: str, amount: str, unit: str = "day") -> DataFrame:
+    """Single trades rolled up to open, close, low, high and volume of each unit of time; trades at one time count by price."""
+    at = F.struct(F.col(time), F.col(price))
+    day = df.groupBy(F.date_trunc(unit, time).alias("date"))
+    return day.agg(F.min_by(price, at).alias("open"), F.max_by(price, at).alias("close"), F.min(price).alias("low"), F.max(price).alias("high"), F.sum(amount).alias("volume"))
+
+
 def facets(df: DataFrame, facet: str, dim: str, value: str, panels: int = 12, bars: int = 8) -> DataFrame:
     """The first ``panels`` facet values by name, each with its ``bars`` smallest sums."""
     cells = group_by(df, [facet, dim], [(value, "sum", "value")])

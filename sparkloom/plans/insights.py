@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.values import blank, group_text, number, safe_divide
 from sparkloom.operators.aggregate import skew_kurtosis
+from sparkloom.operators.filters import outlier_counts
 
 
 def findings(df: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """kind, subject and value: rows, missing cells, columns with |skewness| over 1.5, and the strongest correlation over 0.35; one pass."""
+    """kind, subject and value: rows, missing cells, columns with |skewness| over 1.5, correlations over 0.35, by one pass; and the
+    total of values beyond their measure's quartile bounds, if any, by the passes of the quartiles."""
     v = {c: number(F.col(c), df.schema[c].dataType) for c in measures}
     rows = [F.struct(F.lit("rows").alias("kind"), F.lit("").alias("subject"), F.count(F.lit(1)).cast("double").alias("value"))]
     rows += [F.struct(F.lit("missing").alias("kind"), F.lit(c).alias("subject"), F.count_if(blank(F.col(c))).cast("double").alias("value")) for c in df.columns]
@@ -21,7 +23,12 @@ def findings(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     rows += [F.struct(F.lit("correlation").alias("kind"), F.lit(f"{a}~{b}").alias("subject"), F.when((F.var_pop(v[a]) > 0) & (F.var_pop(v[b]) > 0), F.corr(v[a], v[b])).alias("value")) for a, b in itertools.combinations(list(measures)[:6], 2)]
     all_ = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
     keep = (F.col("kind") == "rows") | ((F.col("kind") == "missing") & (F.col("value") > 0)) | ((F.col("kind") == "skewness") & (F.abs("value") > 1.5)) | ((F.col("kind") == "correlation") & (F.abs("value") > 0.35))
-    return all_.where(keep)
+    found = all_.where(keep)
+    if not measures:
+        return found
+    total = sum((F.col(f"outliers_{c}") for c in measures), F.lit(0)).cast("double")
+    far = outlier_counts(df, measures).select(F.lit("outliers").alias("kind"), F.lit("").alias("subject"), total.alias("value"))
+    return found.unionAll(far.where("value > 0"))
 
 
 def shares(df: DataFrame, dim: str, value: str) -> DataFrame:

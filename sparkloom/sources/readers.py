@@ -81,18 +81,29 @@ def _flags(c: Column) -> dict[str, Column]:
 
 def infer_types(df: DataFrame) -> DataFrame:
     """column and type of every column of texts: the first of boolean, integer, float, datetime that all values are; else a
-    category (at most 30 distinct values and a fifth of all), else a string. One pass over the rows for all columns."""
-    rows = []
-    for name in df.columns:
-        c = F.col(f"`{name}`")
-        some = ~blank_trimmed(c)
-        n, d = F.count_if(some), F.count_distinct(F.when(some, F.trim(c)))
-        kind = F.when(n == 0, "string")
-        for label, flag in _flags(c).items():
-            kind = kind.when(F.count_if(some & ~flag) == 0, label)
-        kind = kind.when((d <= 30) & (d <= 0.2 * n), "category").otherwise("string")
-        rows.append(F.struct(F.lit(name).alias("column"), kind.alias("type")))
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    category (at most 30 distinct values and a fifth of all), else a string.
+
+    One pass sketches the distinct values; so few values are counted by the sketch without loss or a little under, so those
+    beyond twice 30 are no category. Only columns that may be one are counted exactly, by a second pass; no pass expands all columns.
+    """
+    texts = {name: F.when(~blank_trimmed(F.col(f"`{name}`")), F.trim(F.col(f"`{name}`"))) for name in df.columns}
+    cells = []
+    for name, t in texts.items():
+        kind = F.when(F.count(t) == 0, "string")
+        for label, flag in _flags(F.col(f"`{name}`")).items():
+            kind = kind.when(F.count_if(t.isNotNull() & ~flag) == 0, label)
+        cells.append(F.struct(kind.alias("kind"), F.count(t).alias("n"), F.approx_count_distinct(t, 0.02).alias("about")))
+    seen = dict(zip(texts, df.agg(F.array(*cells).alias("r")).first().r))
+    open_ = [name for name, s in seen.items() if s.kind is None and s.about <= 60]
+    few = dict(zip(open_, df.agg(*[F.count_distinct(texts[name]) for name in open_]).first())) if open_ else {}
+    named = lambda name, s: s.kind or ("category" if name in few and few[name] <= min(30, 0.2 * s.n) else "string")
+    return df.sparkSession.createDataFrame([(name, named(name, s)) for name, s in seen.items()], "column string, type string")
+
+
+def paste_block(text: str | None) -> list[list[str]]:
+    """The cells of a block of tab-separated lines from the clipboard, whose last line break counts for nothing; they feed ``set_cells``."""
+    lines = re.sub(r"\r\n?", "\n", text or "").removesuffix("\n")
+    return [line.split("\t") for line in lines.split("\n")] if lines else []
 
 
 def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:

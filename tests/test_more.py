@@ -1,5 +1,7 @@
 """Streams, maps, formats and sentences."""
 
+import math
+import random
 import zipfile
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.formats import compact, plain_text, won
 from sparkloom.functions.formula import FormulaError, compile_formula
-from sparkloom.operators import learn, series, stats
+from sparkloom.operators import clean, distributions, learn, series, stats, windows
 from sparkloom.operators.components import connected_components
 from sparkloom.plans import assistant, charts, geo, insights
 from sparkloom.sources import readers
@@ -155,3 +157,78 @@ def test_formulas_with_words_of_other_languages(spark):
     for bad in ("1 if row.class else 2", "row.class and 1", "not 1", "7 // 2", "row.class in [1]", "None", "~1"):
         with pytest.raises(FormulaError):
             of(bad)
+
+
+def test_as_of_join_odd(spark):
+    """A hot key over many ranges, keys without a match, null keys and times, repeated times."""
+    rng = random.Random(5)
+    left = [(i, None if i % 97 == 0 else "hot" if i % 3 else f"k{i % 7}", None if i % 89 == 0 else rng.randrange(500)) for i in range(1, 900)]
+    right = [(None if i % 50 == 0 else "hot" if i % 2 else f"k{i % 5}", None if i % 41 == 0 else rng.randrange(20, 480), i) for i in range(1, 120)]
+    got = windows.as_of_join(spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, rt int, v int"), ["k"], "t", "rt", ["v"])
+    want = {}
+    for i, k, t in left:
+        past = [(rt, v) for rk, rt, v in right if k is not None and rk == k and t is not None and rt is not None and rt <= t]
+        want[i] = max(past)[1] if past else None
+    assert {r.id: r.v for r in got.collect()} == want
+    none = spark.createDataFrame([], "k string, rt int, v int")
+    assert windows.as_of_join(spark.createDataFrame(left, "id int, k string, t int"), none, ["k"], "t", "rt", ["v"]).where("v is null").count() == len(left)
+
+
+def test_spearman_matrix_with_gaps(spark):
+    df = spark.createDataFrame([(i, float(i), None if i == 4 else float(-i), 1.0) for i in range(10)], "id int, a double, b double, c double")
+    got = {(r.a, r.b): (r.rho, r.n) for r in windows.spearman_matrix(df, ["a", "b", "c"], "id").collect()}
+    assert len(got) == 9 and got["a", "b"] == got["b", "a"] and got["a", "b"][0] == pytest.approx(-1) and got["a", "b"][1] == 9
+    assert got["b", "b"] == (1.0, 9) and got["c", "a"][0] == pytest.approx(1)  # ties in the order of id
+
+
+def test_normal_distribution_function(spark):
+    z = [-8.0, -1.96, -0.5, 0.0, 0.5, 1.0, 3.0, 8.0]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", distributions.normal_cdf_column(F.col("z")).alias("p")).collect()
+    assert all(abs(r.p - 0.5 * (1 + math.erf(r.z / math.sqrt(2)))) < 2e-7 for r in got)
+
+
+def test_types_by_bounded_counts(spark):
+    rows = [(f"c{i % 30}", f"s{i % 31}", f"u{i}", "x", None) for i in range(200)]
+    df = spark.createDataFrame(rows, "thirty string, more string, unique string, one string, none string")
+    assert {r.column: r.type for r in readers.infer_types(df).collect()} == {"thirty": "category", "more": "string", "unique": "string", "one": "category", "none": "string"}
+    assert {r.type for r in readers.infer_types(df.limit(0)).collect()} == {"string"}
+
+
+def test_clipboard_and_names():
+    assert readers.paste_block("a\tb\r\n1\t\r\n") == [["a", "b"], ["1", ""]]
+    assert readers.paste_block(None) == readers.paste_block("") == readers.paste_block("\n") == []
+    assert clean.free_name(["new_col", "new_col_2"]) == "new_col_3" and clean.free_name([]) == "new_col"
+
+
+def test_analysis_by_types(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i + (i % 3), 4.0 * i, "ab"[i % 2], "xyz"[i % 3]) for i in range(30)], "a double, b double, c double, g string, h string")
+    kinds = {"a": "float", "b": "float", "c": "float", "g": "category", "h": "category"}
+    asked = lambda *a: stats.analyse(df, *a, kinds)["type"]
+    assert asked("b", ["a", "g"]) == "regression" and asked("b", ["g"]) == "anova" and asked("g", ["h"]) == "chi_square"
+    assert asked("b", ["a", "c"]) == "unavailable" and asked("g", ["a"]) == "unsupported" and asked("b", ["gone"]) == "unsupported"
+
+
+def test_scores_of_models(spark):
+    df = spark.createDataFrame([(i, float(i), 3.0 * i + 1, 2.0 * i, "lo" if i < 20 else "hi") for i in range(40)], "id int, x double, y double, z double, c string")
+    assert learn.cross_validate(df, "id", 4, learn.linear_score("y", ["x"]))["mean"] == pytest.approx(1)
+    assert learn.cross_validate(df, "id", 4, learn.linear_score("y", ["x", "z"])) == {"scores": [None] * 4, "mean": None, "std": None}
+    assert learn.cross_validate(df, "id", 4, learn.bayes_score("c", ["x"]))["mean"] > 0.9
+    assert learn.binary_metrics(df.select(F.lit(0).alias("actual"), F.lit(None).cast("int").alias("predicted"))).first().asDict() == {"tp": 0, "fp": 0, "tn": 40, "fn": 0, "accuracy": 1.0, "precision": 0.0, "recall": 0.0, "f1": 0.0}
+
+
+def test_joint_outliers(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5) if i else 90.0) for i in range(60)], "id int, a double, b double")
+    far, why = clean.joint_outliers(df, ["a", "b"])
+    assert [r.id for r in far.collect()] == [0] and why is None
+    assert clean.joint_outliers(df, ["a"]) == (None, "two columns are needed at least")
+    assert clean.joint_outliers(df.withColumn("c", F.col("a") * 2), ["a", "c"]) == (None, "singular covariance")
+
+
+def test_radar_and_heatmap_odd(spark):
+    df = spark.createDataFrame([(f"k{i:02}", "s", None if i == 1 else float(-i)) for i in range(20)], "k string, s string, v double")
+    spec = charts.ChartSpec("radar", ("k",), (("v", "sum", "v"), ("v", "count", "n")))
+    got = charts.radar(df, spec).collect()
+    assert len(got) == 24 and {(r.axis, r.top) for r in got} == {("v", 1.15), ("n", 1.15)}
+    with pytest.raises(ValueError):
+        charts.radar(df, charts.ChartSpec("radar", ("k",), (("v", "sum", "v"),)))
+    assert charts.heatmap(df.limit(0), charts.ChartSpec("heatmap", ("k", "s"), (("v", "sum", "v"),))).count() == 0
