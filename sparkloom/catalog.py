@@ -184,6 +184,18 @@ def _(spark, d):
     return rounded(insights.findings(load(spark, d, "orders"), ["o_totalprice", "o_custkey"]))
 
 
+@register("dsc_findings_events", """
+with e as (select * replace (case when event_type <> 'purchase' then props end as props) from events),
+q as (select quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b, quantile_cont(user_id, 0.25) as c, quantile_cont(user_id, 0.75) as d from events)
+select 'rows' as kind, '' as subject, count(*)::double as value from e
+union all select 'missing', 'props', count(*)::double from e where props is null
+union all select 'skewness', 'value', round(skewness(value), 4) as s from e having abs(s) > 1.5
+union all select 'outliers', '', (count(*) filter (abs(value - (a + b) / 2) > 2 * (b - a)) + count(*) filter (abs(user_id - (c + d) / 2) > 2 * (d - c)))::double from e, q""")
+def _(spark, d):
+    e = load(spark, d, "events").withColumn("props", F.when(F.col("event_type") != "purchase", F.col("props")))
+    return rounded(insights.findings(e, ["value", "user_id"]))
+
+
 @register("dsc_shares", """
 with g as (select o_orderpriority as g, sum(o_totalprice) as s, avg(o_totalprice) as m from orders group by 1)
 select arg_max(g, s) as top, round(max(s) / sum(s), 6) as top_share, round(max(m) / min(m), 6) as mean_ratio from g""")
@@ -515,12 +527,12 @@ def _(spark, d):
 
 
 @register("cln_joint_outliers", """
-with m as (select avg(c_acctbal) as a, avg(c_nationkey) as b, var_samp(c_acctbal) as aa, var_samp(c_nationkey) as bb, covar_samp(c_acctbal, c_nationkey) as ab from customer)
-select c_custkey from customer, m where (power(c_acctbal - a, 2) * bb - 2 * (c_acctbal - a) * (c_nationkey - b) * ab + power(c_nationkey - b, 2) * aa) / (aa * bb - ab * ab) <= 2 * power(1 - 2 / 18.0 + 1.959963984540054 * sqrt(2 / 18.0), 3)""")
+with m as (select avg(value) as a, avg(user_id) as b, var_samp(value) as aa, var_samp(user_id) as bb, covar_samp(value, user_id) as ab from events)
+select event_id from events, m where (power(value - a, 2) * bb - 2 * (value - a) * (user_id - b) * ab + power(user_id - b, 2) * aa) / (aa * bb - ab * ab) <= 2 * power(1 - 2 / 18.0 + 1.959963984540054 * sqrt(2 / 18.0), 3)""")
 def _(spark, d):
-    c = load(spark, d, "customer")
-    far, _why = joint_outliers(c, ["c_acctbal", "c_nationkey"])
-    return filters.delete_rows(c, "c_custkey", far).select("c_custkey")
+    e = load(spark, d, "events")
+    far, _why = joint_outliers(e, ["value", "user_id"])
+    return filters.delete_rows(e, "event_id", far).select("event_id")
 
 
 # ---- formulas

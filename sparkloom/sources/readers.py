@@ -20,6 +20,7 @@ from sparkloom.operators.order import numbered
 
 TYPES = ("boolean", "integer", "float", "datetime", "category", "string")
 FORMATS = ("csv", "tsv", "json", "xlsx", "parquet")
+_FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _DATETIME = r"^\d{4}-\d{2}-\d{2}([T ][0-9:.+-]+Z?)?$"
 
 
@@ -70,11 +71,11 @@ def slug(name: str) -> str:
 
 def _flags(c: Column) -> dict[str, Column]:
     t = F.trim(c)
-    v = t.try_cast("double")
     return {
         "boolean": F.lower(t).isin("true", "yes", "false", "no"),
         "integer": t.rlike(r"^[+-]?(0|[1-9]\d*)$"),
-        "float": v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & ~t.rlike(r"^0\d") & ~t.rlike(r"[dDfF]$"),
+        # only what looks like a number is cast: a cast that fails costs an exception
+        "float": t.rlike(_FLOAT) & ~t.rlike(r"^0\d") & (F.abs(t.try_cast("double")) < float("inf")),
         "datetime": t.rlike(_DATETIME) & t.try_cast("timestamp").isNotNull(),
     }
 
