@@ -1,11 +1,12 @@
-"""One global order without one task: row numbers, neighbours and exact quantiles over any number of rows."""
+"""One global order without one task: row numbers, neighbours, frames, running sums and exact quantiles over any number of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from sparkloom.functions.values import all_of
 from sparkloom.plans.storage import materialise
@@ -42,20 +43,36 @@ def hash_rank(df: DataFrame, key: str, seed: int, name: str = "__n") -> DataFram
     return hashed.withColumn(name, inside).join(F.broadcast(offsets), "__range").withColumn(name, F.col(name) + F.col("__offset")).drop("__h", "__range", "__offset")
 
 
-def with_lags(df: DataFrame, value: str, order: Sequence[str | Column], lags: Sequence[int]) -> DataFrame:
-    """df with the values of 1, 2, ... places before in columns __lag1, __lag2, ... as named by lags.
+def in_blocks(df: DataFrame, order: Sequence[str | Column], columns: Callable[[WindowSpec], dict[str, Column]], back: int = 0, ahead: int = 0, place: str | None = None) -> DataFrame:
+    """df with columns over one order of all rows, and its place 1..n if that is given a name; ``columns`` makes them from a window, and they look at most ``back`` rows back and ``ahead`` rows on.
 
-    Rows are numbered and cut into blocks by place; the last rows of a block go to the next one too, as its past.
+    Rows are numbered and cut into blocks by place; the last rows of a block go to the next one too, as its past, and the
+    first ones to the block before, as its future.
     """
-    reach = max(lags)
-    size = max(BLOCK_ROWS, reach)
+    size = max(BLOCK_ROWS, back, ahead)
+    at = (F.col("__n") - 1) % size
     block = F.floor((F.col("__n") - 1) / size)
-    late = (F.col("__n") - 1) % size >= size - reach
-    blocks = F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block)))
-    spread = numbered(df, order).withColumn("__own", block).withColumn("__block", blocks)
-    w = Window.partitionBy("__block").orderBy("__n")
-    found = spread.withColumns({f"__lag{k}": F.lag(value, k).over(w) for k in lags})
-    return found.where("__own = __block").drop("__own", "__block", "__n")
+    copies = F.array(block, F.when(at >= size - back, block + 1), F.when((at < ahead) & (block > 0), block - 1))
+    spread = numbered(df, order).withColumn("__own", block).withColumn("__block", F.explode(F.array_compact(copies)))
+    found = spread.withColumns(columns(Window.partitionBy("__block").orderBy("__n")))
+    own = found.where("__own = __block").drop("__own", "__block")
+    return own.withColumnRenamed("__n", place) if place else own.drop("__n")
+
+
+def with_lags(df: DataFrame, value: str, order: Sequence[str | Column], lags: Sequence[int]) -> DataFrame:
+    """df with the values of 1, 2, ... places before in columns __lag1, __lag2, ... as named by lags."""
+    return in_blocks(df, order, lambda w: {f"__lag{k}": F.lag(value, k).over(w) for k in lags}, max(lags))
+
+
+def running_sum(df: DataFrame, value: str, order: Sequence[str | Column], name: str) -> DataFrame:
+    """df with the sum of all values up to a row in one order; null before the first value. Sums inside a range of the order, and of the ranges before."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = materialise(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("__range").agg(F.sum(value).alias("__sum")).select("__range", F.sum("__sum").over(before).alias("__past"))  # one row for each partition
+    inside = F.sum(value).over(Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    met = dealt.withColumn(name, inside).join(F.broadcast(sums), "__range")
+    return met.withColumn(name, F.coalesce(F.col(name) + F.col("__past"), name, "__past")).drop("__range", "__past")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, Column, float]]) -> DataFrame:

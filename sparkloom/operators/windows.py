@@ -1,19 +1,19 @@
 """Ordered transforms. A series is named by its partition columns (any number of series run side by side) and its order.
 
-Ranks and samples over whole tables are numbered by ranges of the order; a frame over a single series without partition
-columns (moving averages, running totals) is worked in one task: name partition columns where there are many rows.
+Without partition columns all rows are one series, which no task holds: ranks, samples and running totals go by ranges of
+the order, frames by blocks that overlap by the frame's reach.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from sparkloom.functions.values import all_of
-from sparkloom.operators.order import numbered
+from sparkloom.operators.order import in_blocks, numbered, running_sum
 from sparkloom.plans.storage import materialise
 
 
@@ -21,6 +21,10 @@ def _over(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
 
 
+def _framed(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Callable[[WindowSpec], dict[str, Column]], back: int) -> DataFrame:
+    return df.withColumns(columns(_over(by, order))) if by else in_blocks(df, order, columns, back)
+
+
 def ordinal_rank(df: DataFrame, column: str, order: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """1..n, nulls first, ties in the given order."""
     if not by:
@@ -30,54 +34,66 @@ def ordinal_rank(df: DataFrame, column: str, order: str, by: Sequence[str] = (),
 
 def moving_average(df: DataFrame, value: str, order: Sequence[str], width: int, by: Sequence[str] = (), name: str = "ma") -> DataFrame:
     """Trailing mean; null until the window is full or if any value in it is missing."""
-    w = _over(by, order).rowsBetween(-(width - 1), 0)
-    return df.withColumn(name, F.when(F.count(value).over(w) == width, F.avg(value).over(w)))
+    last = lambda w: w.rowsBetween(-(width - 1), 0)
+    return _framed(df, by, order, lambda w: {name: F.when(F.count(value).over(last(w)) == width, F.avg(value).over(last(w)))}, width - 1)
 
 
 def weighted_average(df: DataFrame, value: str, order: Sequence[str], weights: Sequence[float], by: Sequence[str] = (), name: str = "wma") -> DataFrame:
     """Trailing weighted mean, weights from the oldest value to the newest."""
-    w, k = _over(by, order), len(weights)
-    parts = [F.lag(value, k - 1 - i).over(w) * float(x) for i, x in enumerate(weights)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return df.withColumn(name, total / float(sum(weights)))
+    k = len(weights)
+
+    def mean(w: WindowSpec) -> dict[str, Column]:
+        parts = [F.lag(value, k - 1 - i).over(w) * float(x) for i, x in enumerate(weights)]
+        return {name: sum(parts[1:], parts[0]) / float(sum(weights))}
+
+    return _framed(df, by, order, mean, k - 1)
 
 
 def difference(df: DataFrame, value: str, order: Sequence[str], lag: int = 1, by: Sequence[str] = (), name: str = "diff") -> DataFrame:
-    return df.withColumn(name, F.col(value) - F.lag(value, lag).over(_over(by, order)))
+    return _framed(df, by, order, lambda w: {name: F.col(value) - F.lag(value, lag).over(w)}, lag)
 
 
 def rolling_std(df: DataFrame, value: str, order: Sequence[str], width: int, by: Sequence[str] = (), name: str = "rstd") -> DataFrame:
-    w = _over(by, order).rowsBetween(-(width - 1), 0)
-    return df.withColumn(name, F.when(F.count(value).over(w) == width, F.stddev_samp(value).over(w)))
+    last = lambda w: w.rowsBetween(-(width - 1), 0)
+    return _framed(df, by, order, lambda w: {name: F.when(F.count(value).over(last(w)) == width, F.stddev_samp(value).over(last(w)))}, width - 1)
 
 
-def centered_average(df: DataFrame, value: str, order: Sequence[str], period: int, by: Sequence[str] = (), name: str = "trend") -> DataFrame:
-    """Centred mean; for even periods the two ends count half. Null where the window isn't full."""
+def centered_average(df: DataFrame, value: str, order: Sequence[str], period: int, by: Sequence[str] = (), name: str = "trend", place: str | None = None) -> DataFrame:
+    """Centred mean; for even periods the two ends count half. Null where the window isn't full. With ``place`` also the row's place 1..n in its series."""
     h = period // 2
+
+    def mean(w: WindowSpec) -> dict[str, Column]:
+        span = w.rowsBetween(-h, h)
+        full = F.count(value).over(span) == 2 * h + 1
+        total = F.sum(value).over(span)
+        if period % 2 == 0:
+            total = total - (F.lag(value, h).over(w) + F.lead(value, h).over(w)) / 2
+        return {name: F.when(full, total / period)}
+
+    if not by:
+        return in_blocks(df, order, mean, h, h, place)
     w = _over(by, order)
-    span = w.rowsBetween(-h, h)
-    full = F.count(value).over(span) == 2 * h + 1
-    total = F.sum(value).over(span)
-    if period % 2 == 0:
-        total = total - (F.lag(value, h).over(w) + F.lead(value, h).over(w)) / 2
-    return df.withColumn(name, F.when(full, total / period))
+    return df.withColumns(mean(w) | ({place: F.row_number().over(w)} if place else {}))
 
 
 def running_total(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), name: str = "running") -> DataFrame:
+    if not by:
+        return running_sum(df, value, order, name)
     return df.withColumn(name, F.sum(value).over(_over(by, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def first_ratio(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), name: str = "cum_return") -> DataFrame:
     """Percent over the first value, two decimals."""
-    first = F.first(value).over(_over(by, order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(name, F.when(first != 0, F.floor((F.col(value) / first - 1) * 10000 + 0.5) / 100))
+    ratio = lambda first: F.when(first != 0, F.floor((F.col(value) / first - 1) * 10000 + 0.5) / 100)
+    if not by:
+        start = F.broadcast(df.agg(F.min_by(value, F.struct(*order)).alias("__first")))  # one row
+        return df.crossJoin(start).withColumn(name, ratio(F.col("__first"))).drop("__first")
+    return df.withColumn(name, ratio(F.first(value).over(_over(by, order).rowsBetween(Window.unboundedPreceding, 0))))
 
 
 def moving_range(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), name: str = "mr") -> DataFrame:
     """|x - previous x| over the values that aren't missing."""
-    return df.where(F.col(value).isNotNull()).withColumn(name, F.abs(F.col(value) - F.lag(value).over(_over(by, order))))
+    return _framed(df.where(F.col(value).isNotNull()), by, order, lambda w: {name: F.abs(F.col(value) - F.lag(value).over(w))}, 1)
 
 
 def systematic_sample(df: DataFrame, order: Sequence[str], most: int) -> DataFrame:

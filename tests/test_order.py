@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import order
+from sparkloom.operators import order, series, windows
 from sparkloom.operators.order import exact_quantiles, hash_rank, numbered, with_lags
 
 
@@ -56,3 +56,69 @@ def test_exact_quantiles_of_nothing(spark):
     df = spark.createDataFrame([], "k string, x double")
     assert exact_quantiles(df, ["k"], [("m", F.col("x"), 0.5)]).count() == 0
     assert [tuple(r) for r in exact_quantiles(df, [], [("m", F.col("x"), 0.5)]).collect()] == [(None,)]
+
+
+@pytest.fixture
+def many_ranges(spark, monkeypatch):
+    """Every range of an order stays a partition of its own, and blocks are small."""
+    monkeypatch.setattr(order, "BLOCK_ROWS", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def gappy_series(spark, n=200, lost=7, late=0):
+    rng = random.Random(n + lost + late)
+    return spark.createDataFrame([(i, None if i < late or i % lost == 0 else rng.uniform(-50, 50)) for i in range(1, n)], "t int, v double").withColumn("one", F.lit(1))
+
+
+@pytest.mark.parametrize("frame", [
+    lambda df, by: windows.moving_average(df, "v", ["t"], 5, by, "x"),
+    lambda df, by: windows.weighted_average(df, "v", ["t"], [1, 2, 3], by, "x"),
+    lambda df, by: windows.difference(df, "v", ["t"], 20, by, "x"),
+    lambda df, by: windows.rolling_std(df, "v", ["t"], 4, by, "x"),
+    lambda df, by: windows.centered_average(df, "v", ["t"], 6, by, "x"),
+    lambda df, by: windows.centered_average(df, "v", ["t"], 41, by, "x"),
+    lambda df, by: windows.running_total(df, "v", ["t"], by, "x"),
+    lambda df, by: windows.first_ratio(df.where("v is not null"), "v", ["t"], by, "x"),
+    lambda df, by: windows.moving_range(df, "v", ["t"], by, "x"),
+    lambda df, by: series.exponential(df, "v", "t", 0.3, by).withColumnRenamed("smooth", "x"),
+    lambda df, by: series.holt(df, "v", "t", 0.4, 0.2, by).withColumnRenamed("level", "x"),
+    lambda df, by: series.holt(df, "v", "t", 1.0, 0.2, by).withColumnRenamed("trend", "x"),
+    lambda df, by: series.holt(df, "v", "t", 0.4, 1.0, by).withColumnRenamed("fitted", "x"),
+    lambda df, by: series.decompose(df, "v", "t", 6, "additive", by).withColumnRenamed("residual", "x"),
+])
+@pytest.mark.parametrize("late", [0, 120])
+def test_one_series_as_many_ranges(spark, many_ranges, frame, late):
+    """Without partition columns the result is that of one series with a partition column, which is worked in order."""
+    df = gappy_series(spark, lost=50, late=late)
+    got, want = ({r.t: r.x for r in frame(df, by).collect()} for by in ([], ["one"]))
+    assert got.keys() == want.keys()
+    assert all(got[t] == pytest.approx(want[t], rel=1e-9, abs=1e-9) if want[t] is not None else got[t] is None for t in want)
+
+
+def test_smoothing_by_hand(spark, many_ranges):
+    df = gappy_series(spark)
+    level, trend, want = None, None, {}
+    for r in sorted(df.collect()):
+        if r.v is not None:
+            if level is None:
+                level, want[r.t] = r.v, (r.v, None, r.v)
+                continue
+            trend = r.v - level if trend is None else trend
+            fitted = level + trend
+            new = 0.3 * r.v + 0.7 * fitted
+            trend, level = 0.1 * (new - level) + 0.9 * trend, new
+            want[r.t] = (level, trend, fitted)
+    got = {r.t: (r.level, r.trend, r.fitted) for r in series.holt(df, "v", "t").collect() if r.level is not None}
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t]) for t in want)
+
+
+def test_series_of_few_or_no_values(spark, many_ranges):
+    few = spark.createDataFrame([(1, None), (2, 5.0), (3, None)], "t int, v double")
+    assert [tuple(r) for r in series.holt(few, "v", "t").orderBy("t").select("level", "trend", "fitted").collect()] == [(None, None, None), (5.0, None, 5.0), (None, None, None)]
+    assert [r.smooth for r in series.exponential(few, "v", "t").orderBy("t").collect()] == [None, 5.0, 5.0]
+    assert series.exponential(few.where("false"), "v", "t").count() == series.holt(few.where("false"), "v", "t").count() == 0
+    assert windows.running_total(few, "v", ["t"]).orderBy("t").select("running").collect()[0][0] is None
+    null_key = spark.createDataFrame([(None, 1, 1.0), (None, 2, 3.0), (4, 1, 7.0)], "k int, t int, v double")
+    assert {(r.k, r.t): r.smooth for r in series.exponential(null_key, "v", "t", 0.5, ["k"]).collect()} == {(None, 1): 1.0, (None, 2): 2.0, (4, 1): 7.0}
