@@ -60,6 +60,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder on any file system that Spark can write to; none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in files.listStatus(where)) if files.exists(where) else []
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder on any file system that Spark can write to."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
