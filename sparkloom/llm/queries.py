@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat_format, decontamination, line_crf, line_templates, secret_scan, url_filters, warc
+from sparkloom.llm import bpe, chat_format, decontamination, exact_dedup, line_crf, line_templates, prefix_trie, secret_scan, spelling, url_filters, warc
 from sparkloom.llm import quality_rules as rules
 from sparkloom.llm.common import materialise, shared_dir, table
 from sparkloom.llm.near_duplicates import near_duplicates
@@ -91,6 +91,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.rebuilt(prefix_trie.said(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, by=("family", "conv_id"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = exact_dedup.DigestIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    told = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), index)
+    index.forget()
+    return told.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 _OP4_SQL = r"""
 with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
@@ -191,9 +207,84 @@ from marked group by conv_id
 """
 
 
+# CRC-32 by half bytes: fixed values of the polynomial 0xEDB88320.
+_CRC = """{name} as (
+  select s, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(hex(s)) + 1),
+      lambda i: (instr('0123456789ABCDEF', substr(hex(s), i + (case when i % 2 = 1 then 1 else -1 end), 1)) - 1)::bigint)),
+    lambda c, v: xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(c, v) & 15) + 1]))) as h
+  from ({rows})
+)"""
+
+_OP11_SQL = rf"""
+with said as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as i
+  from conversations where conv_id is not null
+), {_CRC.format(name="sums", rows="select distinct conv_id::varchar as s from said")}
+, own as (
+  select conv_id, list(struct_pack(role := role, text := text) order by i) as turns from said group by 1
+), built as (
+  select c.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, h % 4), list_slice(c.turns, h % 4 + 1, len(c.turns))) as turns
+  from own c join sums on s = c.conv_id::varchar left join own b on b.conv_id = c.conv_id - c.conv_id % 20
+), steps as (
+  select conv_id, unnest(range(0, len(turns) + 1)) as depth, turns from built
+), members as (
+  select conv_id, depth, list_slice(turns, 1, depth) as node, case when depth > 0 then list_slice(turns, 1, depth - 1) end as above,
+    depth = len(turns) as ends, case when depth = 0 then 0 else len(regexp_extract_all(turns[depth].text, '[^\x20\x09-\x0D]+')) end as words
+  from steps
+), nodes as (
+  select node, depth, any_value(above) as above, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from members group by 1, 2
+), children as (
+  select above, count(*) as n from nodes group by 1
+), sized as (
+  select nodes.*, coalesce(n, 0) as n_children from nodes left join children on children.above = node
+), below as (
+  select m.node, sum((s.n_children = 0)::bigint) as n_leaves, sum((s.n_convs - 1) * s.words)::bigint as saved_tokens
+  from (select conv_id, depth, node from sized) o join members p on p.conv_id = o.conv_id and p.depth <= o.depth join members m on m.conv_id = o.conv_id and m.depth = p.depth
+  join sized s on s.node = o.node group by 1
+)
+select s.conv_id, s.depth, p.conv_id as parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, s.ends_sha256
+from sized s join below b on b.node = s.node left join nodes p on p.node = s.above
+"""
+
+_OP12_SQL = """
+select doc_id, max(doc_id) over t as keep_id, count(*) over t as group_size, doc_id is not distinct from max(doc_id) over t as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window t as (partition by coalesce(text, ''))
+"""
+
+_OP13_SQL = rf"""
+with recursive runs as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) as run from documents
+), counted as (
+  select id || ':' || run as s, run, count(*) as n from runs where length(run) >= 5 group by all
+), {_CRC.format(name="sums", rows="select s from counted")}
+, spelt as (
+  select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from counted join sums using (s)
+), words as (
+  select word, sum(n)::bigint as n from spelt where length(word) >= 5 group by 1 having sum(n) >= 3
+), cuts as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as cut from (select word, n, unnest(range(0, length(word))) as i from words)
+), near as (
+  select a.word, b.word as other, b.n from cuts a join cuts b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from cuts a join words b on a.cut = b.word
+  union select b.word, a.word, a.n from cuts a join words b on a.cut = b.word
+), best as (
+  select word, count(*) as n_near, min(struct_pack(less := -n, other := other)) as s from near group by 1
+), forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when -s.less >= 2 * w.n then s.other end as form, case when -s.less >= 2 * w.n then -s.less end as form_n
+  from words w left join best using (word)
+), follow(word, here) as (
+  select word, word from forms union all select follow.word, form from follow join forms f on f.word = here where form is not null
+)
+select f.word, f.form, here as root, f.n, f.n_near, f.form_n from forms f join follow on follow.word = f.word join forms g on g.word = here where g.form is null
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secret_scan": op5_secret_scan, "op6_line_crf": op6_line_crf, "op7_url_filters": op7_url_filters, "op8_warc": op8_warc, "op9_line_templates": op9_line_templates, "op10_chat_format": op10_chat_format}
+    return {"op1_quality_rules": op1_quality_rules, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secret_scan": op5_secret_scan, "op6_line_crf": op6_line_crf, "op7_url_filters": op7_url_filters, "op8_warc": op8_warc, "op9_line_templates": op9_line_templates, "op10_chat_format": op10_chat_format, "op11_prefix_trie": op11_prefix_trie, "op12_exact_dedup": op12_exact_dedup, "op13_spelling": op13_spelling}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash": _OP4_SQL, "op7_url_filters": _OP7_SQL, "op8_warc": _OP8_SQL, "op10_chat_format": _OP10_SQL}
+    return {"op4_minhash": _OP4_SQL, "op7_url_filters": _OP7_SQL, "op8_warc": _OP8_SQL, "op10_chat_format": _OP10_SQL, "op11_prefix_trie": _OP11_SQL, "op12_exact_dedup": _OP12_SQL, "op13_spelling": _OP13_SQL}
