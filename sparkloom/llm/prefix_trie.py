@@ -45,7 +45,7 @@ def said(conversations: DataFrame) -> DataFrame:
 def rebuilt(turns: DataFrame, family: int = 20, openings: int = 4) -> DataFrame:
     """Rows (family, conv_id, depth, key, words) of conversations that begin with an opening of their family's first one.
 
-    Conversation c, whose family's first is b = c - c % family, has the first h = crc32(c) % openings turns of b (all if
+    Conversation c, whose family's first is b = c - c % family (towards zero), has the first h = crc32(c) % openings turns of b (all if
     fewer, none if there is no b), then its own turns after its first h. Depth 0 is a row of every conversation.
     A family meets in one shuffle; only the few opening turns of its first conversation go to the others.
     """
