@@ -4,16 +4,18 @@ Candidates are maximal runs of key-like characters of at least ``WINDOW`` (with
 end). A candidate's class follows from the kinds of characters in it: digits, lower or upper case
 alone, letters of both cases, hex (digits and letters up to f), base64 (letters, digits and one of
 ``+/=``), or letters and digits otherwise; names of letters with ``_`` and ``-`` have no class. A window of
-``WINDOW`` characters slides over it: the counts of its characters, kept over the candidate's own
-alphabet, change at two places (the character that enters and the one that leaves), as does the sum of
-c * log2(c), and the Shannon entropy is log2(W) - sum / W. Windows at or over the class's threshold that
+``WINDOW`` characters slides over it: of the counts of its characters two change (the character that
+enters and the one that leaves, both counted among those that stay), and with them the sum of
+c * log2(c); the Shannon entropy is log2(W) - sum / W. A candidate is slid over in pieces of ``PIECE`` windows, so the
+work is a few microseconds a character however long it is. Windows at or over the class's threshold that
 overlap or touch form a stretch, which is a span of kind ``entropy`` unless the allow-list clears it or a
 pattern span holds it already. Of the allow-list, whole patterns (identifiers, paths of words) are asked of
 the candidate and partial ones (placeholders, runs of the alphabet) of the stretch alone, so that a
 placeholder beside a secret doesn't hide it.
 
 DataFrame functions only; positions are code points, end exclusive, in the whole text. Positions are
-sums of lengths in blocks, so a very long text with n matches costs n * sqrt(n). Defined
+sums of lengths in blocks, so a very long text with n matches costs n * sqrt(n). No pattern repeats a group, since Java
+matches those by recursion. Defined
 cases: a null or empty text has no spans; repeated rows are scanned row by row; an empty table gives
 no rows; extra columns are ignored.
 """
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import let, running_before, running_starts
 
 WINDOW = 20
+#: Windows that are slid over from one start.
+PIECE = 256
 #: Class, pattern of its strings, least entropy of a window (log2(20) = 4.32 is the most); the first that fits is taken.
 CLASSES = (
     ("digits", r"^[0-9]+$", 3.0),
@@ -43,11 +47,10 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}"
-#: A candidate that any of these fits as a whole is not a secret.
-ALLOW_WHOLE = (
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"^/?([a-z]+[/_-])+[a-z]+$",
-)
+#: A candidate that fits this as a whole is not a secret.
+ALLOW_UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Nor is one of two words or more with single ``/``, ``_`` or ``-`` between them (and one ``/`` before them): it fits the first two and has none of the third.
+ALLOW_PATH = (r"^/?[a-z][a-z/_-]*[a-z]$", r"[a-z][/_-]", r"[/_-]{2}")
 #: A stretch in which any of these is found is not a secret.
 ALLOW_PART = (
     r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|redacted|lorem",
@@ -83,39 +86,48 @@ def _spans(located: str, kind: int) -> Column:
 
 
 def hot_stretches(text: Column, threshold: Column, window: int = WINDOW) -> Column:
-    """(first, last) of every stretch of touching windows whose entropy reaches the threshold, in order."""
-    weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    span = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
-    put = lambda a, p, v: F.concat(F.slice(a, F.lit(1), p), F.array(v), F.slice(a, p + 2, F.size(a)))
+    """(first, last) of every stretch of touching windows whose entropy reaches the threshold, in order; text is ASCII."""
+    size = lambda c: c * math.log2(c) if c else 0.0
+    grown = F.array(*[F.lit(size(c + 1) - size(c)) for c in range(window)])  # by how much a sum grows with one more character of those that stand c times
+
+    def changes(piece: Column) -> Column:
+        """How each character that enters, and the one that leaves for it, changes the sum."""
+
+        def change(i: Column) -> Column:
+            stay = F.substring(piece, F.greatest(i - (window - 1), F.lit(1)), F.least(i - 1, F.lit(window - 1)))
+
+            def of(kept: Column) -> Column:
+                step = lambda at: F.get(grown, F.length(kept) - F.length(F.replace(kept, F.substring(piece, at, F.lit(1)))))
+                return F.when(i > window, step(i) - step(i - window)).otherwise(step(i))
+
+            return let(stay, of)
+
+        return F.transform(F.sequence(F.lit(1), F.length(piece)), change)
 
-    def slide(codes: Column, kinds: Column) -> Column:
-        zero = F.struct(F.array_repeat(F.lit(0), kinds).alias("counts"), F.lit(0.0).alias("sum"), span(F.lit(-1), F.lit(-1)).alias("open"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
+    def hot(piece: Column, before: Column, least: Column) -> Column:
+        """Starts of the piece's windows that reach the threshold."""
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("hot"))
 
-        def step(acc: Column, i: Column) -> Column:
-            enters, leaves = F.get(codes, i), F.get(codes, i - window)
-            c_in, c_out = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
-            grown = F.get(weight, c_in + 1) - F.get(weight, c_in)
-            same = F.coalesce(enters == leaves, F.lit(False))
-            change = F.when(same, 0.0).when(leaves.isNull(), grown).otherwise(grown + F.get(weight, c_out - 1) - F.get(weight, c_out))
-            more = put(acc["counts"], enters, c_in + 1)
-            counts = F.when(same, acc["counts"]).when(leaves.isNull(), more).otherwise(put(more, leaves, c_out - 1))
-            return F.struct(counts.alias("counts"), (acc["sum"] + change).alias("sum"), acc["open"].alias("open"), acc["done"].alias("done"))
+        def step(acc: Column, change: Column) -> Column:
+            total, i = acc["sum"] + change, acc["i"] + 1
+            reached = (i >= window) & (F.lit(math.log2(window)) - total / window >= least - 1e-9)
+            return F.struct(total.alias("sum"), i.alias("i"), F.when(reached, F.array_append(acc["hot"], before + i - window)).otherwise(acc["hot"]).alias("hot"))
 
-        def note(acc: Column, i: Column) -> Column:
-            hot = (i >= window - 1) & (F.lit(math.log2(window)) - acc["sum"] / window >= threshold - 1e-9)
-            first, now = i - (window - 1), acc["open"]
-            joins = (now["first"] >= 0) & (first <= now["last"])
-            fresh = F.when(joins, span(now["first"], i + 1)).otherwise(span(first, i + 1))
-            done = F.when(hot & ~joins & (now["first"] >= 0), F.concat(acc["done"], F.array(now))).otherwise(acc["done"])
-            return F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum"), F.when(hot, fresh).otherwise(now).alias("open"), done.alias("done"))
+        return F.aggregate(changes(piece), zero, step, lambda acc: acc["hot"])
 
-        finish = lambda acc: F.when(acc["open"]["first"] >= 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, lambda acc, i: let(step(acc, i), lambda now: note(now, i)), finish)
+    def pieces(raw: Column, least: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(raw) - window, F.lit(0)), F.lit(PIECE))
+        cut = lambda k: F.substring(raw, k + 1, F.lit(PIECE + window - 1)).cast("string")
+        return F.flatten(F.transform(starts, lambda k: let(cut(k), lambda piece: hot(piece, k, least))))
 
-    def over(chars: Column) -> Column:
-        return let(F.array_distinct(chars), lambda alphabet: let(F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int") - 1), lambda codes: slide(codes, F.size(alphabet))))
+    def joined(at: Column) -> Column:
+        """Stretches of the starts of hot windows: a new one begins where a window does not touch the one before."""
+        heads = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda i: (i == 0) | (F.get(at, i) > F.get(at, i - 1) + window))
+        ends = lambda h: F.transform(h, lambda i, k: F.struct(F.get(at, i).alias("first"), (F.get(at, F.coalesce(F.get(h, k + 1), F.size(at)) - 1) + window).alias("last")))
+        return F.when(F.size(at) > 0, let(heads, ends)).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
 
-    return let(F.filter(F.split(text, ""), lambda c: c != ""), over)
+    given = F.struct(text.cast("binary").alias("raw"), threshold.alias("least"))
+    return let(let(given, lambda g: pieces(g["raw"], g["least"])), joined)
 
 
 def threshold(text: Column) -> Column:
@@ -147,10 +159,11 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     df = df.drop("text")
     df = df.withColumn("_assign", F.filter("_assign", lambda m: F.length(F.regexp_extract(m["text"], ASSIGN, 2)) >= 6))
     df = df.withColumn("base_spans", F.array_sort(F.concat(_spans("_assign", 0), _spans("_access", 1), _spans("_hex", 2))))
-    df = df.withColumn("_cand", F.filter("_cand", lambda m: threshold(m["text"]).isNotNull() & ~_allowed(m["text"], ALLOW_WHOLE)))
+    path = lambda t: t.rlike(ALLOW_PATH[0]) & t.rlike(ALLOW_PATH[1]) & ~t.rlike(ALLOW_PATH[2])
+    df = df.withColumn("_cand", F.filter("_cand", lambda m: threshold(m["text"]).isNotNull() & ~m["text"].rlike(ALLOW_UUID) & ~path(m["text"])))
 
     def hot(m: Column) -> Column:
-        piece = lambda s: F.substring(m["text"], s["first"] + F.lit(1), s["last"] - s["first"])
+        piece = lambda s: F.substring(m["text"].cast("binary"), s["first"] + F.lit(1), s["last"] - s["first"]).cast("string")
         found = F.filter(hot_stretches(m["text"], threshold(m["text"])), lambda s: ~_allowed(piece(s), ALLOW_PART))
         return F.transform(found, lambda s: F.struct((m["start"] + s["first"]).cast("int").alias("start"), F.lit(3).alias("kind"), (m["start"] + s["last"]).cast("int").alias("end")))
 
