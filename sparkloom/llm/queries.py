@@ -126,7 +126,8 @@ _OP7_SQL = r"""
 with recursive rules(kind, rh, rp) as (
   values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), tags as (
-  select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag from pages where strpos(url, '://') > 0
+  select url, unnest(regexp_extract_all(array_to_string(list_transform(string_split(regexp_replace(html, '(?is)<script\b.*?(</script|\z)', '', 'g'), '<!--'),
+      lambda part, i: case when i = 1 then part when contains(part, '-->') then substr(part, strpos(part, '-->') + 3) else '' end), ''), '(?is)<(?:link|meta)\b[^<>]*>')) as tag from pages where strpos(url, '://') > 0
 ), written as (
   select url, regexp_replace(case
       when regexp_matches(tag, '(?is)^<link\b.*[\s"'']rel\s*=\s*("[^"]*\bcanonical\b[^"]*"|''[^'']*\bcanonical\b[^'']*''|canonical\b)')

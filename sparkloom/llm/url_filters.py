@@ -11,8 +11,9 @@ A url that very many pages have, and all pages that ask no component, are dealt
 
 DataFrame functions only. The rules are a short list of the caller's and become literals. Defined
 cases: a null url or one without ``://`` has an empty host and path, no rule, no aliases and is
-allowed; null html has no edges; very long html is read whole (a tag ends at its first ``>``); repeated
-pages are judged row by row; of rules of one length the later in (verdict, host, path) order decides; an
+allowed; null html has no edges; html is read whole and in time that grows with its length (a tag ends at its first
+``>``, one in which another ``<`` stands is none); links in comments and scripts are none, and an unclosed comment or
+script goes on to the end; repeated pages are judged row by row; of rules of one length the later in (verdict, host, path) order decides; an
 empty table or an empty rule list is fine; extra columns are ignored.
 """
 
@@ -32,8 +33,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _VALUE = r"""[\s"']%s\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
-_CANONICAL = r"""(?is)^<link\b.*[\s"']rel\s*=\s*("[^"]*\bcanonical\b[^"]*"|'[^']*\bcanonical\b[^']*'|canonical\b)"""
+_TAG = r"(?is)<(?:link|meta)\b[^<>]*>"
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)"
 _REFRESH = r"""(?is)^<meta\b.*[\s"']http-equiv\s*=\s*["']?\s*refresh\b"""
 
 
@@ -93,8 +94,10 @@ def rule_of(h: Column, p: Column, rules: Sequence[tuple[str, str, str]] = RULES)
 
 def link_target(tag: Column) -> Column:
     """What a canonical link or a refresh names, as written but for quotes; the empty text for any other tag."""
+    rels = F.when(tag.rlike(r"(?i)^<link\b"), F.regexp_extract_all(tag, F.lit("(?is)" + _VALUE % "rel"), F.lit(1)))
+    canonical = F.exists(rels, lambda rel: rel.rlike(r"(?i)\bcanonical\b"))
     refresh = F.regexp_extract(F.regexp_extract(tag, "(?is)" + _VALUE % "content", 1), r"(?is)\burl\s*=\s*(.*)$", 1)
-    found = F.when(tag.rlike(_CANONICAL), F.regexp_extract(tag, "(?is)" + _VALUE % "href", 1)).when(tag.rlike(_REFRESH), refresh).otherwise("")
+    found = F.when(canonical, F.regexp_extract(tag, "(?is)" + _VALUE % "href", 1)).when(tag.rlike(_REFRESH), refresh).otherwise("")
     return F.regexp_replace(found, r"""^[\s"']+|[\s"']+$""", "")
 
 
@@ -102,7 +105,8 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     """Edges (u, v) between nodes: a page and its canonical links and refresh targets."""
     html = F.coalesce("html", F.lit(""))
     marked = pages.where(html.rlike(r"(?i)canonical|refresh") & (F.locate("://", F.col("url")) > 0))
-    tags = marked.select("url", F.explode(F.regexp_extract_all(html, F.lit(_TAG), F.lit(0))).alias("tag"))
+    seen = F.regexp_replace(html, _UNSEEN, "")
+    tags = marked.select("url", F.explode(F.regexp_extract_all(seen, F.lit(_TAG), F.lit(0))).alias("tag"))
     linked = tags.select("url", link_target(F.col("tag")).alias("t"))
     return linked.select(node(F.col("url")).alias("u"), node(resolve(F.col("t"), F.col("url"))).alias("v")).where("v is not null")
 
