@@ -18,8 +18,8 @@ are told apart by their node and by their constants (64 bits each).
 Everything is counted over all documents by grouped sums (node, field, value); no leaf is ever gathered
 in one task: the few leaves, nodes, lines or templates with over 1 / ``HOT`` of all weight, at most
 ``HOT`` rows, are broadcast, the others joined by a shuffle. Before lines meet the leaves with several
-kinds of lines, a bitmap of fixed size (2 MB) keeps those of most other leaves out of that shuffle. Lines under ``MIN_WORDS`` words have no wildcards: one whose words are
-to at least ``SHARE`` without a digit is its masked words, any other its exact words. As short lines also meet
+kinds of lines, a bitmap of fixed size (2 MB) keeps those of most other leaves out of that shuffle. Lines under ``MIN_WORDS`` words have no wildcards: one of whose words some has no
+digit is its masked words (``Page 3 of 9``), any other (``3 9``) its exact words. As short lines also meet
 by chance, one recurs if at least ``SHORT_SHARE`` of all documents (and ``SHORT_DOCS``) have it. Blank lines always stay.
 
 Defined cases: null and empty texts have one blank line, which stays; rows without a doc_id keep all
@@ -58,11 +58,11 @@ LINES = "doc_id long, line_no int, leaf long, line long, check long, short boole
 
 
 def masked_words(raw: bytes) -> list[bytes]:
-    """A line's words, those with a digit masked (in short lines only if enough words have none)."""
+    """A line's words, those with a digit masked (in short lines only if some word has none)."""
     words = raw.split()
     if _HOLDS_DIGIT(raw):
         masked = [b"\0" if _HOLDS_DIGIT(w) else w for w in words]
-        if len(words) >= MIN_WORDS or sum(w != b"\0" for w in masked) >= len(words) * SHARE:
+        if len(words) >= MIN_WORDS or any(w != b"\0" for w in masked):
             return masked
     return words
 
