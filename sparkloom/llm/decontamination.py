@@ -5,7 +5,8 @@ slot, a token that begins with a capital letter (of any alphabet up to U+07FF) a
 number (``km``, ``km/h``, ``km per hour``) unit slots; any other token stands for itself in lower case. Other forms of every
 window keep names as words, for texts whose case was changed; fold a run of names, numbers or units into one slot whose
 value is the whole run, as a name may have any number of words and a unit several parts; or keep every token, numbers
-and units too, so that exact copies match whatever they are made of. Windows of ``WINDOW`` tokens are hashed with slots as
+and units too, so that exact copies match whatever they are made of; or take the signs ``+ - * / = < > ^ %`` as tokens, too, with
+numbers and units as slots, for items that are mostly numbers. Windows of ``WINDOW`` tokens are hashed with slots as
 typed placeholders, so a question with other numbers, names or units has the windows of its original.
 
 Benchmark windows set bits in a bitmap of fixed size (2 MB, whatever the benchmark), which is
@@ -15,7 +16,9 @@ diagonal (place in the document minus place in the item) belong together; there
 consistent: one value in the item corresponds to one value in the document and the other way round.
 A document is contaminated if some diagonal is consistent and covers ``COVER`` tokens of the item, or
 the whole item if that is shorter. In the forms with slots, windows with fewer than
-``LITERALS`` tokens that are no slots say nothing and are left out; the form that keeps every token has no such bound. Items shorter than a window are one window of their own length.
+``LITERALS`` tokens that are no slots say nothing and are left out; the form that keeps every token has no such bound, and the
+one with signs goes on until ``LITERALS`` such tokens are in the window (and leaves it out only if those are all the same,
+as in a column of figures, or the text ends before). So an item is missed in other numbers only if it has under ``LITERALS`` words and signs. Items shorter than a window are one window of their own length.
 
 The join has a row for each window of a document and each item that has it; what leaves it is one row for each
 document, item, diagonal and form.
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import map_slices, materialise, ragged, small_side
-from sparkloom.llm.textbatch import TextBatch, mix64
+from sparkloom.llm.textbatch import TextBatch, mix64, powers
 
 WINDOW = 10
 LITERALS = 5
@@ -44,12 +47,15 @@ UNITS = (
     *(word + end for word in ("hour", "minute", "second", "day", "week", "month", "year", "mile", "pound", "dollar", "euro", "degree", "meter", "metre", "kilometer", "gram", "liter", "litre", "watt", "volt") for end in ("", "s")),
 )
 
+#: The form whose tokens hold signs and whose windows have any length.
+SIGNED = 4
 #: What stands for a number, a unit and a name in a template (by kind; kind 0 is a word).
 _SLOT = np.array([0, 0x1111, 0x3333, 0x2222], np.uint64)
 _M = np.uint64(0xD1342543DE82EF95)
 _BYTES = np.arange(256)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
 _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+_SIGN = np.isin(_BYTES, np.frombuffer(b"+-*/=<>^%", np.uint8))
 _LETTER = ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 0x80)
 
 MATCHES = "id long, window long, at long, size int, form int, tokens long, slots array<long>"
@@ -89,7 +95,7 @@ def _word_hashes(words: tuple[str, ...]) -> np.ndarray:
 
 
 def tokens(t: TextBatch, raw: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Value hash, kind (0 word, 1 number, 2 unit), looks like a name, and text of every token; raw: the bytes before lower-casing."""
+    """Value hash, kind (0 word, 1 number, 2 unit), looks like a name, text and first byte of every token; raw: the bytes before lower-casing."""
     digit = _DIGIT[raw]
     joint = (raw == 46) | (raw == 44)
     if len(raw) > 2:
@@ -122,15 +128,39 @@ def tokens(t: TextBatch, raw: np.ndarray) -> tuple[np.ndarray, ...]:
     per[:-1] &= word[1:] & same
     per[-1:] = False
     unit |= per | (word & after(per))
-    return value, np.where(number, 1, np.where(unit, 2, 0)), capital & ~number & ~unit, owner
+    return value, np.where(number, 1, np.where(unit, 2, 0)), capital & ~number & ~unit, owner, starts
+
+
+def _with_signs(t: TextBatch, raw: np.ndarray, typed: np.ndarray, value: np.ndarray, slot: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Template, slot, value and text of every token and sign, in order."""
+    signs = np.flatnonzero(_SIGN[raw])
+    order = np.argsort(np.concatenate([starts, signs]), kind="stable")
+    own = mix64(raw[signs].astype(np.uint64) + np.uint64(1))
+    return np.concatenate([typed, own])[order], np.concatenate([slot, np.zeros(len(signs), bool)])[order], np.concatenate([value, own])[order], t.owner(np.concatenate([starts, signs])[order])
+
+
+def _stretched(template: np.ndarray, slot: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and hash of the windows of at least WINDOW tokens that go on until LITERALS tokens in them are no slots, of which two differ."""
+    words, n = np.flatnonzero(~slot), len(template)
+    first = np.searchsorted(words, np.arange(n))
+    at = np.flatnonzero(first + LITERALS <= len(words))
+    first = first[at]
+    end = np.maximum(words[first + LITERALS - 1] + 1, at + WINDOW)
+    changes = np.concatenate([[0], np.cumsum(template[words[1:]] != template[words[:-1]])]) if len(words) else words
+    good = (end <= n) & (owner[np.minimum(end, n) - 1] == owner[at]) & (changes[first + LITERALS - 1] > changes[first])
+    at, end = at[good], end[good]
+    up, down = powers(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(template * up[:n])])
+    size = end - at
+    return at, size, mix64(mix64((sums[end] - sums[at]) * down[at]) + (size * 8 + SIGNED).astype(np.uint64))
 
 
 def _windows(batch: pa.RecordBatch, sizes: list[int] | None, bits: np.ndarray | None) -> pa.RecordBatch | None:
-    """Windows of the given sizes, or (for items) of WINDOW and, in shorter texts, of the whole text."""
+    """Windows of the given sizes, or (for items) of WINDOW and, in shorter texts, of the whole text; of the form with signs those of any size."""
     t = TextBatch(batch.column("text"))
     raw = t.data
-    value, kind, name, owner = tokens(lowered(TextBatch(batch.column("text"), lower=True)), raw)
-    typed = np.where(kind > 0, _SLOT[kind], value)
+    value, kind, name, owner, starts = tokens(lowered(TextBatch(batch.column("text"), lower=True)), raw)
+    typed, plain = np.where(kind > 0, _SLOT[kind], value), value
     names = np.where(name, _SLOT[3], typed)
     number = kind > 0
     # a run of names, of numbers or of units as one token
@@ -141,6 +171,21 @@ def _windows(batch: pa.RecordBatch, sizes: list[int] | None, bits: np.ndarray |
     place = np.arange(len(owner)) - at[np.cumsum(heads) - 1] if len(at) else at
     run = np.add.reduceat(mix64(value + place.astype(np.uint64) * _M), at) if len(at) else value
     parts = []
+
+    def note(form: int, slot: np.ndarray, value: np.ndarray, owner: np.ndarray, at: np.ndarray, size: np.ndarray, acc: np.ndarray) -> None:
+        """Those of the windows whose bit is set."""
+        if bits is not None:
+            place = acc >> np.uint64(40)
+            held = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            at, size, acc = at[held], size[held], acc[held]
+        counts = np.bincount(owner, minlength=t.n)
+        firsts = np.cumsum(counts) - counts
+        slots, ends = np.flatnonzero(slot), np.concatenate([[0], np.cumsum(slot)])
+        n_slots = ends[at + size] - ends[at]
+        index = np.arange(int(n_slots.sum())) - np.repeat(np.cumsum(n_slots) - n_slots - ends[at], n_slots)
+        doc = owner[at]
+        parts.append((doc, at - firsts[doc], counts[doc], acc, size, np.full(len(at), form), n_slots, value[slots[index]]))
+
     # canonical forms: names as slots, names as words in lower case (a text that was put in another case), all as words, runs as slots
     forms = (
         (names, number | name, value, owner, LITERALS),
@@ -150,10 +195,7 @@ def _windows(batch: pa.RecordBatch, sizes: list[int] | None, bits: np.ndarray |
     )
     for form, (template, slot, value, owner, bound) in enumerate(forms):
         counts = np.bincount(owner, minlength=t.n)
-        firsts = np.cumsum(counts) - counts
         literal = np.concatenate([[0], np.cumsum(~slot)])
-        held = np.flatnonzero(slot)
-        ends = np.concatenate([[0], np.cumsum(slot)])
         for k in sizes if sizes is not None else range(1, WINDOW + 1):
             n = len(template) - k + 1
             if n <= 0:
@@ -165,14 +207,10 @@ def _windows(batch: pa.RecordBatch, sizes: list[int] | None, bits: np.ndarray |
             good = (owner[:n] == owner[k - 1 :]) & (literal[k:] - literal[:n] >= min(bound, k))
             if sizes is None and k < WINDOW:
                 good &= counts[owner[:n]] == k
-            if bits is not None:
-                place = acc >> np.uint64(40)
-                good &= (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
             at = np.flatnonzero(good)
-            n_slots = ends[at + k] - ends[at]
-            index = np.arange(int(n_slots.sum())) - np.repeat(np.cumsum(n_slots) - n_slots - ends[at], n_slots)
-            doc = owner[at]
-            parts.append((doc, at - firsts[doc], counts[doc], acc[at], np.full(len(at), k), np.full(len(at), form), n_slots, value[held[index]]))
+            note(form, slot, value, owner, at, np.full(len(at), k), acc[at])
+    template, slot, value, owner = _with_signs(t, raw, typed, plain, number, starts)
+    note(SIGNED, slot, value, owner, *_stretched(template, slot, owner))
     if not parts:
         return None
     doc, at, counts, acc, size, form, n_slots, slots = (np.concatenate(x) for x in zip(*parts))
@@ -196,7 +234,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null")
     known = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     held = materialise(map_slices(items, "text", MATCHES, lambda b: _windows(b, None, None)), "windows")
-    sizes = sorted(r.size for r in held.select("size").distinct().collect())  # at most WINDOW values
+    sizes = sorted(r.size for r in held.where(F.col("form") != SIGNED).select("size").distinct().collect())  # at most WINDOW values
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(held))
     seen = map_slices(known, "text", MATCHES, lambda b: _windows(b, sizes, bits.value))
     item = held.select("window", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "tokens", F.col("slots").alias("item_slots"))

@@ -37,7 +37,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse."""
     if len(_POWERS["up"]) < n:
         size = max(n, SLICE_BYTES + 4096)
         for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
@@ -126,7 +127,7 @@ class TextBatch:
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte ranges: equal bytes, equal hash, wherever they stand."""
         n = len(self.data)
-        up, down = _powers(n + 1)
+        up, down = powers(n + 1)
         if self._sums is None:
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
