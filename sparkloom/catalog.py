@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.formats import compact, plain_text
-from sparkloom.functions.formula import compile_formula, kpi
+from sparkloom.functions.formula import compile_formula
 from sparkloom.functions.values import blank, number
 from sparkloom.operators import aggregate as agg
 from sparkloom.operators import combine, control, distributions, filters, learn, series, stats, windows
 from sparkloom.operators.clean import Pipeline, Step, issues, joint_outliers
+from sparkloom.operators.kpi import kpi, report
 from sparkloom.operators.pivot import PivotSpec, long_form, wide
 from sparkloom.plans import assistant, charts, geo, insights
 from sparkloom.sources import readers
@@ -156,9 +157,26 @@ def _(spark, d):
     return rounded(kpi(gappy(spark, d), "COUNT(l_discount) / COUNT(*) * 100"), 6)
 
 
-@register("agg_kpi_zero", "select null::double as value")
+@register("agg_kpi_zero", "select case when z <> 0 then s / z end as value, case when z = 0 then 'Division by zero' end as error from (select sum(r_regionkey)::double as s, min(r_regionkey) - min(r_regionkey) as z from region)")
 def _(spark, d):
-    return kpi(load(spark, d, "region"), "SUM(r_regionkey) / (MIN(r_regionkey) - MIN(r_regionkey))")
+    return kpi(load(spark, d, "region"), "SUM(r_regionkey) / (MIN(r_regionkey) - MIN(r_regionkey))", error="error")
+
+
+#: Formulas of one report: two share a median, one divides by a count that is 0 in some groups, one names no column.
+KPIS = {"spread": "MAX(l_extendedprice) - MEDIAN(l_extendedprice)", "half": "MEDIAN(l_extendedprice) / 2", "per_late": "SUM(l_quantity) / (COUNT(l_discount) - COUNT(*))", "orders": "COUNTD(l_orderkey) * 100 / COUNTD(l_partkey)", "wrong": "SUM(nope)"}
+
+
+@register("agg_kpi_report", f"""
+with t as (
+  select l_returnflag, l_linenumber, max(l_extendedprice) as top, median(l_extendedprice) as mid, sum(l_quantity) as q, count(l_discount) - count(*) as z, count(distinct l_orderkey) as o, count(distinct l_partkey) as p from {GAPPY} group by 1, 2
+), r as (
+  select l_returnflag, l_linenumber, unnest([
+    struct_pack(kpi := 'spread', value := top - mid, error := null), struct_pack(kpi := 'half', value := mid / 2, error := null), struct_pack(kpi := 'per_late', value := case when z <> 0 then q / z end, error := case when z = 0 then 'Division by zero' end),
+    struct_pack(kpi := 'orders', value := o * 100 / p, error := null), struct_pack(kpi := 'wrong', value := null, error := 'Unknown field: nope')]) as s from t
+)
+select l_returnflag, l_linenumber, s.kpi as kpi, round(s.value, 4)::double as value, s.error as error from r""")
+def _(spark, d):
+    return rounded(report(gappy(spark, d), KPIS, ["l_returnflag", "l_linenumber"]))
 
 
 # ---- profile
@@ -175,6 +193,19 @@ def _(spark, d):
     return rounded(agg.profile(gappy(spark, d).select("l_orderkey", "l_discount", "l_returnflag")))
 
 
+def _column_sql(c: str, kind: str) -> str:
+    numbers = f"round(avg({c}), 4)::double as mean, round(stddev_samp({c}), 4) as std" if kind in ("long", "double") else "null::double as mean, null::double as std"
+    most = f"(select list(struct_pack(value := v, n := n) order by n desc, v) from (select {c} as v, count(*) as n from orders where {c} is not null group by 1 order by n desc, v limit 10))"
+    return f"""select '{c}' as "column", '{kind}' as kind, count(*) as n_rows, count(*) filter ({c} is null) as missing, 0.0::double as missing_pct, count(distinct {c}) as "distinct", {numbers}, min({c})::varchar as least, max({c})::varchar as largest,
+array_to_string(list_transform({most}, lambda s: s.v || ':' || s.n), ' ') as top from orders""".replace("struct_pack(value := v, n := n)", "struct_pack(v := v, n := n)")
+
+
+@register("dsc_columns", " union all ".join(_column_sql(c, kind) for c, kind in (("o_custkey", "long"), ("o_orderstatus", "string"), ("o_orderpriority", "string"))))
+def _(spark, d):
+    found = rounded(agg.column_report(load(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")))
+    return found.withColumn("top", F.array_join(F.transform("top", lambda t: F.concat_ws(":", t["value"], t["n"])), " "))
+
+
 @register("dsc_findings", """
 with q as (select quantile_cont(o_totalprice, 0.25) as a, quantile_cont(o_totalprice, 0.75) as b, quantile_cont(o_custkey, 0.25) as c, quantile_cont(o_custkey, 0.75) as d from orders)
 select 'rows' as kind, '' as subject, count(*)::double as value from orders

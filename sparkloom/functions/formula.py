@@ -11,12 +11,13 @@ import ast
 import math
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructType
 
-from sparkloom.functions.values import blank, number, text
+from sparkloom.functions.values import text
 
 
 class FormulaError(ValueError):
@@ -239,58 +240,62 @@ def _compare(op: ast.cmpop, a: _Typed, b: _Typed) -> Column:
     raise FormulaError("unknown comparison")
 
 
-AGGREGATES: dict[str, Callable[[Column, Column], Column]] = {
-    "SUM": lambda v, c: F.coalesce(F.sum(v), F.lit(0.0)),
-    "AVG": lambda v, c: F.avg(v),
-    "MEAN": lambda v, c: F.avg(v),
-    "MIN": lambda v, c: F.min(v),
-    "MAX": lambda v, c: F.max(v),
-    "MEDIAN": lambda v, c: F.median(v),
-    "COUNT": lambda v, c: F.count_if(~blank(c)).cast("double"),
-    "COUNTD": lambda v, c: F.count_distinct(F.when(~blank(c), c)).cast("double"),
-}
+#: What a KPI formula can ask of a column, by its names.
+AGGREGATES = {"SUM": "sum", "AVG": "avg", "MEAN": "avg", "MIN": "min", "MAX": "max", "MEDIAN": "median", "COUNT": "filled", "COUNTD": "countd"}
+
+
+@dataclass
+class Kpi:
+    """A compiled KPI formula: its leaves (kind of aggregate, column) by the names of their columns, and its value and error over these."""
+
+    leaves: dict[tuple[str, str], str]
+    value: Column
+    error: Column
 
 
-def compile_kpi(source: str, schema: StructType) -> Column:
-    """A KPI formula: aggregates of columns, numbers, + - * / and parentheses; null where a divisor is zero."""
+def compile_kpi(source: str, schema: StructType, leaves: dict[tuple[str, str], str] | None = None) -> Kpi:
+    """A KPI formula: aggregates of columns, numbers, + - * / and parentheses. Formulas that share ``leaves`` share their aggregates.
+
+    Where a divisor is zero the value is null and the error says so; the first error from the left is told. A null operand gives null.
+    """
     try:
         tree = ast.parse(re.sub(r"\(\s*\*\s*\)", "(__all__)", source.strip()), mode="eval").body
     except SyntaxError as e:
         raise FormulaError(f"bad formula: {e.msg}") from None
-    return _kpi(tree, schema)
+    leaves = {} if leaves is None else leaves
+    value, error = _kpi(tree, schema, leaves)
+    return Kpi(leaves, F.when(error.isNull() & ~F.isnan(value), value), error)
 
 
-def _kpi(node: ast.expr, schema: StructType) -> Column:
+def _kpi(node: ast.expr, schema: StructType, leaves: dict[tuple[str, str], str]) -> tuple[Column, Column]:
+    fine = F.lit(None).cast("string")
     match node:
         case ast.Constant(value=int() | float() as v) if not isinstance(v, bool):
-            return F.lit(float(v))
+            return F.lit(float(v)), fine
         case ast.UnaryOp(op=ast.USub(), operand=x):
-            return -_kpi(x, schema)
-        case ast.BinOp(left=a, op=op, right=b):
-            x, y = _kpi(a, schema), _kpi(b, schema)
+            value, error = _kpi(x, schema, leaves)
+            return -value, error
+        case ast.BinOp(left=a, op=ast.Add() | ast.Sub() | ast.Mult() | ast.Div() as op, right=b):
+            (x, first), (y, second) = _kpi(a, schema, leaves), _kpi(b, schema, leaves)
+            error = F.coalesce(first, second)
             match op:
                 case ast.Add():
-                    return x + y
+                    return x + y, error
                 case ast.Sub():
-                    return x - y
+                    return x - y, error
                 case ast.Mult():
-                    return x * y
-                case ast.Div():
-                    return F.when(y != 0, x / y)
+                    return x * y, error
+            return F.when(y != 0, x / y), F.coalesce(error, F.when(x.isNotNull() & (y == 0), "Division by zero"))
         case ast.Call(func=ast.Name(id=name), args=[ast.Name(id=field)], keywords=[]):
             if name.upper() not in AGGREGATES:
                 raise FormulaError(f"Unknown function: {name}")
             if field == "__all__":
                 if name.upper() != "COUNT":
                     raise FormulaError("* is only allowed in COUNT")
-                return F.count(F.lit(1)).cast("double")
-            if field not in schema.names:
+                leaf = ("rows", "")
+            elif field not in schema.names:
                 raise FormulaError(f"Unknown field: {field}")
-            c = F.col(f"`{field}`")
-            return AGGREGATES[name.upper()](number(c, schema[field].dataType), c)
+            else:
+                leaf = (AGGREGATES[name.upper()], field)
+            return F.col(leaves.setdefault(leaf, f"__kpi{len(leaves)}")).cast("double"), fine
     raise FormulaError(f"not allowed in a KPI: {ast.unparse(node)}")
-
-
-def kpi(df: DataFrame, source: str, name: str = "value") -> DataFrame:
-    """One row with the value of a KPI formula."""
-    return df.agg(compile_kpi(source, df.schema).alias(name))

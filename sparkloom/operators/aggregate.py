@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from sparkloom.functions.values import all_of, blank, group_text, number, safe_divide
 from sparkloom.operators.order import exact_quantiles
@@ -48,14 +49,32 @@ def quantile_of(how: str) -> float | None:
 def summarise(df: DataFrame, keys: Sequence[str], measures: Sequence[tuple[str, str, str]]) -> DataFrame:
     """keys (nulls are keys), the measures (column, how, name; quantiles too) and __count, one row for each key tuple."""
     ranks = [(name, number(F.col(c), df.schema[c].dataType), quantile_of(how)) for c, how, name in measures if quantile_of(how) is not None]
-    plain = df.groupBy(*keys).agg(*[measure(df, c, how).alias(name) for c, how, name in measures if quantile_of(how) is None], F.count(F.lit(1)).alias("__count"))
-    if not ranks:
-        return plain
-    found = exact_quantiles(df, keys, ranks).withColumnsRenamed({k: f"__q_{k}" for k in keys})
-    met = plain.join(found, all_of([F.col(k).eqNullSafe(F.col(f"__q_{k}")) for k in keys]), "left") if keys else plain.crossJoin(F.broadcast(found))  # without keys, one row
+    sets = [(name, F.when(~blank(F.col(c)), F.col(c))) for c, how, name in measures if how == "countd"]
+    sets = sets if len({str(v) for _, v in sets}) > 1 else []  # distinct counts of a single column need no copies of rows
+    apart = {name for name, *_ in (*ranks, *sets)}
+    met = df.groupBy(*keys).agg(*[measure(df, c, how).alias(name) for c, how, name in measures if name not in apart], F.count(F.lit(1)).alias("__count"))
+    for found in ([exact_quantiles(df, keys, ranks)] if ranks else []) + ([distinct_counts(df, keys, sets)] if sets else []):
+        found = found.withColumnsRenamed({k: f"__q_{k}" for k in keys})
+        met = met.join(found, all_of([F.col(k).eqNullSafe(F.col(f"__q_{k}")) for k in keys]), "left").drop(*[f"__q_{k}" for k in keys]) if keys else met.crossJoin(F.broadcast(found))  # without keys, one row
     return met.select(*keys, *[name for _, _, name in measures], "__count")
 
 
+def distinct_counts(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, Column]]) -> DataFrame:
+    """One row for each key tuple (nulls are keys) with the numbers of distinct values (name, value) that are not null.
+
+    Each value has a scan of its own columns, which a columnar file reads once in all, and two sums that begin before the shuffle;
+    rows are never copied once for each value.
+    """
+    ids, names = [F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], [f"__k{j}" for j in range(len(keys))]
+    parts = None
+    for i, (_, value) in enumerate(wanted):
+        each = df.select(*ids, value.alias("__v")).distinct()
+        part = each.groupBy(*names).agg(F.count("__v").alias("__n")).withColumn("__i", F.lit(i))
+        parts = part if parts is None else parts.union(part)
+    found = parts.groupBy(*names).agg(*[F.coalesce(F.max(F.when(F.col("__i") == i, F.col("__n"))), F.lit(0)).alias(name) for i, (name, _) in enumerate(wanted)])
+    return found.withColumnsRenamed(dict(zip(names, keys)))
+
+
 def group_by(df: DataFrame, keys: Sequence[str], measures: Sequence[tuple[str, str, str]]) -> DataFrame:
     """One row for each key tuple (as text), the measures (column, how, name), and __count."""
     texts = [group_text(F.col(k), df.schema[k].dataType).alias(k) for k in keys]
@@ -136,13 +155,37 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """A row for each column: rows, missing, missing_pct, distinct; one pass. Distinct counts are exact."""
+    """A row for each column: rows, missing, missing_pct, distinct. One pass, and one of each column for its distinct values, which are counted exactly."""
     rows = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
+    for i, f in enumerate(df.schema.fields):
+        n, lost = F.count(F.lit(1)), F.count_if(blank(F.col(f.name)))
+        rows.append(F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("column"), n.alias("n_rows"), lost.alias("missing"), F.coalesce(safe_divide(lost * 100.0, n), F.lit(0.0)).alias("missing_pct")))
+    sets = [(f"__d{i}", F.when(~blank(F.col(c)), F.col(c))) for i, c in enumerate(df.columns)]
+    met = df.agg(F.array(*rows).alias("rows")).crossJoin(F.broadcast(distinct_counts(df, (), sets)))  # one row each
+    return met.select(F.array(*[n for n, _ in sets]).alias("sets"), F.inline("rows")).select("column", "n_rows", "missing", "missing_pct", F.get("sets", "i").alias("distinct"))
+
+
+def column_report(df: DataFrame, top: int = 10) -> DataFrame:
+    """A row for each column: column, kind, the figures of ``profile``, mean and std (of numbers), least and largest value (as text), and its most frequent values with their counts.
+
+    One pass over all columns, and one of each for its values, which are counted exactly; blanks are missing and no values.
+    """
+    rows, parts = [], None
+    null = F.lit(None).cast("double")
+    ahead = lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1).when(a["v"] < b["v"], -1).when(a["v"] > b["v"], 1).otherwise(0)
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f"`{f.name}`")
+        held, numeric = F.when(~blank(c), c), isinstance(f.dataType, NumericType)
         n, lost = F.count(F.lit(1)), F.count_if(blank(c))
-        rows.append(F.struct(F.lit(f.name).alias("column"), n.alias("n_rows"), lost.alias("missing"), F.coalesce(safe_divide(lost * 100.0, n), F.lit(0.0)).alias("missing_pct"), F.count_distinct(F.when(~blank(c), c)).alias("distinct")))
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+        figures = [n.alias("n_rows"), lost.alias("missing"), F.coalesce(safe_divide(lost * 100.0, n), F.lit(0.0)).alias("missing_pct"), (F.avg(c).cast("double") if numeric else null).alias("mean"), (F.stddev_samp(c) if numeric else null).alias("std"), F.min(held).cast("string").alias("least"), F.max(held).cast("string").alias("largest")]
+        rows.append(F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("column"), F.lit(f.dataType.typeName()).alias("kind"), *figures))
+        counts = df.select(held.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        listed = F.array_sort(F.collect_list(F.struct("n", "v")), ahead)  # of ``top`` rows at most
+        most = counts.orderBy(F.desc("n"), "v").limit(top).agg(F.transform(listed, lambda t: F.struct(t["v"].cast("string").alias("value"), t["n"].alias("n"))).alias("top"))
+        part = counts.agg(F.lit(i).alias("__i"), F.count(F.lit(1)).alias("distinct")).crossJoin(most)  # one row each
+        parts = part if parts is None else parts.union(part)
+    met = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows")).join(F.broadcast(parts), F.col("i") == F.col("__i"))  # a row for each column
+    return met.select("column", "kind", "n_rows", "missing", "missing_pct", "distinct", "mean", "std", "least", "largest", "top")
 
 
 def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:

@@ -13,8 +13,11 @@ from sparkloom.plans.storage import materialise
 
 #: Rows of one block when neighbours are looked up by place.
 BLOCK_ROWS = 100_000
-#: Rank error of a quantile sketch is at most n / ACCURACY.
+#: Rank error of a quantile sketch is at most n / ACCURACY; it gives STEPS + 1 cuts.
 ACCURACY = 10_000
+STEPS = 500
+#: Rows of a group and quantile that are put in order by one task, at most (or all, if they have one value).
+RANK_ROWS = 4096
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "__n") -> DataFrame:
@@ -78,34 +81,78 @@ def running_sum(df: DataFrame, value: str, order: Sequence[str | Column], name:
 def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, Column, float]]) -> DataFrame:
     """One row for each key tuple (nulls are keys) with the quantiles (name, value, p), interpolated between the two nearest values.
 
-    A sketch gives bounds between which each quantile lies for certain; one grouped pass counts the values below the
-    bounds and each value within them, which are at most about 8 / ACCURACY of a group (or all, in groups of up to ACCURACY
-    values, where a sketch has no margin); only those are put in order.
-    No task holds the distinct values of a group.
+    Rank selection by repeated narrowing: a sketch cuts what lies between two bounds, and the cuts on both sides of the
+    wanted ranks are tried as the next ones: a grouped pass counts what lies below, on and between them. If a wanted rank is
+    on a bound, the answer is known; else the search goes on strictly between them, where about 1 / 125 of the rows are left, however
+    many equal values there are. It ends when each quantile of each group is known or has at most ``RANK_ROWS`` rows left; only
+    these are put in order. So 10^11 rows take five rounds and no task gets more of a group than ``RANK_ROWS`` rows. Bounds
+    that a sketch got wrong are seen by the counts and not used. The state, a row for each key tuple, is written to the shared
+    folder between rounds.
     """
-    values = [F.col(f"__v{i}") for i in range(len(wanted))]
-    ids = [F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)]
-    names = [f"__k{j}" for j in range(len(keys))]
-    held = df.select(*ids, *[v.cast("double").alias(f"__v{i}") for i, (_, v, _) in enumerate(wanted)])
-    margin = 3 / ACCURACY
-    bounds = [F.percentile_approx(v, F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin))), ACCURACY).alias(f"__b{i}") for i, (v, (_, _, p)) in enumerate(zip(values, wanted))]
-    sketch = held.groupBy(*names).agg(*bounds, *[F.count(v).alias(f"__c{i}") for i, v in enumerate(values)])
-    sides = sketch.select(*[F.col(n).alias(f"__s{n}") for n in names], *[F.col(f"__{x}{i}") for x in "bc" for i in range(len(wanted))])
-    met = held.join(sides, all_of([F.col(n).eqNullSafe(F.col(f"__s{n}")) for n in names])) if names else held.crossJoin(F.broadcast(sides))  # without keys, one row
-    few = lambda i: F.col(f"__c{i}") <= ACCURACY
-    cells = [F.struct(F.lit(i).alias("i"), F.col(f"__c{i}").alias("c"), F.when(few(i) | (v >= F.col(f"__b{i}")[0]), v).alias("v"), (v.isNotNull() & (few(i) | (v <= F.col(f"__b{i}")[1]))).alias("in")) for i, v in enumerate(values)]
-    counted = met.select(*names, F.inline(F.array(*cells))).where("in").groupBy(*names, "i", "c", "v").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*names, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("upto", upto)
-    out = []
+    values: dict[str, tuple[str, Column]] = {}  # quantiles of one value share a column, and the first sketch
+    of = [values.setdefault(str(v), (f"__v{len(values)}", v))[0] for _, v, _ in wanted]
+    names, every = [f"__k{j}" for j in range(len(keys))], range(len(wanted))
+    held = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[v.cast("double").alias(n) for n, v in values.values()])
+    cuts = lambda v: F.percentile_approx(v, [k / STEPS for k in range(STEPS + 1)], ACCURACY)
+
+    def met(rows: DataFrame, sides: DataFrame) -> DataFrame:
+        sides = sides.withColumnsRenamed({n: f"__s{n}" for n in names})
+        return rows.join(sides, all_of([F.col(n).eqNullSafe(F.col(f"__s{n}")) for n in names])) if names else rows.crossJoin(F.broadcast(sides))  # without keys, one row
+
+    def between(v: Column, s: Column) -> Column:
+        return v.isNotNull() & F.coalesce(v > s["lo"], F.lit(True)) & F.coalesce(v < s["hi"], F.lit(True))
+
+    def ranks(s: Column, p: float) -> tuple[Column, Column]:
+        place = (s["c"] - 1) * p
+        return F.floor(place), F.ceil(place)
+
+    def tried(s: Column, p: float) -> Column:
+        """The cuts around the wanted ranks, one further on each side than the sketch can be wrong."""
+        share = lambda rank: (rank - s["below"]) / F.greatest(s["inside"], F.lit(1)) * STEPS
+        low, high = ranks(s, p)
+        lo, hi = F.greatest(F.floor(share(low)) - 1, F.lit(0)), F.least(F.ceil(share(high)) + 1, F.lit(STEPS))
+        return F.struct(F.get(s["cuts"], lo.cast("int")).alias("lo"), F.get(s["cuts"], hi.cast("int")).alias("hi"))
+
+    def judged(q: Column, t: Column, n: Column, p: float) -> Column:
+        """The state after a pass: q before it, t the bounds tried, n what was counted."""
+        low, high = ranks(q, p)
+        upto, before = n["below"] + n["on_lo"], n["below"] + n["on_lo"] + n["mid"]
+        sound = (n["below"] <= low) & (high < before + n["on_hi"])
+        on_lo, on_hi = low < upto, high >= before
+        found = F.struct(F.when(on_lo, t["lo"]).when(on_hi, F.when(low >= before, t["hi"]).otherwise(n["last"])).alias("low"), F.when(on_lo, F.when(high < upto, t["lo"]).otherwise(F.coalesce(n["first"], t["hi"]))).when(on_hi, t["hi"]).alias("high"))
+        new = [q["c"].alias("c"), t["lo"].alias("lo"), t["hi"].alias("hi"), upto.alias("below"), n["mid"].alias("inside"), found["low"].alias("low"), found["high"].alias("high"), n["cuts"].alias("cuts"), (on_lo | on_hi | (n["mid"] <= RANK_ROWS)).alias("settled")]
+        return F.when(q["settled"], q).when(sound, F.struct(*new)).otherwise(q.withField("settled", F.lit(True)))
+
+    null = F.lit(None).cast("double")
+    first = held.groupBy(*names).agg(*[F.struct(F.count(n).alias("c"), cuts(F.col(n)).alias("cuts")).alias(n) for n, _ in values.values()])
+    begin = lambda v: F.struct(v["c"].alias("c"), null.alias("lo"), null.alias("hi"), F.lit(0).cast("long").alias("below"), v["c"].alias("inside"), null.alias("low"), null.alias("high"), v["cuts"].alias("cuts"), (v["c"] <= RANK_ROWS).alias("settled"))
+    now = materialise(first.select(*names, *[begin(F.col(of[i])).alias(f"__q{i}") for i in every]), "ranks")
+    while now.where(~all_of([F.col(f"__q{i}.settled") for i in every])).limit(1).count():
+        sides = now.select(*names, *[F.col(f"__q{i}") for i in every], *[tried(F.col(f"__q{i}"), p).alias(f"__t{i}") for i, (_, _, p) in enumerate(wanted)])
+        bounds = sides.select(*names, *[F.when(~F.col(f"__q{i}.settled"), F.col(f"__t{i}")).alias(f"__t{i}") for i in every])
+        passed = []
+        for i in every:
+            v, t = F.col(of[i]), F.col(f"__t{i}")
+            mid = F.when((v > t["lo"]) & (v < t["hi"]), v)
+            passed.append(F.struct(F.count_if(v < t["lo"]).alias("below"), F.count_if(v == t["lo"]).alias("on_lo"), F.count(mid).alias("mid"), F.count_if(v == t["hi"]).alias("on_hi"), F.min(mid).alias("first"), F.max(mid).alias("last"), cuts(mid).alias("cuts")).alias(f"__n{i}"))
+        counted = met(held, bounds).groupBy(*names).agg(*passed)
+        after = [judged(F.col(f"__q{i}"), F.col(f"__t{i}"), F.col(f"__n{i}"), p).alias(f"__q{i}") for i, (_, _, p) in enumerate(wanted)]
+        now = materialise(met(counted, sides).select(*names, *after), "ranks", instead_of=(now,))
+    sides = now.select(*names, *[F.col(f"__q{i}").dropFields("cuts").alias(f"__q{i}") for i in every])
+    cells = [F.struct(F.lit(i).alias("i"), F.col(of[i]).alias("v"), (between(F.col(of[i]), F.col(f"__q{i}")) & F.col(f"__q{i}.low").isNull()).alias("in")) for i in every]
+    left = met(held, sides).select(*names, F.inline(F.array(*cells))).where("in").groupBy(*names, "i", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*names, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = met(left.withColumn("upto", upto), sides)
+    ends = []
     for i, (_, _, p) in enumerate(wanted):
-        place = (F.col("c") - 1) * p
-        at = lambda r: F.min(F.when((F.col("i") == i) & (F.col("upto") > r), F.col("v")))  # noqa: B023, E731
-        part = F.max(F.when(F.col("i") == i, place - F.floor(place)))
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        out.append((low * (1 - part) + high * part).alias(f"__q{i}"))
-    found = ranked.groupBy(*names).agg(*out)
-    every = sketch.select(*names)
-    answers = [f"__q{i}" for i in range(len(wanted))]
-    back = every.join(found.select(*[F.col(n).alias(f"__f{n}") for n in names], *answers), all_of([F.col(n).eqNullSafe(F.col(f"__f{n}")) for n in names]), "left") if names else found
-    return back.select(*[F.col(f"__k{j}").alias(k) for j, k in enumerate(keys)], *[F.col(q).alias(n) for q, (n, _, _) in zip(answers, wanted)])
+        q = F.col(f"__q{i}")
+        ends += [F.min(F.when((F.col("i") == i) & (q["below"] + F.col("upto") > rank), F.col("v"))).alias(f"__{end}{i}") for end, rank in zip("lh", ranks(q, p))]
+    found = ordered.groupBy(*names).agg(*ends)
+    found = found.select(*[F.col(n).alias(f"__f{n}") for n in names], *[f"__{end}{i}" for i in every for end in "lh"])
+    back = sides.join(found, all_of([F.col(n).eqNullSafe(F.col(f"__f{n}")) for n in names]), "left") if names else sides.crossJoin(F.broadcast(found))  # one row each
+    out = []
+    for i, (name, _, p) in enumerate(wanted):
+        q = F.col(f"__q{i}")
+        part, low, high = (q["c"] - 1) * p - ranks(q, p)[0], F.coalesce(q["low"], f"__l{i}"), F.coalesce(q["high"], f"__h{i}")
+        out.append(F.when(low == high, low).otherwise(low * (1 - part) + high * part).alias(name))
+    return back.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *out)

@@ -9,9 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.formula import compile_kpi
 from sparkloom.functions.values import group_text, number, text
 from sparkloom.operators.aggregate import group_by, summarise
+from sparkloom.operators.kpi import kpi
 
 
 @dataclass(frozen=True)
@@ -194,13 +194,12 @@ def recommend(df: DataFrame, dims: Sequence[str], measures: Sequence[str]) -> st
 
 
 def kpi_widget(df: DataFrame, value: tuple[str, str] | str, cross: tuple[str, str] | None = None) -> DataFrame:
-    """value over the cross-filtered rows, whole over all rows, and the percentage between them (100 where the whole is 0); one pass."""
+    """value over the cross-filtered rows, whole over all rows, and the percentage between them (100 where the whole is 0); a formula has its error beside them."""
     inside = F.lit(True) if cross is None else F.coalesce(text(F.col(cross[0]), df.schema[cross[0]].dataType) == cross[1], F.lit(False))
     held = df.withColumns({f"__{c}": F.when(inside, F.col(c)) for c in df.columns})
     if isinstance(value, str):
-        whole = compile_kpi(value, df.schema)
-        part = df.where(inside).agg(whole.alias("value"))
-        return part.join(df.agg(whole.alias("whole"))).withColumn("pct", _percent())
+        part = kpi(df.where(inside), value, error="error")
+        return part.crossJoin(F.broadcast(kpi(df, value, "whole"))).withColumn("pct", _percent()).select("value", "whole", "pct", "error")  # one row each
     column, how = value
     if how == "count":
         return held.agg(F.count_if(inside).alias("value"), F.count(F.lit(1)).alias("whole")).withColumn("pct", _percent())

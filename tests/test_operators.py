@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions.formula import FormulaError, compile_formula, compile_kpi, kpi
+from sparkloom.functions.formula import FormulaError, compile_formula, compile_kpi
 from sparkloom.operators import aggregate, combine, control, distributions, learn, series, stats, windows
 from sparkloom.operators.clean import Pipeline, Step
+from sparkloom.operators.kpi import kpi, report
 from sparkloom.operators.pivot import PivotSpec, long_form
 from sparkloom.plans import charts
 from sparkloom.sources import readers
@@ -186,6 +187,33 @@ def test_kpi(spark):
     for bad in ("SUM(nope)", "FOO(revenue)", "SUM(*)", "revenue", "SUM(revenue) +"):
         with pytest.raises(FormulaError):
             compile_kpi(bad, df.schema)
+    r = kpi(df, "1 / (SUM(profit) - 70)", error="error").first()
+    assert (r.value, r.error) == (None, "Division by zero")
+    for source, want in (("COUNT(*)", 3), ("COUNT(profit)", 2), ("COUNTD(region)", 2), ("(SUM(revenue) - SUM(profit)) / 2", 265), ("-MIN(revenue)", -100), ("MEDIAN(revenue)", 200), ("1 + 2", 3), ("MEDIAN(profit) / COUNTD(profit) / COUNTD(region)", 8.75)):
+        assert kpi(df, source).first()[0] == want
+    empty = df.limit(0)
+    assert tuple(kpi(empty, "SUM(revenue) / COUNT(*)", error="e").first()) == (None, "Division by zero") and tuple(kpi(empty, "MEDIAN(revenue) / 0", error="e").first()) == (None, None)
+
+
+def test_kpi_report(spark):
+    df = spark.createDataFrame([(100.0, 30.0, "a"), (200.0, 40.0, "b"), (300.0, None, "a"), (5.0, None, None)], "revenue double, profit double, region string")
+    got = {(r.region, r.kpi): (r.value, r.error) for r in report(df, {"m": "MEDIAN(revenue) + 1", "z": "1 / COUNT(profit) + 1 / 0", "bad": "revenue + 1", "d": "COUNTD(revenue) - COUNTD(profit)"}, ["region"]).collect()}
+    assert len(got) == 12 and got["a", "m"] == (201.0, None) and got[None, "z"] == got["a", "z"] == (None, "Division by zero") and got["a", "d"] == (1.0, None) and got[None, "d"] == (1.0, None)
+    assert got["b", "bad"][0] is None and "not allowed" in got["b", "bad"][1]
+    plan = report(df, {"m": "MEDIAN(revenue) / COUNTD(profit) / COUNTD(region)"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "median" not in plan and "Expand" not in plan
+
+
+def test_distinct_counts_and_column_report(spark):
+    rows = [(1, "x", None), (2, "x", "2020-01-01"), (None, "", "2021-01-01"), (2, None, "2020-01-01")]
+    df = spark.createDataFrame(rows, "k int, s string, d string").withColumn("d", F.col("d").cast("date"))
+    assert [tuple(r) for r in aggregate.profile(df).collect()] == [("k", 4, 1, 25.0, 2), ("s", 4, 2, 50.0, 1), ("d", 4, 1, 25.0, 2)]
+    assert "Expand" not in aggregate.profile(df)._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.column: r for r in aggregate.column_report(df, 1).collect()}
+    assert (got["d"].kind, got["d"].least, got["d"].largest, [tuple(t) for t in got["d"].top]) == ("date", "2020-01-01", "2021-01-01", [("2020-01-01", 2)])
+    assert got["k"].mean == pytest.approx(5 / 3) and got["s"].mean is None and got["s"].distinct == 1
+    assert {r.column: (r.n_rows, r.distinct, r.top) for r in aggregate.column_report(df.limit(0)).collect()} == {c: (0, 0, []) for c in "ksd"}
+    assert aggregate.distinct_counts(df, ["s"], [("a", F.col("k")), ("b", F.col("d"))]).count() == 3
 
 
 @pytest.mark.parametrize("source, want", [("-2 ** 2", -4), ("1 / 0", math.inf), ("5 % 3", 2), ("true ? 1 : 2", 1), ("0 ? 1 : 0 ? 2 : 3", 3), ("row.x + 'a'", "1a"), ("row.nope + 1", 1), ("!row.x", False), ("row.s == 'q?:' && row.x > 0", True), ("Math.max(1, 4, 2)", 4), ("Math.PI > 3", True)])

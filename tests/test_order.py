@@ -1,5 +1,6 @@
 """Global order without one task, against plain Python."""
 
+import math
 import random
 
 import numpy as np
@@ -52,6 +53,26 @@ def test_exact_quantiles(spark, n):
                 assert r[name] == (pytest.approx(float(np.quantile(v, p)), abs=1e-12) if v else None)
 
 
+def test_exact_quantiles_in_rounds(spark, monkeypatch):
+    """Many distinct values in one group, heavy tails, ties and infinities: few rows are put in order, whatever the group's size."""
+    df = spark.range(400_000).selectExpr("id % 2 as k", "cast(id * 7919 % 1000003 as double) as x", "pow(2.0, id % 4001 - 2000) as y", "if(id % 3 = 0, double('infinity'), 5.0) as z", "if(id < 10, cast(id as double), null) as few", "case when id % 1000 < 499 then 0.0 when id % 1000 < 501 then 0.5 + id / 1e9 else 2.0 end as ends")
+    monkeypatch.setattr(order, "RANK_ROWS", 500)
+    seen, keep = [], order.materialise
+    monkeypatch.setattr(order, "materialise", lambda d, *a, **b: seen.append(out := keep(d, *a, **b)) or out)
+    wanted = [(f"{c}{i}", F.col(c), p) for c in ("x", "y", "z", "few", "ends") for i, p in enumerate((0.0, 0.25, 0.5, 0.999, 1.0))]
+    got = {r.k: r for r in exact_quantiles(df, ["k"], wanted).collect()}
+    assert len(seen) >= 3  # rounds
+    last = seen[-1].collect()
+    assert all(q.settled and (q.inside <= 500 or q.low is not None) for r in last for q in r[1:])
+    held = df.toPandas()
+    for k, part in held.groupby("k"):
+        for name, _, p in wanted:
+            v = sorted(part[name.rstrip("0123456789")].dropna())
+            at = (len(v) - 1) * p
+            low, high, rest = v[int(at)], v[math.ceil(at)], at - int(at)
+            assert got[k][name] == (low if low == high else pytest.approx(low * (1 - rest) + high * rest, rel=1e-12))
+
+
 def test_exact_quantiles_of_nothing(spark):
     df = spark.createDataFrame([], "k string, x double")
     assert exact_quantiles(df, ["k"], [("m", F.col("x"), 0.5)]).count() == 0
