@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.values import all_of, number, round_half_up
+from sparkloom.operators import density
+from sparkloom.operators.neighbours import k_nearest
 from sparkloom.operators.order import hash_rank
 from sparkloom.operators.stats import CollinearError, moments, ols
 from sparkloom.plans.storage import materialise
@@ -75,27 +77,19 @@ def scaled(df: DataFrame, columns: Sequence[str], sample: bool = False) -> tuple
     return held.withColumns({f"z{i}": (x - float(m)) / float(s) for i, (x, m, s) in enumerate(zip(v, mean, sd))}), mean, sd
 
 
-BLOCK = 1024
-
-
 def nearest_neighbours(df: DataFrame, target: str, inputs: Sequence[str], key: str, k: int = 5, share: float = 0.3, seed: int = 11) -> DataFrame:
     """key, actual and predicted class of the test rows: the majority of the k nearest training rows, of ties the nearest.
 
-    The test rows are the query set; they meet the training rows in blocks, each of which gives its own k nearest.
+    The test rows are the query set; the search is exact (``neighbours.k_nearest``). Training rows without a class have no vote.
     """
     z, _, _ = scaled(df, inputs)
-    parts = holdout(z, key, share, seed)
-    vector = F.array(*[F.col(f"z{i}") for i in range(len(inputs))])
-    train = parts.where("not test").select(F.struct(vector.alias("v"), F.col(key).alias("k"), F.col(target).cast("string").alias("c")).alias("x"), F.xxhash64(key).alias("h"))
-    n_blocks = max(1, -(-train.count() // BLOCK))
-    blocks = train.groupBy(F.pmod("h", F.lit(n_blocks)).alias("b")).agg(F.collect_list("x").alias("block"))
-    query = parts.where("test").select(F.col(key), F.col(target).cast("string").alias("actual"), vector.alias("q"))
-    square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = F.slice(F.array_sort(F.transform("block", lambda x: F.struct(square(F.col("q"), x["v"]).alias("d"), x["k"].alias("k"), x["c"].alias("c")))), 1, k)
-    met = query.crossJoin(blocks).select(key, "actual", near.alias("near"))
-    best = met.groupBy(key, "actual").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    votes = best.select(key, "actual", F.posexplode("near").alias("i", "x")).groupBy(key, "actual", F.col("x.c").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"))
-    return votes.groupBy(key, "actual").agg(F.min_by("c", F.struct(-F.col("n"), F.col("i"))).alias("predicted"))
+    parts = materialise(holdout(z, key, share, seed).select(F.col(key).alias("key"), F.col(target).cast("string").alias("class"), "test", *[F.col(f"z{i}").alias(f"x{i}") for i in range(len(inputs))]), "parts")
+    at = [f"x{i}" for i in range(len(inputs))]
+    found = k_nearest(parts.where("not test").select("key", *at), parts.where("test").select(F.col("key").alias("query"), *at), len(inputs), k)
+    each = found.select("query", F.posexplode("near").alias("i", "x")).select("query", "i", F.col("x.key").alias("key"))
+    votes = each.join(parts.where("not test").select("key", "class"), "key").groupBy("query", "class").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"))
+    said = votes.groupBy("query").agg(F.min_by("class", F.struct(-F.col("n"), F.col("i"))).alias("predicted"))
+    return parts.where("test").select(F.col("key").alias("query"), F.col("class").alias("actual")).join(said, "query").select(F.col("query").alias(key), "actual", "predicted")
 
 
 def confusion(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
@@ -357,27 +351,10 @@ def eligible_targets(df: DataFrame, columns: Sequence[str], most: int = 20) -> D
 
 
 def dbscan(df: DataFrame, inputs: Sequence[str], key: str, eps: float = 0.8, min_points: int = 4, scale: bool = True) -> DataFrame:
-    """key and cluster: components of core points within eps, -1 for noise; a border point joins the least cluster near it.
+    """key and cluster: components of core points within eps, -1 for noise; a border point joins the least cluster near it. Rows without all inputs are left out.
 
-    Points meet only inside their cell of size eps or the next ones (each point is copied to the neighbouring cells, 3 ** d of them).
+    Dense cells make no pairs (``density``).
     """
-    from sparkloom.operators.components import connected_components
-
-    z = scaled(df, inputs, sample=True)[0] if scale else df.withColumns({f"z{i}": number(F.col(c), df.schema[c].dataType) for i, c in enumerate(inputs)})
-    d = len(inputs)
-    p = materialise(z.select(F.col(key).alias("id"), *[F.col(f"z{i}") for i in range(d)], *[F.floor(F.col(f"z{i}") / eps).alias(f"g{i}") for i in range(d)]), "points")
-    steps = F.array(*[F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=d)])
-    near = p.select(F.col("id").alias("other"), *[F.col(f"z{i}").alias(f"o{i}") for i in range(d)], *[f"g{i}" for i in range(d)], F.explode(steps).alias("s"))
-    near = near.select("other", *[f"o{i}" for i in range(d)], *[(F.col(f"g{i}") + F.col("s")[i]).alias(f"g{i}") for i in range(d)])
-    dist = sum(((F.col(f"z{i}") - F.col(f"o{i}")) * (F.col(f"z{i}") - F.col(f"o{i}")) for i in range(d)), F.lit(0.0))
-    pairs = materialise(p.join(near, [f"g{i}" for i in range(d)]).where(dist <= eps * eps).select("id", "other"), "pairs")
-    core = materialise(pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select("id"), "core")
-    linked = pairs.join(core, "id").join(core.withColumnRenamed("id", "other"), "other")
-    comp = connected_components(linked.select(F.col("id").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "other")
-    joined = pairs.join(comp, "other").groupBy("id").agg(F.min(F.when(F.col("id") == F.col("other"), F.col("component"))).alias("own"), F.min("component").alias("least"))
-    roots = joined.select(F.coalesce("own", "least").alias("root")).distinct()
-    numbered = roots.withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)
-    found = joined.select("id", F.coalesce("own", "least").alias("root")).join(numbered, "root").select("id", "cluster")
-    return p.select("id").join(found, "id", "left").select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-
-
+    v = [number(F.col(c), df.schema[c].dataType) for c in inputs]
+    z = scaled(df, inputs, sample=True)[0] if scale else df.where(all_of([x.isNotNull() for x in v])).withColumns({f"z{i}": x for i, x in enumerate(v)})
+    return density.dbscan(z, [f"z{i}" for i in range(len(inputs))], key, eps, min_points)
