@@ -15,6 +15,8 @@ from sparkloom.operators import aggregate as agg
 from sparkloom.operators import combine, control, distributions, filters, learn, series, stats, windows
 from sparkloom.operators.clean import Pipeline, Step, issues, joint_outliers
 from sparkloom.operators.kpi import kpi, report
+from sparkloom.operators.neighbours import k_nearest
+from sparkloom.operators.overlay import edited
 from sparkloom.operators.pivot import PivotSpec, long_form, wide
 from sparkloom.plans import assistant, charts, geo, insights
 from sparkloom.sources import readers
@@ -419,6 +421,13 @@ def _(spark, d):
     return combine.join(load(spark, d, "orders").select("o_orderkey", big("o_custkey").alias("big")), c, [("big", "k")]).select("o_orderkey", "c_name")
 
 
+@register("jn_interval", "select s_suppkey, c_custkey from supplier join customer on c_acctbal between s_acctbal - s_nationkey and s_acctbal + s_nationkey")
+def _(spark, d):
+    s = load(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") - F.col("s_nationkey")).alias("lo"), (F.col("s_acctbal") + F.col("s_nationkey")).alias("hi"))
+    c = load(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("at"))
+    return combine.interval_join(s, c, ("lo", "hi"), ("at", "at")).select("s_suppkey", "c_custkey")
+
+
 @register("jn_diagnostics", """
 with o as (select o_custkey as k, count(*) as nl from orders group by 1), c as (select c_custkey as k, count(*) as nr from customer where c_acctbal > 0 group by 1), m as (select coalesce(nl, 0) as nl, coalesce(nr, 0) as nr from o full join c using (k))
 select sum(nl * nr)::bigint as inner_rows, coalesce(sum(nl) filter (nr = 0), 0)::bigint as left_unmatched, coalesce(sum(nr) filter (nl = 0), 0)::bigint as right_unmatched, bool_or(nl > 1 and nr > 1) as many_to_many from m""")
@@ -545,6 +554,16 @@ def _(spark, d):
     return p.apply(df, "id").select("id")
 
 
+#: Two edits for every seventh event, of which the later one counts, and a null for every third of these.
+@register("cln_overlay", """
+select event_id, case when event_id % 7 = 0 then case when event_id % 3 = 0 then null else user_id + 0.5 end else value end as value, case when event_id % 7 = 0 then 'edited ' || user_id else event_type end as event_type from events""")
+def _(spark, d):
+    e = load(spark, d, "events").select("event_id", "user_id", "value", "event_type")
+    some = e.where("event_id % 7 = 0").select(F.col("event_id").cast("string").alias("key"), "event_id", "user_id")
+    cells = [F.struct(F.lit("value").alias("column"), F.lit("1").alias("value"), F.lit(1).alias("at")), F.struct(F.lit("value").alias("column"), F.when(F.col("event_id") % 3 != 0, (F.col("user_id") + 0.5).cast("string")).alias("value"), F.lit(2).alias("at")), F.struct(F.lit("event_type").alias("column"), F.concat(F.lit("edited "), "user_id").alias("value"), F.lit(1).alias("at")), F.struct(F.lit("nope").alias("column"), F.lit("x").alias("value"), F.lit(1).alias("at"))]
+    return edited(e, some.select("key", F.inline(F.array(*cells))), "event_id").drop("user_id")
+
+
 @register("cln_edit", "select event_id, case when event_id = 3 then 99.5 else value end as value from events where event_id not in (1, 2) union all select -1, null")
 def _(spark, d):
     df = load(spark, d, "events").select("event_id", "value")
@@ -942,7 +961,15 @@ def _(spark, d):
     return placed.select("c_custkey", "cluster")
 
 
-@register("ml_dbscan")
+@register("ml_dbscan", """
+with recursive v as (select s_suppkey as id, s_acctbal as a, s_nationkey::double as b from supplier), m as (select avg(a) as ma, stddev_samp(a) as sa, avg(b) as mb, stddev_samp(b) as sb from v),
+z as (select id, (a - ma) / sa as x, (b - mb) / sb as y from v, m),
+p as (select u.id, w.id as other from z u join z w on (u.x - w.x) * (u.x - w.x) + (u.y - w.y) * (u.y - w.y) <= 0.16),
+core as (select id from p group by 1 having count(*) >= 4), e as (select p.id, other from p join core using (id) where other in (select id from core)),
+reach(id, here) as (select id, id from core union select r.id, e.other from reach r join e on e.id = r.here), root as (select id, min(here) as root from reach group by 1),
+numbers as (select root, (row_number() over (order by root) - 1)::int as cluster from (select distinct root from root)), said as (select id, cluster from root join numbers using (root))
+select v.id as s_suppkey, coalesce(own.cluster, near.cluster, -1) as cluster from v left join said own on own.id = v.id
+left join (select p.id, min(cluster) as cluster from p join said on said.id = other group by 1) near on near.id = v.id""")
 def _(spark, d):
     df = load(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("nation"))
     return learn.dbscan(df, ["s_acctbal", "nation"], "s_suppkey", 0.4)
@@ -950,11 +977,36 @@ def _(spark, d):
 
 @register("ml_decision_tree")
 def _(spark, d):
-    df = load(spark, d, "part").withColumn("y", F.when((F.col("p_size") > 25) & (F.col("p_retailprice") > 1200), "a").otherwise("b"))
+    df = load(spark, d, "part").withColumn("y", F.when((F.col("p_size") > 25) & (F.col("p_retailprice") > 950), "a").otherwise("b"))
     tree = learn.decision_tree(df, "y", ["p_size", "p_retailprice"], 4)
     return df.select("p_partkey", F.col("y").alias("actual"), tree.alias("predicted"))
 
 
+@register("ml_tree_split", """
+with p as (select p_partkey, p_size::double as a, p_retailprice as b, case when p_size > 25 and p_retailprice > 950 then 'a' else 'b' end as y from part), e as (select 0 as f, a as x, y from p union all select 1, b, y from p),
+v as (select f, x, (count(*) filter (y = 'a'))::double as ca, (count(*) filter (y = 'b'))::double as cb from e group by 1, 2),
+r as (select f, x, lead(x) over (partition by f order by x) as nx, sum(ca) over w as la, sum(cb) over w as lb, sum(ca) over (partition by f) as ta, sum(cb) over (partition by f) as tb from v window w as (partition by f order by x)),
+s as (select *, round(((la * la + lb * lb) / (la + lb) + ((ta - la) * (ta - la) + (tb - lb) * (tb - lb)) / (ta + tb - la - lb) - (ta * ta + tb * tb) / (ta + tb)) / (ta + tb), 12) as gain from r where nx is not null),
+best as (select f, (x + nx) / 2 as t from s where gain > 0 order by gain desc, f, x limit 1), placed as (select p.*, case f when 0 then a else b end <= t as l from p, best),
+said as (select l, y as predicted from (select l, y, count(*) as n from placed group by 1, 2) qualify row_number() over (partition by l order by n desc, y) = 1)
+select p_partkey, y as actual, predicted from placed join said using (l)""")
+def _(spark, d):
+    df = load(spark, d, "part").withColumn("y", F.when((F.col("p_size") > 25) & (F.col("p_retailprice") > 950), "a").otherwise("b"))
+    return df.select("p_partkey", F.col("y").alias("actual"), learn.decision_tree(df, "y", ["p_size", "p_retailprice"], 1).alias("predicted"))
+
+
+#: Every twentieth order is asked for the five orders nearest in price (in hundreds) and day.
+@register("ml_nearest", """
+with z as (select o_orderkey as k, o_totalprice / 100 as x, datediff('day', date '1990-01-01', o_orderdate::date)::double as y from orders)
+select q.k as query, p.k as key, row_number() over (partition by q.k order by (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y), p.k)::int as place, round((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y), 4) as d
+from z q join z p on q.k % 20 = 0 qualify place <= 5""")
+def _(spark, d):
+    z = load(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("x0"), F.datediff("o_orderdate", F.lit("1990-01-01")).cast("double").alias("x1"))
+    found = k_nearest(z.withColumnRenamed("o_orderkey", "key"), z.where("o_orderkey % 20 = 0").withColumnRenamed("o_orderkey", "query"), 2, 5)
+    near = found.select("query", F.posexplode("near").alias("i", "x"))
+    return near.select("query", "x.key", (F.col("i") + 1).alias("place"), F.round("x.d", 4).alias("d"))
+
+
 @register("ml_pca")
 def _(spark, d):
     e = load(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])

@@ -19,6 +19,7 @@ from sparkloom.functions.values import blank, number, round_half_up, text
 from sparkloom.operators import aggregate, filters
 from sparkloom.operators.distributions import mahalanobis
 from sparkloom.operators.order import exact_quantiles, numbered
+from sparkloom.operators.overlay import edited, without
 
 
 @dataclass(frozen=True)
@@ -178,21 +179,13 @@ def formula(df: DataFrame, col: str, params: dict, order: str) -> DataFrame:
 
 
 def set_cells(df: DataFrame, col: str | None, params: dict, order: str) -> DataFrame:
-    """params["cells"]: (order value, column, value) of the caller's; numbers that don't parse become null, whole columns round."""
-    for name in {c[1] for c in params["cells"]}:
-        kind = df.schema[name].dataType
-        changed = F.col(name)
-        for key, column, value in params["cells"]:
-            if column == name:
-                new = F.lit(None if value == "" and kind.simpleString() != "string" else value).cast("string")
-                new = F.floor(new.try_cast("double") + 0.5).cast(kind) if kind.simpleString() in ("int", "bigint", "smallint", "tinyint") else new.try_cast(kind)
-                changed = F.when(F.col(order) == key, new).otherwise(changed)
-        df = df.withColumn(name, changed)
-    return df
+    """params["cells"]: (order value, column, value) of the caller's, the last for a cell counts; numbers that don't parse become null, whole columns round."""
+    cells = [(str(key), column, None if value is None else str(value), i) for i, (key, column, value) in enumerate(params["cells"])]
+    return edited(df, df.sparkSession.createDataFrame(cells, "key string, column string, value string, at long"), order) if cells else df
 
 
 def drop_rows(df: DataFrame, col: str | None, params: dict, order: str) -> DataFrame:
-    return df.where(~F.col(order).isin(*params["keys"])) if params["keys"] else df
+    return without(df, df.sparkSession.createDataFrame([(str(k),) for k in params["keys"]], "key string"), order) if params["keys"] else df
 
 
 def add_row(df: DataFrame, col: str | None, params: dict, order: str) -> DataFrame:

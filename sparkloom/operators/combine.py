@@ -145,6 +145,46 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], by: str,
     return split.join(there, [*keys, "__part"], how).drop("__part")
 
 
+def interval_join(left: DataFrame, right: DataFrame, ends: tuple[str, str], other: tuple[str, str], short: str = "right") -> DataFrame:
+    """Pairs of a left row, from ends[0] to ends[1], and a right row, from other[0] to other[1], that overlap (touching counts); there is no equal key.
+
+    An interval of length up to 2 ** k lies in one or two buckets of that width. It goes to those of its own k and of every larger k
+    that occurs, so a pair meets at the larger k of the two, in the bucket where the later one of them begins, once. The
+    rows that meet are those of one bucket: no nested loop, and no width that one long interval could spoil. Points are
+    intervals of length 0. Null ends and intervals that end before they begin meet nothing. A column that is in both is named short__column.
+
+    ends are numbers, dates or timestamps (compared to the microsecond).
+    """
+
+    def bounds(df: DataFrame, names: tuple[str, str]) -> list[Column]:
+        return [(F.unix_micros(F.col(c).cast("timestamp")) if isinstance(df.schema[c].dataType, TIMES) else F.col(c)).cast("double") for c in names]
+
+    def level(lo: Column, hi: Column) -> Column:
+        return F.when(hi > lo, F.ceil(F.log2(hi - lo)).cast("int"))
+
+    def sized(df: DataFrame, names: tuple[str, str]) -> DataFrame:
+        lo, hi = bounds(df, names)
+        return df.withColumns({"__lo": lo, "__hi": hi}).where("__lo <= __hi").withColumn("__k", level(F.col("__lo"), F.col("__hi")))
+
+    a, b = sized(left, ends), sized(right, other)
+    found = sorted({r[0] for r in a.select("__k").union(b.select("__k")).where("__k is not null").distinct().collect()}) or [0]  # powers of two: some dozens
+
+    def dealt(df: DataFrame, names: dict[str, str]) -> DataFrame:
+        own = F.coalesce("__k", F.lit(found[0]))
+        ks = F.filter(F.array(*map(F.lit, found)), lambda k: k >= own)
+        steps = lambda c: F.col(c) / F.pow(F.lit(2.0), F.col("__at"))
+        floor = lambda x: x - F.pmod(x, F.lit(1.0))  # noqa: E731  as a double: no bucket number is too large
+        rows = df.select(*[F.col(c).alias(n) for c, n in names.items()], "__lo", "__hi", own.alias("__own"), F.explode(ks).alias("__at"))
+        first, last = floor(steps("__lo")), floor(steps("__hi"))
+        return rows.withColumn("__bucket", F.explode(F.array_distinct(F.array(first, (first + last) / 2, last)))).where(F.col("__bucket") == floor(F.col("__bucket"))).withColumn("__first", first)
+
+    names_l, names_r = {c: f"__l_{c}" for c in left.columns}, {c: f"__r_{c}" for c in right.columns}
+    x = dealt(a, names_l).withColumnsRenamed({"__lo": "__llo", "__hi": "__lhi", "__own": "__lown", "__first": "__lf"})
+    y = dealt(b, names_r).withColumnsRenamed({"__lo": "__rlo", "__hi": "__rhi", "__own": "__rown", "__first": "__rf"})
+    met = x.join(y, ["__at", "__bucket"]).where((F.col("__at") == F.greatest("__lown", "__rown")) & (F.col("__bucket") == F.greatest("__lf", "__rf")) & (F.col("__llo") <= F.col("__rhi")) & (F.col("__rlo") <= F.col("__lhi")))
+    return met.select(*[F.col(n).alias(c) for c, n in names_l.items()], *[F.col(n).alias(f"{short}__{c}" if c in left.columns else c) for c, n in names_r.items()])
+
+
 #: Keys with at least 1 / HOT of all weight are broadcast by ``weighed_join``; there are at most HOT of them.
 HOT = 500
 

@@ -15,7 +15,7 @@ from sparkloom.operators import density
 from sparkloom.operators.neighbours import k_nearest
 from sparkloom.operators.order import hash_rank
 from sparkloom.operators.stats import CollinearError, moments, ols
-from sparkloom.plans.storage import materialise
+from sparkloom.plans.storage import materialise, release
 
 
 def holdout(df: DataFrame, key: str, share: float = 0.3, seed: int = 7) -> DataFrame:
@@ -257,16 +257,25 @@ def pca_scores(df: DataFrame, model: dict, k: int = 2) -> DataFrame:
     return df.withColumns({f"pc{i + 1}": sum((x * float(w) for x, w in zip(z, model["components"][i])), F.lit(0.0)) for i in range(k)})
 
 
+#: Classes of a tree at most.
+TREE_CLASSES = 200
+
+
 def decision_tree(df: DataFrame, target: str, inputs: Sequence[str], max_depth: int = 6, min_rows: int = 2) -> Column:
-    """A gini tree as one expression of the inputs: numeric thresholds halfway between values, <= goes left.
+    """A gini tree as one expression of the inputs: numeric thresholds halfway between values, <= goes left; at most TREE_CLASSES classes.
 
-    Level by level: rows carry their node, counts by (node, input, value, class) are summed before the shuffle,
-    running class counts in each (node, input) give every split's impurity, and only each node's best split (at most 2 ** depth) reaches the driver.
+    Level by level: rows carry their node, class counts by (node, input, value) are summed before the shuffle and dealt to
+    ranges of (node, input, value); a range's sums (a row for each partition, node and input) go ahead of the next ones, so running
+    counts need no task that holds an input's values. Only each node's best split (at most 2 ** depth) reaches the driver.
     """
     v = {c: number(F.col(c), df.schema[c].dataType) for c in inputs}
     y = F.col(target).cast("string")
     held = df.where(all_of([x.isNotNull() for x in v.values()]) & y.isNotNull()).select(*[x.alias(f"x{i}") for i, x in enumerate(v.values())], y.alias("y"))
     held = materialise(held, "tree")
+    classes = [r.y for r in held.select("y").distinct().orderBy("y").limit(TREE_CLASSES + 1).collect()]
+    if len(classes) > TREE_CLASSES:
+        raise ValueError(f"more than {TREE_CLASSES} classes")
+    c = range(len(classes))
     splits: dict[int, tuple[int, float]] = {}
 
     def node() -> Column:
@@ -281,23 +290,25 @@ def decision_tree(df: DataFrame, target: str, inputs: Sequence[str], max_depth:
     for depth in range(max_depth):
         placed = held.withColumn("node", node()).where(F.col("node") >= 2**depth)
         each = placed.select("node", "y", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(len(inputs))])).alias("f", "x"))
-        cells = each.groupBy("node", "f", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-        by = Window.partitionBy("node", "f")
-        upto = by.orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
-        mine = Window.partitionBy("node", "f", "y").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy("node", "f", "y")
-        c = cells.withColumns({"left": F.sum("n").over(mine), "all": F.sum("n").over(whole)})
-        values = c.groupBy("node", "f", "x").agg(F.sum("n").alias("n"))
-        values = values.withColumns({"nl": F.sum("n").over(upto), "total": F.sum("n").over(by), "next": F.lead("x").over(by.orderBy("x"))})
-        # sums of squared class counts left and right of each value; a class without a row at that value counts with its last row before it
-        classes = cells.groupBy("node", "f", "y").agg(F.sum("n").alias("all"))
-        grid = values.join(classes, ["node", "f"]).join(cells.select("node", "f", "x", "y", F.col("n").alias("here")), ["node", "f", "x", "y"], "left")
-        grid = grid.withColumn("left", F.sum(F.coalesce("here", F.lit(0))).over(mine))
-        scored = grid.groupBy("node", "f", "x", "next", "nl", "total").agg(F.sum(F.col("left") * F.col("left")).alias("sl"), F.sum((F.col("all") - F.col("left")) * (F.col("all") - F.col("left"))).alias("sr"), F.sum(F.col("all") * F.col("all")).alias("sa"))
+        counts = each.groupBy("node", "f", "x").agg(*[F.count_if(F.col("y") == k).alias(f"c{i}") for i, k in enumerate(classes)])
+        dealt = materialise(counts.repartitionByRange("node", "f", "x").withColumn("__range", F.spark_partition_id()), "values")
+        by = ["__range", "node", "f"]
+        whole = Window.partitionBy("node", "f")
+        along = whole.orderBy("__range")
+        before = along.rowsBetween(Window.unboundedPreceding, -1)
+        sums = dealt.groupBy(*by).agg(*[F.sum(f"c{i}").alias(f"s{i}") for i in c], F.min("x").alias("first"))  # a row for each partition, node and input
+        sums = sums.select(*by, F.lead("first").over(along).alias("after"), *[F.coalesce(F.sum(f"s{i}").over(before), F.lit(0)).alias(f"b{i}") for i in c], *[F.sum(f"s{i}").over(whole).alias(f"a{i}") for i in c])
+        inside = Window.partitionBy(*by).orderBy("x")
+        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+        run = dealt.select(*by, "x", F.lead("x").over(inside).alias("following"), *[F.sum(f"c{i}").over(upto).alias(f"r{i}") for i in c]).join(F.broadcast(sums), by)
+        left, every = [F.col(f"r{i}") + F.col(f"b{i}") for i in c], [F.col(f"a{i}") for i in c]
+        add = lambda terms: sum(terms, F.lit(0))
+        scored = run.select("node", "f", "x", F.coalesce("following", "after").alias("next"), add(left).alias("nl"), add(every).alias("total"), add([x * x for x in left]).alias("sl"), add([(a - x) * (a - x) for a, x in zip(every, left)]).alias("sr"), add([a * a for a in every]).alias("sa"))
         nr = F.col("total") - F.col("nl")
         gain = (F.col("sl") / F.col("nl") + F.col("sr") / nr - F.col("sa") / F.col("total")) / F.col("total")
         ok = scored.where(F.col("next").isNotNull() & (F.col("total") >= min_rows)).withColumn("gain", round_half_up(gain, 12)).where("gain > 0")
         best = ok.groupBy("node").agg(F.min_by(F.struct("f", ((F.col("x") + F.col("next")) / 2).alias("t")), F.struct(-F.col("gain"), F.col("f"), F.col("x"))).alias("s")).collect()
+        release(dealt)
         if not best:
             break
         splits |= {r.node: (r.s.f, r.s.t) for r in best}

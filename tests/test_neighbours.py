@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import density, neighbours
+from sparkloom.operators import combine, density, learn, neighbours, overlay
 
 
 def square(x, y):
@@ -100,3 +100,90 @@ def test_dbscan_of_a_crowd_emits_no_pairs(spark):
     assert steps.pairs(steps.sparse()).count() < n
     got = density.dbscan(df, ["x", "y"], "id", 1.0, 4).groupBy("cluster").count().orderBy(F.desc("count")).first()
     assert got["count"] >= n // 3
+
+
+# ---- trees, intervals, edits
+
+
+def brute_split(rows, inputs):
+    """(input, threshold) of the best first split by gini, of ties the first input and the least value."""
+    best = None
+    total = {}
+    for *_, y in rows:
+        total[y] = total.get(y, 0) + 1
+    for f in range(inputs):
+        xs = sorted({r[f] for r in rows})
+        for x, following in zip(xs, xs[1:]):
+            left = {}
+            for r in rows:
+                if r[f] <= x:
+                    left[r[-1]] = left.get(r[-1], 0) + 1
+            n = sum(left.values())
+            sq = lambda c: sum(v * v for v in c.values())
+            right = {k: v - left.get(k, 0) for k, v in total.items()}
+            gain = (sq(left) / n + sq(right) / (len(rows) - n) - sq(total) / len(rows)) / len(rows)
+            if best is None or round(gain, 12) > best[0]:
+                best = (round(gain, 12), f, (x + following) / 2)
+    return best[1:]
+
+
+def test_tree_split_over_many_ranges(spark):
+    """Values dealt to several ranges give the split that one sorted list gives; no window holds an input's values."""
+    rng = np.random.default_rng(6)
+    rows = [(float(a), float(b), "xyz"[int(a * 2 + b > 1.3) + int(b > 2)]) for a, b in rng.normal(size=(400, 2)).round(2)]
+    df = spark.createDataFrame(rows, "a double, b double, y string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tree = learn.decision_tree(df, "y", ["a", "b"], 1)
+        f, t = brute_split(rows, 2)
+        sides = df.select(F.col("ab"[f]).alias("x"), tree.alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    said = {x <= t: {r.p for r in sides if (r.x <= t) == (x <= t)} for x in (t, t + 1)}
+    assert all(len(v) == 1 for v in said.values())
+    for side, (p,) in ((k, tuple(v)) for k, v in said.items()):
+        counts = {y: sum((r[f] <= t) == side and r[2] == y for r in rows) for y in "xyz"}
+        assert p == min(counts, key=lambda y: (-counts[y], y))
+    with pytest.raises(ValueError):
+        learn.decision_tree(spark.range(300).selectExpr("id * 1.0 as a", "id as y"), "y", ["a"])
+
+
+def test_interval_join_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    lengths = [0.0, 0.0, 1e-6, 0.5, 1.0, 2.0, 3.0, 64.0, 1e5]
+    make = lambda n: [(i, float(s), float(s + rng.choice(lengths))) for i, s in enumerate(rng.choice([rng.uniform(-50, 50), rng.integers(-9, 9), 4.0], n))]
+    a, b = make(150) + [(900, None, 1.0), (901, 5.0, 4.0), (902, 1e300, 2e300)], make(120) + [(903, 3.0, None), (904, -1e300, 1e308)]
+    left, right = spark.createDataFrame(a, "id long, s double, e double"), spark.createDataFrame(b, "id long, s double, e double")
+    joined = combine.interval_join(left, right, ("s", "e"), ("s", "e"))
+    assert joined.columns == ["id", "s", "e", "right__id", "right__s", "right__e"]
+    ok = lambda r: r[1] is not None and r[2] is not None and r[1] <= r[2]
+    want = sorted((x[0], y[0]) for x in a for y in b if ok(x) and ok(y) and x[1] <= y[2] and y[1] <= x[2])
+    assert sorted((r.id, r.right__id) for r in joined.collect()) == want
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert combine.interval_join(left.limit(0), right, ("s", "e"), ("s", "e")).count() == 0
+    times = spark.sql("select timestamp'2020-01-01 00:00:00' as s, timestamp'2020-01-01 01:00:00' as e")
+    assert combine.interval_join(times, times, ("s", "e"), ("e", "e")).count() == 1
+
+
+def test_edits_as_a_table(spark, monkeypatch):
+    """10,000 edits make a plan of the size of one; the last edit of a cell wins; the same without a broadcast."""
+    df = spark.range(12_000).selectExpr("id", "id as whole", "cast(id as double) as x", "concat('t', id) as name").union(spark.sql("select null, 7, 7.0, 'no key'"))
+    at = spark.range(10_000).selectExpr("cast(id % 5000 as string) as key", "if(id % 2 = 0, 'whole', 'name') as column", "cast(id + 0.5 as string) as value", "id as at")
+    more = spark.createDataFrame([("3", "x", None, 1), ("3", "x", "bad", 0), ("4", "x", "", 1), ("5", "whole", "bad", 99_999), ("6", "name", "", 99_999), ("x7", "name", "lost", 1), ("8", "nope", "lost", 1)], "key string, column string, value string, at long")
+    edits = at.union(more)
+    want = {}
+    for r in sorted(edits.collect(), key=lambda r: r["at"]):
+        want[r.key, r.column] = r.value
+    parse = {"whole": lambda v: None if v == "bad" else int(float(v) + 0.5), "x": lambda v: None, "name": lambda v: v}
+    out = overlay.edited(df, edits, "id")
+    one = overlay.edited(df, edits.where("at = 10 or at = 11"), "id")
+    size = lambda d: d._jdf.queryExecution().analyzed().toString().count("\n")
+    assert size(out) <= size(one) + 2 and out.dtypes == df.dtypes
+    for limit in (overlay.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(overlay, "BROADCAST_ROWS", limit)
+        for r in overlay.edited(df, edits, "id").collect():
+            for c, own in (("whole", r.id), ("x", None if r.id is None else float(r.id)), ("name", f"t{r.id}")):
+                if r.id is not None:
+                    assert r[c] == (parse[c](want[str(r.id), c]) if (str(r.id), c) in want else own)
+    assert overlay.without(df, edits, "id").count() == 12_001 - 5_000
