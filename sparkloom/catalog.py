@@ -17,7 +17,7 @@ from sparkloom.operators.clean import Pipeline, Step, issues, joint_outliers
 from sparkloom.operators.kpi import kpi, report
 from sparkloom.operators.neighbours import k_nearest
 from sparkloom.operators.overlay import edited
-from sparkloom.operators.pivot import PivotSpec, long_form, wide
+from sparkloom.operators.pivot import PivotSpec, long_form, tuples, wide
 from sparkloom.plans import assistant, charts, geo, insights
 from sparkloom.sources import readers
 from sparkloom.sources.registry import Registry
@@ -286,6 +286,21 @@ def _(spark, d):
     return charts.sorted_page(load(spark, d, "customer"), "c_acctbal", "c_custkey", 2, 50, True).select("c_custkey", "c_acctbal")
 
 
+#: Segments in capitals, small letters and Hangul by turns.
+MIXED = "case c_custkey % 3 when 0 then c_mktsegment when 1 then lower(c_mktsegment) else '가나 ' || lower(c_mktsegment) end"
+
+
+@register("srt_page_ko", f"select c_custkey, name from (select c_custkey, {MIXED} as name from customer) order by name collate ko desc nulls last, c_custkey limit 400 offset 400")
+def _(spark, d):
+    named = load(spark, d, "customer").select("c_custkey", F.expr(MIXED).alias("name"))
+    return charts.sorted_page(named, "name", "c_custkey", 1, 400, True, locale="ko")
+
+
+@register("pvt_tuples_ko", f"select name, c_nationkey, row_number() over (order by name collate ko, name, c_nationkey collate ko)::int as place from (select distinct {MIXED} as name, c_nationkey::varchar as c_nationkey from customer)")
+def _(spark, d):
+    return tuples(load(spark, d, "customer").select(F.expr(MIXED).alias("name"), "c_nationkey"), ["name", "c_nationkey"], "ko")
+
+
 # ---- windows
 
 

@@ -72,3 +72,8 @@ def any_of(conditions: list[Column]) -> Column:
 
 def is_text(kind: DataType) -> bool:
     return isinstance(kind, StringType)
+
+
+def collated(c: Column, kind: DataType, locale: str | None) -> Column:
+    """A sort key: texts by a locale's rules (Spark's collations: ``UNICODE``, ``ko``, ``de`` and so on), anything else as it is."""
+    return F.collate(c, locale) if locale and isinstance(kind, StringType) else c

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.values import safe_divide
-from sparkloom.operators.order import numbered, with_lags
+from sparkloom.operators.order import numbered, running_sums, with_lags
 
 #: The factors of control charts by subgroup size 2..10.
 FACTORS = {
@@ -105,10 +105,9 @@ def capability(df: DataFrame, value: str, order: str, lsl: float | None = None,
 def pareto(df: DataFrame, category: str, value: str) -> DataFrame:
     """Categories by descending total with percent and running percent; a total of 0 counts as 1."""
     sums = df.groupBy(category).agg(F.sum(value).alias("value"))
-    all_ = Window.partitionBy()
-    run = Window.orderBy(F.desc("value"), category).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.when(F.sum("value").over(all_) == 0, 1.0).otherwise(F.sum("value").over(all_))
-    return sums.select(category, "value", (F.col("value") / total * 100).alias("pct"), (F.sum("value").over(run) / total * 100).alias("cum_pct"))
+    total = F.broadcast(df.agg(F.coalesce(F.nullif(F.sum(value), F.lit(0)), F.lit(1.0)).alias("__all")))  # one row
+    run = running_sums(sums, {"__upto": "value"}, [F.desc("value"), category]).crossJoin(total)
+    return run.select(category, "value", (F.col("value") / F.col("__all") * 100).alias("pct"), (F.col("__upto") / F.col("__all") * 100).alias("cum_pct"))
 
 
 def violations(df: DataFrame, value: str, order: str, ucl: float, lcl: float) -> DataFrame:

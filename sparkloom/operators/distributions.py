@@ -58,7 +58,9 @@ def qq(df: DataFrame, value: str) -> DataFrame:
     """theoretical and sample quantiles at (i - 0.5) / n, and the line's slope (deviation) and intercept (mean)."""
     held = df.select(finite(number(F.col(value), df.schema[value].dataType)).alias("sample")).where("sample is not null")
     stats = F.broadcast(held.agg(F.count(F.lit(1)).alias("n"), F.avg("sample").alias("intercept"), F.stddev_samp("sample").alias("slope")))
-    placed = numbered(held, ["sample"], "i").withColumn("i", F.col("i").cast("int")).join(stats)
+    # a second key deals equal samples to several ranges; which of them comes first makes no difference
+    apart = held.withColumn("__h", F.xxhash64(F.monotonically_increasing_id()))
+    placed = numbered(apart, ["sample", "__h"], "i").withColumn("i", F.col("i").cast("int")).join(stats)
     return placed.select("i", normal_quantile_column((F.col("i") - 0.5) / F.col("n")).alias("theoretical"), "sample", "slope", "intercept")
 
 

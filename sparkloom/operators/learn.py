@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.values import all_of, number, round_half_up
 from sparkloom.operators import density
 from sparkloom.operators.neighbours import k_nearest
-from sparkloom.operators.order import hash_rank
+from sparkloom.operators.order import hash_rank, running_sums
 from sparkloom.operators.stats import CollinearError, moments, ols
 from sparkloom.plans.storage import materialise, release
 
@@ -187,26 +187,26 @@ def logistic_predict(model: dict) -> Column:
     return F.lit(1.0) / (1 + F.exp(-sum((F.col(c) * w for c, w in zip(model["inputs"], model["coef"])), F.lit(model["intercept"]))))
 
 
+def _curve(df: DataFrame, label: str, score: str) -> DataFrame:
+    """score, p and q (rows with and without the label), p_upto and q_upto (from the highest score down) of each score, and the totals p_all and q_all."""
+    yes = F.col(label).cast("long")
+    g = df.groupBy(F.col(score).alias("score")).agg(F.sum(yes).alias("p"), F.sum(1 - yes).alias("q"))
+    total = df.agg(F.sum(yes).alias("p_all"), F.sum(1 - yes).alias("q_all"))
+    return running_sums(g, {"p_upto": "p", "q_upto": "q"}, [F.desc("score")]).crossJoin(F.broadcast(total))  # one row
+
+
 def roc(df: DataFrame, label: str, score: str) -> DataFrame:
     """score, fpr and tpr at every distinct score, high first."""
-    g = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    run, all_ = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return g.select("score", (F.sum("q").over(run) / F.sum("q").over(all_)).alias("fpr"), (F.sum("p").over(run) / F.sum("p").over(all_)).alias("tpr"))
+    return _curve(df, label, score).select("score", (F.col("q_upto") / F.col("q_all")).alias("fpr"), (F.col("p_upto") / F.col("p_all")).alias("tpr"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: the area under the curve; tied scores share a step."""
-    w = Window.orderBy(F.desc("score"))
-    r = roc(df, label, score)
-    area = (F.col("fpr") - F.coalesce(F.lag("fpr").over(w), F.lit(0.0))) * (F.col("tpr") + F.coalesce(F.lag("tpr").over(w), F.lit(0.0))) / 2
-    return r.select(area.alias("a")).agg(F.sum("a").alias("auc"))
+    return _curve(df, label, score).agg((F.sum(F.col("q") * (2 * F.col("p_upto") - F.col("p"))) / 2 / F.max("p_all") / F.max("q_all")).alias("auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
-    g = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    run = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    precision = F.sum("p").over(run) / F.sum("n").over(run)
-    return g.select((precision * F.col("p")).alias("x"), "p").agg((F.sum("x") / F.sum("p")).alias("ap"))
+    return _curve(df, label, score).agg((F.sum(F.col("p_upto") / (F.col("p_upto") + F.col("q_upto")) * F.col("p")) / F.max("p_all")).alias("ap"))
 
 
 def k_means(df: DataFrame, inputs: Sequence[str], key: str, k: int = 3, rounds: int = 18, seed: int = 5) -> tuple[DataFrame, np.ndarray, float]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,15 +67,21 @@ def with_lags(df: DataFrame, value: str, order: Sequence[str | Column], lags: Se
     return in_blocks(df, order, lambda w: {f"__lag{k}": F.lag(value, k).over(w) for k in lags}, max(lags))
 
 
-def running_sum(df: DataFrame, value: str, order: Sequence[str | Column], name: str) -> DataFrame:
-    """df with the sum of all values up to a row in one order; null before the first value. Sums inside a range of the order, and of the ranges before."""
+def running_sums(df: DataFrame, sums: Mapping[str, str], order: Sequence[str | Column]) -> DataFrame:
+    """df with the sums of all values of columns up to a row in one order (sums: new name to column); null before the first value. Sums inside a range of the order, and of the ranges before."""
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     dealt = materialise(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("__range").agg(F.sum(value).alias("__sum")).select("__range", F.sum("__sum").over(before).alias("__past"))  # one row for each partition
-    inside = F.sum(value).over(Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    met = dealt.withColumn(name, inside).join(F.broadcast(sums), "__range")
-    return met.withColumn(name, F.coalesce(F.col(name) + F.col("__past"), name, "__past")).drop("__range", "__past")
+    parts = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"__sum_{n}") for n, c in sums.items()])  # one row for each partition
+    past = parts.select("__range", *[F.sum(f"__sum_{n}").over(before).alias(f"__past_{n}") for n in sums])
+    inside = Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(past), "__range")
+    return met.withColumns({n: F.coalesce(F.col(n) + F.col(f"__past_{n}"), n, f"__past_{n}") for n in sums}).drop("__range", *[f"__past_{n}" for n in sums])
+
+
+def running_sum(df: DataFrame, value: str, order: Sequence[str | Column], name: str) -> DataFrame:
+    """df with one running sum, as ``running_sums`` makes it."""
+    return running_sums(df, {name: value}, order)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, Column, float]]) -> DataFrame:

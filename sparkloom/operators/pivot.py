@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.values import all_of, group_text
 from sparkloom.operators.aggregate import measure, quantile_of, summarise
+from sparkloom.operators.order import numbered
 
 #: Aggregates whose empty cell is 0; those of all others is null.
 ZERO = ("sum", "count", "countd")
@@ -54,8 +55,15 @@ def long_form(df: DataFrame, spec: PivotSpec) -> DataFrame:
     return out.select(*[F.col(k).alias(d) for k, d in zip(keys, dims)], level.alias("level"), *[f"{v}__{how}" for v, how in spec.values])
 
 
-def wide(df: DataFrame, spec: PivotSpec, max_columns: int = 500) -> DataFrame:
-    """One row for each row tuple (and a grand total row, whose keys are null), a column for each column tuple and value, and totals.
+def tuples(df: DataFrame, dims: Sequence[str], locale: str = "UNICODE") -> DataFrame:
+    """The distinct tuples of dims (as text) with their place 1, 2, ... in a locale's order, blanks first: the order of an axis."""
+    found = df.select(*[group_text(F.col(d), df.schema[d].dataType).alias(d) for d in dims]).distinct()
+    keys = [k for d in dims for k in (F.collate(F.coalesce(d, F.lit("")), locale).asc(), F.coalesce(d, F.lit("")).asc())]
+    return numbered(found, keys, "place")
+
+
+def wide(df: DataFrame, spec: PivotSpec, max_columns: int = 500, locale: str = "UNICODE") -> DataFrame:
+    """One row for each row tuple (and a grand total row, whose keys are null), a column for each column tuple and value in a locale's order, and totals.
 
     Column tuples become columns, so there may be ``max_columns`` of them at most; more raise an error.
     """
@@ -64,7 +72,7 @@ def wide(df: DataFrame, spec: PivotSpec, max_columns: int = 500) -> DataFrame:
         return cells.where(F.col("level").isin("cell", "row", "grand")).select(*spec.rows, *[F.col(f"{v}__{h}").alias(f"total__{v}__{h}") for v, h in spec.values])
     label = F.concat_ws("¦", *spec.columns)
     marked = cells.withColumn("__c", F.when(F.col("level").isin("cell", "column"), label))
-    names = [x[0] for x in marked.where(F.col("__c").isNotNull()).select("__c").distinct().orderBy("__c").limit(max_columns + 1).collect()]
+    names = [x[0] for x in marked.where(F.col("__c").isNotNull()).select("__c").distinct().orderBy(F.collate("__c", locale), "__c").limit(max_columns + 1).collect()]
     if len(names) > max_columns:
         raise ValueError(f"a pivot with more than {max_columns} columns")
     aggs = []

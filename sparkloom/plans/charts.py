@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.values import group_text, number, text
+from sparkloom.functions.values import collated, group_text, number, text
 from sparkloom.operators.aggregate import group_by, summarise
 from sparkloom.operators.kpi import kpi
 
@@ -232,9 +232,10 @@ def stale(widget_columns: Sequence[str], df: DataFrame) -> list[str]:
     return [c for c in widget_columns if c != "*" and c not in df.columns]
 
 
-def sorted_page(df: DataFrame, column: str, tie: str, page: int, size: int = 100, descending: bool = False) -> DataFrame:
-    """One page of rows in the order of a column, nulls last either way; ties by another column."""
-    order = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
+def sorted_page(df: DataFrame, column: str, tie: str, page: int, size: int = 100, descending: bool = False, locale: str | None = None) -> DataFrame:
+    """One page of rows in the order of a column, nulls last either way; ties by another column. Texts go by code points, or by a locale's rules (``ko``, ``UNICODE``)."""
+    key = collated(F.col(column), df.schema[column].dataType, locale)
+    order = key.desc_nulls_last() if descending else key.asc_nulls_last()
     return df.orderBy(order, tie).offset(page * size).limit(size)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import datetime
 import re
 import unicodedata
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, FractionalType, IntegralType, StringType, StructField, StructType, TimestampType
 
 from sparkloom.functions.values import all_of, blank_trimmed
-from sparkloom.operators.order import numbered
+from sparkloom.operators.order import numbered, running_sums
+from sparkloom.plans.storage import materialise
 
 TYPES = ("boolean", "integer", "float", "datetime", "category", "string")
 FORMATS = ("csv", "tsv", "json", "xlsx", "parquet")
@@ -133,31 +135,111 @@ def _clean_rows(df: DataFrame) -> DataFrame:
     return held.where(~all_of([F.col(f"`{c}`").isNull() for c in held.columns]))
 
 
+#: Files whose header rows are broadcast at most; they were counted.
+BROADCAST_FILES = 10_000
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bool | None = None) -> DataFrame:
     """All columns as text; quotes are doubled inside quoted cells, which may span lines.
 
+    The first row of a file that is not blank is its header; the widest row says how many columns there are, and cells that a row
+    has not are null. Blank rows are left out.
+
     A file with cells over several lines can't be split, so that mode is on only where one occurs: a line with an odd number
-    of quotes. One pass over the lines looks for it, unless the caller says.
+    of quotes. One pass over the lines looks for it, unless the caller says; one over the parsed rows finds headers and width.
     """
     if multiline is None:
         multiline = not spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).isEmpty()
-    first = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multiline).option("header", False).csv(path)
-    head = first.first()
-    if head is None:
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": multiline, "header": False, "enforceSchema": True}
+    n = len(spark.read.options(**options).csv(path).columns)  # of the first row
+    if not n:
         raise ValueError("the file is empty")
-    names = header([(x or "").lstrip("﻿") for x in head])
-    schema = StructType([StructField(n, StringType()) for n in names])
-    rows = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multiline).option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-    return _clean_rows(rows)
+    at = {"__file": F.col("_metadata.file_path"), "__at": F.monotonically_increasing_id()}
+    names = [f"c{i}" for i in range(n)]
+    schema = StructType([StructField(c, StringType()) for c in (*names, "__odd")])  # __odd: the row as written, where it has more or fewer cells
+    rows = spark.read.options(**options, columnNameOfCorruptRecord="__odd").schema(schema).csv(path).withColumns(at)
+    loose = F.regexp_replace("__odd", '"[^"]*"', "")
+    blank_row = all_of([blank_trimmed(F.col(c)) | F.col(c).isNull() for c in names]) & F.coalesce(F.translate("__odd", sep + '" \t\r\n', "") == "", F.lit(True))
+    width = F.greatest(F.lit(n), F.coalesce(F.length(loose) - F.length(F.replace(loose, F.lit(sep))) + 1, F.lit(0)))
+    heads = rows.where(~blank_row).groupBy("__file").agg(F.min(F.struct("__at", F.col("__odd").alias("odd"), F.array(*names).alias("cells"))).alias("head"), F.max(width).alias("width"))
+    heads = materialise(heads.select("__file", "head.__at", "head.odd", "head.cells", "width"), "headers")  # one row for each file
+    first = heads.orderBy("__at").first()
+    if first is None:
+        raise ValueError("the file is empty")
+    width = heads.agg(F.max("width")).first()[0]
+    told = next(csv.reader([first.odd], delimiter=sep)) if first.odd is not None else list(first.cells)
+    named = header([(x or "").lstrip("\ufeff") for x in (*told, *[None] * (width - len(told)))])
+    schema = StructType([StructField(f"c{i}", StringType()) for i in range(width)])
+    body = spark.read.options(**options).schema(schema).csv(path).withColumns(at)
+    side = heads.select("__file", "__at")
+    kept = body.join(F.broadcast(side) if heads.count() <= BROADCAST_FILES else side, ["__file", "__at"], "left_anti")
+    return _clean_rows(kept.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(named)]))
+
+
+def _objects(spark: SparkSession, path: str) -> DataFrame:
+    """at (in the order of the file) and text of each element of an array of objects; the file is split between tasks at its closing braces.
+
+    Whether a brace stands in a text, and how deep it lies, follow from running sums of quotes and brackets over the pieces.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).withColumn("__at", F.monotonically_increasing_id())
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x)))
+    plain = F.regexp_replace("value", r"(?s)\\.", "")  # no escaped quotes
+    quoted = running_sums(pieces.withColumn("__plain", plain).withColumn("__q", count(F.col("__plain"), '"')), {"__quotes": "__q"}, ["__at"])
+    begun = (F.col("__quotes") - F.col("__q")) % 2 == 1
+    bare = F.regexp_replace(F.when(begun, F.regexp_replace("__plain", r'^[^"]*"?', "")).otherwise(F.col("__plain")), r'"[^"]*(?:"|\z)', "")
+    closed = F.col("__quotes") % 2 == 0  # the brace at the end of the piece is no text
+    deep = quoted.withColumn("__bare", bare).withColumn("__d", count(F.col("__bare"), "{") + count(F.col("__bare"), "[") - count(F.col("__bare"), "]") - closed.cast("int"))
+    placed = running_sums(deep.select("__at", "value", "__d", closed.alias("__closed")), {"__depth": "__d"}, ["__at"])
+    ends = placed.withColumn("__end", (F.col("__closed") & (F.col("__depth") == 1)).cast("int"))
+    named = running_sums(ends.select("__at", "value", "__end"), {"__ends": "__end"}, ["__at"])
+    held = named.groupBy((F.col("__ends") - F.col("__end")).alias("at")).agg(F.array_sort(F.collect_list(F.struct("__at", "value"))).alias("p"), F.max("__end").alias("whole"))
+    text = F.regexp_replace(F.array_join(F.transform("p", lambda x: x["value"]), "}"), r"^\ufeff?\s*[\[,]\s*", "")
+    return held.select("at", F.when(F.col("whole") == 1, F.concat(text, F.lit("}"))).otherwise(F.array_join(F.transform("p", lambda x: x["value"]), "}")).alias("text"), (F.col("whole") == 1).alias("whole"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, or one object a line; nested values become JSON text."""
-    df = spark.read.option("multiLine", True).json(path)
-    if "_corrupt_record" in df.columns or not df.columns:
-        raise ValueError("not an array of objects")
-    nested = ("array", "struct", "map")
-    return df.select(*[F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in nested else F.col(f"`{c}`") for c in df.columns])
+    """An array of objects, or one object a line: columns in the order in which keys first appear, nested values as JSON text, blanks null.
+
+    Elements are kept as text and read as VARIANT, so no schema has to be found before. What is no object raises
+    ValueError with the number of its row. A key is a column of whole numbers, numbers or truths if all of its values are, else of texts.
+    """
+    first = next((r.value for r in spark.read.text(path).where(F.trim("value") != "").limit(1).collect()), "")
+    array = first.lstrip("\ufeff \t").startswith("[")
+    if array:
+        found = _objects(spark, path)
+    else:
+        found = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"), F.lit(None).cast("boolean").alias("whole"))
+    found = materialise(found.withColumn("v", F.expr("try_parse_json(text)")), "objects")
+    rows = found.where(F.coalesce("whole", F.lit(True)))
+    bad = rows.where(F.col("v").isNull() | ~F.ltrim("text").startswith("{")).agg(F.min("at")).first()[0]
+    if bad is not None:
+        raise ValueError(f"JSON row {rows.where(F.col('at') <= bad).count()} must be an object")
+    if array:
+        rest = [r.text for r in found.where("not whole").select("text").limit(2).collect()]  # what follows the last object
+        if len(rest) != 1 or not re.fullmatch(r"\ufeff?\s*\[?\s*\]\s*", rest[0]):
+            raise ValueError(f"JSON row {rows.count() + 1} must be an object")
+    seen = rows.select("at", F.posexplode(F.json_object_keys("text")).alias("k", "key")).groupBy("key").agg(F.min(F.struct("at", "k")).alias("first"))
+    keys = [r.key for r in seen.orderBy("first").select("key").limit(MAX_KEYS + 1).collect()]
+    if not keys:
+        raise ValueError("JSON must be a non-empty array of objects")
+    if len(keys) > MAX_KEYS:
+        raise ValueError(f"more than {MAX_KEYS} keys")
+
+    def path_of(key: str) -> str:
+        mark = '"' if "'" in key else "'"
+        if mark in key:
+            raise ValueError(f"a key with both kinds of quotes: {key}")
+        return f"$[{mark}{key}{mark}]"
+
+    at = {k: F.variant_get("v", path_of(k), "variant") for k in keys}
+    kinds = rows.agg(*[F.schema_of_variant_agg(v).alias(f"k{i}") for i, v in enumerate(at.values())]).first()
+    cast = lambda k: "boolean" if k == "BOOLEAN" else "long" if k == "BIGINT" else "double" if k == "DOUBLE" or k.startswith("DECIMAL") else "string"
+    made = [F.variant_get("v", path_of(k), cast(kind)) for k, kind in zip(keys, kinds)]
+    return rows.select(*[(F.when(~blank_trimmed(c), c) if cast(kind) == "string" else c).alias(k) for k, kind, c in zip(keys, kinds, made)])
+
+
+#: Columns of a JSON file at most.
+MAX_KEYS = 10_000
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
