@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from sparkloom.functions.values import all_of
 from sparkloom.plans.storage import materialise
 
 #: Rows of one block when neighbours are looked up by place.
 BLOCK_ROWS = 100_000
 #: Rank error of a quantile sketch is at most n / ACCURACY; it gives STEPS + 1 cuts.
 ACCURACY = 10_000
-STEPS = 500
+STEPS = 1000
 #: Rows of a group and quantile that are put in order by one task, at most (or all, if they have one value).
-RANK_ROWS = 4096
+RANK_ROWS = 10_000
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "__n") -> DataFrame:
@@ -88,10 +88,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[s
     """One row for each key tuple (nulls are keys) with the quantiles (name, value, p), interpolated between the two nearest values.
 
     Rank selection by repeated narrowing: a sketch cuts what lies between two bounds, and the cuts on both sides of the
-    wanted ranks are tried as the next ones: a grouped pass counts what lies below, on and between them. If a wanted rank is
-    on a bound, the answer is known; else the search goes on strictly between them, where about 1 / 125 of the rows are left, however
+    wanted ranks are tried as the next ones. A grouped pass counts what lies below, on and between them. If a wanted rank is
+    on a bound, the answer is known; else the search goes on strictly between them, where about 1 / 250 of the rows are left, however
     many equal values there are. It ends when each quantile of each group is known or has at most ``RANK_ROWS`` rows left; only
-    these are put in order. So 10^11 rows take five rounds and no task gets more of a group than ``RANK_ROWS`` rows. Bounds
+    these are put in order. So 10^11 rows take three rounds and no task gets more of a group than ``RANK_ROWS`` rows. Bounds
     that a sketch got wrong are seen by the counts and not used. The state, a row for each key tuple, is written to the shared
     folder between rounds.
     """
@@ -99,66 +99,62 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[s
     of = [values.setdefault(str(v), (f"__v{len(values)}", v))[0] for _, v, _ in wanted]
     names, every = [f"__k{j}" for j in range(len(keys))], range(len(wanted))
     held = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[v.cast("double").alias(n) for n, v in values.values()])
-    cuts = lambda v: F.percentile_approx(v, [k / STEPS for k in range(STEPS + 1)], ACCURACY)
+    shares = F.lit(np.arange(STEPS + 1) / STEPS)
 
     def met(rows: DataFrame, sides: DataFrame) -> DataFrame:
         sides = sides.withColumnsRenamed({n: f"__s{n}" for n in names})
-        return rows.join(sides, all_of([F.col(n).eqNullSafe(F.col(f"__s{n}")) for n in names])) if names else rows.crossJoin(F.broadcast(sides))  # without keys, one row
+        return rows.join(sides, F.expr(" and ".join(f"{n} <=> __s{n}" for n in names))) if names else rows.crossJoin(F.broadcast(sides))  # without keys, one row
 
-    def between(v: Column, s: Column) -> Column:
-        return v.isNotNull() & F.coalesce(v > s["lo"], F.lit(True)) & F.coalesce(v < s["hi"], F.lit(True))
+    # expressions are written as SQL: a column object for each of their nodes would cost seconds of planning
+    ranks = [(f"floor((__q{i}.c - 1) * {p!r}D)", f"ceil((__q{i}.c - 1) * {p!r}D)") for i, (_, _, p) in enumerate(wanted)]
 
-    def ranks(s: Column, p: float) -> tuple[Column, Column]:
-        place = (s["c"] - 1) * p
-        return F.floor(place), F.ceil(place)
-
-    def tried(s: Column, p: float) -> Column:
+    def tried(i: int) -> Column:
         """The cuts around the wanted ranks, one further on each side than the sketch can be wrong."""
-        share = lambda rank: (rank - s["below"]) / F.greatest(s["inside"], F.lit(1)) * STEPS
-        low, high = ranks(s, p)
-        lo, hi = F.greatest(F.floor(share(low)) - 1, F.lit(0)), F.least(F.ceil(share(high)) + 1, F.lit(STEPS))
-        return F.struct(F.get(s["cuts"], lo.cast("int")).alias("lo"), F.get(s["cuts"], hi.cast("int")).alias("hi"))
+        q = f"__q{i}"
+        lo, hi = (f"({rank} - {q}.below) / greatest({q}.inside, 1) * {STEPS}" for rank in ranks[i])
+        cut = lambda at: f"get(__u{i}, cast({at} as int))"
+        return F.expr(f"case when not {q}.settled then named_struct('lo', {cut(f'greatest(floor({lo}) - 1, 0)')}, 'hi', {cut(f'least(ceil({hi}) + 1, {STEPS})')}) end").alias(f"__t{i}")
 
-    def judged(q: Column, t: Column, n: Column, p: float) -> Column:
+    def judged(i: int) -> Column:
         """The state after a pass: q before it, t the bounds tried, n what was counted."""
-        low, high = ranks(q, p)
-        upto, before = n["below"] + n["on_lo"], n["below"] + n["on_lo"] + n["mid"]
-        sound = (n["below"] <= low) & (high < before + n["on_hi"])
-        on_lo, on_hi = low < upto, high >= before
-        found = F.struct(F.when(on_lo, t["lo"]).when(on_hi, F.when(low >= before, t["hi"]).otherwise(n["last"])).alias("low"), F.when(on_lo, F.when(high < upto, t["lo"]).otherwise(F.coalesce(n["first"], t["hi"]))).when(on_hi, t["hi"]).alias("high"))
-        new = [q["c"].alias("c"), t["lo"].alias("lo"), t["hi"].alias("hi"), upto.alias("below"), n["mid"].alias("inside"), found["low"].alias("low"), found["high"].alias("high"), n["cuts"].alias("cuts"), (on_lo | on_hi | (n["mid"] <= RANK_ROWS)).alias("settled")]
-        return F.when(q["settled"], q).when(sound, F.struct(*new)).otherwise(q.withField("settled", F.lit(True)))
-
-    null = F.lit(None).cast("double")
-    first = held.groupBy(*names).agg(*[F.struct(F.count(n).alias("c"), cuts(F.col(n)).alias("cuts")).alias(n) for n, _ in values.values()])
-    begin = lambda v: F.struct(v["c"].alias("c"), null.alias("lo"), null.alias("hi"), F.lit(0).cast("long").alias("below"), v["c"].alias("inside"), null.alias("low"), null.alias("high"), v["cuts"].alias("cuts"), (v["c"] <= RANK_ROWS).alias("settled"))
-    now = materialise(first.select(*names, *[begin(F.col(of[i])).alias(f"__q{i}") for i in every]), "ranks")
-    while now.where(~all_of([F.col(f"__q{i}.settled") for i in every])).limit(1).count():
-        sides = now.select(*names, *[F.col(f"__q{i}") for i in every], *[tried(F.col(f"__q{i}"), p).alias(f"__t{i}") for i, (_, _, p) in enumerate(wanted)])
-        bounds = sides.select(*names, *[F.when(~F.col(f"__q{i}.settled"), F.col(f"__t{i}")).alias(f"__t{i}") for i in every])
-        passed = []
+        q, t, n, (low, high) = f"__q{i}", f"__t{i}", f"__n{i}", ranks[i]
+        upto, before = f"({n}.below + {n}.on_lo)", f"({n}.below + {n}.on_lo + {n}.mid)"
+        sound = f"{n}.below <= {low} and {high} < {before} + {n}.on_hi"
+        on_lo, on_hi = f"{low} < {upto}", f"{high} >= {before}"
+        first = f"case when {on_lo} then {t}.lo when {on_hi} then case when {low} >= {before} then {t}.hi else {n}.last end end"
+        second = f"case when {on_lo} then case when {high} < {upto} then {t}.lo else coalesce({n}.first, {t}.hi) end when {on_hi} then {t}.hi end"
+        new = f"named_struct('c', {q}.c, 'lo', {t}.lo, 'hi', {t}.hi, 'below', {upto}, 'inside', {n}.mid, 'low', {first}, 'high', {second}, 'settled', {on_lo} or {on_hi} or {n}.mid <= {RANK_ROWS})"
+        old = f"named_struct('c', {q}.c, 'lo', {q}.lo, 'hi', {q}.hi, 'below', {q}.below, 'inside', {q}.inside, 'low', {q}.low, 'high', {q}.high, 'settled', true)"
+        return F.expr(f"case when {q}.settled then {q} when {sound} then {new} else {old} end").alias(f"__q{i}")
+
+    null = "cast(null as double)"
+    begin = lambda v: f"named_struct('c', {v}.c, 'lo', {null}, 'hi', {null}, 'below', 0L, 'inside', {v}.c, 'low', {null}, 'high', {null}, 'settled', {v}.c <= {RANK_ROWS})"
+    first = held.groupBy(*names).agg(*[F.struct(F.count(n).alias("c"), F.percentile_approx(n, shares, ACCURACY).alias("cuts")).alias(n) for n, _ in values.values()])
+    states, cuts = [f"__q{i}" for i in every], [f"__u{i}" for i in every]
+    now = materialise(first.select(*names, *[F.expr(begin(of[i])).alias(f"__q{i}") for i in every], *[F.col(f"{of[i]}.cuts").alias(f"__u{i}") for i in every]), "ranks")
+    while now.where("not (" + " and ".join(f"{q}.settled" for q in states) + ")").limit(1).count():
+        if cuts[0] not in now.columns:  # a sketch of what lies between the bounds
+            between = [f"case when not __q{i}.settled and {of[i]} > __q{i}.lo and {of[i]} < __q{i}.hi then {of[i]} end" for i in every]
+            sketch = met(held, now).groupBy(*names).agg(*[F.percentile_approx(F.expr(x), shares, ACCURACY).alias(u) for x, u in zip(between, cuts)])
+            now = materialise(met(sketch, now).select(*names, *states, *cuts), "ranks", instead_of=(now,))
+        bounds, passed = now.select(*names, *[tried(i) for i in every]), []
         for i in every:
-            v, t = F.col(of[i]), F.col(f"__t{i}")
-            mid = F.when((v > t["lo"]) & (v < t["hi"]), v)
-            passed.append(F.struct(F.count_if(v < t["lo"]).alias("below"), F.count_if(v == t["lo"]).alias("on_lo"), F.count(mid).alias("mid"), F.count_if(v == t["hi"]).alias("on_hi"), F.min(mid).alias("first"), F.max(mid).alias("last"), cuts(mid).alias("cuts")).alias(f"__n{i}"))
-        counted = met(held, bounds).groupBy(*names).agg(*passed)
-        after = [judged(F.col(f"__q{i}"), F.col(f"__t{i}"), F.col(f"__n{i}"), p).alias(f"__q{i}") for i, (_, _, p) in enumerate(wanted)]
-        now = materialise(met(counted, sides).select(*names, *after), "ranks", instead_of=(now,))
-    sides = now.select(*names, *[F.col(f"__q{i}").dropFields("cuts").alias(f"__q{i}") for i in every])
-    cells = [F.struct(F.lit(i).alias("i"), F.col(of[i]).alias("v"), (between(F.col(of[i]), F.col(f"__q{i}")) & F.col(f"__q{i}.low").isNull()).alias("in")) for i in every]
-    left = met(held, sides).select(*names, F.inline(F.array(*cells))).where("in").groupBy(*names, "i", "v").agg(F.count(F.lit(1)).alias("n"))
+            v, t = of[i], f"__t{i}"
+            mid = f"case when {v} > {t}.lo and {v} < {t}.hi then {v} end"
+            passed.append(F.expr(f"named_struct('below', count_if({v} < {t}.lo), 'on_lo', count_if({v} = {t}.lo), 'mid', count({mid}), 'on_hi', count_if({v} = {t}.hi), 'first', min({mid}), 'last', max({mid}))").alias(f"__n{i}"))
+        counted = met(met(held, bounds).groupBy(*names).agg(*passed), now.select(*names, *states, *[tried(i) for i in every]))
+        now = materialise(counted.select(*names, *[judged(i) for i in every]), "ranks", instead_of=(now,))
+    sides = now.select(*names, *states)
+    part = lambda i: f"named_struct('i', {i}, 'v', {of[i]}, 'in', {of[i]} is not null and __q{i}.low is null and coalesce({of[i]} > __q{i}.lo, true) and coalesce({of[i]} < __q{i}.hi, true))"
+    left = met(held, sides).select(*names, F.expr(f"inline(array({', '.join(map(part, every))}))")).where("in").groupBy(*names, "i", "v").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*names, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ordered = met(left.withColumn("upto", upto), sides)
-    ends = []
-    for i, (_, _, p) in enumerate(wanted):
-        q = F.col(f"__q{i}")
-        ends += [F.min(F.when((F.col("i") == i) & (q["below"] + F.col("upto") > rank), F.col("v"))).alias(f"__{end}{i}") for end, rank in zip("lh", ranks(q, p))]
-    found = ordered.groupBy(*names).agg(*ends)
-    found = found.select(*[F.col(n).alias(f"__f{n}") for n in names], *[f"__{end}{i}" for i in every for end in "lh"])
-    back = sides.join(found, all_of([F.col(n).eqNullSafe(F.col(f"__f{n}")) for n in names]), "left") if names else sides.crossJoin(F.broadcast(found))  # one row each
-    out = []
-    for i, (name, _, p) in enumerate(wanted):
-        q = F.col(f"__q{i}")
-        part, low, high = (q["c"] - 1) * p - ranks(q, p)[0], F.coalesce(q["low"], f"__l{i}"), F.coalesce(q["high"], f"__h{i}")
-        out.append(F.when(low == high, low).otherwise(low * (1 - part) + high * part).alias(name))
-    return back.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *out)
+    ends = [F.expr(f"min(case when i = {i} and __q{i}.below + upto > {rank} then v end)").alias(f"__{end}{i}") for i in every for end, rank in zip("lh", ranks[i])]
+    found = met(left.withColumn("upto", upto), sides).groupBy(*names).agg(*ends).withColumnsRenamed({n: f"__f{n}" for n in names})
+    back = sides.join(found, F.expr(" and ".join(f"{n} <=> __f{n}" for n in names)), "left") if names else sides.crossJoin(F.broadcast(found))  # one row each
+
+    def answer(i: int, p: float) -> Column:
+        low, high = f"coalesce(__q{i}.low, __l{i})", f"coalesce(__q{i}.high, __h{i})"
+        rest = f"((__q{i}.c - 1) * {p!r}D - {ranks[i][0]})"
+        return F.expr(f"case when {low} = {high} then {low} else {low} * (1 - {rest}) + {high} * {rest} end")
+
+    return back.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *[answer(i, p).alias(name) for i, (name, _, p) in enumerate(wanted)])
