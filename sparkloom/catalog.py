@@ -208,6 +208,16 @@ def _(spark, d):
     return found.withColumn("top", F.array_join(F.transform("top", lambda t: F.concat_ws(":", t["value"], t["n"])), " "))
 
 
+@register("dsc_distribution", """
+with f as (select count(*) as n, round(avg(o_totalprice), 4) as mean, round(median(o_totalprice), 4) as median, round(stddev_samp(o_totalprice), 4) as std, min(o_totalprice) as min, quantile_cont(o_totalprice, 0.25) as q1, quantile_cont(o_totalprice, 0.75) as q3, max(o_totalprice) as max, round(skewness(o_totalprice), 4) as skewness, round(kurtosis(o_totalprice), 4) as kurtosis from orders),
+b as (select least(floor((o_totalprice - min) / ((max - min) / 8)), 7)::int as bin, count(*) as n from orders, f group by 1)
+select n, mean, median, std, round(min, 4) as min, round(q1, 4) as q1, round(q3, 4) as q3, round(max, 4) as max, skewness, kurtosis, round(q3 - q1, 4) as iqr, (select count(*) from orders, f where o_totalprice < q1 - 1.5 * (q3 - q1) or o_totalprice > q3 + 1.5 * (q3 - q1)) as outliers, 0::bigint as missing,
+(select string_agg(coalesce(b.n, 0)::varchar, ' ' order by k) from range(8) r(k) left join b on b.bin = k) as bins from f""")
+def _(spark, d):
+    found = rounded(distributions.distribution_report(load(spark, d, "orders"), "o_totalprice", 8))
+    return found.withColumn("bins", F.array_join(F.transform("bins", lambda b: b["n"].cast("string")), " "))
+
+
 @register("dsc_findings", """
 with q as (select quantile_cont(o_totalprice, 0.25) as a, quantile_cont(o_totalprice, 0.75) as b, quantile_cont(o_custkey, 0.25) as c, quantile_cont(o_custkey, 0.75) as d from orders)
 select 'rows' as kind, '' as subject, count(*)::double as value from orders
@@ -1213,6 +1223,22 @@ def _sql(name: str, query: str, oracle: str | None = None) -> None:
         return found
 
 
+@register("sql_changed_view", """
+with s as (select s_suppkey, upper(s_name) as label, round((s_acctbal - (select min(s_acctbal) from supplier)) / (select max(s_acctbal) - min(s_acctbal) from supplier), 4) as s_acctbal, s_nationkey from supplier where s_suppkey not in (3, 4))
+select n_name, count(*) as n, round(sum(s_acctbal), 4) as total, min(label) as first from s join nation on s_nationkey = n_nationkey group by n_name""")
+def _(spark, d):
+    """SQL over a view whose steps stay, but for the last, which was taken back."""
+    held = Registry(spark)
+    key = held.add("supplier", load(spark, d, "supplier"), "s_suppkey")
+    for step in (Step("normalize", "s_acctbal"), Step("rename", "s_name", {"to": "label"}), Step("drop_rows", None, {"keys": [3, 4]}), Step("drop_col", "label")):
+        held.step(key, step)
+    held.move(key, -1)
+    held.add("nation", load(spark, d, "nation"), "n_nationkey")
+    found = held.sql("select n_name, count(*) as n, round(sum(s_acctbal), 4) as total, min(upper(label)) as first from supplier join nation on s_nationkey = n_nationkey group by n_name")
+    held.close()
+    return found
+
+
 TABLES = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "embeddings"}
 
 _sql("sql_semi", "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o_totalprice > 400000)")

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.values import finite, number
+from sparkloom.functions.values import blank, finite, number
+from sparkloom.operators.aggregate import describe, histogram
 from sparkloom.operators.control import normal_quantile
 from sparkloom.operators.order import numbered
 from sparkloom.operators.stats import invert, moments
@@ -116,3 +117,14 @@ def mahalanobis(df: DataFrame, columns: Sequence[str], alpha: float = 0.975, top
     if top is not None:
         return out.orderBy(F.desc("d2")).limit(top).withColumn("outlier", F.lit(True))
     return out.withColumn("outlier", F.col("d2") > chi2_quantile(alpha, len(columns)))
+
+
+def distribution_report(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
+    """One row: the figures of ``describe``, missing, iqr (1 without spread), outliers (beyond 1.5 of it from the quartiles), and the histogram as an array of (lo, hi, n)."""
+    v = number(F.col(value), df.schema[value].dataType)
+    figures = describe(df, [value]).withColumn("iqr", F.when(F.col("q3") > F.col("q1"), F.col("q3") - F.col("q1")).otherwise(1.0))
+    held = df.select(v.alias("__v"), blank(F.col(value)).alias("__blank")).crossJoin(F.broadcast(figures.select(F.col("q1").alias("__q1"), F.col("q3").alias("__q3"), F.col("iqr").alias("__iqr"))))  # one row
+    far = (F.col("__v") < F.col("__q1") - 1.5 * F.col("__iqr")) | (F.col("__v") > F.col("__q3") + 1.5 * F.col("__iqr"))
+    counts = held.agg(F.count_if(far).alias("outliers"), F.count_if("__blank").alias("missing"))
+    drawn = histogram(df, value, bins).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "lo", "hi", "n"))), lambda b: F.struct(b["lo"].alias("lo"), b["hi"].alias("hi"), b["n"].alias("n"))).alias("bins"))  # ``bins`` rows
+    return figures.drop("column").crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(drawn))  # one row each

@@ -77,6 +77,13 @@ def scaled(df: DataFrame, columns: Sequence[str], sample: bool = False) -> tuple
     return held.withColumns({f"z{i}": (x - float(m)) / float(s) for i, (x, m, s) in enumerate(zip(v, mean, sd))}), mean, sd
 
 
+def _majority(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """query and predicted: the most frequent class of its near points, of ties that of the nearest."""
+    each = found.select("query", F.posexplode("near").alias("i", "x")).select("query", "i", F.col("x.key").alias("key"))
+    votes = each.join(classes, "key").groupBy("query", "class").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"))
+    return votes.groupBy("query").agg(F.min_by("class", F.struct(-F.col("n"), F.col("i"))).alias("predicted"))
+
+
 def nearest_neighbours(df: DataFrame, target: str, inputs: Sequence[str], key: str, k: int = 5, share: float = 0.3, seed: int = 11) -> DataFrame:
     """key, actual and predicted class of the test rows: the majority of the k nearest training rows, of ties the nearest.
 
@@ -86,9 +93,7 @@ def nearest_neighbours(df: DataFrame, target: str, inputs: Sequence[str], key: s
     parts = materialise(holdout(z, key, share, seed).select(F.col(key).alias("key"), F.col(target).cast("string").alias("class"), "test", *[F.col(f"z{i}").alias(f"x{i}") for i in range(len(inputs))]), "parts")
     at = [f"x{i}" for i in range(len(inputs))]
     found = k_nearest(parts.where("not test").select("key", *at), parts.where("test").select(F.col("key").alias("query"), *at), len(inputs), k)
-    each = found.select("query", F.posexplode("near").alias("i", "x")).select("query", "i", F.col("x.key").alias("key"))
-    votes = each.join(parts.where("not test").select("key", "class"), "key").groupBy("query", "class").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"))
-    said = votes.groupBy("query").agg(F.min_by("class", F.struct(-F.col("n"), F.col("i"))).alias("predicted"))
+    said = _majority(found, parts.where("not test").select("key", "class"))
     return parts.where("test").select(F.col("key").alias("query"), F.col("class").alias("actual")).join(said, "query").select(F.col("query").alias(key), "actual", "predicted")
 
 
@@ -355,6 +360,40 @@ def bayes_score(target: str, inputs: Sequence[str]) -> Callable[[DataFrame, Data
     return score
 
 
+def _accuracy(said: DataFrame, target: str) -> float | None:
+    return said.agg(F.avg((F.col("predicted") == F.col(target).cast("string")).cast("double")).alias("a")).first().a
+
+
+def tree_score(target: str, inputs: Sequence[str], max_depth: int = 6) -> Callable[[DataFrame, DataFrame], float | None]:
+    """Accuracy on the held-out rows of a tree, for ``cross_validate``."""
+    return lambda train, test: _accuracy(test.withColumn("predicted", decision_tree(train, target, inputs, max_depth)), target)
+
+
+def logistic_score(target: str, positive: str, inputs: Sequence[str], l2: float = 0.0) -> Callable[[DataFrame, DataFrame], float | None]:
+    """Accuracy on the held-out rows of a logistic model that says yes from one half on, for ``cross_validate``."""
+
+    def score(train: DataFrame, test: DataFrame) -> float | None:
+        p = logistic_predict(logistic(train, target, positive, inputs, l2))
+        return test.agg(F.avg(((p >= 0.5) == (F.col(target).cast("string") == positive)).cast("double")).alias("a")).first().a
+
+    return score
+
+
+def neighbours_score(target: str, inputs: Sequence[str], key: str, k: int = 5) -> Callable[[DataFrame, DataFrame], float | None]:
+    """Accuracy on the held-out rows of the k nearest training rows' majority, at the training rows' scale, for ``cross_validate``."""
+
+    def score(train: DataFrame, test: DataFrame) -> float | None:
+        at = [f"x{i}" for i in range(len(inputs))]
+        held, mean, sd = scaled(train, inputs)
+        points = held.select(F.col(key).alias("key"), F.col(target).cast("string").alias("class"), *[F.col(f"z{i}").alias(x) for i, x in enumerate(at)])
+        v = [number(F.col(c), test.schema[c].dataType) for c in inputs]
+        asked = test.where(all_of([x.isNotNull() for x in v])).select(F.col(key).alias("query"), F.col(target).alias(target), *[((x - float(m)) / float(s)).alias(a) for x, m, s, a in zip(v, mean, sd, at)])
+        said = _majority(k_nearest(points.select("key", *at), asked.select("query", *at), len(inputs), k), points.select("key", "class"))
+        return _accuracy(asked.join(said, "query"), target)
+
+    return score
+
+
 def eligible_targets(df: DataFrame, columns: Sequence[str], most: int = 20) -> DataFrame:
     """column and classes of those with 2 to ``most`` classes, fewest first."""
     row = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count_distinct(c).alias("classes")) for c in columns]).alias("r"))

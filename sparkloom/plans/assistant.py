@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.plans.charts import ChartSpec
 
-#: What the words of a question ask for, in the order they are tried.
+#: What the words of a question ask for, in the order they are tried.
 INTENTS = (
     ("outlier", r"outlier|anomal|이상치|이상값"),
     ("correlation", r"correl|relat|상관"),

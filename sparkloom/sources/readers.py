@@ -329,5 +329,6 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 
 def preview(df: DataFrame, rows: int = 20) -> DataFrame:
-    """The first rows: a preview, not a sample."""
-    return df.limit(rows)
+    """The first rows in the order in which they were read, each with n_rows, the number of all: a preview, not a sample."""
+    first = df.withColumn("__read", F.monotonically_increasing_id()).orderBy("__read").limit(rows).drop("__read")
+    return first.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n_rows"))))  # one row

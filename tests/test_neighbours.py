@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import combine, density, learn, neighbours, overlay
+from sparkloom.operators import combine, density, learn, neighbours, overlay, stats
 
 
 def square(x, y):
@@ -187,3 +187,19 @@ def test_edits_as_a_table(spark, monkeypatch):
                 if r.id is not None:
                     assert r[c] == (parse[c](want[str(r.id), c]) if (str(r.id), c) in want else own)
     assert overlay.without(df, edits, "id").count() == 12_001 - 5_000
+
+
+def test_cross_validation_of_classifiers(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(x), float(y), "p" if x + y > 0 else "n") for i, (x, y) in enumerate(rng.normal(size=(90, 2)) + np.where(rng.random((90, 1)) < 0.5, 3, -3))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, c string")
+    for score in (learn.tree_score("c", ["x", "y"], 3), learn.logistic_score("c", "p", ["x", "y"], 0.01), learn.neighbours_score("c", ["x", "y"], "id", 3)):
+        assert learn.cross_validate(df, "id", 3, score)["mean"] > 0.9
+
+
+def test_contingency_refuses_many_levels(spark):
+    df = spark.range(120).selectExpr("id % 51 as a", "id % 2 as b")
+    for fn in (stats.contingency, stats.chi_square_table):
+        with pytest.raises(ValueError):
+            fn(df, "a", "b")
+    assert stats.contingency(df.where("a < 50"), "a", "b").count() == 100

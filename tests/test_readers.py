@@ -85,6 +85,12 @@ def test_json_errors_name_their_row(spark, tmp_path, text, row):
         readers.read_json(spark, str(tmp_path / "e.json"))
 
 
+def test_preview(spark):
+    df = spark.range(1000).selectExpr("id", "id % 7 as k").repartition(5)
+    shown = readers.preview(df, 3).collect()
+    assert len(shown) == 3 and {r.n_rows for r in shown} == {1000} and readers.preview(df.limit(0)).count() == 0
+
+
 def test_json_lines(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"b": 1, "a": "x"}\n\n{"c": [1, 2], "a": " "}\n')
     df = readers.read_json(spark, str(tmp_path / "l.json"))
