@@ -1052,6 +1052,22 @@ def _(spark, d):
     return rounded(charts.ranked(load(spark, d, "part"), charts.ChartSpec("bar", ("p_brand",), (("p_retailprice", "sum", "value"),), top=10)), 2)
 
 
+@register("viz_filtered", "select p_brand, round(sum(p_retailprice), 2) as value, count(*) as \"__count\" from part where p_size between 5 and 20 and p_brand in ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22') group by 1")
+def _(spark, d):
+    """A chart with filters of its own: some brands, some sizes."""
+    spec = charts.ChartSpec("bar", ("p_brand",), (("p_retailprice", "sum", "value"),), filters=(("p_size", (5, 20)), ("p_brand", ("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22"))))
+    return rounded(charts.ranked(load(spark, d, "part"), spec), 2)
+
+
+@register("ins_class_lines", """
+with c as (select o_orderpriority as class, o_orderpriority in ('1-URGENT', '2-HIGH') as y, o_totalprice > 250000 as p from orders), g as (select (y::int)::varchar as a, (p::int)::varchar as b, count(*) as n from c group by 1, 2),
+s as (select k as class, sum(n) filter (a = k and b = k) as tp, sum(n) filter (b = k) as said, sum(n) filter (a = k) as real from g, (values ('0'), ('1')) v(k) group by 1)
+select class, printf('P=%.0f%%/R=%.0f%%', tp / said * 100, tp / real * 100) as line from s""")
+def _(spark, d):
+    o = load(spark, d, "orders").select(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").cast("string").alias("actual"), (F.col("o_totalprice") > 250000).cast("int").cast("string").alias("predicted"))
+    return assistant.class_lines(learn.class_metrics(o))
+
+
 @register("viz_colored", "select l_returnflag, round(coalesce(sum(l_quantity) filter (l_linestatus = 'F'), 0), 2) as \"F\", round(coalesce(sum(l_quantity) filter (l_linestatus = 'O'), 0), 2) as \"O\" from lineitem group by 1")
 def _(spark, d):
     return rounded(charts.colored(load(spark, d, "lineitem"), charts.ChartSpec("bar", ("l_returnflag",), (("l_quantity", "sum", "v"),), color="l_linestatus")), 2)

@@ -10,21 +10,23 @@ from pyspark.sql import functions as F
 
 from sparkloom.plans.charts import ChartSpec
 
-#: What the words of a question ask for, in the order they are tried.
+#: What the words of a question ask for, in the order they are tried.
 INTENTS = (
-    ("outlier", r"outlier|anomal|이상치|이상값"),
-    ("correlation", r"correl|relat|상관"),
-    ("regression", r"regress|predict|회귀|예측"),
-    ("distribution", r"distribut|histogram|분포"),
-    ("trend", r"trend|over time|monthly|추이|추세|월별"),
-    ("top", r"\btop\b|best|rank|상위|순위"),
-    ("mix", r"share|mix|proportion|비중|비율|구성"),
-    ("bar", r"by|per|compare|별|비교"),
+    ("outlier", r"outlier|이상치|anomal"),
+    ("correlation", r"correlation|상관"),
+    ("regression", r"regress|회귀"),
+    ("distribution", r"distribut|분포|histogram|boxplot"),
+    ("ml", r"ml|machine|learn|분류|classif|cluster|군집"),
+    ("last", r"last|recent|previous|summary|방금|마지막|결과 요약"),
+    ("trend", r"trend|추세|시계열|over time|시간|월별|연도"),
+    ("top", r"top|상위|rank|순위"),
+    ("mix", r"mix|비율|proportion|share|구성|비중|pie|도넛"),
 )
 
 
-def intent(question: str) -> str | None:
-    return next((name for name, words in INTENTS if re.search(words, question, re.IGNORECASE)), None)
+def intent(question: str) -> str:
+    """What a question asks for; bars of means where no word says."""
+    return next((name for name, words in INTENTS if re.search(words, question.lower())), "bar")
 
 
 def mentioned(question: str, columns: Sequence[str]) -> list[str]:
@@ -52,6 +54,34 @@ def small_dimensions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.inline("r")).where(F.col("values").between(2, 50)).orderBy("values", "column")
 
 
+def grouping(df: DataFrame, dims: Sequence[str]) -> str | None:
+    """The dimension to group by where a question names none: of 2 to 50 values, the fewest; else the first."""
+    small = small_dimensions(df, dims).first() if dims else None
+    return small.column if small else next(iter(dims), None)
+
+
+def suggestions(df: DataFrame, dims: Sequence[str], measures: Sequence[str], dates: Sequence[str] = ()) -> list[tuple[str, str | None, str | None]]:
+    """Up to six questions that the columns can answer, as (intent, measure, dimension)."""
+    d, m = grouping(df, dims), next(iter(measures), None)
+    offered = [("bar", m, d, m and d), ("top", m, d, m and d), ("mix", None, d, d), ("outlier", m, None, m), ("trend", m, next(iter(dates), None), m and dates), ("correlation", None, None, len(measures) > 1), ("last", None, None, True)]
+    return [(what, measure, dim) for what, measure, dim, fits in offered if fits][:6]
+
+
+def next_step(last: str | None, r2: float | None = None) -> str:
+    """What to do after the last analysis: correlation, regression, means (t-test, anova), distribution, builder or none yet."""
+    if last == "regression":
+        return "clean" if r2 is not None and r2 < 0.5 else "models"  # a poor fit: look for outliers first
+    return {"correlation": "regression", "ttest": "regression", "anova": "regression", "distribution": "clean", "builder": "models"}.get(last or "", "correlation")
+
+
+def class_lines(metrics: DataFrame, most: int = 5) -> DataFrame:
+    """class and line, its precision and recall in whole percent, of ``learn.class_metrics``; no rows for more than ``most`` classes."""
+    percent = lambda c: F.format_string("%.0f%%", F.col(c) * 100)
+    few = metrics.limit(most + 1).agg((F.count(F.lit(1)) <= most).alias("__few"))
+    lines = metrics.select("class", F.concat(F.lit("P="), percent("precision"), F.lit("/R="), percent("recall")).alias("line"))
+    return lines.crossJoin(F.broadcast(few)).where("__few").drop("__few")  # one row
+
+
 def regression_summary(model: dict) -> str:
     r2 = model["r2"]
     word = "strong" if r2 >= 0.8 else "good" if r2 >= 0.6 else "moderate" if r2 >= 0.4 else "weak"

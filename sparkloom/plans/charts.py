@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.values import collated, group_text, number, text
 from sparkloom.operators.aggregate import group_by, summarise
+from sparkloom.operators.filters import category_in, in_range
 from sparkloom.operators.kpi import kpi
 
 
 @dataclass(frozen=True)
 class ChartSpec:
-    """What a chart shows: dimensions, (column, aggregate, name) measures, a colour dimension, order and number of marks."""
+    """What a chart shows: dimensions, (column, aggregate, name) measures, a colour dimension, order and number of marks.
+
+    filters: (column, texts that pass) or (column, (least, largest)) of numbers, either of which may be None; all must hold.
+    """
 
     kind: str
     dims: tuple[str, ...]
@@ -24,6 +28,7 @@ class ChartSpec:
     color: str | None = None
     descending: bool = True
     top: int | None = None
+    filters: tuple[tuple[str, tuple], ...] = ()
 
 
 #: Fields each chart needs at least: (dimensions, measures).
@@ -35,9 +40,17 @@ def missing_fields(spec: ChartSpec) -> tuple[int, int]:
     return max(0, d - len(spec.dims)), max(0, m - len(spec.measures))
 
 
+def filtered(df: DataFrame, spec: ChartSpec) -> DataFrame:
+    """The rows that a chart is drawn from."""
+    for column, values in spec.filters:
+        texts = all(isinstance(v, str) for v in values)
+        df = category_in(df, column, values) if texts else in_range(df, column, *values)
+    return df
+
+
 def ranked(df: DataFrame, spec: ChartSpec) -> DataFrame:
     """Bar, line, pie, funnel, treemap: one row for each key, sorted by the first measure, then by key."""
-    out = group_by(df, spec.dims, spec.measures)
+    out = group_by(filtered(df, spec), spec.dims, spec.measures)
     first = spec.measures[0][2]
     order = F.col(first).desc_nulls_last() if spec.descending else F.col(first).asc_nulls_last()
     out = out.orderBy(order, *spec.dims)
@@ -46,6 +59,7 @@ def ranked(df: DataFrame, spec: ChartSpec) -> DataFrame:
 
 def colored(df: DataFrame, spec: ChartSpec, most: int = 16) -> DataFrame:
     """A series for each of the ``most`` most frequent colours; cells without rows are 0."""
+    df = filtered(df, spec)
     c = group_text(F.col(spec.color), df.schema[spec.color].dataType)
     colors = [r[0] for r in df.groupBy(c.alias("c")).count().orderBy(F.desc("count"), "c").limit(most).collect()]
     column, how, name = spec.measures[0]
@@ -60,6 +74,7 @@ def heatmap(df: DataFrame, spec: ChartSpec) -> DataFrame:
 
     Places are numbered over the aggregated names, of which a chart has few.
     """
+    df = filtered(df, spec)
     column, how, _ = spec.measures[0]
     x, y = spec.dims[0], spec.color if spec.color and spec.color != spec.dims[0] else spec.dims[1]
     cells = group_by(df.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(column).alias("value")), ["x", "y"], [("value", how, "value")])
@@ -69,6 +84,7 @@ def heatmap(df: DataFrame, spec: ChartSpec) -> DataFrame:
 
 def radar(df: DataFrame, spec: ChartSpec, most: int = 12) -> DataFrame:
     """A row for each of the first ``most`` keys by name and each measure: key, axis, value, and top, the axis' end: 1.15 times the largest value of all keys, 1 at least."""
+    df = filtered(df, spec)
     if len(spec.measures) < 2:
         raise ValueError("a radar chart needs two measures")
     names = [name for _, _, name in spec.measures]
@@ -81,6 +97,7 @@ def radar(df: DataFrame, spec: ChartSpec, most: int = 12) -> DataFrame:
 
 def series_table(df: DataFrame, spec: ChartSpec) -> DataFrame:
     """What a slide's chart holds: category, series and value, one row for each cell; the colours of a coloured chart are its series, else its measures are."""
+    df = filtered(df, spec)
     if spec.color:
         wide = colored(df, spec)
         names = wide.columns[1:]

@@ -64,12 +64,14 @@ def test_formats(spark):
 
 
 def test_questions():
-    assert assistant.intent("show me the trend of sales") == "trend" and assistant.intent("이상치 보여줘") == "outlier" and assistant.intent("?") is None
+    assert assistant.intent("show me the trend of sales") == "trend" and assistant.intent("이상치 보여줘") == "outlier" and assistant.intent("?") == "bar"
+    assert [assistant.intent(q) for q in ("cluster the rows", "결과 요약", "Top outliers", "월별 매출", "비중", "sum by region")] == ["ml", "last", "outlier", "trend", "mix", "bar"]
     spec = assistant.chart_for("top region by sales", ["region", "kind"], ["cost", "sales"])
     assert (spec.kind, spec.dims, spec.measures[0][0], spec.top) == ("hbar", ("region",), "sales", 10)
     assert assistant.chart_for("outliers", ["a"], ["b"]) is None
     assert assistant.regression_summary({"r2": 0.85, "names": ["intercept", "x", "z"], "p": [0, 0.01, 0.5]}) == "A strong fit (R2 0.850); significant: x."
     assert assistant.classification_summary(0.8) == "good"
+    assert [assistant.next_step(*x) for x in ((None,), ("correlation",), ("regression", 0.4), ("regression", 0.9), ("anova",), ("distribution",), ("builder",))] == ["correlation", "regression", "clean", "models", "regression", "clean", "models"]
 
 
 def test_findings(spark):
@@ -232,3 +234,13 @@ def test_radar_and_heatmap_odd(spark):
     with pytest.raises(ValueError):
         charts.radar(df, charts.ChartSpec("radar", ("k",), (("v", "sum", "v"),)))
     assert charts.heatmap(df.limit(0), charts.ChartSpec("heatmap", ("k", "s"), (("v", "sum", "v"),))).count() == 0
+
+
+def test_suggestions_and_class_lines(spark):
+    df = spark.createDataFrame([(i, i % 3, float(i), "d") for i in range(60)], "id int, k int, v double, one string")
+    assert assistant.grouping(df, ["id", "k", "one"]) == "k" and assistant.grouping(df, ["id"]) == "id" and assistant.grouping(df, []) is None
+    assert assistant.suggestions(df, ["id", "k"], ["v", "id"], ["one"]) == [("bar", "v", "k"), ("top", "v", "k"), ("mix", None, "k"), ("outlier", "v", None), ("trend", "v", "one"), ("correlation", None, None)]
+    assert assistant.suggestions(df, [], []) == [("last", None, None)]
+    said = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "actual string, predicted string")
+    lines = {r["class"]: r.line for r in assistant.class_lines(learn.class_metrics(said)).collect()}
+    assert lines == {"a": "P=50%/R=50%", "b": "P=50%/R=100%", "c": "P=0%/R=0%"} and assistant.class_lines(learn.class_metrics(said), 2).count() == 0
