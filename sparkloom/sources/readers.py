@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import datetime
+import io
+import itertools
 import re
 import unicodedata
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from xml.etree import ElementTree
 
+import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, FractionalType, IntegralType, StringType, StructField, StructType, TimestampType
@@ -264,10 +269,16 @@ def _moment(serial: str, from_1904: bool) -> str:
     return when.strftime("%Y-%m-%d") if when.time() == datetime.time() else when.isoformat(" ", "milliseconds" if when.microsecond else "seconds")
 
 
-def sheet_names(path: str) -> list[str]:
+def sheet_names(spark: SparkSession, path: str) -> list[str]:
     """The names of a workbook's sheets, in order."""
-    with zipfile.ZipFile(path) as z:
-        return [name for name, _ in _sheets(z)]
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content"):
+                with zipfile.ZipFile(io.BytesIO(raw.as_py())) as z:
+                    yield pa.RecordBatch.from_pydict({"names": [[name for name, _ in _sheets(z)]]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(names, "names array<string>").first().names
 
 
 def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
@@ -280,12 +291,13 @@ def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     return [(name, t.lstrip("/") if t.startswith("/") else f"xl/{t}") for name, t in told]
 
 
-def read_xlsx(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
-    """One sheet of a workbook, by place or name, on a local or shared path; all columns as text, dates in ISO form.
+#: Rows of a sheet that a task hands on at a time.
+SHEET_ROWS = 2000
 
-    A workbook holds at most 1,048,576 rows, which bounds what the driver reads.
-    """
-    with zipfile.ZipFile(path) as z:
+
+def _cells(content: bytes, sheet: int | str) -> Iterator[list[str | None]]:
+    """The rows of one sheet of a workbook that are not blank, one at a time; dates in ISO form."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
         dated, book = _date_styles(z), z.read("xl/workbook.xml") if "xl/workbook.xml" in z.namelist() else b""
         from_1904 = re.search(rb'date1904\s*=\s*"(1|true)"', book) is not None
         strings = []
@@ -294,25 +306,61 @@ def read_xlsx(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame
         sheets = _sheets(z)
         if isinstance(sheet, str) and sheet not in dict(sheets):
             raise ValueError(f"no sheet named {sheet}")
-        rows = []
-        for row in ElementTree.fromstring(z.read(dict(sheets)[sheet] if isinstance(sheet, str) else sheets[sheet][1])).iter(f"{{{_NS['m']}}}row"):
-            cells: dict[int, str] = {}
-            for c in row.findall("m:c", _NS):
-                at = reduce(lambda n, ch: n * 26 + ord(ch) - 64, re.match(r"[A-Z]+", c.get("r")).group(), 0) - 1
-                value, inline = c.find("m:v", _NS), c.find("m:is", _NS)
-                if c.get("t") == "inlineStr" and inline is not None:
-                    cells[at] = "".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t"))
-                elif value is not None and c.get("t", "n") == "n" and int(c.get("s", "0")) in dated:
-                    cells[at] = _moment(value.text, from_1904)
-                elif value is not None:
-                    cells[at] = strings[int(value.text)] if c.get("t") == "s" else {"1": "true", "0": "false"}[value.text] if c.get("t") == "b" else value.text
-            if any(v.strip() for v in cells.values()):
-                rows.append(cells)
-    if not rows:
+        with z.open(dict(sheets)[sheet] if isinstance(sheet, str) else sheets[sheet][1]) as body:
+            for _, row in ElementTree.iterparse(body):
+                if row.tag != f"{{{_NS['m']}}}row":
+                    continue
+                cells: dict[int, str] = {}
+                for c in row.findall("m:c", _NS):
+                    at = reduce(lambda n, ch: n * 26 + ord(ch) - 64, re.match(r"[A-Z]+", c.get("r")).group(), 0) - 1
+                    value, inline = c.find("m:v", _NS), c.find("m:is", _NS)
+                    if c.get("t") == "inlineStr" and inline is not None:
+                        cells[at] = "".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t"))
+                    elif value is not None and c.get("t", "n") == "n" and int(c.get("s", "0")) in dated:
+                        cells[at] = _moment(value.text, from_1904)
+                    elif value is not None:
+                        cells[at] = strings[int(value.text)] if c.get("t") == "s" else {"1": "true", "0": "false"}[value.text] if c.get("t") == "b" else value.text
+                row.clear()
+                if any(v.strip() for v in cells.values()):
+                    yield [cells.get(i) for i in range(max(cells) + 1)]
+
+
+def read_xlsx(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
+    """One sheet of a workbook, by place or name, from any store that Spark reads; all columns as text, dates in ISO form.
+
+    A workbook is unpacked by one task, row by row, and written; its first row that is not blank is the header, the widest says
+    how many columns there are.
+    """
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content"):
+                rows, n = _cells(raw.as_py(), sheet), 0
+                while some := list(itertools.islice(rows, SHEET_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(some)), pa.int64()), pa.array(some, pa.list_(pa.string()))], ["n", "cells"])
+                    n += len(some)
+
+    book = spark.read.format("binaryFile").load(path).select("content")
+    try:
+        rows = materialise(book.mapInArrow(unpacked, "n long, cells array<string>"), "sheet")
+    except PythonException as wrong:
+        if found := re.search(r"ValueError: (no sheet named [^\n]*)", str(wrong)):
+            raise ValueError(found[1]) from None
+        raise
+    first, width = rows.where("n = 0").first(), rows.agg(F.max(F.size("cells"))).first()[0]
+    if first is None:
         raise ValueError("the sheet is empty")
-    width = max(max(r) for r in rows) + 1
-    names = header([rows[0].get(i) for i in range(width)])
-    return _clean_rows(spark.createDataFrame([tuple(r.get(i) for i in range(width)) for r in rows[1:]], StructType([StructField(n, StringType()) for n in names])))
+    names = header([*first.cells, *[None] * (width - len(first.cells))])
+    return _clean_rows(rows.where("n > 0").select(*[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names)]))
+
+
+def preview_sheets(spark: SparkSession, path: str, rows: int = 20) -> dict[str, DataFrame]:
+    """For each sheet that is not empty its first rows and their number, as ``preview`` gives them."""
+    out = {}
+    for name in sheet_names(spark, path):
+        with contextlib.suppress(ValueError):  # an empty sheet
+            out[name] = preview(read_xlsx(spark, path, name), rows)
+    return out
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:

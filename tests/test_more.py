@@ -123,7 +123,7 @@ def test_workbook_dates_and_sheet_names(spark, tmp_path):
         z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="yyyy&quot;y&quot;mm"/><numFmt numFmtId="165" formatCode="[Red]0.0"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
         z.writestr("xl/worksheets/sheet1.xml", sheet(text("A1", "only")))
         z.writestr("xl/worksheets/sheet2.xml", sheet(text("A1", "d") + text("B1", "t") + text("C1", "n"), cell("A2", 45292, 1) + cell("B2", 45292.5000116, 2) + cell("C2", 7.5, 3)))
-    assert readers.sheet_names(path) == ["First", "둘째"]
+    assert readers.sheet_names(spark, path) == ["First", "둘째"]
     assert [tuple(r) for r in readers.read_xlsx(spark, path).collect()] == [("2024-01-01", "2024-01-01 12:00:01.002", "7.5")]
     assert readers.read_xlsx(spark, path, "둘째").columns == ["only"] and readers.read_xlsx(spark, path, "First").count() == 1
     with pytest.raises(ValueError, match="no sheet"):

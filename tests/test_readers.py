@@ -3,6 +3,7 @@
 import csv
 import json
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,25 @@ def test_orders_of_a_locale(spark):
     assert [r.x for r in tuples(df, ["x"], "ko").orderBy("place").collect()] == ["", "가", "나", "a", "A", "ä", "b", "B", "z"]
     cells = wide(df.where("x is not null").withColumn("n", F.lit(1)), PivotSpec((), ("x",), (("n", "sum"),)))
     assert [c[0] for c in cells.columns if not c.startswith("total")] == ["a", "A", "ä", "b", "B", "z", "가", "나"]
+
+
+# ---- workbooks
+
+
+def test_a_long_sheet_in_order(spark, tmp_path):
+    """Rows of several batches keep their order, short rows and blank ones too; an empty sheet is left out of the previews."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda at, n, v: f'<c r="{at}{n}" t="inlineStr"><is><t>{v}</t></is></c>'
+    rows = [f'<row r="1">{cell("A", 1, " ")}</row>', f'<row r="2">{cell("A", 2, "id")}{cell("B", 2, "v")}</row>']
+    rows += [f'<row r="{i}">{cell("A", i, i)}{cell("D", i, "wide") if i % 1000 == 0 else ""}</row>' for i in range(3, 5003)]
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{''.join(rows)}</sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData></sheetData></worksheet>")
+    path = str(tmp_path / "w.xlsx")
+    df = readers.read_xlsx(spark, path)
+    assert df.columns == ["id", "v", "Column_3", "Column_4"]
+    assert [(r.id, r.Column_4) for r in df.collect()] == [(str(i), "wide" if i % 1000 == 0 else None) for i in range(3, 5003)]
+    with pytest.raises(ValueError):
+        readers.read_xlsx(spark, path, "Sheet2")
+    shown = readers.preview_sheets(spark, path, 2)
+    assert list(shown) == ["Sheet1"] and [(r.id, r.n_rows) for r in shown["Sheet1"].collect()] == [("3", 5000), ("4", 5000)]
