@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -13,50 +13,42 @@ from pyspark.sql import functions as F
 from sparkloom.functions.values import all_of, number, text
 
 
+def fraction(parts: Iterable[tuple[float, float]]) -> float:
+    """n1 / (d1 + n2 / (d2 + ...)) of pairs (n, d), to where a further pair changes nothing."""
+    tiny = 1e-300
+    value = above = tiny
+    below = 0.0
+    for n, d in parts:
+        below = 1 / ((d + n * below) or tiny)
+        above = (d + n / above) or tiny
+        value *= above * below
+        if abs(above * below - 1) < 1e-15:
+            break
+    return value
+
+
 def inc_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function, by Lentz's continued fraction."""
+    """Regularised incomplete beta function."""
     if x <= 0 or x >= 1:
         return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
+    if x > (a + 1) / (a + b + 2):  # the fraction converges fast on the other side
         return 1 - inc_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    f, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
-        m = i // 2
-        step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / ((1 + step * d) or 1e-300)
-        c = (1 + step / c) or 1e-300
-        f *= c * d
-        if abs(1 - c * d) < 1e-15:
-            break
-    return front * (f - 1)
+    even = ((m, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))) for m in range(1, 200))
+    odd = ((m, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))) for m in range(200))
+    steps = (n for pair in zip(odd, even) for _, n in pair)
+    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    return scale * fraction((n, 1.0) for n in itertools.chain([1.0], steps))
 
 
 def inc_gamma_upper(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma function: series below a + 1, continued fraction above."""
+    """Regularised upper incomplete gamma function: the power series of the lower one up to a + 1, a fraction above."""
     if x <= 0:
         return 1.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        for n in range(1, 1000):
-            term *= x / (a + n)
-            total += term
-            if term < total * 1e-16:
-                break
-        return 1 - front * total
-    b = x + 1 - a
-    c, d = 1e300, 1 / b
-    h = d
-    for n in range(1, 1000):
-        k = -n * (n - a)
-        b += 2
-        d = 1 / (k * d + b)
-        c = b + k / c
-        h *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return front * h
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x > a + 1:
+        return scale * fraction((-k * (k - a) if k else 1.0, x + 1 - a + 2 * k) for k in range(1000))
+    terms = itertools.accumulate(range(1, 1000), lambda t, k: t * x / (a + k), initial=1 / a)
+    return 1 - scale * math.fsum(terms)
 
 
 def t_p(t: float, df: float) -> float:
