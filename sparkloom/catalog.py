@@ -1039,6 +1039,16 @@ def _(spark, d):
     return rounded(learn.pca_scores(e, learn.pca(e, names)).select("vec_id", "pc1", "pc2"), 6)
 
 
+@register("ml_pca_two", """
+with m as (select avg(p_retailprice) as ma, avg(p_size) as mb, var_samp(p_retailprice) as p, var_samp(p_size) as s, covar_samp(p_retailprice, p_size) as q from part),
+e as (select *, (p - s) / 2 + sqrt((p - s) * (p - s) / 4 + q * q) as u from m)
+select p_partkey, round(((p_retailprice - ma) * u + (p_size - mb) * q) / sqrt(u * u + q * q), 6) as pc1, round(((p_size - mb) * u - (p_retailprice - ma) * q) / sqrt(u * u + q * q), 6) as pc2 from part, e""")
+def _(spark, d):
+    """Two columns by covariance, the wider one first: the axes have a closed form."""
+    df = load(spark, d, "part").select("p_partkey", "p_retailprice", "p_size")
+    return rounded(learn.pca_scores(df, learn.pca(df, ["p_retailprice", "p_size"], correlation=False)).select("p_partkey", "pc1", "pc2"), 6)
+
+
 @register("ml_eligible", "select * from (select 'o_orderstatus' as \"column\", count(distinct o_orderstatus) as classes from orders union all select 'o_orderpriority', count(distinct o_orderpriority) from orders union all select 'o_custkey', count(distinct o_custkey) from orders) where classes between 2 and 20")
 def _(spark, d):
     return learn.eligible_targets(load(spark, d, "orders"), ["o_orderstatus", "o_orderpriority", "o_custkey"])
