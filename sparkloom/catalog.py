@@ -239,6 +239,17 @@ def _(spark, d):
     return rounded(insights.findings(e, ["value", "user_id"]))
 
 
+@register("ins_market", """
+with g as (select l_shipmode as g, sum(v) as s, avg(v) as m from (select l_linestatus as l_shipmode, l_extendedprice as v from lineitem) group by 1), q as (select quantile_cont(l_extendedprice, 0.25) as a, quantile_cont(l_extendedprice, 0.75) as b from lineitem),
+y as (select year(l_shipdate) as y, avg(l_extendedprice) as m from lineitem group by 1)
+select 'top_share' as kind, arg_max(g, s) as subject, round(max(s) / sum(s), 4) as value from g union all select 'mean_ratio', 'l_linestatus', round(max(m) / min(m), 4) from g
+union all select 'outliers', 'l_extendedprice', (count(*) filter (l_extendedprice < a - 1.5 * (b - a) or l_extendedprice > b + 1.5 * (b - a)))::double from lineitem, q
+union all select 'growth', 'l_extendedprice', round(arg_max(m, y) / arg_min(m, y) - 1, 4) from y
+union all select 'correlation', 'l_extendedprice~l_quantity', round(corr(l_extendedprice, l_quantity), 4) as r from lineitem having abs(r) >= 0.3""")
+def _(spark, d):
+    return rounded(insights.market(load(spark, d, "lineitem"), "l_linestatus", ["l_extendedprice", "l_quantity", "l_tax"], "l_shipdate"))
+
+
 @register("dsc_shares", """
 with g as (select o_orderpriority as g, sum(o_totalprice) as s, avg(o_totalprice) as m from orders group by 1)
 select arg_max(g, s) as top, round(max(s) / sum(s), 6) as top_share, round(max(m) / min(m), 6) as mean_ratio from g""")

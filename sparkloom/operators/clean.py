@@ -215,7 +215,7 @@ STEPS: dict[str, Callable[[DataFrame, str, dict, str], DataFrame]] = {
     "remove_outliers": lambda df, col, params, order: filters.remove_outliers(df, col),
     "rename": rename,
     "replace": replace_value,
-    "change_type": lambda df, col, params, order: df.withMetadata(col, {**df.schema[col].metadata, "type": params["type"]}),
+    "change_type": lambda df, col, params, order: df.withMetadata(col, {**df.schema[col].metadata, "type": params["type"], "role": "measure" if params["type"] in ("integer", "float") else "dimension"}),
     "label_encode": label_encode,
     "dummy_encode": dummy_encode,
     "drop_col": lambda df, col, params, order: df.drop(col),

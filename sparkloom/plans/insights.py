@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.values import blank, group_text, number, safe_divide
-from sparkloom.operators.aggregate import skew_kurtosis
+from sparkloom.operators.aggregate import correlations, skew_kurtosis, year_growth
 from sparkloom.operators.filters import outlier_counts
 
 
@@ -36,3 +36,19 @@ def shares(df: DataFrame, dim: str, value: str) -> DataFrame:
     v = number(F.col(value), df.schema[value].dataType)
     g = df.groupBy(group_text(F.col(dim), df.schema[dim].dataType).alias("g")).agg(F.sum(v).alias("s"), F.avg(v).alias("m"))
     return g.agg(F.max_by("g", F.struct("s", "g")).alias("top"), safe_divide(F.max("s"), F.sum("s")).alias("top_share"), safe_divide(F.max("m"), F.min("m")).alias("mean_ratio"))
+
+
+def market(df: DataFrame, dim: str, measures: Sequence[str], date: str | None = None) -> DataFrame:
+    """kind, subject and value in one call: the largest group's share of the first measure, the ratio of its best to its worst group mean, the values
+    beyond its quartile bounds, its growth from the first to the last year, and the strongest correlation of measures from 0.3 on."""
+    first = measures[0]
+    part = shares(df, dim, first).select(F.inline(F.array(F.struct(F.lit("top_share").alias("kind"), F.col("top").alias("subject"), F.col("top_share").alias("value")), F.struct(F.lit("mean_ratio").alias("kind"), F.lit(dim).alias("subject"), F.col("mean_ratio").alias("value")))))
+    far = outlier_counts(df, [first]).select(F.lit("outliers").alias("kind"), F.lit(first).alias("subject"), F.col(f"outliers_{first}").cast("double").alias("value"))
+    out = part.unionAll(far)
+    if date is not None:
+        out = out.unionAll(year_growth(df, date, first).select(F.lit("growth").alias("kind"), F.lit(first).alias("subject"), F.col("growth").alias("value")))
+    if len(measures) > 1:
+        pairs = correlations(df, measures).where("a < b and abs(r) >= 0.3")
+        best = pairs.agg(F.max_by(F.struct(F.concat_ws("~", "a", "b").alias("subject"), F.col("r").alias("value")), F.abs("r")).alias("s"))
+        out = out.unionAll(best.where("s is not null").select(F.lit("correlation").alias("kind"), "s.subject", "s.value"))
+    return out.where("value is not null")

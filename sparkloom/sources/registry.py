@@ -130,6 +130,15 @@ def json_quoted_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(",", *cells).alias("line"))
 
 
+def export_quoted(df: DataFrame, path: str) -> bool:
+    """Write a header line of JSON-quoted names, then the lines of ``json_quoted_lines``, as text files in order of their names; False, and nothing written, where there is no row."""
+    if df.isEmpty():
+        return False
+    names = df.sparkSession.createDataFrame([(",".join(json.dumps(c, ensure_ascii=False) for c in df.columns),)], "line string").coalesce(1)
+    names.union(json_quoted_lines(df)).write.text(path)  # a union keeps the order of its partitions
+    return True
+
+
 def share_link(spec: dict) -> str:
     """A spec (never data) as text for a url; raises ValueError if it is too long."""
     raw = json.dumps(spec, separators=(",", ":")).encode()

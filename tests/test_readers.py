@@ -8,9 +8,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.operators import clean
 from sparkloom.operators.pivot import PivotSpec, tuples, wide
 from sparkloom.plans import charts
 from sparkloom.sources import readers
+from sparkloom.sources.registry import export_quoted
 
 
 def test_ragged_rows(spark, tmp_path):
@@ -132,3 +134,16 @@ def test_a_long_sheet_in_order(spark, tmp_path):
         readers.read_xlsx(spark, path, "Sheet2")
     shown = readers.preview_sheets(spark, path, 2)
     assert list(shown) == ["Sheet1"] and [(r.id, r.n_rows) for r in shown["Sheet1"].collect()] == [("3", 5000), ("4", 5000)]
+
+
+def test_export_with_quotes(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b"\\', None), (2, None, 2.5)], "n long, `the name` string, x double").coalesce(1)
+    assert export_quoted(df, str(tmp_path / "out")) and not export_quoted(df.limit(0), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+    lines = [line for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines == ['"n","the name","x"', '1,"a \\"b\\"\\\\",', "2,,2.5"]
+
+
+def test_change_of_type_changes_the_role(spark):
+    df = spark.range(1).withColumn("s", F.lit("x"))
+    meta = lambda kind: clean.Pipeline().add(clean.Step("change_type", "s", {"type": kind})).apply(df, "id").schema["s"].metadata
+    assert meta("float") == {"type": "float", "role": "measure"} and meta("category")["role"] == "dimension"
