@@ -1013,13 +1013,13 @@ def _(spark, d):
 
 @register("ml_decision_tree")
 def _(spark, d):
-    df = load(spark, d, "part").withColumn("y", F.when((F.col("p_size") > 25) & (F.col("p_retailprice") > 950), "a").otherwise("b"))
+    df = load(spark, d, "part").withColumn("y", F.when((F.col("p_size") > 25) & (F.col("p_partkey") % 3 > 0), "a").otherwise("b"))
     tree = learn.decision_tree(df, "y", ["p_size", "p_retailprice"], 4)
     return df.select("p_partkey", F.col("y").alias("actual"), tree.alias("predicted"))
 
 
 @register("ml_tree_split", """
-with p as (select p_partkey, p_size::double as a, p_retailprice as b, case when p_size > 25 and p_retailprice > 950 then 'a' else 'b' end as y from part), e as (select 0 as f, a as x, y from p union all select 1, b, y from p),
+with p as (select p_partkey, p_size::double as a, p_retailprice as b, case when p_size > 25 and p_partkey % 3 > 0 then 'a' else 'b' end as y from part), e as (select 0 as f, a as x, y from p union all select 1, b, y from p),
 v as (select f, x, (count(*) filter (y = 'a'))::double as ca, (count(*) filter (y = 'b'))::double as cb from e group by 1, 2),
 r as (select f, x, lead(x) over (partition by f order by x) as nx, sum(ca) over w as la, sum(cb) over w as lb, sum(ca) over (partition by f) as ta, sum(cb) over (partition by f) as tb from v window w as (partition by f order by x)),
 s as (select *, round(((la * la + lb * lb) / (la + lb) + ((ta - la) * (ta - la) + (tb - lb) * (tb - lb)) / (ta + tb - la - lb) - (ta * ta + tb * tb) / (ta + tb)) / (ta + tb), 12) as gain from r where nx is not null),
@@ -1027,7 +1027,7 @@ best as (select f, (x + nx) / 2 as t from s where gain > 0 order by gain desc, f
 said as (select l, y as predicted from (select l, y, count(*) as n from placed group by 1, 2) qualify row_number() over (partition by l order by n desc, y) = 1)
 select p_partkey, y as actual, predicted from placed join said using (l)""")
 def _(spark, d):
-    df = load(spark, d, "part").withColumn("y", F.when((F.col("p_size") > 25) & (F.col("p_retailprice") > 950), "a").otherwise("b"))
+    df = load(spark, d, "part").withColumn("y", F.when((F.col("p_size") > 25) & (F.col("p_partkey") % 3 > 0), "a").otherwise("b"))
     return df.select("p_partkey", F.col("y").alias("actual"), learn.decision_tree(df, "y", ["p_size", "p_retailprice"], 1).alias("predicted"))
 
 
