@@ -1052,10 +1052,10 @@ def _(spark, d):
 
 @register("ml_pca_two", """
 with m as (select avg(p_retailprice) as ma, avg(p_size) as mb, var_samp(p_retailprice) as p, var_samp(p_size) as s, covar_samp(p_retailprice, p_size) as q from part),
-e as (select *, (p - s) / 2 + sqrt((p - s) * (p - s) / 4 + q * q) as u from m)
-select p_partkey, round(((p_retailprice - ma) * u + (p_size - mb) * q) / sqrt(u * u + q * q), 6) as pc1, round(((p_size - mb) * u - (p_retailprice - ma) * q) / sqrt(u * u + q * q), 6) as pc2 from part, e""")
+e as (select *, (p - s) / 2 + sqrt((p - s) * (p - s) / 4 + q * q) as u from m), w as (select *, sqrt(u * u + q * q) * sign(case when abs(u) > abs(q) then u else q end) as w1, sqrt(u * u + q * q) * sign(case when abs(u) > abs(q) then u else -q end) as w2 from e)
+select p_partkey, round(((p_retailprice - ma) * u + (p_size - mb) * q) / w1, 6) as pc1, round(((p_size - mb) * u - (p_retailprice - ma) * q) / w2, 6) as pc2 from part, w""")
 def _(spark, d):
-    """Two columns by covariance, the wider one first: the axes have a closed form."""
+    """Two columns by covariance: the axes have a closed form."""
     df = load(spark, d, "part").select("p_partkey", "p_retailprice", "p_size")
     return rounded(learn.pca_scores(df, learn.pca(df, ["p_retailprice", "p_size"], correlation=False)).select("p_partkey", "pc1", "pc2"), 6)
 
