@@ -60,6 +60,25 @@ def test_k_nearest_works_out_few_pairs(spark):
     assert asked == q.distinct().count() and 0 < pairs < n * m / 10
 
 
+def test_k_nearest_shuffles_no_row_for_each_box(spark, monkeypatch):
+    """Where a query meets nearly all of 128 boxes, what is shuffled stays a few times the input; the answers are those of brute force."""
+    monkeypatch.setattr(neighbours, "BOX_ROWS", 16)
+    monkeypatch.setattr(neighbours, "GROUP", 16 * 300)
+    rng = np.random.default_rng(3)
+    points, queries = ([(i, *map(float, x)) for i, x in enumerate(rng.normal(size=(n, 16)))] for n in (2000, 600))
+    p, q = frames(spark, points, queries, 16)
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+    before = shuffled()
+    found = neighbours.k_nearest(p, q, 16, 3)
+    assert shuffled() - before < 8 * (2000 + 600) * 17 * 8
+    got = {r.query: [tuple(x) for x in r.near] for r in found.collect()}
+    assert {i: got[i] for i in range(0, 600, 20)} == brute(points, queries[::20], 3) and len(got) == 600
+
+
 # ---- DBSCAN
 
 
