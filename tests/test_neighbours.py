@@ -185,6 +185,21 @@ def test_interval_join_equals_brute_force(spark):
     assert combine.interval_join(times, times, ("s", "e"), ("e", "e")).count() == 1
 
 
+@pytest.mark.parametrize("n_left, n_right", [(300, 2000), (2000, 300), (20, 3000), (1, 3000)])
+def test_interval_join_of_one_bucket_is_many_tasks(spark, monkeypatch, n_left, n_right):
+    """All rows meet in a few buckets: no task has more than a quarter of the pairs (or its share, where that is more), none is lost or made twice."""
+    for name, n in (("PAIRS", 2**10), ("PIECE", 2**10), ("SIDE", 2**5), ("LONG", 2**8)):
+        monkeypatch.setattr(combine, name, n, raising=False)
+    left = spark.range(0, n_left, 1, 1).select("id", (F.col("id") % 7 / 10).alias("s"), (F.col("id") % 7 / 10 + 3 + F.col("id") % 5 / 10).alias("e"))
+    right = spark.range(0, n_right, 1, 1).select("id", (F.col("id") % 41 / 10).alias("at"))
+    joined = combine.interval_join(left, right, ("s", "e"), ("at", "at"))
+    rows = joined.select("id", "right__id", F.spark_partition_id().alias("task")).collect()
+    l, r = ([tuple(x) for x in df.collect()] for df in (left, right))
+    assert sorted((x.id, x.right__id) for x in rows) == sorted((i, j) for i, s, e in l for j, at in r if s <= at <= e)
+    tasks = [x.task for x in rows]
+    assert max(map(tasks.count, set(tasks))) <= max(len(rows) / 4, combine.PAIRS)
+
+
 def test_edits_as_a_table(spark, monkeypatch):
     """10,000 edits make a plan of the size of one; the last edit of a cell wins; the same without a broadcast."""
     df = spark.range(12_000).selectExpr("id", "id as whole", "cast(id as double) as x", "concat('t', id) as name").union(spark.sql("select null, 7, 7.0, 'no key'"))
